@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from .op1_suffix_dedup import op1_suffix_dedup
+from .op8_countmin_dedup import op8_countmin_dedup
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup}
+QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
+    "op8_countmin_dedup": op8_countmin_dedup,
+}
 SQL: dict[str, str] = {}
