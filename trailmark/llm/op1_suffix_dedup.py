@@ -194,7 +194,7 @@ def _apply(m: int):
     return run
 
 
-def suffix_dedup(docs: DataFrame, text: str = "text", min_bytes: int = 400, gram: int = GRAM, shard_bytes: int = 2 << 20, hot_contexts: int = 6000) -> DataFrame:
+def suffix_dedup(docs: DataFrame, text: str = "text", min_bytes: int = 400, gram: int = GRAM, shard_bytes: int = 1 << 20, hot_contexts: int = 6000) -> DataFrame:
     """Remaining bytes of every different text of ``docs``.
 
     Every byte covered by a string of ``min_bytes`` bytes that also starts
