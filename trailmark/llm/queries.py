@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .op1_suffix_dedup import op1_suffix_dedup
+from .op2_near_dedup import op2_near_dedup
 from .op8_countmin_dedup import op8_countmin_dedup
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_near_dedup": op2_near_dedup,
     "op8_countmin_dedup": op8_countmin_dedup,
 }
 SQL: dict[str, str] = {}
