@@ -15,19 +15,21 @@ windows pass, never fewer.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import table, text_key
+from .common import parts, table, text_key
 
 CELLS = 1 << 28
 BLOCK = 1 << 19
 DEPTH = 2
+HOT = 20_000
 _POW, _POW2 = vec.Powers(vec.BASE), vec.Powers(vec.BASE2)
 
 
@@ -48,9 +50,10 @@ class Windows:
         at = least[self.at] if len(self.at) else self.at
         return grams[at], at
 
-    def keys(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def keys(self, which: np.ndarray) -> np.ndarray:
+        """Hashes of whole windows, independent of those of minimisers: both together tell windows apart."""
         s = self.at[which]
-        return vec.Rolling(self.hashes, _POW).of(s, s + self.size), vec.Rolling(vec.mix(self.hashes), _POW2).of(s, s + self.size)
+        return vec.Rolling(vec.mix(self.hashes), _POW2).of(s, s + self.size)
 
 
 def _cells(h: np.ndarray, cells: int) -> np.ndarray:
@@ -61,7 +64,7 @@ def _cells(h: np.ndarray, cells: int) -> np.ndarray:
 
 
 def _sketch(size: int, gram: int, cells: int):
-    """A task's sketch as the list of its cells that are not zero, by block: counts stop at two."""
+    """A task's sketch by block, as the places and counts of its cells that are not zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, held = [], 0
@@ -69,8 +72,8 @@ def _sketch(size: int, gram: int, cells: int):
         def flush() -> Iterator[pa.RecordBatch]:
             got, times = np.unique(np.concatenate(once), return_counts=True)
             head = np.flatnonzero(np.diff(got // BLOCK, prepend=-1))
-            cut = np.append(head, len(got))
-            code = ((got % BLOCK) * 2 + (times > 1)).astype(np.int32)
+            cut = 2 * np.append(head, len(got))
+            code = np.stack((got % BLOCK, times), axis=1).reshape(-1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array((got[head] // BLOCK).astype(np.int32)), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(code))], names=["block", "cells"])
 
         for _, buf, offs in vec.slices(batches, "text"):
@@ -88,65 +91,130 @@ def _sketch(size: int, gram: int, cells: int):
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add the sketches of a block, which follow one another, and keep which cells reach two."""
-    block, count = None, None
+def _merge(hot: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Add the sketches of a block, which follow one another: a bit for each cell that reaches two, and packed bits for those that reach ``hot``."""
+        block, count = None, None
 
-    def bits() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(count > 1).tobytes()])], names=["block", "bits"])
+        def bits() -> pa.RecordBatch:
+            data = [np.packbits(count > 1).tobytes(), zlib.compress(np.packbits(count >= hot).tobytes(), 1)]
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array(data[:1]), pa.array(data[1:])], names=["block", "twice", "hot"])
 
-    for batch in batches:
-        lists = batch.column("cells")
-        for i, b in enumerate(batch.column("block").to_pylist()):
-            if b != block:
-                if block is not None:
-                    yield bits()
-                block, count = b, np.zeros(BLOCK, np.uint8)
-            code = lists[i].values.to_numpy()
-            at = code >> 1
-            count[at] = np.minimum(count[at] + 1 + (code & 1), 2)
-    if block is not None:
-        yield bits()
+        for batch in batches:
+            lists = batch.column("cells")
+            for i, b in enumerate(batch.column("block").to_pylist()):
+                if b != block:
+                    if block is not None:
+                        yield bits()
+                    block, count = b, np.zeros(BLOCK, np.int64)
+                code = lists[i].values.to_numpy()
+                count[code[0::2]] += code[1::2]
+        if block is not None:
+            yield bits()
 
+    return run
 
-def sketch_bits(texts: DataFrame, size: int, gram: int, cells: int) -> list:
-    """The merged sketch: rows (block, bits), ``cells`` bits in all."""
+
+def sketch_bits(texts: DataFrame, size: int, gram: int, cells: int, hot: int) -> list:
+    """The merged sketch: rows (block, twice, hot), ``cells`` bits each in all."""
     parts = texts.mapInArrow(_sketch(size, gram, cells), "block int, cells array<int>")
     n = min(cells // BLOCK, max(2, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return parts.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_merge, "block int, bits binary").collect()
+    return parts.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_merge(hot), "block int, twice binary, hot binary").collect()
+
+
+_FOUND = "anchor long, hot boolean, doc_id long, key binary, at int, windows array<long>"
 
 
 def _candidates(size: int, gram: int, cells: int, sent):
-    """Windows that the sketch estimates repeated: hashes, document, place of the first word."""
-    bits = np.zeros(0, np.uint8)
+    """Runs of windows with one minimiser that the sketch estimates repeated: window hashes, document, place of the first word."""
+    bits: list[np.ndarray] = []
+
+    def test(which: int, cell: np.ndarray) -> np.ndarray:
+        return ((bits[which][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1).astype(bool).reshape(DEPTH, -1).all(axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nonlocal bits
-        if not len(bits):
-            bits = np.zeros(cells // 8, np.uint8)
-            for block, data in sent.value:
-                bits[block * (BLOCK // 8) : (block + 1) * (BLOCK // 8)] = np.frombuffer(data, np.uint8)
+        if not bits:
+            two, hot = np.zeros((2, cells // 8), np.uint8)
+            for block, a, b in sent.value:
+                place = slice(block * (BLOCK // 8), (block + 1) * (BLOCK // 8))
+                two[place] = np.frombuffer(a, np.uint8)
+                hot[place] = np.frombuffer(zlib.decompress(b), np.uint8)
+            bits.extend((two, hot))
         for part, buf, offs in vec.slices(batches, "text"):
             w = Windows(buf, offs, size, gram)
             h, at = w.minimisers()
             if not len(h):
                 continue
             lead = vec.runs(at)
+            n = np.diff(np.append(lead, len(at)))
             cell = _cells(h[lead], cells)
-            hit = ((bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1).reshape(DEPTH, -1).all(axis=0)
-            which = np.flatnonzero(np.repeat(hit, np.diff(np.append(lead, len(at)))))
-            if not len(which):
+            hit = np.flatnonzero(test(0, cell))
+            if not len(hit):
                 continue
-            k1, k2 = w.keys(which)
-            doc = w.doc[which]
+            hot = test(1, cell)[hit]
+            lead, n = lead[hit], n[hit]
+            which = np.repeat(lead - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            doc = w.doc[lead]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), part.column("doc_id").take(pa.array(doc)), part.column("key").take(pa.array(doc)), pa.array((w.at[which] - w.first[doc]).astype(np.int32))],
-                names=["k1", "k2", "doc_id", "key", "at"],
+                [
+                    pa.array(h[lead].view(np.int64)),
+                    pa.array(hot),
+                    part.column("doc_id").take(pa.array(doc)),
+                    part.column("key").take(pa.array(doc)),
+                    pa.array((w.at[lead] - w.first[doc]).astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(w.keys(which).view(np.int64))),
+                ],
+                names=["anchor", "hot", "doc_id", "key", "at", "windows"],
             )
 
     return run
 
 
+def _later(rows: pa.Table) -> pa.RecordBatch:
+    """Of whole minimiser groups, each run's windows that start in a document with a smaller id, as bits."""
+    rows = rows.combine_chunks()
+    lists = rows.column("windows").chunk(0)
+    cut = lists.offsets.to_numpy().astype(np.int64)
+    n = np.diff(cut)
+    row = np.repeat(np.arange(len(n)), n)
+    window = lists.flatten().to_numpy()
+    anchor, doc = rows.column("anchor").to_numpy()[row], rows.column("doc_id").to_numpy()[row]
+    order = np.lexsort((doc, window, anchor))
+    wo, ao = window[order], anchor[order]
+    head = np.append(True, (wo[1:] != wo[:-1]) | (ao[1:] != ao[:-1]))
+    least = doc[order][np.flatnonzero(head)][np.cumsum(head) - 1]
+    late = np.zeros(len(row), np.int64)
+    late[order] = doc[order] > least
+    bit = late << (np.arange(len(row)) - np.repeat(cut[:-1] - cut[0], n))
+    mask = np.add.reduceat(bit, cut[:-1] - cut[0]) if len(n) else bit
+    keep = np.flatnonzero(mask)
+    return pa.RecordBatch.from_arrays([rows.column("key").chunk(0).take(pa.array(keep)), rows.column("at").chunk(0).take(pa.array(keep)), pa.array(mask[keep].astype(np.int32))], names=["key", "at", "mask"])
+
+
+def _groups(limit: int = 50_000):
+    """``_later`` over rows sorted by minimiser, some tens of thousands at a time and never part of a group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < limit:
+                continue
+            t = pa.Table.from_batches(held)
+            anchor = t.column("anchor").to_numpy()
+            cut = int(np.searchsorted(anchor, anchor[-1]))
+            if cut:
+                yield _later(t.slice(0, cut))
+                held, rows = t.slice(cut).to_batches(), len(anchor) - cut
+        if rows:
+            yield _later(pa.Table.from_batches(held))
+
+    return run
+
+
 def _apply(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,12 +223,14 @@ def _apply(size: int):
             got = batch.column("hits")
             cut = got.offsets.to_numpy()
             cut = cut - cut[0]
-            at = got.flatten().to_numpy()
+            item = got.flatten()
+            at, mask = item.field("at").to_numpy(), item.field("mask").to_numpy()
             n = np.diff(first)
             removed, kept, digest = [], [], []
             for i in range(batch.num_rows):
                 s, e = starts[first[i] : first[i + 1]], ends[first[i] : first[i + 1]]
-                hit = at[cut[i] : cut[i + 1]]
+                own = slice(cut[i], cut[i + 1])
+                hit = np.concatenate([at[own][(mask[own] >> b) & 1 > 0] + b for b in range(size)])
                 gone = vec.marked(hit, np.full(len(hit), size), len(s)) if len(hit) else np.zeros(len(s), bool)
                 left = b" ".join(buf[a:b].tobytes() for a, b in zip(s[~gone].tolist(), e[~gone].tolist(), strict=True))
                 removed.append(int(gone.sum()))
@@ -171,7 +241,11 @@ def _apply(size: int):
     return run
 
 
-def window_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 13, gram: int = 6, cells: int = CELLS) -> DataFrame:
+def _key(text: Column) -> Column:
+    return F.substring(text_key(text), 1, 16).alias("key")
+
+
+def window_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 13, gram: int = 6, cells: int = CELLS, hot: int = HOT) -> DataFrame:
     """Words of every different text of ``docs`` that no window shared with an earlier document covers.
 
     A window is ``size`` consecutive words of one document; it goes wherever its
@@ -179,7 +253,7 @@ def window_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", si
     counts as larger than any other, equal ids as one document. Of rows with the
     same text, all but those of the least id lose every word (texts under
     ``size`` words have no window and lose none). Null is the empty text.
-    Returns key (SHA-256 of the text), first_id (the least id with that text),
+    Returns key (128 bits of the text's SHA-256), first_id (the least id with that text),
     n_words, n_removed, kept_sha256, kept (bytes, words joined by one space);
     an empty table gives no rows.
     """
@@ -188,13 +262,18 @@ def window_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", si
     spark = docs.sparkSession
     top = F.lit(2**63 - 1)
     one = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    texts = docs.select(text_key(one).alias("key"), one.alias("text"), F.coalesce(F.col(doc_id).cast("long"), top).alias("doc_id")).groupBy("key").agg(F.first("text").alias("text"), F.min("doc_id").alias("doc_id"))
+    texts = docs.select(_key(one), one.alias("text"), F.coalesce(F.col(doc_id).cast("long"), top).alias("doc_id")).groupBy("key").agg(F.first("text").alias("text"), F.min("doc_id").alias("doc_id"))
     raw = docs.select(one.alias("text"))
-    bits = spark.sparkContext.broadcast([tuple(r) for r in sketch_bits(raw, size, gram, cells)])
-    found = texts.mapInArrow(_candidates(size, gram, cells, bits), "k1 long, k2 long, doc_id long, key binary, at int")
-    least = found.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    hits = found.join(least, ["k1", "k2"]).where("doc_id > least").groupBy("key").agg(F.collect_list("at").alias("hits"))
-    return texts.join(hits, "key", "left").select("key", "text", F.col("doc_id").alias("first_id"), F.coalesce("hits", F.array().cast("array<int>")).alias("hits")).mapInArrow(_apply(size), "key binary, first_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
+    sent = spark.sparkContext.broadcast([tuple(r) for r in sketch_bits(raw, size, gram, cells, hot)])
+    found = texts.mapInArrow(_candidates(size, gram, cells, sent), _FOUND)
+    n = parts(docs)
+    usual = found.where("not hot").repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_groups(), "key binary, at int, mask int")
+    spread = found.where("hot").select("anchor", "doc_id", "key", "at", F.posexplode("windows").alias("place", "window"))
+    least = spread.groupBy("anchor", "window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    busy = spread.join(least, ["anchor", "window"]).where("doc_id > least").select("key", (F.col("at") + F.col("place")).alias("at"), F.lit(1).alias("mask"))
+    hits = usual.unionByName(busy).groupBy("key").agg(F.collect_list(F.struct("at", "mask")).alias("hits"))
+    none = F.array().cast("array<struct<at:int,mask:int>>")
+    return texts.join(hits, "key", "left").select("key", "text", F.col("doc_id").alias("first_id"), F.coalesce("hits", none).alias("hits")).mapInArrow(_apply(size), "key binary, first_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
 
 
 def op8_countmin_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +285,7 @@ def op8_countmin_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def window_dedup_rows(docs: DataFrame, size: int = 13, **options) -> DataFrame:
     """``window_dedup`` by row of ``docs``: doc_id, n_words, n_removed, kept_sha256, kept."""
     top = F.lit(2**63 - 1)
-    rows = docs.select("doc_id", text_key(F.col("text").cast("string")).alias("key"))
+    rows = docs.select("doc_id", _key(F.col("text").cast("string")))
     left = window_dedup(docs, size=size, **options)
     copy = (F.coalesce(F.col("doc_id").cast("long"), top) > F.col("first_id")) & (F.col("n_words") >= size)
     return rows.join(left, "key").select(
