@@ -21,14 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vec
 from .common import parts, table, text_key
 from .suffix import permuted_lcp, suffix_array
 
-GRAM = 100
+GRAM = 64
 
 
 def _contexts(buf: np.ndarray, offs: np.ndarray, m: int, gram: int):
@@ -194,7 +194,11 @@ def _apply(m: int):
     return run
 
 
-def suffix_dedup(docs: DataFrame, text: str = "text", min_bytes: int = 400, gram: int = GRAM, shard_bytes: int = 1 << 20, hot_contexts: int = 6000) -> DataFrame:
+def _key(text: Column) -> Column:
+    return F.substring(text_key(text), 1, 16).alias("key")
+
+
+def suffix_dedup(docs: DataFrame, text: str = "text", min_bytes: int = 400, gram: int = GRAM, shard_bytes: int = 1 << 20, hot_contexts: int = 2000) -> DataFrame:
     """Remaining bytes of every different text of ``docs``.
 
     Every byte covered by a string of ``min_bytes`` bytes that also starts
@@ -202,20 +206,25 @@ def suffix_dedup(docs: DataFrame, text: str = "text", min_bytes: int = 400, gram
     occurrences count and all strings are judged on the input. Texts that
     several rows share occur as often as they have rows. Null is the empty
     text, which is never changed; neither is a text shorter than ``min_bytes``.
-    An empty table gives no rows. Returns key (SHA-256 of the text), n_bytes,
+    An empty table gives no rows. Returns key (128 bits of the text's SHA-256), n_bytes,
     n_removed, n_spans, kept_sha256 and kept (the bytes).
     """
     one = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    texts = docs.select(text_key(one).alias("key"), one.alias("text")).groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    texts = docs.select(_key(one), one.alias("text")).groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     found = texts.mapInArrow(_find(min_bytes, gram), _CONTEXT)
     classes = found.groupBy("c1", "c2").agg(F.min(F.struct("key", "start", "n", "anchor")).alias("one"), F.count(F.lit(1)).alias("times")).select("c1", "c2", "one.*", "times")
     whole = found.join(classes.where("times > 1").select("c1", "c2"), ["c1", "c2"], "left_semi").select("key", "start", "n")
-    varied = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1")
-    need = classes.join(varied, "anchor").select("anchor", "key", "start", "n", "contexts").groupBy("key").agg(F.collect_list(F.struct(F.when(F.col("contexts") <= hot_contexts, F.col("anchor")).alias("anchor"), "start", "n")).alias("need"))
-    cut_out = texts.join(need, "key").mapInArrow(_take_bytes(min_bytes), "anchor long, key binary, start int, n int, data binary")
+    # A class of several contexts is settled by its count; bytes are compared where some context is the only one of its kind.
+    varied = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"), F.min("times").alias("least")).where("contexts > 1 and least = 1")
+    compared = classes.join(varied, "anchor").select("anchor", "key", "start", "n", "contexts")
+
+    def bytes_of(some: DataFrame) -> DataFrame:
+        need = some.groupBy("key").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("need"))
+        return texts.join(need, "key").mapInArrow(_take_bytes(min_bytes), "anchor long, key binary, start int, n int, data binary")
+
     n = parts(docs)
-    sharded = cut_out.where("anchor is not null").repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_shards(min_bytes, shard_bytes), "key binary, start int, n int")
-    windows = cut_out.where("anchor is null").mapInArrow(_hash_windows(min_bytes), "w1 long, w2 long, key binary, start int")
+    sharded = bytes_of(compared.where(F.col("contexts") <= hot_contexts)).repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_shards(min_bytes, shard_bytes), "key binary, start int, n int")
+    windows = bytes_of(compared.where(F.col("contexts") > hot_contexts)).mapInArrow(_hash_windows(min_bytes), "w1 long, w2 long, key binary, start int")
     twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     hot = windows.join(twice, ["w1", "w2"], "left_semi").select("key", "start", F.lit(1).alias("n"))
     hits = whole.unionByName(sharded).unionByName(hot).groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("hits"))
@@ -226,4 +235,4 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with what the removal of its repeated 400-byte strings leaves."""
     docs = table(spark, sf_dir, "documents")
     left = suffix_dedup(docs).drop("kept")
-    return docs.select("doc_id", text_key(F.col("text")).alias("key")).join(left, "key", "left").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return docs.select("doc_id", _key(F.col("text").cast("string"))).join(left, "key", "left").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -100,8 +100,9 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     """Suffix array of ``t`` with symbols below ``k``.
 
     The leftmost-smaller substrings are sorted by one induction and named; where
-    names repeat, the string of names is sorted the same way, each name as two
-    symbols of about the square root of their number, so that buckets stay few.
+    names repeat, the string of names is sorted the same way: as it is if names are
+    few, else each name as two symbols of about the square root of their number,
+    so that there are few buckets for the length of the string.
     """
     n = len(t)
     if n < 2:
@@ -127,8 +128,8 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
         name_at = np.zeros(n, np.int64)
         name_at[ranked] = names
         reduced = name_at[lms]
-        if distinct <= 256:
-            order = suffix_array(reduced, distinct)
+        if distinct <= max(256, len(lms) // 80):
+            order = suffix_array(reduced.astype(np.uint16) if distinct < 65536 else reduced, distinct)
         else:
             base = int(np.ceil(np.sqrt(distinct)))
             pairs = np.empty(2 * len(reduced), np.int64)
