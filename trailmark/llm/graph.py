@@ -8,23 +8,35 @@ from pyspark.sql import functions as F
 from .common import cut, drop_cut
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def _roots(parent: DataFrame) -> DataFrame:
+    """Follow ``node, root`` pointers, each to a lesser node, to the end: every round doubles the way."""
+    spark = parent.sparkSession
+    while True:
+        to = parent.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        new = cut(parent.join(to, "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        drop_cut(spark, parent)
+        parent = new.select("node", "root")
+        if new.where("moved").isEmpty():
+            return parent
+
+
+def components(edges: DataFrame) -> DataFrame:
     """``edges`` (u, v of one orderable type) to ``node, label``: the least node reached.
 
-    Each round takes the least label among neighbours and then the label of the
-    label, so long chains halve. A round's labels are written in the shared
-    folder and the one before is deleted. Raises if ``rounds`` do not settle.
+    Each round hooks every node to its least neighbour below it, follows the
+    hooks to their roots, and keeps only the edges between different roots, so a
+    star is one round and what is left shrinks fast. Edges of a node with itself
+    are ignored; nodes without other edges do not appear.
     """
     spark = edges.sparkSession
-    pairs = cut(edges.where("u != v").select("u", "v").union(edges.where("u != v").select("v", "u")).distinct())
-    labels = cut(pairs.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")))
-    for _ in range(rounds):
-        near = pairs.join(labels.select(F.col("node").alias("u"), "label"), "u").groupBy(F.col("v").alias("node")).agg(F.min("label").alias("seen"))
-        step = labels.join(near, "node").select("node", "label", F.least("label", "seen").alias("new"))
-        to = labels.select(F.col("node").alias("new"), F.col("label").alias("jump"))
-        new = cut(step.join(to, "new", "left").select("node", F.least("new", "jump").alias("label"), (F.least("new", "jump") != F.col("label")).alias("moved")))
-        drop_cut(spark, labels)
-        labels = new.select("node", "label")
-        if new.where("moved").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    left = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    labels = cut(left.select(F.explode(F.array("u", "v")).alias("node")).distinct().select("node", F.col("node").alias("label")))
+    while not left.isEmpty():
+        roots = _roots(cut(left.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))))
+        new_labels = cut(labels.join(roots.select(F.col("node").alias("label"), "root"), "label", "left").select("node", F.coalesce("root", "label").alias("label")))
+        one = left.join(roots.withColumnRenamed("node", "u").withColumnRenamed("root", "ru"), "u")
+        two = one.join(roots.withColumnRenamed("node", "v").withColumnRenamed("root", "rv"), "v", "left").select("ru", F.coalesce("rv", "v").alias("rv"))
+        new_left = cut(two.where("ru != rv").select(F.greatest("ru", "rv").alias("u"), F.least("ru", "rv").alias("v")).distinct())
+        drop_cut(spark, left, labels, roots)
+        left, labels = new_left, new_labels
+    return labels
