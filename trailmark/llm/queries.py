@@ -4,11 +4,21 @@ from __future__ import annotations
 
 from .op1_suffix_dedup import op1_suffix_dedup
 from .op2_near_dedup import op2_near_dedup
+from .op3_chat import OP3_SQL, op3_chat
+from .op4_langid import op4_langid
+from .op5_sharding import op5_sharding
+from .op6_mixing import op6_mixing
 from .op8_countmin_dedup import op8_countmin_dedup
+from .op9_url_filter import op9_url_filter
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_near_dedup": op2_near_dedup,
+    "op3_chat": op3_chat,
+    "op4_langid": op4_langid,
+    "op5_sharding": op5_sharding,
+    "op6_mixing": op6_mixing,
     "op8_countmin_dedup": op8_countmin_dedup,
+    "op9_url_filter": op9_url_filter,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_chat": OP3_SQL}
