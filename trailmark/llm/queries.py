@@ -8,6 +8,7 @@ from .op3_chat import OP3_SQL, op3_chat
 from .op4_langid import op4_langid
 from .op5_sharding import op5_sharding
 from .op6_mixing import op6_mixing
+from .op7_quality import OP7_SQL, op7_quality
 from .op8_countmin_dedup import op8_countmin_dedup
 from .op9_url_filter import op9_url_filter
 
@@ -18,7 +19,8 @@ QUERIES = {
     "op4_langid": op4_langid,
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,
+    "op7_quality": op7_quality,
     "op8_countmin_dedup": op8_countmin_dedup,
     "op9_url_filter": op9_url_filter,
 }
-SQL: dict[str, str] = {"op3_chat": OP3_SQL}
+SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op7_quality": OP7_SQL}
