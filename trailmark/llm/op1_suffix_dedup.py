@@ -28,11 +28,11 @@ from . import vec
 from .common import parts, table, text_key
 from .suffix import permuted_lcp, suffix_array
 
-GRAM = 64
+GRAM = 160
 
 
 def _contexts(buf: np.ndarray, offs: np.ndarray, m: int, gram: int):
-    """Runs of window starts by minimiser: document, start, count, minimiser hash, hashes of the covered bytes."""
+    """Runs of window starts by minimiser: document, start, count, minimiser hash, hash of the covered bytes."""
     w = m - gram + 1
     roll = vec.Rolling(buf, _POW)
     least = vec.sliding_argmin(roll.grams(gram), w)
@@ -50,29 +50,52 @@ def _contexts(buf: np.ndarray, offs: np.ndarray, m: int, gram: int):
     first, n = first[keep], n[keep]
     at = least[first] if len(first) else first
     anchor = roll.of(at, at + gram)
-    second = vec.Rolling(buf, _POW2)
     end = first + n - 1 + m
     doc = np.searchsorted(offs, first, side="right") - 1
-    return doc, first - offs[doc], n, anchor, roll.of(first, end), second.of(first, end)
+    return doc, first - offs[doc], n, anchor, vec.Rolling(buf, _POW2).of(first, end)
 
 
 _POW, _POW2 = vec.Powers(vec.BASE), vec.Powers(vec.BASE2)
-_CONTEXT = "c1 long, c2 long, anchor long, key binary, start int, n int"
+_CONTEXT = "anchor long, bytes long, key binary, start int, n int"
 
 
 def _find(m: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offs in vec.slices(batches, "text"):
-            doc, start, n, anchor, c1, c2 = _contexts(buf, offs, m, gram)
+            doc, start, n, anchor, c = _contexts(buf, offs, m, gram)
             if len(doc):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(anchor.view(np.int64)), part.column("key").take(pa.array(doc)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["c1", "c2", "anchor", "key", "start", "n"],
+                    [pa.array(anchor.view(np.int64)), pa.array(c.view(np.int64)), part.column("key").take(pa.array(doc)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
+                    names=["anchor", "bytes", "key", "start", "n"],
                 )
+        vec.release()
 
     return run
 
 
+def _sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of whole minimiser groups: contexts that occur twice as hits, and, where some context is the only one of its kind, one of each kind to compare.
+
+    A group of several contexts that all occur twice is settled by its counts.
+    """
+    for t in vec.whole_groups(batches, "anchor"):
+        anchor, kind = t.column("anchor").to_numpy(), t.column("bytes").to_numpy()
+        order = np.lexsort((kind, anchor))
+        a, k = anchor[order], kind[order]
+        group = np.append(True, a[1:] != a[:-1])
+        fresh = group | np.append(True, k[1:] != k[:-1])
+        which = np.cumsum(fresh) - 1
+        times = np.bincount(which)
+        head = np.flatnonzero(fresh)
+        of = np.cumsum(group)[head] - 1
+        kinds, lone = np.bincount(of), np.bincount(of, weights=times == 1)
+        hits, ask = order[times[which] > 1], order[head[((kinds > 1) & (lone > 0))[of]]]
+        rows = pa.array(np.concatenate((hits, ask)))
+        yield pa.RecordBatch.from_arrays(
+            [*(t.column(c).chunk(0).take(rows) for c in ("key", "anchor", "start", "n")), pa.array(np.append(np.zeros(len(hits), np.int32), kinds[of][((kinds > 1) & (lone > 0))[of]].astype(np.int32)))], names=["key", "anchor", "start", "n", "contexts"]
+        )
+
+
 def _take_bytes(m: int):
     """Cut the listed contexts out of each text."""
 
@@ -141,6 +164,7 @@ def _shards(m: int, limit: int):
                 last = anchors[i]
         if held:
             yield from flush(held)
+        vec.release()
 
     return run
 
@@ -190,6 +214,7 @@ def _apply(m: int):
                 digest.append(hashlib.sha256(left).hexdigest())
                 kept.append(left)
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.diff(offs)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())], names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        vec.release()
 
     return run
 
@@ -198,7 +223,7 @@ def _key(text: Column) -> Column:
     return F.substring(text_key(text), 1, 16).alias("key")
 
 
-def suffix_dedup(docs: DataFrame, text: str = "text", min_bytes: int = 400, gram: int = GRAM, shard_bytes: int = 1 << 20, hot_contexts: int = 2000) -> DataFrame:
+def suffix_dedup(docs: DataFrame, text: str = "text", min_bytes: int = 400, gram: int = GRAM, shard_bytes: int = 1 << 20, hot_contexts: int = 2000, hot_rows: int = 50_000) -> DataFrame:
     """Remaining bytes of every different text of ``docs``.
 
     Every byte covered by a string of ``min_bytes`` bytes that also starts
@@ -211,18 +236,23 @@ def suffix_dedup(docs: DataFrame, text: str = "text", min_bytes: int = 400, gram
     """
     one = F.coalesce(F.col(text).cast("string"), F.lit(""))
     texts = docs.select(_key(one), one.alias("text")).groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    found = texts.mapInArrow(_find(min_bytes, gram), _CONTEXT)
-    classes = found.groupBy("c1", "c2").agg(F.min(F.struct("key", "start", "n", "anchor")).alias("one"), F.count(F.lit(1)).alias("times")).select("c1", "c2", "one.*", "times")
-    whole = found.join(classes.where("times > 1").select("c1", "c2"), ["c1", "c2"], "left_semi").select("key", "start", "n")
-    # A class of several contexts is settled by its count; bytes are compared where some context is the only one of its kind.
-    varied = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"), F.min("times").alias("least")).where("contexts > 1 and least = 1")
-    compared = classes.join(varied, "anchor").select("anchor", "key", "start", "n", "contexts")
+    n = parts(docs)
+    found = texts.mapInArrow(_find(min_bytes, gram), _CONTEXT).repartition(n, "anchor")
+    often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > hot_rows).select("anchor")
+    sorted_out = found.join(often, "anchor", "left_anti").sortWithinPartitions("anchor").mapInArrow(_sort_out, "key binary, anchor long, start int, n int, contexts int")
+    # A minimiser of very many rows is counted with partial sums, not gathered.
+    crowd = found.join(often, "anchor", "left_semi")
+    kinds = crowd.groupBy("anchor", "bytes").agg(F.min(F.struct("key", "start", "n")).alias("one"), F.count(F.lit(1)).alias("times"))
+    copied = crowd.join(kinds.where("times > 1").select("anchor", "bytes"), ["anchor", "bytes"], "left_semi").select("key", "start", "n")
+    lone = kinds.groupBy("anchor").agg(F.count(F.lit(1)).cast("int").alias("contexts"), F.min("times").alias("least")).where("contexts > 1 and least = 1")
+    asked = kinds.join(lone, "anchor").select("one.key", "anchor", "one.start", "one.n", "contexts")
+    whole = sorted_out.where("contexts = 0").select("key", "start", "n").unionByName(copied)
+    compared = sorted_out.where("contexts > 0").unionByName(asked)
 
     def bytes_of(some: DataFrame) -> DataFrame:
         need = some.groupBy("key").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("need"))
         return texts.join(need, "key").mapInArrow(_take_bytes(min_bytes), "anchor long, key binary, start int, n int, data binary")
 
-    n = parts(docs)
     sharded = bytes_of(compared.where(F.col("contexts") <= hot_contexts)).repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_shards(min_bytes, shard_bytes), "key binary, start int, n int")
     windows = bytes_of(compared.where(F.col("contexts") > hot_contexts)).mapInArrow(_hash_windows(min_bytes), "w1 long, w2 long, key binary, start int")
     twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("times")).where("times > 1")

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -163,3 +165,33 @@ def marked(start: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
     np.add.at(d, start, 1)
     np.add.at(d, start + length, -1)
     return np.cumsum(d[:n]) > 0
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker that waits between tasks would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, limit: int = 50_000) -> Iterator[pa.Table]:
+    """Tables of about ``limit`` rows of batches sorted by ``key``, a whole number of groups each."""
+    held, rows = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < limit:
+            continue
+        t = pa.Table.from_batches(held)
+        values = t.column(key).to_numpy()
+        cut = int(np.searchsorted(values, values[-1]))
+        if cut:
+            yield t.slice(0, cut).combine_chunks()
+            held, rows = t.slice(cut).to_batches(), len(values) - cut
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+    release()
