@@ -93,11 +93,11 @@ def _sketch(size: int, gram: int, cells: int):
 
 def _merge(hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Add the sketches of a block, which follow one another: a bit for each cell that reaches two, and packed bits for those that reach ``hot``."""
+        """Add the sketches of a block, which follow one another: packed bits for the cells that reach two, and for those that reach ``hot``."""
         block, count = None, None
 
         def bits() -> pa.RecordBatch:
-            data = [np.packbits(count > 1).tobytes(), zlib.compress(np.packbits(count >= hot).tobytes(), 1)]
+            data = [zlib.compress(np.packbits(count >= k).tobytes(), 1) for k in (2, hot)]
             return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array(data[:1]), pa.array(data[1:])], names=["block", "twice", "hot"])
 
         for batch in batches:
@@ -137,7 +137,7 @@ def _candidates(size: int, gram: int, cells: int, sent):
             two, hot = np.zeros((2, cells // 8), np.uint8)
             for block, a, b in sent.value:
                 place = slice(block * (BLOCK // 8), (block + 1) * (BLOCK // 8))
-                two[place] = np.frombuffer(a, np.uint8)
+                two[place] = np.frombuffer(zlib.decompress(a), np.uint8)
                 hot[place] = np.frombuffer(zlib.decompress(b), np.uint8)
             bits.extend((two, hot))
         for part, buf, offs in vec.slices(batches, "text"):
@@ -172,7 +172,6 @@ def _candidates(size: int, gram: int, cells: int, sent):
 
 def _later(rows: pa.Table) -> pa.RecordBatch:
     """Of whole minimiser groups, each run's windows that start in a document with a smaller id, as bits."""
-    rows = rows.combine_chunks()
     lists = rows.column("windows").chunk(0)
     cut = lists.offsets.to_numpy().astype(np.int64)
     n = np.diff(cut)
@@ -191,28 +190,9 @@ def _later(rows: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([rows.column("key").chunk(0).take(pa.array(keep)), rows.column("at").chunk(0).take(pa.array(keep)), pa.array(mask[keep].astype(np.int32))], names=["key", "at", "mask"])
 
 
-def _groups(limit: int = 50_000):
-    """``_later`` over rows sorted by minimiser, some tens of thousands at a time and never part of a group."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            rows += batch.num_rows
-            if rows < limit:
-                continue
-            t = pa.Table.from_batches(held)
-            anchor = t.column("anchor").to_numpy()
-            cut = int(np.searchsorted(anchor, anchor[-1]))
-            if cut:
-                yield _later(t.slice(0, cut))
-                held, rows = t.slice(cut).to_batches(), len(anchor) - cut
-        if rows:
-            yield _later(pa.Table.from_batches(held))
-
-    return run
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in vec.whole_groups(batches, "anchor"):
+        yield _later(rows)
 
 
 def _apply(size: int):
@@ -267,7 +247,7 @@ def window_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", si
     sent = spark.sparkContext.broadcast([tuple(r) for r in sketch_bits(raw, size, gram, cells, hot)])
     found = texts.mapInArrow(_candidates(size, gram, cells, sent), _FOUND)
     n = parts(docs)
-    usual = found.where("not hot").repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_groups(), "key binary, at int, mask int")
+    usual = found.where("not hot").repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_groups, "key binary, at int, mask int")
     spread = found.where("hot").select("anchor", "doc_id", "key", "at", F.posexplode("windows").alias("place", "window"))
     least = spread.groupBy("anchor", "window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     busy = spread.join(least, ["anchor", "window"]).where("doc_id > least").select("key", (F.col("at") + F.col("place")).alias("at"), F.lit(1).alias("mask"))
