@@ -165,7 +165,7 @@ def _families(similarity: float):
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 4, weighted: bool = False, family_limit: int = 5000) -> DataFrame:
-    """``doc_id, class_id, n_shingles, class_size`` for every row of ``docs``.
+    """``doc_id, th, class_id, n_shingles, class_size, first`` for every row of ``docs``.
 
     Two texts are linked where the Jaccard similarity of their sets of
     ``shingle`` words is ``similarity`` or more (``weighted``: of their counts); a
@@ -173,7 +173,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     the same shingles are always one class. A text of one to ``shingle - 1``
     words is one shingle. A text without words, or null, is a class by itself:
     its ``class_id`` is its own ``doc_id``. Null ids sort first. Several rows
-    with one id each get their class. An empty table gives no rows.
+    with one id each get their class. ``th`` is the hash of the text; ``first``
+    marks the rows of the class's least id and, among its texts, least hash. An
+    empty table gives no rows.
     """
     none = -(2**63)
     one = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -196,18 +198,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     links = found.where("c1 != k1 or c2 != k2").select(node, F.struct(F.col("c1").alias("k1"), F.col("c2").alias("k2")).alias("label"))
     if not found.where("block like '%-%'").isEmpty():
         links = components(links.select(F.col("node").alias("u"), F.col("label").alias("v")))
-    classes = reps.select(node, "rep.rid", "copies").join(links, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = classes.groupBy("label").agg(F.min("rid").alias("class_id"), F.sum("copies").alias("class_size"))
-    by_set = classes.join(least, "label").select("node.k1", "node.k2", "class_id", "class_size")
+    classes = reps.select(node, "rep", "copies").join(links, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = classes.groupBy("label").agg(F.min("rep").alias("head"), F.sum("copies").alias("class_size"))
+    by_set = classes.join(least, "label").select("node.k1", "node.k2", "head", "class_size")
     seen = F.when(F.col("rid") != none, F.col("rid"))
+    head = F.when(F.col("head.rid") != none, F.col("head.rid"))
     return (
         signed.where("shingles > 0")
         .join(by_set, ["k1", "k2"])
-        .select(seen.alias("doc_id"), F.when(F.col("class_id") != none, F.col("class_id")).alias("class_id"), F.col("shingles").alias("n_shingles"), "class_size")
-        .union(signed.where("shingles = 0").select(seen, seen, F.lit(0).cast("long"), F.lit(1).cast("long")))
+        .select(seen.alias("doc_id"), "th", head.alias("class_id"), F.col("shingles").alias("n_shingles"), "class_size", ((F.col("head.rid") == F.col("rid")) & (F.col("head.th") == F.col("th"))).alias("first"))
+        .union(signed.where("shingles = 0").select(seen, "th", seen, F.lit(0).cast("long"), F.lit(1).cast("long"), F.lit(True)))
     )
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the class of its near duplicates."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("th", "first")

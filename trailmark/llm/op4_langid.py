@@ -57,7 +57,7 @@ def learn(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, dict_bytes: int
     return {k: bytes(v[:dict_bytes]) for k, v in out.items()}
 
 
-def _predict(dicts: dict[str, bytes], margin: float):
+def _predict(dicts: dict[str, bytes], margin: float, keep_text: bool):
     names = list(dicts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +68,7 @@ def _predict(dicts: dict[str, bytes], margin: float):
             words.precompute_compress(compression_params=params)
             coders.append(zstandard.ZstdCompressor(dict_data=words, compression_params=params))
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("__text").to_pylist()
             lang, score, reject = [], [], []
             for t in texts:
                 if not names or t is None or not _LETTER.search(t):
@@ -84,14 +84,14 @@ def _predict(dicts: dict[str, bytes], margin: float):
                 lang.append(names[best])
                 score.append(float(gap))
                 reject.append(len(rest) > 0 and gap < margin)
-            keep = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "text"]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(reject, pa.bool_())], names=[*(n for n in batch.schema.names if n != "text"), "lang_pred", "score", "rejected"])
+            names_ = [n for n in batch.schema.names if keep_text or n != "__text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names_), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(reject, pa.bool_())], names=[*names_, "lang_pred", "score", "rejected"])
 
     return run
 
 
-def identify(docs: DataFrame, dicts: dict[str, bytes], text: str = "text", margin: float = MARGIN) -> DataFrame:
-    """Every column of ``docs`` but the text, with lang_pred, score and rejected.
+def identify(docs: DataFrame, dicts: dict[str, bytes], text: str = "text", margin: float = MARGIN, keep_text: bool = False) -> DataFrame:
+    """Every column of ``docs``, the text only if ``keep_text``, with lang_pred, score and rejected.
 
     The score is the runner-up's size less the smallest, as a share of the
     runner-up's; under ``margin`` the row is rejected. Equal sizes go to the first
@@ -101,9 +101,11 @@ def identify(docs: DataFrame, dicts: dict[str, bytes], text: str = "text", margi
     """
     clash = {"lang_pred", "score", "rejected"}
     kept = [c for c in docs.columns if c not in clash and c != text]
-    given = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).cast("string").alias("text"))
-    fields = ", ".join(f"`{c}` {t}" for c, t in given.drop("text").dtypes)
-    return given.mapInArrow(_predict(dicts, margin), f"{fields + ', ' if fields else ''}lang_pred string, score double, rejected boolean")
+    given = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).cast("string").alias("__text"))
+    out = given if keep_text else given.drop("__text")
+    fields = ", ".join(f"`{c}` {t}" for c, t in out.dtypes)
+    found = given.mapInArrow(_predict(dicts, margin, keep_text), f"{fields + ', ' if fields else ''}lang_pred string, score double, rejected boolean")
+    return found.withColumnRenamed("__text", text)
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

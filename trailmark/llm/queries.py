@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .op1_suffix_dedup import op1_suffix_dedup
+from .op10_decontaminate import op10_decontaminate
 from .op2_near_dedup import op2_near_dedup
 from .op3_chat import OP3_SQL, op3_chat
 from .op4_langid import op4_langid
@@ -22,5 +23,6 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_countmin_dedup": op8_countmin_dedup,
     "op9_url_filter": op9_url_filter,
+    "op10_decontaminate": op10_decontaminate,
 }
 SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op7_quality": OP7_SQL}
