@@ -1,0 +1,15 @@
+"""Registered queries by theme; ``all_queries`` and ``all_sql`` gather them."""
+
+from __future__ import annotations
+
+
+def all_queries() -> dict:
+    from . import relational, series, spatial
+
+    return {**series.QUERIES, **relational.QUERIES, **spatial.QUERIES}
+
+
+def all_sql() -> dict[str, str]:
+    from . import relational, series, spatial
+
+    return {**series.SQL, **relational.SQL, **spatial.SQL}
