@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import parts, table, text_key
+from .common import cut, drop_cut, parts, table, text_key
 from .suffix import permuted_lcp, suffix_array
 
 GRAM = 160
@@ -237,17 +237,20 @@ def suffix_dedup(docs: DataFrame, text: str = "text", min_bytes: int = 400, gram
     one = F.coalesce(F.col(text).cast("string"), F.lit(""))
     texts = docs.select(_key(one), one.alias("text")).groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     n = parts(docs)
-    found = texts.mapInArrow(_find(min_bytes, gram), _CONTEXT).repartition(n, "anchor")
-    often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > hot_rows).select("anchor")
-    sorted_out = found.join(often, "anchor", "left_anti").sortWithinPartitions("anchor").mapInArrow(_sort_out, "key binary, anchor long, start int, n int, contexts int")
-    # A minimiser of very many rows is counted with partial sums, not gathered.
+    found = cut(texts.mapInArrow(_find(min_bytes, gram), _CONTEXT))
+    # A minimiser of very many rows, told by one row in 64, is counted with partial sums, not gathered; which way it goes changes no result.
+    often = found.where(F.pmod(F.xxhash64("key", "start"), F.lit(64)) == 0).groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") * 64 > hot_rows).select("anchor")
+    often = cut(often)
+    sorted_out = found.join(often, "anchor", "left_anti").repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_sort_out, "key binary, anchor long, start int, n int, contexts int")
     crowd = found.join(often, "anchor", "left_semi")
     kinds = crowd.groupBy("anchor", "bytes").agg(F.min(F.struct("key", "start", "n")).alias("one"), F.count(F.lit(1)).alias("times"))
-    copied = crowd.join(kinds.where("times > 1").select("anchor", "bytes"), ["anchor", "bytes"], "left_semi").select("key", "start", "n")
+    copied = crowd.join(kinds.where("times > 1").select("anchor", "bytes"), ["anchor", "bytes"], "left_semi").select("key", "anchor", "start", "n", F.lit(0).alias("contexts"))
     lone = kinds.groupBy("anchor").agg(F.count(F.lit(1)).cast("int").alias("contexts"), F.min("times").alias("least")).where("contexts > 1 and least = 1")
     asked = kinds.join(lone, "anchor").select("one.key", "anchor", "one.start", "one.n", "contexts")
-    whole = sorted_out.where("contexts = 0").select("key", "start", "n").unionByName(copied)
-    compared = sorted_out.where("contexts > 0").unionByName(asked)
+    settled = cut(sorted_out.unionByName(copied).unionByName(asked))
+    drop_cut(docs.sparkSession, found)
+    whole = settled.where("contexts = 0").select("key", "start", "n")
+    compared = settled.where("contexts > 0")
 
     def bytes_of(some: DataFrame) -> DataFrame:
         need = some.groupBy("key").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("need"))
