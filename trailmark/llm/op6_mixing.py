@@ -116,16 +116,16 @@ def pivotal(rows: DataFrame, seed: int = 7, block: int = BLOCK) -> DataFrame:
     return settled.unionByName(finished(top)).unionByName(top.where("open is not null").select("group", "open.id", last.alias("copy")))
 
 
-def _numbered(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """Rows of one id and text told apart by their number among equals, in ``__k``."""
+def _numbered(docs: DataFrame, text: str, doc_id: str, source: str) -> DataFrame:
+    """Rows of one id and text told apart by their number among equals, by source, in ``__k``."""
     rows = docs.withColumns({"__d": F.col(doc_id).cast("string"), "__t": F.xxhash64(F.col(text).cast("string"))})
-    return rows.withColumn("__k", F.row_number().over(Window.partitionBy("__d", "__t").orderBy("__t")))
+    return rows.withColumn("__k", F.row_number().over(Window.partitionBy("__d", "__t").orderBy(F.col(source).cast("string").asc_nulls_first())))
 
 
 def decide(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", cap: float = CAP, seed: int = 7) -> DataFrame:
     """What the mix takes of every row, without its text: doc_id, source, size, source_size, target, copies, taken, and the row's ``__d, __t, __k``."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
-    rows = _numbered(slim.withColumn("size", word_count(F.col("text"))), "text", "doc_id").drop("text")
+    rows = _numbered(slim.withColumn("size", word_count(F.col("text"))), "text", "doc_id", "source").drop("text")
     rows = cut(rows.withColumns({"group": F.xxhash64(F.lit(1), F.col("source")), "id": F.xxhash64(F.lit(seed), "__d", "__t", "__k")}))
     plan = targets(rows.groupBy("group", "source").agg(F.sum("size").alias("source_size")), cap)
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(cap))).otherwise(0.0)
@@ -145,7 +145,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     names of the results are replaced; an empty table gives no rows.
     """
     new = ["size", "source_size", "target", "copies", "taken"]
-    rows = _numbered(docs.select(*[c for c in docs.columns if c not in new]), text, doc_id)
+    rows = _numbered(docs.select(*[c for c in docs.columns if c not in new]), text, doc_id, source)
     got = decide(docs, text, source, doc_id, cap, seed).drop("doc_id", "source").withColumnRenamed("__d", "__e")
     return rows.join(got, rows["__d"].eqNullSafe(got["__e"]) & (rows["__t"] == got["__t"]) & (rows["__k"] == got["__k"])).select(*[rows[c] for c in rows.columns if not c.startswith("__")], *new)
 

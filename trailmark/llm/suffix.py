@@ -140,11 +140,12 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     return induce(t, k, ranked)
 
 
-def permuted_lcp(t: np.ndarray, sa: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each suffix its predecessor in the array (-1: none) and the length, up to ``cap``, of their common prefix.
+def permuted_lcp(t: np.ndarray, sa: np.ndarray, usual: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix its predecessor in the array (-1: none) and the length of their common prefix.
 
     Where the symbols before both agree, the length is one less than that of the
-    suffix one to the left; only the others are computed, by halving on hashes.
+    suffix one to the left; only the others are computed, by halving on hashes:
+    lengths around ``usual`` first, the few beyond from the whole string on.
     """
     n = len(t)
     phi = np.full(n, -1, np.int64)
@@ -157,18 +158,20 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray, cap: int) -> tuple[np.ndarray, n
     other = phi[base]
     rolling = Rolling(t, _P1)
     most = np.where(other < 0, 0, np.minimum(n - np.maximum(base, other), n))
-    low, step = np.zeros(len(base), np.int64), 1
-    full = 2 * cap
-    while step < full:
-        step *= 2
-    while step:
-        probe = low + step
-        ok = np.flatnonzero(probe <= most)
-        if len(ok):
-            i, j, p = base[ok], other[ok], probe[ok]
+    low = np.zeros(len(base), np.int64)
+
+    def halve(which: np.ndarray, step: int) -> None:
+        while step:
+            ok = which[low[which] + step <= most[which]]
+            i, j, p = base[ok], other[ok], low[ok] + step
             same = rolling.raw(i, i + p) == rolling.raw(j, j + p)
             low[ok[same]] = p[same]
-        step //= 2
+            step //= 2
+
+    near = 1 << (2 * usual).bit_length()
+    halve(np.arange(len(base)), near)
+    far = np.flatnonzero(low == 2 * near - 1)
+    if len(far):
+        halve(far, 1 << n.bit_length())
     last = np.maximum.accumulate(np.where(keep, np.cumsum(keep) - 1, -1))
-    # A length above what the halving reached is known only as "at least"; it still covers the cap.
-    return phi, np.maximum(low[last] - (at - base[last]), 0)
+    return phi, low[last] - (at - base[last])
