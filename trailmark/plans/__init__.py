@@ -4,12 +4,12 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from . import relational, series, spatial
+    from . import derived, relational, series, spatial
 
-    return {**series.QUERIES, **relational.QUERIES, **spatial.QUERIES}
+    return {**series.QUERIES, **relational.QUERIES, **spatial.QUERIES, **derived.QUERIES}
 
 
 def all_sql() -> dict[str, str]:
-    from . import relational, series, spatial
+    from . import derived, relational, series, spatial
 
-    return {**series.SQL, **relational.SQL, **spatial.SQL}
+    return {**series.SQL, **relational.SQL, **spatial.SQL, **derived.SQL}

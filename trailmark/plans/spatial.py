@@ -117,10 +117,10 @@ def fingerprint_distance_capped(spark, d):
     return P.distances_capped(q, m, ["site"], ["fn", "day"]).withColumn("distance", R("distance", 5))
 
 
-@query(FP + ", nq AS (SELECT site, fn, day, count(*) AS nq FROM q GROUP BY ALL), nm AS (SELECT site, pos, count(*) AS nm FROM m GROUP BY ALL), bo AS (SELECT q.site, fn, day, pos, sum((rq - rm) ** 2 / 100) AS d, count(*) AS n FROM q JOIN m USING (site, k) GROUP BY ALL) SELECT site, fn, day, pos, round((coalesce(d, 0) + nq + nm - 2 * coalesce(n, 0)) / (nq + nm - coalesce(n, 0)), 10) AS distance FROM nq JOIN nm USING (site) LEFT JOIN bo USING (site, fn, day, pos)")
+@query(FP + ", nq AS (SELECT site, fn, day, count(*) AS nq FROM q GROUP BY ALL), nm AS (SELECT site, pos, count(*) AS nm FROM m GROUP BY ALL), bo AS (SELECT q.site, fn, day, pos, sum((rq - rm) ** 2 / 100) AS d, count(*) AS n FROM q JOIN m USING (site, k) GROUP BY ALL) SELECT site, fn, day, pos, round((coalesce(d, 0) + nq + nm - 2 * coalesce(n, 0)) / (nq + nm - coalesce(n, 0)) + 1e-9, 7) AS distance FROM nq JOIN nm USING (site) LEFT JOIN bo USING (site, fn, day, pos)")
 def fingerprint_distance_squared(spark, d):
     q, m, _ = _fingerprint(spark, d)
-    return P.distances_squared(q, m, ["site"], ["fn", "day"]).withColumn("distance", R("distance", 10))
+    return P.distances_squared(q, m, ["site"], ["fn", "day"]).withColumn("distance", R(F.col("distance") + 1e-9, 7))
 
 
 @query(f"WITH {PT} SELECT id, round(x / 10) * 10 AS gx, floor(y / 10 + 0.5) * 10 AS gy FROM p")
