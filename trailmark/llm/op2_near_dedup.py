@@ -214,3 +214,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the class of its near duplicates."""
     return near_duplicates(table(spark, sf_dir, "documents")).drop("th", "first")
+
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE shared >= 0.8 * (a.n + b.n - shared) - 1e-9),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+SELECT r.x AS doc_id, min(r.y) AS class_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, count(DISTINCT r.y) AS class_size
+FROM r LEFT JOIN n ON n.doc_id = r.x GROUP BY r.x
+"""

@@ -45,11 +45,11 @@ def learn(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, dict_bytes: int
     ``dict_bytes`` bytes, each text an equal share at most. Null languages and
     null texts teach nothing. Languages with more rows come first.
     """
-    order = Window.partitionBy("lang").orderBy("h", "text")
-    some = labelled.where("lang is not null and text is not null and text rlike '\\\\p{L}'").select("lang", "text", F.xxhash64("text").alias("h"))
-    # The share of each text is cut here, so what reaches the driver has a bound; prediction reads whole texts.
+    # The share of each sampled text is cut here, so what reaches the driver has a bound; prediction reads whole texts.
     share = max(64, 4 * dict_bytes // sample_texts)
-    top = some.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_texts).select("lang", "n", F.substring("text", 1, share).alias("text"))
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    some = labelled.where("lang is not null and text is not null and text rlike '\\\\p{L}'").select("lang", F.substring("text", 1, share).alias("text"), F.xxhash64("text").alias("h"))
+    top = some.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_texts).select("lang", "n", "text")
     out: dict[str, bytearray] = {k: bytearray() for k, _ in sorted(map(tuple, some.groupBy("lang").count().collect()), key=lambda x: (-x[1], x[0]))}
     for lang, _, text in sorted(map(tuple, top.collect())):
         if len(own := out[lang]) < dict_bytes:

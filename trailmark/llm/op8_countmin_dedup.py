@@ -275,3 +275,14 @@ def window_dedup_rows(docs: DataFrame, size: int = 13, **options) -> DataFrame:
         F.when(copy, F.sha2(F.lit(b""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
         F.when(copy, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
     )
+
+
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+v AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(list_slice(ws, i, i + 12), ' ')) AS first_id FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM v WHERE first_id < doc_id),
+word AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS k, unnest(ws) AS x FROM w)
+SELECT w.doc_id, any_value(len(w.ws)) AS n_words, count(gone.k) AS n_removed,
+  sha256(coalesce(string_agg(word.x, ' ' ORDER BY word.k) FILTER (gone.k IS NULL), '')) AS kept_sha256
+FROM w LEFT JOIN word ON word.doc_id = w.doc_id LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.k = word.k GROUP BY w.doc_id
+"""

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from .op1_suffix_dedup import op1_suffix_dedup
 from .op10_decontaminate import op10_decontaminate
-from .op2_near_dedup import op2_near_dedup
+from .op2_near_dedup import OP2_SQL, op2_near_dedup
 from .op3_chat import OP3_SQL, op3_chat
 from .op4_langid import op4_langid
 from .op5_sharding import op5_sharding
 from .op6_mixing import op6_mixing
 from .op7_quality import OP7_SQL, op7_quality
-from .op8_countmin_dedup import op8_countmin_dedup
+from .op8_countmin_dedup import OP8_SQL, op8_countmin_dedup
 from .op9_url_filter import op9_url_filter
 
 QUERIES = {
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
 }
-SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op7_quality": OP7_SQL}
+SQL: dict[str, str] = {"op2_near_dedup": OP2_SQL, "op3_chat": OP3_SQL, "op7_quality": OP7_SQL, "op8_countmin_dedup": OP8_SQL}
