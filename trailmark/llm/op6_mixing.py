@@ -105,7 +105,8 @@ def pivotal(rows: DataFrame, seed: int = 7, block: int = BLOCK) -> DataFrame:
             break
         spread = left.join(counts, "group").withColumn("slot", F.pmod(F.xxhash64(F.lit(seed + level), "id"), F.col("blocks")))
         n = Window.partitionBy("group", "slot").orderBy("id")
-        spread = spread.where("blocks > 1").withColumn("part", F.floor((F.row_number().over(n) - 1) / (4 * block)))
+        # Else the join's partitioning by group alone would do, and a large source would be one task.
+        spread = spread.where("blocks > 1").repartition("group", "slot").withColumn("part", F.floor((F.row_number().over(n) - 1) / (4 * block)))
         done = fold(spread, ["group", "slot", "part"], seed + level)
         settled = settled.unionByName(finished(done))
         few = left.join(counts.where("blocks <= 1").select("group"), "group", "left_semi")
