@@ -49,8 +49,15 @@ def learn(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, dict_bytes: int
     share = max(64, 4 * dict_bytes // sample_texts)
     order = Window.partitionBy("lang").orderBy("h", "text")
     some = labelled.where("lang is not null and text is not null and text rlike '\\\\p{L}'").select("lang", F.substring("text", 1, share).alias("text"), F.xxhash64("text").alias("h"))
-    top = some.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_texts).select("lang", "n", "text")
-    out: dict[str, bytearray] = {k: bytearray() for k, _ in sorted(map(tuple, some.groupBy("lang").count().collect()), key=lambda x: (-x[1], x[0]))}
+    rows = sorted(map(tuple, some.groupBy("lang").count().collect()), key=lambda x: (-x[1], x[0]))
+    if not rows:
+        return {}
+    # Hashes below a limit by language leave a few times the sample, however many rows there are; copies of a text are one.
+    limit = {k: min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, 4 * sample_texts / n))) for k, n in rows}
+    most = F.create_map(*[F.lit(x) for kv in limit.items() for x in kv])
+    few = some.where(F.col("h") <= most[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    top = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_texts).select("lang", "n", "text")
+    out = {k: bytearray() for k, _ in rows}
     for lang, _, text in sorted(map(tuple, top.collect())):
         if len(own := out[lang]) < dict_bytes:
             own += letters(text)
