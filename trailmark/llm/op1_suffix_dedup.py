@@ -100,8 +100,7 @@ def _take_bytes(m: int):
     """Cut the listed contexts out of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, offs = vec.flat(batch.column("text"))
+        for batch, buf, offs in vec.slices(batches, "text"):
             got = batch.column("need")
             rows = np.repeat(np.arange(batch.num_rows), np.diff(got.offsets.to_numpy()))
             item = got.flatten()
@@ -159,6 +158,7 @@ def _shards(m: int, limit: int):
                 if size >= limit and anchors[i] != last:
                     yield from flush(held)
                     held, size = [], 0
+                    vec.release()
                 held.append(batch.slice(int(i), int(j - i)))
                 size += int(offs[j] - offs[i])
                 last = anchors[i]
@@ -185,12 +185,11 @@ def _hash_windows(m: int):
     return run
 
 
-def _apply(m: int):
+def _apply(m: int, keep: bool):
     """Cover the repeated starts of each text and digest what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, offs = vec.flat(batch.column("text"))
+        for batch, buf, offs in vec.slices(batches, "text"):
             copies = batch.column("copies").to_numpy()
             got = batch.column("hits")
             at = np.concatenate(([0], np.cumsum(np.nan_to_num(pa.compute.list_value_length(got).to_numpy(zero_copy_only=False)).astype(np.int64))))
@@ -212,8 +211,12 @@ def _apply(m: int):
                     removed.append(0)
                     spans.append(0)
                 digest.append(hashlib.sha256(left).hexdigest())
-                kept.append(left)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.diff(offs)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())], names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                if keep:
+                    kept.append(left)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), pa.array(np.diff(offs)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string()), *([pa.array(kept, pa.binary())] if keep else [])],
+                names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep else [])],
+            )
         vec.release()
 
     return run
@@ -223,7 +226,7 @@ def _key(text: Column) -> Column:
     return F.substring(text_key(text), 1, 16).alias("key")
 
 
-def suffix_dedup(docs: DataFrame, text: str = "text", min_bytes: int = 400, gram: int = GRAM, shard_bytes: int = 1 << 20, hot_contexts: int = 2000, hot_rows: int = 50_000) -> DataFrame:
+def suffix_dedup(docs: DataFrame, text: str = "text", min_bytes: int = 400, gram: int = GRAM, shard_bytes: int = 1 << 19, hot_contexts: int = 2000, hot_rows: int = 50_000, keep_bytes: bool = True) -> DataFrame:
     """Remaining bytes of every different text of ``docs``.
 
     Every byte covered by a string of ``min_bytes`` bytes that also starts
@@ -232,7 +235,8 @@ def suffix_dedup(docs: DataFrame, text: str = "text", min_bytes: int = 400, gram
     several rows share occur as often as they have rows. Null is the empty
     text, which is never changed; neither is a text shorter than ``min_bytes``.
     An empty table gives no rows. Returns key (128 bits of the text's SHA-256), n_bytes,
-    n_removed, n_spans, kept_sha256 and kept (the bytes).
+    n_removed, n_spans, kept_sha256 and, if
+    ``keep_bytes``, kept (the bytes).
     """
     one = F.coalesce(F.col(text).cast("string"), F.lit(""))
     texts = docs.select(_key(one), one.alias("text")).groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
@@ -261,11 +265,11 @@ def suffix_dedup(docs: DataFrame, text: str = "text", min_bytes: int = 400, gram
     twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     hot = windows.join(twice, ["w1", "w2"], "left_semi").select("key", "start", F.lit(1).alias("n"))
     hits = whole.unionByName(sharded).unionByName(hot).groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("hits"))
-    return texts.join(hits, "key", "left").select("key", "text", "copies", F.coalesce("hits", F.array().cast("array<struct<start:int,n:int>>")).alias("hits")).mapInArrow(_apply(min_bytes), "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return texts.join(hits, "key", "left").select("key", "text", "copies", F.coalesce("hits", F.array().cast("array<struct<start:int,n:int>>")).alias("hits")).mapInArrow(_apply(min_bytes, keep_bytes), "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with what the removal of its repeated 400-byte strings leaves."""
     docs = table(spark, sf_dir, "documents")
-    left = suffix_dedup(docs).drop("kept")
+    left = suffix_dedup(docs, keep_bytes=False)
     return docs.select("doc_id", _key(F.col("text").cast("string"))).join(left, "key", "left").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
