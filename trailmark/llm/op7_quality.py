@@ -121,8 +121,11 @@ def measure(texts: list[str | None], rules: list[Rule]) -> list[tuple[str, float
 
 def order_rules(docs: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Rules by rejections per cost, most first, from ``sample_rows`` texts of least hash; without texts as given."""
-    some = docs.select(F.col(text).cast("string").alias("text")).orderBy(F.xxhash64("text"), F.col("text")).limit(sample_rows)
-    texts = [r[0] for r in some.collect()]
+    n = docs.count()
+    # Hashes below a limit leave a few times the sample, so what tasks send does not grow with their number; copies of a text are one.
+    most = min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, 4 * sample_rows / max(n, 1))))
+    few = docs.select(F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text")).where(F.col("h") <= most)
+    texts = [r[1] for r in few.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(sample_rows).collect()]
     if not texts:
         return rules
     gain = {name: share / max(cost, 1e-15) for name, cost, share in measure(texts, rules)}
