@@ -163,25 +163,32 @@ def neighbour_distance_stats(spark, d):
     return k.groupBy("floor").agg(R(F.avg("distance")).alias("mean"), R(F.stddev_pop("distance")).alias("std"), R(F.median("distance")).alias("median"))
 
 
+def _site_orders(spark, d):
+    """All orders with their site: the nation and a block of 1000 customers, so a site does not grow with the table."""
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    o = read(spark, d, "orders").join(c, "o_custkey", "left")
+    return o.withColumn("site", F.concat_ws("_", "c_nationkey", F.floor(F.col("o_custkey") / 1000)))
+
+
 @query()
 def device_matching(spark, d):
-    """Customers' orders as trajectories of their nation, told apart by offsets made from the price."""
-    o = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    """Customers' orders as trajectories of their site, told apart by offsets made from the price."""
     sig = lambda k: F.array(*[F.round((F.col("o_custkey") % 7) * (i + 1) + (F.col("o_orderkey") % k) / 100.0, 3) for i in range(6)])
-    t = o.where("o_orderkey % 10 = 0").select(F.col("c_nationkey").alias("site"), F.col("o_orderkey").alias("trail"), X.millis(F.col("o_orderdate")).alias("time"), sig(3).alias("first"), sig(2).alias("last"))
+    t = _site_orders(spark, d).select("site", F.col("o_orderkey").alias("trail"), X.millis(F.col("o_orderdate")).alias("time"), sig(3).alias("first"), sig(2).alias("last"))
     return Z.match_devices(t, ["site"])
 
 
 @query()
 def chain_stitching(spark, d):
-    o = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).where("o_orderkey % 10 = 0")
     t = X.millis(F.col("o_orderdate"))
-    return Z.stitch_chains(o.select(F.col("c_nationkey").alias("site"), F.col("o_orderkey").alias("device"), t.alias("start"), (t + 3_600_000).alias("end"), F.lit(20.0).alias("step")), ["site"])
+    return Z.stitch_chains(_site_orders(spark, d).select("site", F.col("o_orderkey").alias("device"), t.alias("start"), (t + 3_600_000).alias("end"), F.lit(20.0).alias("step")), ["site"])
 
 
 @query()
 def greedy_holdout(spark, d):
-    li = read(spark, d, "lineitem").where("l_orderkey < 3000").select((F.col("l_orderkey") % 10).alias("floor"), F.col("l_orderkey").alias("trail"), F.col("l_suppkey").alias("anchor"), X.hash_unit(F.col("l_orderkey"), "h").alias("u"))
+    """Orders as trajectories, their suppliers as anchors; ten floors to a block of 10,000 order keys, so a floor does not grow with the table."""
+    floor = F.floor(F.col("l_orderkey") / 10_000) * 10 + F.col("l_orderkey") % 10
+    li = read(spark, d, "lineitem").select(floor.alias("floor"), F.col("l_orderkey").alias("trail"), F.col("l_suppkey").alias("anchor"), X.hash_unit(F.col("l_orderkey"), "h").alias("u"))
     return Z.greedy_holdout(li, ["floor"])
 
 
