@@ -219,6 +219,18 @@ def test_op4_awkward(spark):
     assert {r.lang_pred for r in op4.identify(df, {}).collect()} == {"und"}
 
 
+def test_op4_long_texts_count_to_their_end(spark):
+    rng = np.random.default_rng(5)
+    # Many words of a vocabulary without much repetition, as the dictionaries' share of a text is what counts.
+    vocab = {k: ["".join(rng.choice(list(abc), int(rng.integers(2, 9)))) for _ in range(3000)] for k, abc in {"aa": "abcdefghijkl", "bb": "ghijklmnopqr"}.items()}
+    say = lambda k, n: " ".join(rng.choice(vocab[k], n))
+    dicts = {k: say(k, 12_000).encode()[: op4.DICT_BYTES] for k in vocab}
+    one, two = say("aa", 400_000), say("aa", 60_000) + " " + say("bb", 400_000)
+    got = {r.id: r for r in op4.identify(spark.createDataFrame([(1, one), (2, two)], "id int, text string"), dicts).collect()}
+    assert got[1].lang_pred == "aa" and not got[1].rejected
+    assert got[2].lang_pred == "bb" and not got[2].rejected
+
+
 def test_op5_law(spark):
     rows = corpus(2, 300) + AWKWARD
     got = op5.shard_documents(frame(spark, rows), cells=16).collect()

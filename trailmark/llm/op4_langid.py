@@ -4,6 +4,8 @@ A text, lower-cased and with one space for whatever is not a letter, is encoded
 once with each language's zstandard dictionary (raw content:
 text of that language); the dictionary that makes it smallest names the
 language. Where the runner-up is nearly as small the answer is marked rejected.
+A long text is encoded in consecutive chunks, each from the dictionary anew, and
+the sizes are summed: so its end counts as its beginning does.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ DICT_BYTES = 64 << 10
 MARGIN = 0.002
 #: Small tables, as each text starts from a copy of them; greedy parsing tells languages apart better than the fast ones.
 CODER = {"window_log": 18, "hash_log": 14, "chain_log": 14, "search_log": 3, "min_match": 4, "strategy": zstandard.STRATEGY_GREEDY}
+#: Bytes encoded from one start of a dictionary; with the dictionary well under the window of 2^18.
+CHUNK = 16 << 10
 HELD_OUT = 2
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
@@ -84,7 +88,8 @@ def _predict(dicts: dict[str, bytes], margin: float, keep_text: bool):
                     reject.append(True)
                     continue
                 data = letters(t)
-                sizes = np.array([len(c.compress(data)) for c in coders])
+                chunks = [data[i : i + CHUNK] for i in range(0, len(data), CHUNK)]
+                sizes = np.array([sum(len(c.compress(x)) for x in chunks) for c in coders])
                 best = int(sizes.argmin())
                 rest = np.delete(sizes, best)
                 gap = (int(rest.min()) - int(sizes[best])) / int(rest.min()) if len(rest) else 1.0
