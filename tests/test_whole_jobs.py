@@ -88,3 +88,29 @@ def test_greedy_holdout_takes_every_line(spark, small):
                 taken += 1
     assert {tuple(r) for r in Q["greedy_holdout"](spark, at).select("floor", "trail", "anchors", "alone").collect()} == want
     assert any(k >= 3000 for _, k, _, _ in want)
+
+
+def test_unpivot_keeps_every_line(spark, tmp_path):
+    lines = [(k, 1, 7, 8, dt.datetime(2024, 1, 1), k / 2, 0.1, 0.2) for k in (1, 1999, 2000, 2001, 70_000)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate timestamp, l_quantity double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = Counter((r.l_orderkey, r.measure, r.value) for r in Q["unpivot_all_measures"](spark, str(tmp_path)).collect())
+    assert got == Counter((r[0], m, v) for r in lines for m, v in zip(("quantity", "discount", "tax"), r[5:], strict=True))
+
+
+def test_nearest_other_trail_takes_every_emitter(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(int(u), int(k), float(v)) for u, k, v in zip(rng.integers(0, 25, 160), rng.integers(0, 12, 160), rng.integers(0, 12, 160) / 4, strict=True)]
+    rows += [(50, 99, 1.0), (51, 99, 1.5), (52, 98, 7.0), (1, None, 3.0), (2, 5, None)]
+    full = [(u, i, dt.datetime(2024, 1, 1), v, "view", "{}" if k is None else f'{{"k": {k}}}') for i, (u, k, v) in enumerate(rows)]
+    spark.createDataFrame(full, "user_id long, event_id long, ts timestamp, value double, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
+    top = {}
+    for u, k, v in rows:
+        if k is not None and v is not None:
+            top[u, k] = max(v, top.get((u, k), v))
+    want = {}
+    for (u, k), v in top.items():
+        for (o, j), x in top.items():
+            if j == k and o != u:
+                want[u] = min(want.get(u, (9e9, 0)), (abs(v - x), o))
+    assert {r.user_id: (r.gap, r.other) for r in Q["nearest_other_trail_all"](spark, str(tmp_path)).collect()} == want
+    assert want[50] == (0.5, 51) and 52 not in want

@@ -128,6 +128,7 @@ def compare_submissions(spark, d):
 
 @query(f"WITH {EV}, s AS (SELECT user_id, k, max(value) AS v FROM e GROUP BY ALL) SELECT a.user_id, min_by(b.user_id, abs(a.v - b.v) * 1000000 + b.user_id) AS other, round(min(abs(a.v - b.v)), 6) AS gap FROM s a JOIN s b ON a.k = b.k AND a.user_id <> b.user_id WHERE a.k < 3 GROUP BY a.user_id")
 def nearest_other_trail(spark, d):
+    """Over the emitters its SQL asks for; ``nearest_other_trail_all`` takes all."""
     s = events(spark, d).where("k < 3").groupBy("user_id", "k").agg(F.max("value").alias("v"))
     o = s.select(F.col("user_id").alias("other"), "k", F.col("v").alias("w"))
     gap = F.abs(F.col("v") - F.col("w"))
@@ -135,6 +136,26 @@ def nearest_other_trail(spark, d):
     return j.groupBy("user_id").agg(F.min_by("other", gap * 1000000 + F.col("other")).alias("other"), R(F.min(gap)).alias("gap"))
 
 
+@query()
+def nearest_other_trail_all(spark, d):
+    """Each user's nearest other by their strongest values at any shared emitter; equal gaps go to the least user.
+
+    Only neighbours in value order are compared: the least two users of a value
+    stand for all who have it.
+    """
+    s = events(spark, d).groupBy("user_id", "k").agg(F.max("value").alias("v")).where("k is not null and v is not null")
+    least = F.min("user_id")
+    g = s.groupBy("k", "v").agg(least.alias("a"))
+    second = s.join(g, ["k", "v"]).where("user_id <> a").groupBy("k", "v").agg(least.alias("b"))
+    w = Window.partitionBy("k").orderBy("v")
+    at = F.struct(F.col("v").alias("w"), F.col("a").alias("other"))
+    g = g.join(second, ["k", "v"], "left").withColumns({"lo": F.lag(at).over(w), "hi": F.lead(at).over(w)})
+    same = F.struct(F.col("v").alias("w"), F.when(F.col("user_id") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other"))
+    j = s.join(g, ["k", "v"]).select("user_id", "v", F.explode(F.array(same, "lo", "hi")).alias("o")).where("o.other is not null")
+    best = F.min(F.struct(F.abs(F.col("v") - F.col("o.w")).alias("gap"), F.col("o.other").alias("other"))).alias("m")
+    return j.groupBy("user_id").agg(best).select("user_id", F.col("m.other").alias("other"), R("m.gap").alias("gap"))
+
+
 @query("SELECT p_size, x.code FROM (SELECT DISTINCT p_size FROM part) JOIN (SELECT p_size, dense_rank() OVER (ORDER BY n DESC, p_size::VARCHAR) - 1 AS code FROM (SELECT p_size, count(*) AS n FROM part GROUP BY 1)) x USING (p_size)")
 def frequency_encoding(spark, d):
     """Codes by falling frequency, equal ones by text."""

@@ -107,7 +107,16 @@ def pivot_counts(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, epoch_us(l_shipdate) AS t, unnest(['quantity', 'discount', 'tax']) AS measure, unnest([l_quantity, l_discount, l_tax]) AS value FROM lineitem WHERE l_orderkey < 2000")
 def unpivot_measures(spark, d):
-    li = read(spark, d, "lineitem").where("l_orderkey < 2000")
+    """The orders its SQL asks for; ``unpivot_all_measures`` has all."""
+    return _measures(read(spark, d, "lineitem").where("l_orderkey < 2000"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, epoch_us(l_shipdate) AS t, unnest(['quantity', 'discount', 'tax']) AS measure, unnest([l_quantity, l_discount, l_tax]) AS value FROM lineitem")
+def unpivot_all_measures(spark, d):
+    return _measures(read(spark, d, "lineitem"))
+
+
+def _measures(li):
     ids = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", X.micros(F.col("l_shipdate")).alias("t"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
     return ids.unpivot(["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "t"], ["quantity", "discount", "tax"], "measure", "value")
 
