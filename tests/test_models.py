@@ -26,6 +26,15 @@ def test_emitter_is_found(spark):
     assert (got.x, got.y, got.power) == (pytest.approx(12, abs=0.1), pytest.approx(17, abs=0.1), pytest.approx(-40, abs=0.2))
 
 
+def test_emitter_fit_takes_every_reading(spark):
+    near = [("e", float(i % 30) / 10, float(i // 30) / 10, -40.0) for i in range(900)]
+    far = [("e", 20.0, 20.0, -90.0)] * 8000
+    got = models.fit_emitters(spark.createDataFrame(near + far, "e string, x double, y double, rssi double"), ["e"]).first()
+    xy, s = (np.array([r[i:j] for r in near + far]).squeeze() for i, j in ((1, 3), (3, 4)))
+    miss = np.abs(got.power - ((xy - [got.x, got.y]) ** 2).sum(1) / 20 - s).mean()
+    assert got.n == 8900 and got.error == pytest.approx(miss) and got.error < 2
+
+
 def test_boosting_out_of_fold(spark):
     df = spark.range(400).select((F.col("id") % 20).cast("double").alias("a"), (F.col("id") % 5).cast("int").alias("fold")).withColumn("y", F.col("a") * 2 + 1)
     got = models.out_of_fold(df, ["a"], "y", "fold", 2 + 3)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,20 +39,20 @@ def nelder_mead(f, x: np.ndarray, step: float, rounds: int = 300, tol: float = 1
     return s[np.argmin(v)]
 
 
-def fit_emitters(readings: DataFrame, by: list[str], scale: float = 20.0, cap: int = 5000) -> DataFrame:
+def fit_emitters(readings: DataFrame, by: list[str], scale: float = 20.0) -> DataFrame:
     """Place and power of each emitter (x, y, rssi rows): strength falls as squared distance over ``scale``.
 
-    The fit uses at most ``cap`` readings, the strongest; ``error`` is the mean
-    absolute miss over those.
+    The fit uses every reading, equal ones as one row with their number; ``n`` counts
+    them all and ``error`` is their mean absolute miss.
     """
-    w = Window.partitionBy(*by).orderBy(F.desc("rssi"), "x", "y")
-    some = readings.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= cap).select(*by, "x", "y", "rssi")
+    some = readings.groupBy(*by, "x", "y", "rssi").agg(F.count(F.lit(1)).alias("__n"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        xy, s = pdf[["x", "y"]].to_numpy(float), pdf["rssi"].to_numpy(float)
-        miss = lambda p: float(np.abs(p[2] - ((xy - p[:2]) ** 2).sum(1) / scale - s).mean())
+        pdf = pdf.sort_values(["rssi", "x", "y"], ascending=[False, True, True])
+        xy, s, n = pdf[["x", "y"]].to_numpy(float), pdf["rssi"].to_numpy(float), pdf["__n"].to_numpy()
+        miss = lambda p: float(np.average(np.abs(p[2] - ((xy - p[:2]) ** 2).sum(1) / scale - s), weights=n))
         best = nelder_mead(miss, np.append(xy[np.argmax(s)], s.max()), 2.0)
-        row = {c: pdf[c].iloc[0] for c in by} | {"x": best[0], "y": best[1], "power": best[2], "error": miss(best), "n": len(s)}
+        row = {c: pdf[c].iloc[0] for c in by} | {"x": best[0], "y": best[1], "power": best[2], "error": miss(best), "n": int(n.sum())}
         return pd.DataFrame([row])
 
     kinds = dict(readings.dtypes)
