@@ -231,6 +231,14 @@ def test_op4_long_texts_count_to_their_end(spark):
     assert got[2].lang_pred == "bb" and not got[2].rejected
 
 
+def test_op4_copies_leave_the_sample_whole(spark):
+    rows = spark.range(40_000).select(F.lit("aa").alias("lang"), F.concat(F.lit("word "), F.translate((F.col("id") % 40).cast("string"), "0123456789", "abcdefghij")).alias("text"))
+    few = spark.createDataFrame([("bb", "other words"), ("bb", "other words"), ("bb", "more")], "lang string, text string")
+    got = op4.learn(rows.unionByName(few), sample_texts=10, dict_bytes=1000)
+    assert list(got) == ["aa", "bb"] and got["bb"].count(b"words") == 1 and b"more" in got["bb"]
+    assert got["aa"].count(b"word ") == 10
+
+
 def test_op5_law(spark):
     rows = corpus(2, 300) + AWKWARD
     got = op5.shard_documents(frame(spark, rows), cells=16).collect()

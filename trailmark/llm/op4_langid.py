@@ -10,6 +10,7 @@ the sizes are summed: so its end counts as its beginning does.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +46,7 @@ def held_out(doc_id):
 def learn(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """Dictionaries from (lang, text): a bounded sample of each language.
 
-    At most ``sample_texts`` texts a language, those of least hash, give up to
+    At most ``sample_texts`` different texts a language, those of least hash, give up to
     ``dict_bytes`` bytes, each text an equal share at most. Null languages and
     null texts teach nothing. Languages with more rows come first.
     """
@@ -53,16 +54,24 @@ def learn(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, dict_bytes: int
     share = max(64, 4 * dict_bytes // sample_texts)
     order = Window.partitionBy("lang").orderBy("h", "text")
     some = labelled.where("lang is not null and text is not null and text rlike '\\\\p{L}'").select("lang", F.substring("text", 1, share).alias("text"), F.xxhash64("text").alias("h"))
-    rows = sorted(map(tuple, some.groupBy("lang").count().collect()), key=lambda x: (-x[1], x[0]))
+    # Rows and different texts of each language; copies of a text are one, however many they are.
+    texts = some.groupBy("lang", "h").count().groupBy("lang").agg(F.sum("count").alias("rows"), F.count(F.lit(1)).alias("texts"))
+    rows = sorted(((r["lang"], r["rows"], r["texts"]) for r in texts.collect()), key=lambda x: (-x[1], x[0]))
     if not rows:
         return {}
-    # Hashes below a limit by language leave a few times the sample, however many rows there are; copies of a text are one.
-    limit = {k: min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, 4 * sample_texts / n))) for k, n in rows}
-    most = F.create_map(*[F.lit(x) for kv in limit.items() for x in kv])
-    few = some.where(F.col("h") <= most[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text"))
-    top = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_texts).select("lang", "n", "text")
-    out = {k: bytearray() for k, _ in rows}
-    for lang, _, text in sorted(map(tuple, top.collect())):
+    factor = 4
+    while True:
+        # Hashes below a limit by language leave a few times the sample, however many texts there are.
+        limit = {k: min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, factor * sample_texts / n))) for k, _, n in rows}
+        most = F.create_map(*[F.lit(x) for kv in limit.items() for x in kv])
+        few = some.where(F.col("h") <= most[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+        top = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_texts).select("lang", "n", "text").collect()
+        have = Counter(r["lang"] for r in top)
+        if all(have[k] >= min(n, sample_texts) for k, _, n in rows):
+            break
+        factor *= 4
+    out = {k: bytearray() for k, *_ in rows}
+    for lang, _, text in sorted(map(tuple, top)):
         if len(own := out[lang]) < dict_bytes:
             own += letters(text)
     return {k: bytes(v[:dict_bytes]) for k, v in out.items()}
