@@ -201,6 +201,25 @@ def test_op3_null_conversation_and_empty(spark):
     assert op3.chat_digest(empty).count() == 0
 
 
+def test_op3_null_conversation_is_one(spark):
+    turns = [(None, 1, "user", "hi"), (None, 2, "assistant", "yes"), (None, 3, None, None), (0, 1, "user", "other")]
+    for kind in ("long", "string"):
+        df = spark.createDataFrame([(None if c is None else str(c) if kind == "string" else c, *r) for c, *r in turns], f"conv_id {kind}, turn long, role string, text string")
+        got = {r.conv_id: r for r in op3.chat_digest(df).collect()}
+        assert len(got) == 2 and got[None].n_turns == 3 and got[None].loss_chars == 3
+        assert got[None].turns_sha256 == hashlib.sha256(b"user\nhi\nassistant\nyes\n\n\n").hexdigest()
+    # A null tree with branches, walked over several segments.
+    nodes = spark.createDataFrame([(None, 1, None, 0.0), (None, 2, 1, 5.0), (None, 3, 1, 0.0), (None, 4, 3, 0.0), ("u", 1, None, 0.0)], "tree string, node long, parent long, score double")
+    assert by_row(op3.paths(nodes), "tree", "rank", "place", "node") == Counter([(None, 1, 0, 1), (None, 1, 1, 2), (None, 2, 0, 1), (None, 2, 1, 3), (None, 2, 2, 4), ("u", 1, 0, 1)])
+
+
+def test_op10_items_without_id_leak(spark):
+    item = [" ".join(f"{k}{i}" for i in range(9)) for k in "pqr"]
+    bench = spark.createDataFrame([(None, item[0]), (None, item[1]), (3, item[2])], "item_id long, text string")
+    docs = frame(spark, [(1, "so " + item[0]), (2, item[1] + " and " + item[2]), (3, "clean")])
+    assert by_row(op10.leaks(docs, bench), "doc_id", "item_id", "covered") == Counter([(1, None, 9), (2, None, 9), (2, 3, 9)])
+
+
 def test_op4_held_out_accuracy(spark, data):
     got = op4.op4_langid(spark, data)
     truth = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang")

@@ -163,7 +163,7 @@ def _cover(k: int):
                 tiles = tile(stretches[i].values.to_numpy(), items[i].values.to_numpy(), k)
                 covered.append(sum(t[2] for t in tiles))
                 longest.append(max((t[2] for t in tiles), default=0))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("th"), batch.column("item_id"), batch.column("n"), pa.array(covered, pa.int64()), pa.array(longest, pa.int64())], names=["doc", "th", "item_id", "n", "covered", "longest"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("th"), batch.column("item"), batch.column("n"), pa.array(covered, pa.int64()), pa.array(longest, pa.int64())], names=["doc", "th", "item", "n", "covered", "longest"])
 
     return run
 
@@ -172,13 +172,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
     """``doc_id, th, item_id, n_tokens, covered, coverage, longest`` for each document and item that share a seed and reach ``coverage``.
 
     ``benchmark`` has item_id and text; an item of fewer than ``seed`` tokens, a
-    null text and an empty one match nothing. Null ids stay null; ``th`` is the
+    null text and an empty one match nothing. Null ids, of items too, stay null; ``th`` is the
     hash of the document's text, so rows of one id are told apart by their text,
     and equal rows give equal rows once. No items or no documents, no rows.
     """
     spark = docs.sparkSession
-    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).mapInArrow(_seeds(seed, "item_id"), f"item_id {dict(benchmark.dtypes)['item_id']}, n long, seeds array<long>, tokens array<long>")
-    by_seed = items.select("item_id", F.explode("seeds").alias("seed")).distinct()
+    # Inside, an item is its id and the hash of its text, which meet in joins when the id is null too.
+    item = F.struct("item_id", F.xxhash64(F.col("text").cast("string")).alias("h")).alias("item")
+    item_kind = f"struct<item_id: {dict(benchmark.dtypes)['item_id']}, h: bigint>"
+    items = benchmark.select(item, F.col("text").cast("string").alias("text")).mapInArrow(_seeds(seed, "item"), f"item {item_kind}, n long, seeds array<long>, tokens array<long>")
+    by_seed = items.select("item", F.explode("seeds").alias("seed")).distinct()
     # Unsigned remainder of the 64-bit seed, as cells of bitmaps of 32768 bits: at most BITS bits in all.
     cell = by_seed.select((F.col("seed").bitwiseAND(BITS - 1)).alias("cell"))
     bits = cell.groupBy(F.expr("bitmap_bucket_number(cell + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(cell + 1))").alias("bits")).collect()
@@ -186,10 +189,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
     kind = dict(docs.dtypes)[doc_id]
     rows = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text"))
     found = rows.mapInArrow(_suspects(seed, sent), f"doc {kind}, th long, seeds array<long>, stretches array<long>")
-    pairs = found.select("doc", "th", "stretches", F.explode(F.array_distinct("seeds")).alias("seed")).join(by_seed, "seed").groupBy("doc", "th", "item_id").agg(F.first("stretches").alias("stretches"))
-    judged = pairs.join(items.select("item_id", "n", "tokens"), "item_id").mapInArrow(_cover(seed), f"doc {kind}, th long, item_id {dict(benchmark.dtypes)['item_id']}, n long, covered long, longest long")
+    pairs = found.select("doc", "th", "stretches", F.explode(F.array_distinct("seeds")).alias("seed")).join(by_seed, "seed").groupBy("doc", "th", "item").agg(F.first("stretches").alias("stretches"))
+    judged = pairs.join(items.select("item", "n", "tokens"), "item").mapInArrow(_cover(seed), f"doc {kind}, th long, item {item_kind}, n long, covered long, longest long")
     share = F.col("covered") / F.col("n")
-    return judged.where(share >= coverage).select(F.col("doc").alias("doc_id"), "th", "item_id", F.col("n").alias("n_tokens"), "covered", share.alias("coverage"), "longest")
+    return judged.where(share >= coverage).select(F.col("doc").alias("doc_id"), "th", "item.item_id", F.col("n").alias("n_tokens"), "covered", share.alias("coverage"), "longest")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

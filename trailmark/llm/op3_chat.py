@@ -39,10 +39,19 @@ def unescape_role(role: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
+def _keyed(nodes: DataFrame) -> DataFrame:
+    """Trees as structs, which meet in joins when the tree is null too."""
+    return nodes.withColumn("tree", F.struct(F.col("tree").alias("id")))
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    return df.withColumn("tree", F.col("tree.id"))
+
+
 def segments(nodes: DataFrame) -> DataFrame:
     """``tree, node, head, place``: the first node of each node's segment and its distance from it.
 
-    A node starts a segment if it is a root or has a sibling. Null, unknown and
+    Trees are not null (see ``_keyed``). A node starts a segment if it is a root or has a sibling. Null, unknown and
     own parents make roots. A round of doubling joins a node's pointer with the
     pointer's own.
     """
@@ -68,8 +77,12 @@ def paths(nodes: DataFrame, best: int | None = None) -> DataFrame:
     ``nodes`` has tree, node, parent and score (null: 0); nodes are unique within
     a tree. A path is named by its leaf and scored by the mean of its nodes;
     equal scores rank by leaf. ``best`` keeps that many paths of a tree. Nodes
-    on a cycle lie on no path.
+    on a cycle lie on no path. A null tree is a tree.
     """
+    return _plain(_paths(_keyed(nodes), best))
+
+
+def _paths(nodes: DataFrame, best: int | None) -> DataFrame:
     at = segments(nodes)
     scored = at.join(nodes.select("tree", "node", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), ["tree", "node"])
     seg = cut(scored.groupBy("tree", "head").agg(F.max(F.struct("place", "node")).alias("last"), F.count(F.lit(1)).alias("n"), F.sum("score").alias("score"), F.max(F.when(F.col("place") == 0, F.col("parent"))).alias("parent")).select("tree", "head", F.col("last.node").alias("tail"), "n", "score", "parent"))
@@ -97,10 +110,11 @@ def chat_format(nodes: DataFrame, best: int | None = None, loss_role: str = "ass
     """Each chosen path as one conversation: ``tree, path, rank, formatted, loss_turns, loss_spans``.
 
     ``nodes`` has tree, node, parent, score, role and text; a null role or text is
-    empty. ``loss_turns`` says which turns the loss covers and ``loss_spans`` where
+    empty, a null tree a tree. ``loss_turns`` says which turns the loss covers and ``loss_spans`` where
     their escaped texts stand in ``formatted`` (first code point, length).
     """
-    ways = paths(nodes, best)
+    nodes = _keyed(nodes)
+    ways = _paths(nodes, best)
     role = escape_role(F.coalesce(F.col("role"), F.lit("")))
     body = escape(F.coalesce(F.col("text"), F.lit("")))
     turn = ways.join(nodes.select("tree", "node", role.alias("role"), body.alias("body")), ["tree", "node"])
@@ -108,7 +122,7 @@ def chat_format(nodes: DataFrame, best: int | None = None, loss_role: str = "ass
     before = Window.partitionBy("tree", "path").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     turn = turn.withColumn("start", F.coalesce(F.sum(F.char_length("piece").cast("long")).over(before), F.lit(0)) + F.char_length("lead"))
     got = turn.groupBy("tree", "path", "rank").agg(F.array_sort(F.collect_list(F.struct("place", "piece", (F.col("role") == loss_role).alias("loss"), "start", F.char_length("body").alias("length")))).alias("t"))
-    return got.select(
+    return _plain(got).select(
         "tree",
         "path",
         "rank",
