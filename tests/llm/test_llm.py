@@ -344,6 +344,14 @@ def test_op7_brute(spark, data):
     assert short.where("rejected_by is null").count() == sum(brute_quality(t)[6] for _, t in rows)
 
 
+def test_op7_texts_that_begin_with_a_line_feed(spark):
+    texts = ["\nfoo\nfoo", "foo\nfoo", "\n\nfoo\n\nfoo\n", "", "\n", "\n\n", "x\n", "\nx", "foo\n", "\nfoo", None, "\na\nb\na\n", "\n \n "]
+    rows = [(i, t) for i, t in enumerate(texts * 2)]
+    got = op7.cascade(frame(spark, rows).coalesce(1), op7.BASE, signals=("n_dup_lines",))
+    assert {r.doc_id: r.n_dup_lines for r in got.collect()} == {i: brute_quality(t)[3] for i, t in rows}
+    assert brute_quality(texts[0])[3] == 1
+
+
 def brute_windows(rows, k=13):
     top = 2**63
     ids = [top if i is None else i for i, _ in rows]

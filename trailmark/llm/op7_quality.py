@@ -64,9 +64,11 @@ class Signals:
     @cached_property
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
         """Of each text its lines with a word, and those among them equal to an earlier one."""
-        ends = np.union1d(np.flatnonzero(self.buf == 10), self.offs[1:])
-        starts = np.append(0, np.where(np.isin(ends[:-1], self.offs), ends[:-1], ends[:-1] + 1)) if len(ends) else ends
-        # A text that ends in a line feed, or an empty one, leaves empty lines, which have no word.
+        feeds = np.flatnonzero(self.buf == 10)
+        # Every line feed ends a line and begins the next, every text begins one and ends one; in order they pair up.
+        starts = np.sort(np.append(self.offs[:-1], feeds + 1))
+        ends = np.sort(np.append(self.offs[1:], feeds))
+        # Empty lines have no word.
         first = np.searchsorted(self.words[0], starts)
         full = np.flatnonzero((ends > starts) & (first < np.searchsorted(self.words[0], ends)))
         starts, ends = starts[full], ends[full]
