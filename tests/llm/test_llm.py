@@ -27,7 +27,7 @@ from trailmark.llm.graph import components  # noqa: E402
 from trailmark.llm.suffix import permuted_lcp, suffix_array  # noqa: E402
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-SMALL = {"cells": op8.BLOCK * op8.DEPTH}
+SMALL = {"width": 12}
 
 
 def words(t):
@@ -109,6 +109,17 @@ def test_op1_brute(spark, options):
     assert by_row(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
+def test_op1_long_texts_and_collisions(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(op1.vec.pieces, "__defaults__", (3000,))
+    long = bytes(rng.integers(97, 123, 40_000).astype(np.uint8)).decode()
+    one, two = thue_morse(2048)
+    rows = [(1, long), (2, long[5000:21_000] + "é" + long[100:700]), (3, long[::-1]), (4, one), (5, two), (6, "lead " + two[:500])]
+    got = frame(spark, rows).select("doc_id", op1._key(F.col("text"))).join(op1.suffix_dedup(frame(spark, rows)), "key")
+    want = Counter((i, *x) for (i, _), x in zip(rows, brute_bytes([t for _, t in rows], 400), strict=True))
+    assert by_row(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
 def brute_classes(rows, k=5, least=0.8):
     sets = []
     for _, t in rows:
@@ -327,12 +338,13 @@ def brute_quality(t):
     symbols = sum(c in "#*$%&|<>" for c in t or "")
     chars, dup = sum(map(len, w)), len(lines) - len(set(lines))
     failed = n < 20 or 100 * len(hit) > 30 * n
-    own = 10 * symbols > n or 100 * dup > 30 * len(lines) or chars < 2 * n or chars > 15 * n
+    ends = sum(x.rstrip(" \t\n\v\f\r").endswith("...") for x in lines)
+    own = 10 * symbols > n or 100 * dup > 30 * len(lines) or chars < 2 * n or chars > 15 * n or 100 * ends > 30 * len(lines) or max(map(len, w), default=0) > 1000
     return (n, chars, symbols, dup, len(hit), failed, not (failed or own))
 
 
 def test_op7_brute(spark, data):
-    rows = corpus(3) + AWKWARD + [(99, "a\nb\na\n\n a\na"), (98, "# $ % words " * 9)]
+    rows = corpus(3) + AWKWARD + [(99, "a\nb\na\n\n a\na"), (98, "# $ % words " * 9), (97, "many different words " + " ".join(f"w{i}" for i in range(30)) + "... \nand so on...\nend"), (96, " ".join(f"w{i}" for i in range(30)) + " " + "é" * 1001)]
     df = frame(spark, rows)
     rules = op7.order_rules(df, op7.BASE + op7.OWN)
     assert sorted(r[0] for r in rules) == sorted(r[0] for r in op7.BASE + op7.OWN)
@@ -344,6 +356,19 @@ def test_op7_brute(spark, data):
     assert short.where("rejected_by is null").count() == sum(brute_quality(t)[6] for _, t in rows)
 
 
+def test_op7_rejected_texts_are_spared(spark):
+    """A rule sees only texts that no earlier rule rejected, also where counts are asked for all."""
+    seen = spark.sparkContext.accumulator(0)
+    rows = [(i, "few" if i % 3 else " ".join(f"w{i}" for i in range(40))) for i in range(90)]
+
+    def spy(s):
+        seen.add(len(s.longest_word))
+        return s.longest_word > 1000
+
+    op7.cascade(frame(spark, rows), [op7.BASE[0], ("spy", spy)], signals=("n_words",)).collect()
+    assert seen.value == 30
+
+
 def test_op7_texts_that_begin_with_a_line_feed(spark):
     texts = ["\nfoo\nfoo", "foo\nfoo", "\n\nfoo\n\nfoo\n", "", "\n", "\n\n", "x\n", "\nx", "foo\n", "\nfoo", None, "\na\nb\na\n", "\n \n "]
     rows = [(i, t) for i, t in enumerate(texts * 2)]
@@ -369,13 +394,30 @@ def brute_windows(rows, k=13):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_op8_brute(spark, hot):
+@pytest.mark.parametrize("options", [{}, {"width": 10}, {"chunk_bytes": 2000, "width": 22}])
+def test_op8_brute(spark, options):
+    """Also with a sketch so full that it filters nothing, and with many chunks."""
     rows = corpus(4) + AWKWARD
-    got = op8.window_dedup_rows(frame(spark, rows), hot=hot, **SMALL)
+    got = op8.window_dedup_rows(frame(spark, rows), **options)
     assert by_row(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_windows(rows)
 
 
+def thue_morse(n):
+    """A string and its complement, which collide in any polynomial modulo a power of two."""
+    t = "a"
+    while len(t) < n:
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+def test_op8_words_that_collide_modulo_powers_of_two(spark):
+    one, two = thue_morse(2048)
+    same = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{same} {one}"), (2, f"{same} {two}"), (3, f"{same} {one} more")]
+    got = op8.window_dedup_rows(frame(spark, rows))
+    assert by_row(got, "doc_id", "n_removed") == Counter([(1, 0), (2, 0), (3, 13)])
+
+
 def test_op9_rules_and_graph(spark):
     link = lambda *h: "".join(f'<a href="https://{x}/p">' for x in h)
     rows = [

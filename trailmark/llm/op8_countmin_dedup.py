@@ -1,21 +1,25 @@
 """Removal of repeated word windows behind a count-min prefilter.
 
-Pass one hashes, for each window of ``size`` words, its minimiser (a shorter run
-of words fixed by the window alone) and counts minimisers in a count-min sketch:
-each task fills sketches of its own, which are added block by block and leave
-one bit a cell, "counted twice or more". A window occurs no oftener than its
-minimiser is counted, so its estimate is never too low and no repeated window is
-lost. Pass two groups, exactly, only windows estimated repeated.
-
-The sketch has a fixed number of cells (a parameter), whatever the input: its
-bits are the only thing sent to every task. Larger inputs make it let more
-windows pass, never fewer.
+Texts are dealt into chunks by the hash of their text. Pass one: each chunk
+counts its windows of ``size`` words in a count-min sketch of its own and sends
+each block of the sketch the cells it filled; a block adds what all chunks sent
+and answers each of them, one bit a cell, which cells count twice or more. An
+estimate is never too low, so no repeated window is lost. Pass two: each chunk
+sends only windows that the sketch estimates repeated, once each with the least
+document that has it there, to the bucket of the window's hash; a bucket finds,
+exactly, the least document of all and answers one bit a window, whether it is
+another chunk's. Pass three applies the answers to the texts.
+
+The sketch is sized from the input, and neither it nor anything else is
+gathered in one place: cells and windows are tested where their block lives. A
+chunk sends a window once however many of its documents hold it, so a window
+that is everywhere costs its bucket one entry a chunk. Windows are told apart by
+124 bits of two independent hashes over a prime field.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,197 +30,244 @@ from pyspark.sql import functions as F
 from . import vec
 from .common import parts, table, text_key
 
-CELLS = 1 << 28
-BLOCK = 1 << 19
 DEPTH = 2
-HOT = 20_000
-_POW, _POW2 = vec.Powers(vec.BASE), vec.Powers(vec.BASE2)
-
-
-class Windows:
-    """The word windows of a slice of documents."""
-
-    def __init__(self, buf: np.ndarray, offs: np.ndarray, size: int, gram: int):
-        self.starts, self.ends, self.first = vec.words(buf, offs)
-        letters = vec.Rolling(buf, _POW)
-        self.hashes = letters.of(self.starts, self.ends)
-        self.at, self.doc = vec.windows(self.first, size)
-        self.size, self.gram = size, gram
-
-    def minimisers(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of each window the hash of its minimiser, and where that begins."""
-        grams = vec.Rolling(self.hashes, _POW).grams(self.gram)
-        least = vec.sliding_argmin(grams, self.size - self.gram + 1)
-        at = least[self.at] if len(self.at) else self.at
-        return grams[at], at
-
-    def keys(self, which: np.ndarray) -> np.ndarray:
-        """Hashes of whole windows, independent of those of minimisers: both together tell windows apart."""
-        s = self.at[which]
-        return vec.Rolling(vec.mix(self.hashes), _POW2).of(s, s + self.size)
-
-
-def _cells(h: np.ndarray, cells: int) -> np.ndarray:
-    """The cells of a hash, one for each row of the sketch, rows one after another."""
-    width = cells // DEPTH
-    rows = [(vec.mix(h + np.uint64(r * 0x632BE59BD9B4E019 % 2**64)) >> np.uint64(8)) % np.uint64(width) + np.uint64(r * width) for r in range(DEPTH)]
-    return np.concatenate(rows).astype(np.int64)
-
-
-def _sketch(size: int, gram: int, cells: int):
-    """A task's sketch by block, as the places and counts of its cells that are not zero."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, held = [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            got, times = np.unique(np.concatenate(once), return_counts=True)
-            head = np.flatnonzero(np.diff(got // BLOCK, prepend=-1))
-            cut = 2 * np.append(head, len(got))
-            code = np.stack((got % BLOCK, times), axis=1).reshape(-1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array((got[head] // BLOCK).astype(np.int32)), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(code))], names=["block", "cells"])
-
-        for _, buf, offs in vec.slices(batches, "text"):
-            w = Windows(buf, offs, size, gram)
-            h, at = w.minimisers()
-            # A minimiser counts once for each place, not for each window it stands for.
-            once.append(_cells(h[vec.runs(at)], cells))
-            held += len(once[-1])
-            if held > 4_000_000:
-                yield from flush()
-                once, held = [], 0
-        if once:
-            yield from flush()
+CHUNK_BYTES = 8 << 20
+BLOCK = 1 << 24
+_SALTS = [np.uint64(r * 0x632BE59BD9B4E019 % 2**64) for r in range(DEPTH)]
+_TEXTS = "chunk int, key binary, doc_id long, text string"
+_SENT = "chunk int, block int, body binary"
+
+
+def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows of one text in a task the first keeps the text; a later one stays without it, if its id is less."""
+    least: dict[bytes, int] = {}
+    for batch in batches:
+        keys, ids = batch.column("key").to_pylist(), batch.column("doc_id").to_pylist()
+        if len(least) > 200_000:
+            least.clear()
+        keep, bare = [], np.zeros(batch.num_rows, bool)
+        for i, (k, d) in enumerate(zip(keys, ids, strict=True)):
+            had = least.get(k)
+            if had is None or d < had:
+                bare[i] = had is not None
+                least[k] = d
+                keep.append(i)
+        out = batch.take(pa.array(keep, pa.int64()))
+        if bare.any():
+            text = pa.compute.if_else(pa.array(bare[keep]), pa.scalar(None, pa.string()), out.column("text"))
+            out = out.set_column(out.schema.get_field_index("text"), "text", text)
+        yield out
+
+
+class Chunk:
+    """The different texts of a chunk, each with the least id of its rows, and their windows."""
+
+    def __init__(self, rows: pa.Table, size: int):
+        ids = rows.column("doc_id").to_numpy()
+        key = np.frombuffer(b"".join(rows.column("key").to_pylist()), np.uint64).reshape(-1, 2)
+        bare = rows.column("text").is_null().to_numpy()
+        order = np.lexsort((bare, key[:, 1], key[:, 0]))
+        k = key[order]
+        head = np.flatnonzero(np.append(True, (k[1:] != k[:-1]).any(axis=1))) if len(k) else np.zeros(0, np.int64)
+        self.doc_id = np.minimum.reduceat(ids[order], head) if len(head) else ids[:0]
+        pick = pa.array(order[head])
+        self.key = rows.column("key").take(pick).combine_chunks()
+        self.buf, self.offs = vec.flat(_one(rows.column("text").take(pick)))
+        self.starts, self.ends, self.first = vec.words(self.buf, self.offs)
+        self.at, doc = vec.windows(self.first, size)
+        self.doc, self.size = self.doc_id[doc] if len(doc) else np.zeros(0, np.int64), size
+        self.text_of = doc
+
+    def group(self, second: bool) -> None:
+        """Sort the windows: ``lead`` is each different one's first place in ``order``, ``a`` (and ``b``) its hashes, ``least`` its least document, ``many`` whether it has others."""
+        which = vec.Field.FIRST + vec.Field.SECOND if second else vec.Field.FIRST
+        word = vec.FIELD.words(self.buf, self.starts, self.ends, which)
+        gram = [g[self.at] for g in vec.FIELD.grams(word, self.size, which)]
+        a = vec.Field.join(gram[:2])
+        b = vec.Field.join(gram[2:]) if second else None
+        order = np.argsort(a)
+        s = a[order]
+        fresh = np.append(True, s[1:] != s[:-1]) if len(s) else np.zeros(0, bool)
+        if second:
+            t = b[order]
+            if len(s) and (~fresh[1:] & (t[1:] != t[:-1])).any():
+                # Two windows agree in the first hash.
+                order = np.lexsort((b, a))
+                s, t = a[order], b[order]
+                fresh = np.append(True, (s[1:] != s[:-1]) | (t[1:] != t[:-1]))
+            self.b = t[fresh]
+        self.order, self.lead, self.a = order, np.flatnonzero(fresh), s[fresh]
+        self.fresh = fresh
+        doc = self.doc[order]
+        self.least = np.minimum.reduceat(doc, self.lead) if len(doc) else doc
+        self.many = (np.maximum.reduceat(doc, self.lead) if len(doc) else doc) > self.least
+
+    def cells(self, row: int, width: int) -> np.ndarray:
+        """The cell of each different window in a row of the sketch."""
+        return (vec.mix(self.a + _SALTS[row]) >> np.uint64(64 - width)).astype(np.int64)
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    got = column.combine_chunks()
+    return got if not isinstance(got, pa.ChunkedArray) else got.chunk(0) if got.num_chunks else pa.array([], column.type)
+
+
+def _pack(cells: np.ndarray, twice: np.ndarray) -> bytes:
+    """Ascending cells as their gaps, with a bit each."""
+    gap = np.diff(cells, prepend=0)
+    short = int(gap.max()) < 1 << 16
+    return bytes([short]) + np.packbits(twice).tobytes() + gap.astype("<u2" if short else "<u4").tobytes()
+
+
+def _unpack(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    short, rest = body[0], len(body) - 1
+    n = rest * 8 // (17 if short else 33)
+    bits = (n + 7) // 8
+    twice = np.unpackbits(np.frombuffer(body, np.uint8, bits, 1), count=n)
+    return np.cumsum(np.frombuffer(body, "<u2" if short else "<u4", n, 1 + bits), dtype=np.int64), twice
+
+
+def _sent(chunk: int, block: list[int], body: list[bytes]) -> pa.Table:
+    return pa.table([pa.array(np.full(len(block), chunk, np.int32)), pa.array(block, pa.int32()), pa.array(body, pa.binary())], names=["chunk", "block", "body"])
+
+
+def _number(rows: pa.Table, name: str = "chunk") -> int:
+    return rows.column(name)[0].as_py()
+
+
+def _count(size: int, width: int, block: int):
+    """Pass one: the cells a chunk fills, by block, with a bit for those filled twice."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        c = Chunk(rows, size)
+        c.group(False)
+        names, bodies = [], []
+        for r in range(DEPTH):
+            cell = c.cells(r, width)
+            order = np.argsort(cell)
+            s = cell[order]
+            head = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
+            twice = np.add.reduceat(c.many[order].astype(np.int64) + 1, head) > 1 if len(s) else head
+            s = s[head]
+            for i, j in zip(*vec.stretches(s // block), strict=True):
+                names.append(int(s[i]) // block + r * ((1 << width) // block))
+                bodies.append(_pack(s[i:j] % block, twice[i:j]))
+        vec.release()
+        return _sent(_number(rows), names, bodies)
 
     return run
 
 
-def _merge(hot: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Add the sketches of a block, which follow one another: packed bits for the cells that reach two, and for those that reach ``hot``."""
-        block, count = None, None
+def _add(block: int):
+    """A block of the sketch: add all chunks' cells, answer each with the bits of those that reach two."""
 
-        def bits() -> pa.RecordBatch:
-            data = [zlib.compress(np.packbits(count >= k).tobytes(), 1) for k in (2, hot)]
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array(data[:1]), pa.array(data[1:])], names=["block", "twice", "hot"])
-
-        for batch in batches:
-            lists = batch.column("cells")
-            for i, b in enumerate(batch.column("block").to_pylist()):
-                if b != block:
-                    if block is not None:
-                        yield bits()
-                    block, count = b, np.zeros(BLOCK, np.int64)
-                code = lists[i].values.to_numpy()
-                count[code[0::2]] += code[1::2]
-        if block is not None:
-            yield bits()
+    def run(rows: pa.Table) -> pa.Table:
+        count = np.zeros(block, np.uint8)
+        bodies = rows.column("body")
+        for body in bodies:
+            cells, twice = _unpack(body.as_py())
+            count[cells] = np.minimum(count[cells] + 1 + twice, 2)
+        answer = [np.packbits(count[_unpack(body.as_py())[0]] > 1).tobytes() for body in bodies]
+        return pa.table([rows.column("chunk"), rows.column("block"), pa.array(answer, pa.binary())], names=["chunk", "block", "body"])
 
     return run
 
 
-def sketch_bits(texts: DataFrame, size: int, gram: int, cells: int, hot: int) -> list:
-    """The merged sketch: rows (block, twice, hot), ``cells`` bits each in all."""
-    parts = texts.mapInArrow(_sketch(size, gram, cells), "block int, cells array<int>")
-    n = min(cells // BLOCK, max(2, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return parts.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_merge(hot), "block int, twice binary, hot binary").collect()
-
-
-_FOUND = "anchor long, hot boolean, doc_id long, key binary, at int, windows array<long>"
-
-
-def _candidates(size: int, gram: int, cells: int, sent):
-    """Runs of windows with one minimiser that the sketch estimates repeated: window hashes, document, place of the first word."""
-    bits: list[np.ndarray] = []
-
-    def test(which: int, cell: np.ndarray) -> np.ndarray:
-        return ((bits[which][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1).astype(bool).reshape(DEPTH, -1).all(axis=0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not bits:
-            two, hot = np.zeros((2, cells // 8), np.uint8)
-            for block, a, b in sent.value:
-                place = slice(block * (BLOCK // 8), (block + 1) * (BLOCK // 8))
-                two[place] = np.frombuffer(zlib.decompress(a), np.uint8)
-                hot[place] = np.frombuffer(zlib.decompress(b), np.uint8)
-            bits.extend((two, hot))
-        for part, buf, offs in vec.slices(batches, "text"):
-            w = Windows(buf, offs, size, gram)
-            h, at = w.minimisers()
-            if not len(h):
-                continue
-            lead = vec.runs(at)
-            n = np.diff(np.append(lead, len(at)))
-            cell = _cells(h[lead], cells)
-            hit = np.flatnonzero(test(0, cell))
-            if not len(hit):
-                continue
-            hot = test(1, cell)[hit]
-            lead, n = lead[hit], n[hit]
-            which = np.repeat(lead - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            doc = w.doc[lead]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(h[lead].view(np.int64)),
-                    pa.array(hot),
-                    part.column("doc_id").take(pa.array(doc)),
-                    part.column("key").take(pa.array(doc)),
-                    pa.array((w.at[lead] - w.first[doc]).astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(w.keys(which).view(np.int64))),
-                ],
-                names=["anchor", "hot", "doc_id", "key", "at", "windows"],
-            )
+def _answers(rows: pa.Table) -> dict[int, np.ndarray]:
+    return {b: np.frombuffer(x, np.uint8) for b, x in zip(rows.column("block").to_pylist(), rows.column("body").to_pylist(), strict=True)}
+
+
+def _estimated(c: Chunk, bits: dict[int, np.ndarray], width: int, block: int) -> np.ndarray:
+    """Which different windows of a chunk the sketch estimates repeated."""
+    hit = np.ones(len(c.a), bool)
+    for r in range(DEPTH):
+        got, back = np.unique(c.cells(r, width), return_inverse=True)
+        mask = np.zeros(len(got), bool)
+        for i, j in zip(*vec.stretches(got // block), strict=True):
+            mask[i:j] = np.unpackbits(bits[int(got[i]) // block + r * ((1 << width) // block)], count=j - i)
+        hit &= mask[back]
+    return hit
+
+
+def _buckets(a: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket, first and last of the slices of ascending hashes."""
+    of = (a >> np.uint64(64 - bits)).astype(np.int64)
+    i, j = vec.stretches(of)
+    return of[i], i, j
+
+
+def _ask(size: int, width: int, block: int, bits: int):
+    """Pass two: windows estimated repeated, by bucket, as hashes and the least document of the chunk."""
+
+    def run(texts: pa.Table, sketch: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            return _sent(0, [], [])
+        c = Chunk(texts, size)
+        c.group(True)
+        hit = np.flatnonzero(_estimated(c, _answers(sketch), width, block))
+        code = np.stack((c.a[hit].view(np.int64), c.b[hit].view(np.int64), c.least[hit]), axis=1)
+        name, i, j = _buckets(c.a[hit], bits)
+        vec.release()
+        return _sent(_number(texts), name.tolist(), [code[x:y].tobytes() for x, y in zip(i, j, strict=True)])
 
     return run
 
 
-def _later(rows: pa.Table) -> pa.RecordBatch:
-    """Of whole minimiser groups, each run's windows that start in a document with a smaller id, as bits."""
-    lists = rows.column("windows").chunk(0)
-    cut = lists.offsets.to_numpy().astype(np.int64)
-    n = np.diff(cut)
-    row = np.repeat(np.arange(len(n)), n)
-    window = lists.flatten().to_numpy()
-    anchor, doc = rows.column("anchor").to_numpy()[row], rows.column("doc_id").to_numpy()[row]
-    order = np.lexsort((doc, window, anchor))
-    wo, ao = window[order], anchor[order]
-    head = np.append(True, (wo[1:] != wo[:-1]) | (ao[1:] != ao[:-1]))
-    least = doc[order][np.flatnonzero(head)][np.cumsum(head) - 1]
-    late = np.zeros(len(row), np.int64)
-    late[order] = doc[order] > least
-    bit = late << (np.arange(len(row)) - np.repeat(cut[:-1] - cut[0], n))
-    mask = np.add.reduceat(bit, cut[:-1] - cut[0]) if len(n) else bit
-    keep = np.flatnonzero(mask)
-    return pa.RecordBatch.from_arrays([rows.column("key").chunk(0).take(pa.array(keep)), rows.column("at").chunk(0).take(pa.array(keep)), pa.array(mask[keep].astype(np.int32))], names=["key", "at", "mask"])
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in vec.whole_groups(batches, "anchor"):
-        yield _later(rows)
-
-
-def _apply(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, offs = vec.flat(batch.column("text"))
-            starts, ends, first = vec.words(buf, offs)
-            got = batch.column("hits")
-            cut = got.offsets.to_numpy()
-            cut = cut - cut[0]
-            item = got.flatten()
-            at, mask = item.field("at").to_numpy(), item.field("mask").to_numpy()
-            n = np.diff(first)
-            removed, kept, digest = [], [], []
-            for i in range(batch.num_rows):
-                s, e = starts[first[i] : first[i + 1]], ends[first[i] : first[i + 1]]
-                own = slice(cut[i], cut[i + 1])
-                hit = np.concatenate([at[own][(mask[own] >> b) & 1 > 0] + b for b in range(size)])
-                gone = vec.marked(hit, np.full(len(hit), size), len(s)) if len(hit) else np.zeros(len(s), bool)
-                left = b" ".join(buf[a:b].tobytes() for a, b in zip(s[~gone].tolist(), e[~gone].tolist(), strict=True))
-                removed.append(int(gone.sum()))
-                kept.append(left)
-                digest.append(hashlib.sha256(left).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("first_id"), pa.array(n), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())], names=["key", "first_id", "n_words", "n_removed", "kept_sha256", "kept"])
+def _settle(rows: pa.Table) -> pa.Table:
+    """A bucket: of each window whether another chunk has a lesser document, one bit each in the order asked."""
+    bodies = rows.column("body").to_pylist()
+    code = np.frombuffer(b"".join(bodies), np.int64).reshape(-1, 3)
+    a, b, doc = code[:, 0].view(np.uint64), code[:, 1], code[:, 2]
+    order = np.lexsort((b, a))
+    fresh = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))
+    least = np.minimum.reduceat(doc[order], np.flatnonzero(fresh))
+    later = np.zeros(len(doc), bool)
+    later[order] = doc[order] > least[np.cumsum(fresh) - 1]
+    cut = np.append(0, np.cumsum([len(x) // 24 for x in bodies]))
+    answer = [np.packbits(later[i:j]).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+    return pa.table([rows.column("chunk"), rows.column("block"), pa.array(answer, pa.binary())], names=["chunk", "block", "body"])
+
+
+_LEFT = "key binary, first_id long, n_words long, n_removed long, kept_sha256 string"
+
+
+def _apply(size: int, width: int, block: int, bits: int, keep: bool):
+    """Pass three: cover the windows of lesser documents, digest the words left."""
+    names = ["key", "first_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if keep else [])]
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary()] if keep else [])]
+            return pa.table([pa.array([], k) for k in kinds], names=names)
+        c = Chunk(texts, size)
+        c.group(True)
+        exact = answers.column("exact").to_numpy(zero_copy_only=False)
+        hit = np.flatnonzero(_estimated(c, _answers(answers.filter(pa.array(~exact))), width, block))
+        other = _answers(answers.filter(pa.array(exact)))
+        elsewhere = np.zeros(len(c.a), bool)
+        for name, i, j in zip(*_buckets(c.a[hit], bits), strict=True):
+            elsewhere[hit[i:j]] = np.unpackbits(other[int(name)], count=j - i)
+        of = np.cumsum(c.fresh) - 1
+        gone = np.zeros(len(c.at), bool)
+        gone[c.order] = elsewhere[of] | (c.doc[c.order] > c.least[of])
+        at = c.at[gone]
+        s, e = vec.spans(at, np.full(len(at), size))
+        marks = np.zeros(len(c.starts) + 1, np.int8)
+        marks[s] += 1
+        marks[e] -= 1
+        cover = np.cumsum(marks[:-1], dtype=np.int8) > 0
+        n, removed = np.diff(c.first), np.diff(np.append(0, np.cumsum(cover, dtype=np.int64))[c.first])
+        digest, kept = [], []
+        view = memoryview(c.buf)
+        for i in range(len(n)):
+            mine = slice(c.first[i], c.first[i + 1])
+            left = ~cover[mine]
+            text = b" ".join([view[x:y] for x, y in zip(c.starts[mine][left].tolist(), c.ends[mine][left].tolist(), strict=True)])
+            digest.append(hashlib.sha256(text).hexdigest())
+            if keep:
+                kept.append(text)
+        vec.release()
+        return pa.table([c.key, pa.array(c.doc_id), pa.array(n), pa.array(removed), pa.array(digest, pa.string()), *([pa.array(kept, pa.binary())] if keep else [])], names=names)
 
     return run
 
@@ -225,55 +276,68 @@ def _key(text: Column) -> Column:
     return F.substring(text_key(text), 1, 16).alias("key")
 
 
-def window_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 13, gram: int = 6, cells: int = CELLS, hot: int = HOT) -> DataFrame:
+def window_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 13, chunk_bytes: int = CHUNK_BYTES, width: int | None = None, keep: bool = True) -> DataFrame:
     """Words of every different text of ``docs`` that no window shared with an earlier document covers.
 
     A window is ``size`` consecutive words of one document; it goes wherever its
     word sequence also starts in a document with a smaller ``doc_id``. A null id
     counts as larger than any other, equal ids as one document. Of rows with the
     same text, all but those of the least id lose every word (texts under
-    ``size`` words have no window and lose none). Null is the empty text.
+    ``size`` words have no window and lose none). Null is the empty text; a very
+    long text is a chunk of its own weight and is processed whole. Other columns
+    are not read, so their names cannot clash.
     Returns key (128 bits of the text's SHA-256), first_id (the least id with that text),
-    n_words, n_removed, kept_sha256, kept (bytes, words joined by one space);
-    an empty table gives no rows.
+    n_words, n_removed, kept_sha256 and, if ``keep``, kept (bytes, words joined by
+    one space); an empty table gives no rows. A row of the sketch has
+    2**``width`` cells, by default four or more a window of the input.
     """
-    if cells % (BLOCK * DEPTH):
-        raise ValueError(f"cells must be a multiple of {BLOCK * DEPTH}")
-    spark = docs.sparkSession
     top = F.lit(2**63 - 1)
     one = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    texts = docs.select(_key(one), one.alias("text"), F.coalesce(F.col(doc_id).cast("long"), top).alias("doc_id")).groupBy("key").agg(F.first("text").alias("text"), F.min("doc_id").alias("doc_id"))
-    raw = docs.select(one.alias("text"))
-    sent = spark.sparkContext.broadcast([tuple(r) for r in sketch_bits(raw, size, gram, cells, hot)])
-    found = texts.mapInArrow(_candidates(size, gram, cells, sent), _FOUND)
     n = parts(docs)
-    usual = found.where("not hot").repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_groups, "key binary, at int, mask int")
-    spread = found.where("hot").select("anchor", "doc_id", "key", "at", F.posexplode("windows").alias("place", "window"))
-    least = spread.groupBy("anchor", "window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    busy = spread.join(least, ["anchor", "window"]).where("doc_id > least").select("key", (F.col("at") + F.col("place")).alias("at"), F.lit(1).alias("mask"))
-    hits = usual.unionByName(busy).groupBy("key").agg(F.collect_list(F.struct("at", "mask")).alias("hits"))
-    none = F.array().cast("array<struct<at:int,mask:int>>")
-    return texts.join(hits, "key", "left").select("key", "text", F.col("doc_id").alias("first_id"), F.coalesce("hits", none).alias("hits")).mapInArrow(_apply(size), "key binary, first_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
+    total = docs.agg(F.sum(F.octet_length(one))).first()[0] or 0
+    chunks = max(n, -(-total // chunk_bytes))
+    # Partitions grow with the input too, so that a task has a few chunks however many there are.
+    n = max(n, -(-chunks // 4))
+    if width is None:
+        width = max(10, int(4 * total / 6).bit_length())
+    # Enough blocks and buckets for every task, and none larger than BLOCK cells.
+    bits = max((n - 1).bit_length(), width - (BLOCK.bit_length() - 1), 1)
+    block = max(1 << max(width - bits, 0), 1)
+    rows = docs.select(_key(one), F.coalesce(F.col(doc_id).cast("long"), top).alias("doc_id"), one.alias("text"))
+    rows = rows.select(F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int").alias("chunk"), "key", "doc_id", "text")
+    texts = rows.mapInArrow(_combine, _TEXTS).repartition(n, "chunk")
+
+    def by(sent: DataFrame, key: str) -> DataFrame:
+        return sent.repartition(n, key)
+
+    sketch = by(texts.groupBy("chunk").applyInArrow(_count(size, width, block), _SENT), "block").groupBy("block").applyInArrow(_add(block), _SENT)
+    asked = texts.groupBy("chunk").cogroup(by(sketch, "chunk").groupBy("chunk")).applyInArrow(_ask(size, width, block, bits), _SENT)
+    settled = by(asked, "block").groupBy("block").applyInArrow(_settle, _SENT)
+    answers = by(sketch.withColumn("exact", F.lit(False)).unionByName(settled.withColumn("exact", F.lit(True))), "chunk")
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_apply(size, width, block, bits, keep), _LEFT + ", kept binary" * keep)
 
 
 def op8_countmin_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with what the removal of 13-word windows of earlier documents leaves."""
-    docs = table(spark, sf_dir, "documents")
-    return window_dedup_rows(docs).drop("kept")
+    """Every document with what the removal of 13-word windows of earlier documents leaves.
+
+    Null texts are empty, null ids later than all others, copies after the least
+    id lose all words; see ``window_dedup``.
+    """
+    return window_dedup_rows(table(spark, sf_dir, "documents"), keep=False)
 
 
-def window_dedup_rows(docs: DataFrame, size: int = 13, **options) -> DataFrame:
-    """``window_dedup`` by row of ``docs``: doc_id, n_words, n_removed, kept_sha256, kept."""
+def window_dedup_rows(docs: DataFrame, size: int = 13, keep: bool = True, **options) -> DataFrame:
+    """``window_dedup`` by row of ``docs``: doc_id, n_words, n_removed, kept_sha256 and, if ``keep``, kept."""
     top = F.lit(2**63 - 1)
     rows = docs.select("doc_id", _key(F.col("text").cast("string")))
-    left = window_dedup(docs, size=size, **options)
+    left = window_dedup(docs, size=size, keep=keep, **options)
     copy = (F.coalesce(F.col("doc_id").cast("long"), top) > F.col("first_id")) & (F.col("n_words") >= size)
     return rows.join(left, "key").select(
         "doc_id",
         "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"),
         F.when(copy, F.sha2(F.lit(b""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
-        F.when(copy, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
+        *([F.when(copy, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] if keep else []),
     )
 
 
