@@ -47,12 +47,14 @@ def signatures(element: np.ndarray, weight: np.ndarray, owner: np.ndarray, n: in
     rank = np.full(n * t, np.inf)
     live = weight > 0
     element, weight, owner = element[live], weight[live], owner[live]
-    layers = np.ceil(weight).astype(np.int64)
+    # The plane is cut at weights 1, 2, 4, 8, ...; the last layer counts up to the weight only.
+    layers = 1 + np.ceil(np.log2(np.maximum(weight, 1.0))).astype(np.int64)
     low, high, band = 0.0, FIRST, 0
     while len(element):
-        mean = t * (high - low)
-        # The plane is cut into unit weights; the last one counts up to the weight only.
         for layer in range(int(layers.max())):
+            floor_ = 0.0 if layer == 0 else 2.0 ** (layer - 1)
+            tall = max(1.0, floor_)
+            mean = t * (high - low) * tall
             here = np.flatnonzero(layers > layer)
             region = mix(element[here] ^ mix(np.array([seed * 1_000_003 + band * 4099 + layer], np.uint64)))
             # Pieces keep a dense band at few darts at a time.
@@ -66,7 +68,7 @@ def signatures(element: np.ndarray, weight: np.ndarray, owner: np.ndarray, n: in
                     continue
                 nth = np.arange(len(src)) - np.repeat(np.cumsum(many[hit]) - many[hit], many[hit])
                 dart = mix(seedling[src] + (nth + 1).astype(np.uint64) * _G)
-                at = layer + _unit(mix(dart ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+                at = floor_ + tall * _unit(mix(dart ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
                 ok = at < weight[here[src]]
                 dart, src = dart[ok], src[ok]
                 width = (high - low) / pieces

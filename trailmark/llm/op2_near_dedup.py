@@ -26,19 +26,16 @@ from .common import cut, parts, table
 from .dart import signatures
 from .graph import components
 
-_POW = vec.Powers(vec.BASE)
-
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingle hashes by document, their document, and how often each occurs in it; a text of under k words has one shingle of all its words."""
     starts, ends, first = vec.words(buf, offs)
-    hashes = vec.Rolling(buf, _POW).of(starts, ends)
+    word = vec.FIELD.words(buf, starts, ends)
     at, doc = vec.windows(first, k)
     n = np.diff(first)
-    short = np.flatnonzero((n > 0) & (n < k))
-    roll = vec.Rolling(hashes, _POW)
-    h = np.concatenate((roll.of(at, at + k), roll.of(first[short], first[short + 1])))
-    doc = np.concatenate((doc, short))
+    short = [np.flatnonzero(n == i) for i in range(1, k)]
+    h = np.concatenate([vec.Field.join([g[at] for g in vec.FIELD.grams(word, k)]), *(vec.Field.join(vec.FIELD.at(word, first[d], i + 1)) for i, d in enumerate(short))])
+    doc = np.concatenate((doc, *short))
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     head = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))) if len(h) else np.zeros(0, np.int64)
@@ -212,16 +209,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the class of its near duplicates."""
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("th", "first")
+    """Every document with the class of its near duplicates, shingles weighted by how often a text has them.
+
+    Null texts and texts without words are classes of their own; see
+    ``near_duplicates``.
+    """
+    return near_duplicates(table(spark, sf_dir, "documents"), weighted=True).drop("th", "first")
 
 
 OP2_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
-l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE shared >= 0.8 * (a.n + b.n - shared) - 1e-9),
+s AS (SELECT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS g, count(*) AS k FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0) GROUP BY ALL),
+n AS (SELECT doc_id, count(*) AS n, sum(k) AS total FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.k, b.k)) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE shared >= 0.8 * (a.total + b.total - shared) - 1e-9),
 r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
 SELECT r.x AS doc_id, min(r.y) AS class_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, count(DISTINCT r.y) AS class_size
 FROM r LEFT JOIN n ON n.doc_id = r.x GROUP BY r.x
