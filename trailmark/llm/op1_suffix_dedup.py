@@ -32,8 +32,9 @@ GRAM = 160
 
 
 def _contexts(buf: np.ndarray, offs: np.ndarray, m: int, gram: int):
-    """Runs of window starts by minimiser: document, start, count, minimiser hash, hash of the covered bytes."""
+    """Runs of window starts by minimiser: text, start, count, minimiser hash, two hashes of the covered bytes."""
     w = m - gram + 1
+    # What files starts together may collide; what calls their bytes equal is 124 bits over a prime field.
     roll = vec.Rolling(buf, _POW)
     least = vec.sliding_argmin(roll.grams(gram), w)
     count = np.maximum(np.diff(offs) - m + 1, 0)
@@ -52,22 +53,31 @@ def _contexts(buf: np.ndarray, offs: np.ndarray, m: int, gram: int):
     anchor = roll.of(at, at + gram)
     end = first + n - 1 + m
     doc = np.searchsorted(offs, first, side="right") - 1
-    return doc, first - offs[doc], n, anchor, vec.Rolling(buf, _POW2).of(first, end)
+    return doc, first - offs[doc], n, anchor, _join(buf, first, end, vec.Field.FIRST), _join(buf, first, end, vec.Field.SECOND)
 
 
-_POW, _POW2 = vec.Powers(vec.BASE), vec.Powers(vec.BASE2)
-_CONTEXT = "anchor long, bytes long, key binary, start int, n int"
+def _join(buf: np.ndarray, start: np.ndarray, end: np.ndarray, which: tuple[int, int]) -> np.ndarray:
+    return vec.Field.join(vec.FIELD.spans(buf, start, end, which))
+
+
+_POW = vec.Powers(vec.BASE)
+_CONTEXT = "anchor long, bytes long, bytes2 long, key binary, start int, n int"
 
 
 def _find(m: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, buf, offs in vec.slices(batches, "text"):
-            doc, start, n, anchor, c = _contexts(buf, offs, m, gram)
-            if len(doc):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(c.view(np.int64)), part.column("key").take(pa.array(doc)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["anchor", "bytes", "key", "start", "n"],
-                )
+        for batch in batches:
+            whole, offs = vec.flat(batch.column("text"))
+            # A text of any length is cut into parts that share m - 1 bytes, so that each start is in one.
+            for text, s, e in vec.pieces(offs, m - 1):
+                buf, lead = whole[s[0] : e[-1]], np.append(s, e[-1]) - s[0]
+                doc, start, n, anchor, one, two = _contexts(buf, lead, m, gram)
+                if len(doc):
+                    at = (s - offs[text])[doc] + start
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(anchor.view(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column("key").take(pa.array(text[doc])), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))],
+                        names=["anchor", "bytes", "bytes2", "key", "start", "n"],
+                    )
         vec.release()
 
     return run
@@ -79,11 +89,11 @@ def _sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     A group of several contexts that all occur twice is settled by its counts.
     """
     for t in vec.whole_groups(batches, "anchor"):
-        anchor, kind = t.column("anchor").to_numpy(), t.column("bytes").to_numpy()
-        order = np.lexsort((kind, anchor))
-        a, k = anchor[order], kind[order]
+        anchor, kind, two = (t.column(c).to_numpy() for c in ("anchor", "bytes", "bytes2"))
+        order = np.lexsort((two, kind, anchor))
+        a, k, k2 = anchor[order], kind[order], two[order]
         group = np.append(True, a[1:] != a[:-1])
-        fresh = group | np.append(True, k[1:] != k[:-1])
+        fresh = group | np.append(True, (k[1:] != k[:-1]) | (k2[1:] != k2[:-1]))
         which = np.cumsum(fresh) - 1
         times = np.bincount(which)
         head = np.flatnonzero(fresh)
@@ -174,13 +184,12 @@ def _hash_windows(m: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offs in vec.slices(batches, "data"):
-            a, b = vec.Rolling(buf, _POW), vec.Rolling(buf, _POW2)
             count = np.diff(offs) - m + 1
             doc = np.repeat(np.arange(len(count)), count)
             rel = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
             s = offs[doc] + rel
             start = part.column("start").to_numpy()[doc] + rel
-            yield pa.RecordBatch.from_arrays([pa.array(a.of(s, s + m).view(np.int64)), pa.array(b.of(s, s + m).view(np.int64)), part.column("key").take(pa.array(doc)), pa.array(start.astype(np.int32))], names=["w1", "w2", "key", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(_join(buf, s, s + m, vec.Field.FIRST).view(np.int64)), pa.array(_join(buf, s, s + m, vec.Field.SECOND).view(np.int64)), part.column("key").take(pa.array(doc)), pa.array(start.astype(np.int32))], names=["w1", "w2", "key", "start"])
 
     return run
 
@@ -201,15 +210,11 @@ def _apply(m: int, keep: bool):
                 s, c = start[at[i] : at[i + 1]], n[at[i] : at[i + 1]]
                 if copies[i] > 1 and len(text) >= m:
                     s, c = np.zeros(1, np.int64), np.array([len(text) - m + 1])
-                if len(s):
-                    gone = vec.marked(s, c + (m - 1), len(text))
-                    left = text[~gone].tobytes()
-                    removed.append(int(gone.sum()))
-                    spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-                else:
-                    left = text.tobytes()
-                    removed.append(0)
-                    spans.append(0)
+                i0, j0 = vec.spans(s.astype(np.int64), c + np.int64(m - 1))
+                view = memoryview(text)
+                left = b"".join([view[x:y] for x, y in zip([0, *j0.tolist()], [*i0.tolist(), len(text)], strict=True)])
+                removed.append(len(text) - len(left))
+                spans.append(len(i0))
                 digest.append(hashlib.sha256(left).hexdigest())
                 if keep:
                     kept.append(left)
@@ -234,6 +239,8 @@ def suffix_dedup(docs: DataFrame, text: str = "text", min_bytes: int = 400, gram
     occurrences count and all strings are judged on the input. Texts that
     several rows share occur as often as they have rows. Null is the empty
     text, which is never changed; neither is a text shorter than ``min_bytes``.
+    Texts of any length are searched whole, in parts that overlap. Ids play no
+    part, so null and equal ones are fine; other columns are not read.
     An empty table gives no rows. Returns key (128 bits of the text's SHA-256), n_bytes,
     n_removed, n_spans, kept_sha256 and, if
     ``keep_bytes``, kept (the bytes).
@@ -247,8 +254,8 @@ def suffix_dedup(docs: DataFrame, text: str = "text", min_bytes: int = 400, gram
     often = cut(often)
     sorted_out = found.join(often, "anchor", "left_anti").repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_sort_out, "key binary, anchor long, start int, n int, contexts int")
     crowd = found.join(often, "anchor", "left_semi")
-    kinds = crowd.groupBy("anchor", "bytes").agg(F.min(F.struct("key", "start", "n")).alias("one"), F.count(F.lit(1)).alias("times"))
-    copied = crowd.join(kinds.where("times > 1").select("anchor", "bytes"), ["anchor", "bytes"], "left_semi").select("key", "anchor", "start", "n", F.lit(0).alias("contexts"))
+    kinds = crowd.groupBy("anchor", "bytes", "bytes2").agg(F.min(F.struct("key", "start", "n")).alias("one"), F.count(F.lit(1)).alias("times"))
+    copied = crowd.join(kinds.where("times > 1").select("anchor", "bytes", "bytes2"), ["anchor", "bytes", "bytes2"], "left_semi").select("key", "anchor", "start", "n", F.lit(0).alias("contexts"))
     lone = kinds.groupBy("anchor").agg(F.count(F.lit(1)).cast("int").alias("contexts"), F.min("times").alias("least")).where("contexts > 1 and least = 1")
     asked = kinds.join(lone, "anchor").select("one.key", "anchor", "one.start", "one.n", "contexts")
     settled = cut(sorted_out.unionByName(copied).unionByName(asked))
