@@ -57,12 +57,13 @@ def first_reliable(df: DataFrame, by: list[str], order: list[Column], floor: str
 def circular_median(df: DataFrame, by: list[str], order: str, value: str, half: int) -> DataFrame:
     """Median of each row and its ``half`` neighbours either side on a closed ring, as ``local``.
 
-    The ring's ends are copied past each other, so a plain frame is enough.
+    The ring's ends are copied past each other as often as ``half`` asks, so a
+    plain frame is enough; on a ring shorter than the frame rows count again.
     """
     n = F.count(F.lit(1)).over(Window.partitionBy(*by))
     pos = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
     ring = df.withColumns({"__n": n, "__p": pos})
-    copies = ring.withColumn("__c", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("__q", F.col("__p") + F.col("__c") * F.col("__n"))
+    copies = ring.withColumn("__c", F.explode(F.sequence(-F.ceil(half / F.col("__n")), F.ceil(half / F.col("__n"))))).withColumn("__q", F.col("__p") + F.col("__c") * F.col("__n"))
     near = copies.where((F.col("__q") >= -half) & (F.col("__q") < F.col("__n") + half))
     w = Window.partitionBy(*by).orderBy("__q").rowsBetween(-half, half)
     return near.withColumn("local", F.percentile(value, F.lit(0.5)).over(w)).where("__c = 0").drop("__n", "__p", "__c", "__q")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from . import derived, paths, relational, series, spatial
+    from . import derived, intake, paths, relational, series, spatial
 
-    return {**series.QUERIES, **relational.QUERIES, **spatial.QUERIES, **derived.QUERIES, **paths.QUERIES}
+    return {**series.QUERIES, **relational.QUERIES, **spatial.QUERIES, **derived.QUERIES, **paths.QUERIES, **intake.QUERIES}
 
 
 def all_sql() -> dict[str, str]:
-    from . import derived, paths, relational, series, spatial
+    from . import derived, intake, paths, relational, series, spatial
 
-    return {**series.SQL, **relational.SQL, **spatial.SQL, **derived.SQL, **paths.SQL}
+    return {**series.SQL, **relational.SQL, **spatial.SQL, **derived.SQL, **paths.SQL, **intake.SQL}

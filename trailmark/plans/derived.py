@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..operators import geometry as G
 from ..operators import penalties as N
 from ..operators import stats as S
 from .series import EV, R, events, read
@@ -29,8 +30,9 @@ def query(sql: str | None = None):
 def off_grid_penalty(spark, d):
     p = points(spark, d).withColumn("known", F.col("id") % 4 == 0)
     k = p.where("known").select("floor", F.col("x").alias("rx"), F.col("y").alias("ry"))
-    near = p.join(k, "floor").groupBy("id").agg(F.min(X.euclid(F.col("x") - F.col("rx"), F.col("y") - F.col("ry"))).alias("d"))
-    return p.join(near, "id").select("id", R(N.off_grid(F.col("known"), F.col("d"))).alias("off_grid"), R(N.density(F.col("x") / 10)).alias("dense"))
+    # Beyond ten metres the penalty is nothing, whatever the distance.
+    near = G.near_pairs(p, k, ["floor"], 10.0).groupBy("id").agg(F.min("distance").alias("d"))
+    return p.join(near, "id", "left").withColumn("d", F.coalesce("d", F.lit(10.0))).select("id", R(N.off_grid(F.col("known"), F.col("d"))).alias("off_grid"), R(N.density(F.col("x") / 10)).alias("dense"))
 
 
 @query(f"WITH {EV}, r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY k, t) AS r FROM e), s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value, r) AS s FROM r WHERE r <= 20) SELECT user_id, round(1.5 * avg(value) + 1.5 * min(value), 6) AS penalty FROM s WHERE s <= 10 GROUP BY user_id")
@@ -70,7 +72,7 @@ def first_reliable_candidate(spark, d):
     return N.first_reliable(o, ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")], "o_orderstatus", "ok").select("o_custkey", "o_orderkey", "tried", "found")
 
 
-@query("WITH s AS (SELECT p_brand, p_partkey, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part) SELECT a.p_partkey, median(b.p_size) AS local FROM s a JOIN s b ON a.p_brand = b.p_brand AND least((a.i - b.i + a.n) % a.n, (b.i - a.i + a.n) % a.n) <= 4 GROUP BY a.p_partkey")
+@query("WITH s AS (SELECT p_brand, p_partkey, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part) SELECT a.p_partkey, median(b.p_size) AS local FROM s a, range(-4, 5) t(o) JOIN s b ON a.p_brand = b.p_brand AND b.i = (a.i + o + 4 * a.n) % a.n GROUP BY a.p_partkey")
 def circular_median(spark, d):
     return N.circular_median(read(spark, d, "part").select("p_brand", "p_partkey", "p_size"), ["p_brand"], "p_partkey", "p_size", 4).select("p_partkey", "local")
 
@@ -126,14 +128,9 @@ def compare_submissions(spark, d):
     return a.join(b, "o_orderkey", "full").agg(F.count_if(F.col("a").isNull()).alias("only_b"), F.count_if(F.col("b").isNull()).alias("only_a"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both"), R(F.avg(F.abs(F.col("a") - F.col("b"))), 4).alias("distance"))
 
 
-@query(f"WITH {EV}, s AS (SELECT user_id, k, max(value) AS v FROM e GROUP BY ALL) SELECT a.user_id, min_by(b.user_id, abs(a.v - b.v) * 1000000 + b.user_id) AS other, round(min(abs(a.v - b.v)), 6) AS gap FROM s a JOIN s b ON a.k = b.k AND a.user_id <> b.user_id WHERE a.k < 3 GROUP BY a.user_id")
+@query(f"WITH {EV}, s AS (SELECT user_id, k, max(value) AS v FROM e GROUP BY ALL), g AS (SELECT a.user_id, b.user_id AS other, round(abs(a.v - b.v), 6) AS gap FROM s a JOIN s b ON a.k = b.k AND a.user_id <> b.user_id) SELECT user_id, min_by(other, struct_pack(g := gap, o := other)) AS other, min(gap) AS gap FROM g GROUP BY user_id")
 def nearest_other_trail(spark, d):
-    """Over the emitters its SQL asks for; ``nearest_other_trail_all`` takes all."""
-    s = events(spark, d).where("k < 3").groupBy("user_id", "k").agg(F.max("value").alias("v"))
-    o = s.select(F.col("user_id").alias("other"), "k", F.col("v").alias("w"))
-    gap = F.abs(F.col("v") - F.col("w"))
-    j = s.join(o, "k").where("user_id <> other")
-    return j.groupBy("user_id").agg(F.min_by("other", gap * 1000000 + F.col("other")).alias("other"), R(F.min(gap)).alias("gap"))
+    return nearest_other_trail_all(spark, d)
 
 
 @query()
@@ -152,8 +149,8 @@ def nearest_other_trail_all(spark, d):
     g = g.join(second, ["k", "v"], "left").withColumns({"lo": F.lag(at).over(w), "hi": F.lead(at).over(w)})
     same = F.struct(F.col("v").alias("w"), F.when(F.col("user_id") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other"))
     j = s.join(g, ["k", "v"]).select("user_id", "v", F.explode(F.array(same, "lo", "hi")).alias("o")).where("o.other is not null")
-    best = F.min(F.struct(F.abs(F.col("v") - F.col("o.w")).alias("gap"), F.col("o.other").alias("other"))).alias("m")
-    return j.groupBy("user_id").agg(best).select("user_id", F.col("m.other").alias("other"), R("m.gap").alias("gap"))
+    best = F.min(F.struct(R(F.abs(F.col("v") - F.col("o.w"))).alias("gap"), F.col("o.other").alias("other"))).alias("m")
+    return j.groupBy("user_id").agg(best).select("user_id", F.col("m.other").alias("other"), F.col("m.gap").alias("gap"))
 
 
 @query("SELECT p_size, x.code FROM (SELECT DISTINCT p_size FROM part) JOIN (SELECT p_size, dense_rank() OVER (ORDER BY n DESC, p_size::VARCHAR) - 1 AS code FROM (SELECT p_size, count(*) AS n FROM part GROUP BY 1)) x USING (p_size)")

@@ -56,9 +56,12 @@ def _vector_pairs(spark, d, same_label: bool):
     e = read(spark, d, "embeddings")
     q = e.where("vec_id % 5 = 0").select("vec_id", "label", F.col("embedding").alias("a"))
     r = e.select(F.col("vec_id").alias("other"), F.col("label").alias("other_label"), F.col("embedding").alias("b"))
-    # A stated query set against every row; same_label keeps it within a floor.
-    pairs = q.join(r, (F.col("label") == F.col("other_label")) & (F.col("vec_id") != F.col("other"))) if same_label else q.join(F.broadcast(r), F.col("vec_id") != F.col("other"))
-    return pairs.withColumn("d", X.vector_l1(F.col("a"), F.col("b")))
+    # A stated query set against every row, in blocks of the rows, so that neither side is sent whole and a common label is no single task.
+    blocks = max(1, -(-e.count() // 2000))
+    r = r.withColumn("block", F.pmod(F.xxhash64("other"), F.lit(blocks)).cast("int"))
+    q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    on = [q["block"] == r["block"], F.col("vec_id") != F.col("other")] + ([F.col("label") == F.col("other_label")] if same_label else [])
+    return q.join(r, on).drop("block").withColumn("d", X.vector_l1(F.col("a"), F.col("b")))
 
 
 @query("WITH " + EM.format(on="q.label = r.label") + ", k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, other) AS r, min(d) OVER (PARTITION BY vec_id) AS lo FROM pr QUALIFY r <= 20) SELECT vec_id, round(sum(((d + 1e-5) / (lo + 1e-5)) ** -4 * other) / sum(((d + 1e-5) / (lo + 1e-5)) ** -4), 3) AS position FROM k GROUP BY vec_id")
@@ -68,7 +71,7 @@ def knn_embedding_top20(spark, d):
 
 
 @query(
-    "WITH e AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id < 500), pr AS (SELECT q.vec_id, r.label AS floor, min(list_sum(list_transform(list_zip(q.embedding, r.embedding), lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE)))) AS d FROM e q JOIN e r ON q.vec_id <> r.vec_id WHERE q.vec_id % 5 = 0 GROUP BY 1, 2), t AS (SELECT vec_id // 50 AS trail, floor, avg(d) AS s FROM pr GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY trail ORDER BY s, floor) AS r FROM t) SELECT trail, max(floor) FILTER (r = 1) AS best, round(max(s) FILTER (r = 1), 6) AS best_score, max(floor) FILTER (r = 2) AS second, round(max(s) FILTER (r = 2) - max(s) FILTER (r = 1), 6) AS gap_2, round(max(s) FILTER (r = 3) - max(s) FILTER (r = 1), 6) AS gap_3 FROM k GROUP BY trail".replace(" WHERE vec_id < 500", "")
+    "WITH e AS (SELECT vec_id, label, embedding FROM embeddings), pr AS (SELECT q.vec_id, r.label AS floor, min(list_sum(list_transform(list_zip(q.embedding, r.embedding), lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE)))) AS d FROM e q JOIN e r ON q.vec_id <> r.vec_id WHERE q.vec_id % 5 = 0 GROUP BY 1, 2), t AS (SELECT vec_id // 50 AS trail, floor, avg(d) AS s FROM pr GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY trail ORDER BY s, floor) AS r FROM t) SELECT trail, max(floor) FILTER (r = 1) AS best, round(max(s) FILTER (r = 1), 6) AS best_score, max(floor) FILTER (r = 2) AS second, round(max(s) FILTER (r = 2) - max(s) FILTER (r = 1), 6) AS gap_2, round(max(s) FILTER (r = 3) - max(s) FILTER (r = 1), 6) AS gap_3 FROM k GROUP BY trail"
 )
 def floor_by_mean_min(spark, d):
     low = _vector_pairs(spark, d, False).groupBy("vec_id", F.col("other_label").alias("floor")).agg(F.min("d").alias("d"))
@@ -108,7 +111,7 @@ def sparse_fingerprint_distance(spark, d):
 @query(FP + ", best AS (SELECT site, fn, day, pos, distance FROM dist QUALIFY row_number() OVER (PARTITION BY site, fn, day ORDER BY distance, pos) = 1), s AS (SELECT DISTINCT user_id % 5 AS site, user_id AS fn, t // 86400000000 AS day FROM sc) SELECT site, fn, day, coalesce(pos, 0) AS pos, round(coalesce(distance, 999), 5) AS distance FROM s LEFT JOIN best USING (site, fn, day)")
 def triangulate_top1(spark, d):
     q, m, scans = _fingerprint(spark, d)
-    return P.triangulate(scans, P.distances(q, m, ["site"], ["fn", "day"]), ["site", "fn", "day"]).withColumn("distance", R("distance", 5))
+    return P.nearest_position(scans, q, m, ["site"], ["fn", "day"]).withColumn("distance", R("distance", 5))
 
 
 @query(FP + ", nq AS (SELECT site, fn, day, count(*) AS nq FROM q GROUP BY ALL), nm AS (SELECT site, pos, count(*) AS nm FROM m GROUP BY ALL), bo AS (SELECT q.site, fn, day, pos, avg(least(30, abs(rq - rm))) AS d, count(*) AS n FROM q JOIN m USING (site, k) GROUP BY ALL) SELECT site, fn, day, pos, round(coalesce(d, 30) + (0.8 - least(0.8, coalesce(n, 0) / greatest(20, least(nq, nm))::DOUBLE)) * 40, 5) AS distance FROM nq JOIN nm USING (site) LEFT JOIN bo USING (site, fn, day, pos)")
