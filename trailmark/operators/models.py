@@ -59,6 +59,67 @@ def fit_emitters(readings: DataFrame, by: list[str], scale: float = 20.0) -> Dat
     return some.groupBy(*by).applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in by) + ", x double, y double, power double, error double, n long")
 
 
+def locate_by_emitters(readings: DataFrame, emitters: DataFrame, by: list[str], scan: list[str], scale: float = 20.0) -> DataFrame:
+    """Place of each scan from fitted emitters (emitter, x, y, power, error): the least sum of misses in strength, better emitters counting more.
+
+    ``readings`` has emitter and rssi. The search begins at the strongest known
+    emitter; a scan of no known emitter is absent.
+    """
+    known = readings.join(emitters.select(*by, "emitter", F.col("x").alias("ex"), F.col("y").alias("ey"), "power", "error"), [*by, "emitter"])
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["rssi", "emitter"], ascending=[False, True])
+        at, power, rssi = pdf[["ex", "ey"]].to_numpy(float), pdf["power"].to_numpy(float), pdf["rssi"].to_numpy(float)
+        weight = 1 / (1 + pdf["error"].to_numpy(float))
+        miss = lambda p: float((weight * np.abs(power - ((at - p) ** 2).sum(1) / scale - rssi)).sum() / weight.sum())
+        best = nelder_mead(miss, at[0].copy(), 2.0)
+        return pd.DataFrame([{c: pdf[c].iloc[0] for c in (*by, *scan)} | {"x": best[0], "y": best[1], "miss": miss(best), "emitters": len(pdf)}])
+
+    kinds = dict(readings.dtypes)
+    return known.groupBy(*by, *scan).applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in (*by, *scan)) + ", x double, y double, miss double, emitters int")
+
+
+def speed_band(distances: DataFrame, by: list[str], near: int = 10, fade: float = 0.8, speed: float = 4.0, tolerance: float = 2.0, power: float = 1.5, weight: float = 3.0, first: int = 20) -> DataFrame:
+    """Places of a trail's scans (scan in ms, pos, px, py, distance) that fit their fingerprints while the speed between them stays in a band.
+
+    Each scan starts from the mean of its ``first`` nearest positions, weighted by
+    the inverse fourth power of distance. The loss is the mean over scans of the
+    distances at the ``near`` positions around the place, fading by ``fade`` a
+    metre, and ``weight`` times the mean excess of the way to the next scan over
+    what ``speed`` km/h plus or minus ``tolerance`` allows. A group is one trail.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot(index="scan", columns="pos", values="distance").sort_index()
+        place = pdf.drop_duplicates("pos").set_index("pos").loc[wide.columns, ["px", "py"]].to_numpy(float)
+        d, hours = wide.to_numpy(float), np.diff(wide.index.to_numpy(float)) / 1000 / 3.6
+        top = np.argsort(d, axis=1, kind="stable")[:, :first]
+        low = np.take_along_axis(d, top, 1)
+        w = ((low + 1e-5) / (low[:, :1] + 1e-5)) ** -4
+        start = (place[top] * w[..., None]).sum(1) / w.sum(1)[:, None]
+
+        def loss(flat: np.ndarray) -> float:
+            at = flat.reshape(-1, 2)
+            way = np.hypot(at[:, None, 0] - place[None, :, 0], at[:, None, 1] - place[None, :, 1])
+            around = np.argsort(way, axis=1, kind="stable")[:, :near]
+            share = fade ** np.take_along_axis(way, around, 1)
+            signal = ((np.take_along_axis(d, around, 1) * share).sum(1) / share.sum(1)).mean()
+            gone = np.hypot(*np.diff(at, axis=0).T)
+            off = np.maximum(0, (speed - tolerance) * hours - gone) + np.maximum(0, gone - (speed + tolerance) * hours)
+            return float(signal + (weight * (off**power).mean() if len(off) else 0.0))
+
+        best = nelder_mead(loss, start.reshape(-1), 1.0, rounds=100 * start.size).reshape(-1, 2)
+        if loss(best.reshape(-1)) > loss(start.reshape(-1)):
+            best = start
+        out = pd.DataFrame({"scan": wide.index, "x0": start[:, 0], "y0": start[:, 1], "x": best[:, 0], "y": best[:, 1], "loss0": loss(start.reshape(-1)), "loss": loss(best.reshape(-1))})
+        for c in by:
+            out[c] = pdf[c].iloc[0]
+        return out[[*by, "scan", "x0", "y0", "x", "y", "loss0", "loss"]]
+
+    kinds = dict(distances.dtypes)
+    return distances.groupBy(*by).applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in (*by, "scan")) + ", x0 double, y0 double, x double, y double, loss0 double, loss double")
+
+
 def out_of_fold(df: DataFrame, features: list[str], target: str, fold: str, folds: int, **options) -> DataFrame:
     """``df`` with ``predicted``: gradient-boosted trees fitted on the other folds."""
     from pyspark.ml.feature import VectorAssembler
