@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, near-dedup, decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept; all
-but the last return the columns they were given. ``run`` writes what a stage
+but the last return the columns they were given, whatever their names; of an
+empty table each makes an empty one, and texts of any length are read whole. ``run`` writes what a stage
 returns in the shared folder and reads it again for the next.
 """
 
@@ -18,39 +19,51 @@ from trailmark.llm.op6_mixing import mix
 from trailmark.llm.op10_decontaminate import leaks
 
 
-def _with_key(docs: DataFrame) -> DataFrame:
+def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The same rows with columns named by their place, which no operator's own column clashes with, and those names."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def _with_key(docs: DataFrame, at: dict[str, str]) -> DataFrame:
     """Rows by id (null: empty) and hash of the text."""
-    return docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__t": F.xxhash64(F.col("text").cast("string"))})
+    return docs.withColumns({"d": F.coalesce(F.col(at["doc_id"]).cast("string"), F.lit("")), "t": F.xxhash64(F.col(at["text"]).cast("string"))})
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language compression tells; rejected ones go."""
+    """Documents whose language compression tells; rejected ones go, null texts and texts without letters among them."""
+    rows, at = _plain(docs)
     dicts = learn(docs.where(~held_out(F.col("doc_id"))).select("lang", "text"))
-    return identify(docs, dicts, keep_text=True).where("not rejected").select(*docs.columns)
+    return identify(rows, dicts, text=at["text"], keep_text=True).where("not rejected").select(*rows.columns).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, that of the least id."""
-    first = near_duplicates(docs).where("first").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__d"), F.col("th").alias("__h")).distinct()
+    """One document of each class of near duplicates, that of the least id (null first); a repeated row stays once, a text without words always."""
+    rows, at = _plain(docs)
+    first = near_duplicates(rows, at["text"], at["doc_id"]).where("first").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("d"), F.col("th").alias("h")).distinct()
     # near_duplicates hashes a null text as the empty one.
-    rows = _with_key(docs).withColumn("__h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    kept = rows.join(first, ["__d", "__h"]).withColumn("__n", F.row_number().over(Window.partitionBy("__d", "__h").orderBy("__h")))
-    return kept.where("__n = 1").select(*docs.columns)
+    keyed = _with_key(rows, at).withColumn("h", F.xxhash64(F.coalesce(F.col(at["text"]).cast("string"), F.lit(""))))
+    kept = keyed.join(first, ["d", "h"]).withColumn("n", F.row_number().over(Window.partitionBy("d", "h").orderBy("h")))
+    return kept.where("n = 1").select(*rows.columns).toDF(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
-    bad = leaks(docs, table(spark, sf_dir, "benchmark")).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__d"), F.col("th").alias("__t")).distinct()
-    return _with_key(docs).join(bad, ["__d", "__t"], "left_anti").select(*docs.columns)
+    """Documents that leak no benchmark item; null and empty texts leak none."""
+    rows, at = _plain(docs)
+    found = leaks(rows, table(spark, sf_dir, "benchmark"), at["text"], at["doc_id"])
+    bad = found.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("d"), F.col("th").alias("t")).distinct()
+    return _with_key(rows, at).join(bad, ["d", "t"], "left_anti").select(*rows.columns).toDF(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mix(docs).where("copies > 0").withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """Documents as often as the mix takes them, so rows may repeat; a null source is a source."""
+    rows, at = _plain(docs)
+    got = mix(rows, at["text"], at["source"], at["doc_id"]).where("copies > 0")
+    return got.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*rows.columns).toDF(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard and slot."""
+    """Documents with their shard and slot; columns named like its results are replaced."""
     return shard_documents(docs)
 
 
