@@ -59,3 +59,47 @@ def test_first_reliable_skips_seen_floors(spark):
 
 def test_off_grid_penalty(spark):
     assert spark.range(1).select(penalties.off_grid(F.lit(False), F.lit(4.0))).first()[0] == pytest.approx(4.8)
+
+
+def test_candidates_stand_as_known_points_do(spark):
+    ring = np.array([(0, 0), (60, 0), (60, 24), (0, 24)], float)
+    known = [(x, 1.5) for x in range(5, 56, 10)] + [(x, 22.5) for x in range(5, 56, 10)] + [(30.0, 12.0), (30.2, 12.1)]
+    o = spark.createDataFrame([(f, i, *map(float, p)) for f in ("f", "g") for i, p in enumerate(ring)], "floor string, i int, x double, y double")
+    k = spark.createDataFrame([("f", float(x), float(y)) for x, y in known] + [("h", 1.0, 1.0)], "floor string, x double, y double")
+    got = walls.generate_from_known(o, k, ["floor"]).toPandas()
+    assert set(got["floor"]) == {"f", "g"} and set(got["kind"]) == {"wall", "inner"}
+    f = got[got["floor"] == "f"]
+    p = f[["x", "y"]].to_numpy()
+    assert walls.inside(p, ring).all()
+    near = np.array([min(np.hypot(x - a, y - b) for a, b in known) for x, y in p])
+    assert near.min() >= 2.8 and near.max() <= 30.2
+    away, _, _ = walls.ring_places(f[f["kind"] == "wall"][["x", "y"]].to_numpy(), ring)
+    # Along a long wall candidates stand as far off as the known ones.
+    assert np.isclose(away, 1.5, atol=0.01).mean() > 0.6
+    d = np.hypot(*(p[:, None] - p[None]).transpose(2, 0, 1)) + 99 * np.eye(len(p))
+    assert d.min() > 1.0
+
+
+def test_wall_habits_and_local_medians():
+    ring = np.array([(0, 0), (10, 0), (10, 10), (0, 10)], float)
+    away, along, around = walls.ring_places(np.array([(2, 1), (9.5, 4), (5, 12), (0, 0)], float), ring)
+    assert around == 40 and list(away) == [1, 0.5, 2, 0] and list(along) == [2, 14, 25, 0]
+    v = walls.local_medians(np.array([1.0, 2.0, 9.0]), np.array([1.0, 3.0, 39.0]), 40.0, np.array([0.0, 20.0]), half=1, reach=5)
+    assert list(v) == [5.0, 2.0]
+    assert np.isnan(walls.local_medians(np.zeros(0), np.zeros(0), 4.0, np.array([1.0])))[0]
+    h = walls.wall_habits(np.array([(1, 0.3), (4, 0.3), (7, 0.3), (5, 5)], float), ring)
+    assert len(h["away"]) == 3 and h["usual"] == 3.0
+
+
+def test_floor_rings_are_scaled_and_simple(spark):
+    outer = [(10, 20), (15, 20.00001), (20, 20), (20, 30), (10, 30), (10, 20)]
+    store = [(12, 22), (14, 22), (14, 24), (12, 24), (12, 22)]
+    rows = [("f", k, 0, i, float(x), float(y)) for k, r in enumerate((outer, store)) for i, (x, y) in enumerate(r)] + [("g", 0, 0, 0, 1.0, 1.0)]
+    o = spark.createDataFrame(rows, "floor string, part int, ring int, i int, x double, y double")
+    got = walls.floor_rings(o, spark.createDataFrame([("f", 100.0, 50.0)], "floor string, width double, height double"), ["floor"]).collect()
+    pts = {k: [(r.x, r.y) for r in sorted(got, key=lambda r: r.i) if r.part == k] for k in (0, 1)}
+    assert pts[0] == [(0, 0), (100, 0), (100, 50), (0, 50)] and pts[1] == [(20, 10), (40, 10), (40, 20), (20, 20)]
+    rng = np.random.default_rng(5)
+    loop = np.stack((np.cos(np.arange(60) / 60 * 6.2), np.sin(np.arange(60) / 60 * 6.2)), axis=1) * 10 + rng.normal(0, 0.05, (60, 2))
+    few = walls.simplified(loop, 0.4)
+    assert 6 < len(few) < 40 and walls.ring_places(loop, few)[0].max() <= 0.4 + 1e-9

@@ -72,7 +72,7 @@ def locate_by_emitters(readings: DataFrame, emitters: DataFrame, by: list[str],
         at, power, rssi = pdf[["ex", "ey"]].to_numpy(float), pdf["power"].to_numpy(float), pdf["rssi"].to_numpy(float)
         weight = 1 / (1 + pdf["error"].to_numpy(float))
         miss = lambda p: float((weight * np.abs(power - ((at - p) ** 2).sum(1) / scale - rssi)).sum() / weight.sum())
-        best = nelder_mead(miss, at[0].copy(), 2.0)
+        best = nelder_mead(miss, at[0].copy(), 2.0, rounds=120, tol=1e-5)
         return pd.DataFrame([{c: pdf[c].iloc[0] for c in (*by, *scan)} | {"x": best[0], "y": best[1], "miss": miss(best), "emitters": len(pdf)}])
 
     kinds = dict(readings.dtypes)

@@ -9,6 +9,8 @@ from ..functions import exprs as X
 from ..operators import asof as A
 from ..operators import frames as K
 from ..operators import geometry as G
+from ..operators import models as M
+from ..operators import walls as L
 from .relational import MD5
 from .series import EV, R, events, read
 from .spatial import PT, points
@@ -278,3 +280,51 @@ def sliding_window_places(spark, d):
     place = F.when(F.col("t0").isNull(), F.col("v1")).when(F.col("t1").isNull(), F.col("v0")).otherwise(F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("centre") - F.col("t0")) / (F.col("t1") - F.col("t0")))
     gap = F.least(F.col("centre") - F.col("t0"), F.col("t1") - F.col("centre"))
     return b.select("user_id", "centre", "n", R(F.col("n") / 12.0).alias("hz"), R("mean").alias("mean"), R("std").alias("std"), R(place, 5).alias("place"), F.coalesce(gap <= 43_200_000_000, F.lit(False)).alias("near_anchor"))
+
+
+@query()
+def candidate_grid(spark, d):
+    """Candidates of each floor from its outline (the box of its parts, brand and block of 2000 keys) and a quarter of its points as known ones."""
+    p = read(spark, d, "part").select(F.concat_ws("_", "p_brand", F.floor(F.col("p_partkey") / 2000)).alias("floor"), F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), ((F.col("p_retailprice") - 900) / 20).alias("y"))
+    b = p.groupBy("floor").agg((F.min("x") - 1).alias("a"), (F.max("x") + 1).alias("b"), (F.min("y") - 1).alias("c"), (F.max("y") + 1).alias("e"))
+    corner = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("a", "c"), ("b", "c"), ("b", "e"), ("a", "e"))])
+    ring = b.select("floor", F.posexplode(corner).alias("i", "p")).select("floor", "i", "p.*")
+    return L.generate_from_known(ring, p.where("id % 4 = 0").select("floor", "x", "y"), ["floor"]).withColumns({"x": R("x"), "y": R("y")})
+
+
+def _emitters(spark, d):
+    e = events(spark, d).where("k is not null")
+    return e.select(F.lit(0).alias("site"), F.col("k").alias("emitter"), (F.col("user_id") % 40).cast("double").alias("x"), (F.floor(F.col("user_id") / 40)).cast("double").alias("y"), F.bround(-30 - F.col("value") % 60, 0).alias("rssi"), "user_id", F.floor(F.col("t") / 86_400_000_000).alias("day"))
+
+
+@query()
+def emitter_fit(spark, d):
+    """Place, power and error of every emitter from all its readings."""
+    return M.fit_emitters(_emitters(spark, d).select("site", "emitter", "x", "y", "rssi"), ["site", "emitter"])
+
+
+@query()
+def emitter_locate(spark, d):
+    """Users' days located by fitted emitters."""
+    return M.locate_by_emitters(_emitters(spark, d).select("site", "user_id", "day", "emitter", "rssi"), emitter_fit(spark, d), ["site"], ["user_id", "day"])
+
+
+@query("WITH b AS (SELECT o_custkey, o_orderkey % 3 AS fit, avg(o_totalprice) AS p FROM orders GROUP BY ALL) SELECT o_custkey, round(avg(p), 4) AS p FROM b GROUP BY o_custkey")
+def bagged_mean(spark, d):
+    """Mean over three fits (means of a third of the rows each)."""
+    b = read(spark, d, "orders").groupBy("o_custkey", (F.col("o_orderkey") % 3).alias("fit")).agg(F.avg("o_totalprice").alias("p"))
+    return M.bag(b, ["o_custkey"], ["p"]).withColumn("p", R("p", 4))
+
+
+@query(
+    """WITH w AS (SELECT user_id % 5 AS g, user_id, count(*)::DOUBLE AS n, avg(value) AS m, coalesce(stddev_pop(value), 0) AS s FROM events GROUP BY ALL), q AS (SELECT * FROM w WHERE user_id % 3 = 0), r AS (SELECT * FROM w WHERE user_id % 3 <> 0),
+v AS (SELECT g, stddev_pop(n) AS dn, stddev_pop(m) AS dm, stddev_pop(s) AS ds FROM r GROUP BY g), u AS (SELECT *, (dn + dm + ds) / 3 / 10 AS low FROM v),
+j AS (SELECT q.g, q.user_id, r.user_id AS other, round((coalesce(abs(q.n - r.n) / nullif(greatest(dn, low), 0), 0) + coalesce(abs(q.m - r.m) / nullif(greatest(dm, low), 0), 0) + coalesce(abs(q.s - r.s) / nullif(greatest(ds, low), 0), 0)) / 3, 9) AS gap FROM q JOIN u USING (g) JOIN r USING (g))
+SELECT g, user_id, arg_min(other, struct_pack(gap := gap, o := other)) AS other, round(min(gap), 5) AS difference FROM j GROUP BY g, user_id"""
+)
+def signature_match(spark, d):
+    """Of every third user the most alike of the others in number, mean and spread of readings."""
+    w = read(spark, d, "events").groupBy((F.col("user_id") % 5).alias("g"), "user_id").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("value").alias("m"), F.coalesce(F.stddev_pop("value"), F.lit(0.0)).alias("s"))
+    q = w.where("user_id % 3 = 0")
+    r = w.where("user_id % 3 != 0").withColumnRenamed("user_id", "other").toDF("g", "other", "n", "m", "s")
+    return M.nearest_signature(q, r, ["g"], "user_id", "other", ["n", "m", "s"]).withColumn("difference", R("difference", 5))
