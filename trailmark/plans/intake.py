@@ -294,7 +294,7 @@ def candidate_grid(spark, d):
 
 def _emitters(spark, d):
     e = events(spark, d).where("k is not null")
-    return e.select(F.lit(0).alias("site"), F.col("k").alias("emitter"), (F.col("user_id") % 40).cast("double").alias("x"), (F.floor(F.col("user_id") / 40)).cast("double").alias("y"), F.bround(-30 - F.col("value") % 60, 0).alias("rssi"), "user_id", F.floor(F.col("t") / 86_400_000_000).alias("day"))
+    return e.select(F.lit(0).alias("site"), F.col("k").alias("emitter"), (F.col("user_id") % 40).cast("double").alias("x"), (F.floor(F.col("user_id") / 40)).cast("double").alias("y"), F.bround(-30 - F.col("value") % 60, 0).alias("rssi"), "user_id")
 
 
 @query()
@@ -305,8 +305,8 @@ def emitter_fit(spark, d):
 
 @query()
 def emitter_locate(spark, d):
-    """Users' days located by fitted emitters."""
-    return M.locate_by_emitters(_emitters(spark, d).select("site", "user_id", "day", "emitter", "rssi"), emitter_fit(spark, d), ["site"], ["user_id", "day"])
+    """Users located by fitted emitters, each from all its readings."""
+    return M.locate_by_emitters(_emitters(spark, d).select("site", "user_id", "emitter", "rssi"), emitter_fit(spark, d), ["site"], ["user_id"])
 
 
 @query("WITH b AS (SELECT o_custkey, o_orderkey % 3 AS fit, avg(o_totalprice) AS p FROM orders GROUP BY ALL) SELECT o_custkey, round(avg(p), 4) AS p FROM b GROUP BY o_custkey")
