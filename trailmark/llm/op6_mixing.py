@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table
+from .common import WORD, cut, meet, table
 
 BLOCK = 64
 CAP = 3.0
@@ -101,15 +101,16 @@ def pivotal(rows: DataFrame, seed: int = 7, block: int = BLOCK) -> DataFrame:
     held, left, level = left.where("held").drop("held"), left.where("not held").drop("held"), 0
     while True:
         counts = left.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-        if counts.where("blocks > 1").isEmpty():
+        most, groups = counts.agg(F.max("blocks"), F.count(F.lit(1))).first()
+        if not groups or most <= 1:
             break
-        spread = left.join(counts, "group").withColumn("slot", F.pmod(F.xxhash64(F.lit(seed + level), "id"), F.col("blocks")))
+        counted = meet(left, counts, "group", groups, "id")
+        spread = counted.withColumn("slot", F.pmod(F.xxhash64(F.lit(seed + level), "id"), F.col("blocks")))
         n = Window.partitionBy("group", "slot").orderBy("id")
-        # Else the join's partitioning by group alone would do, and a large source would be one task.
         spread = spread.where("blocks > 1").repartition("group", "slot").withColumn("part", F.floor((F.row_number().over(n) - 1) / (4 * block)))
         done = fold(spread, ["group", "slot", "part"], seed + level)
         settled = settled.unionByName(finished(done))
-        few = left.join(counts.where("blocks <= 1").select("group"), "group", "left_semi")
+        few = counted.where("blocks <= 1").select(*left.columns)
         left = few.unionByName(done.where("open is not null").select("group", "open.id", "open.size", "open.p"))
         level += 1
     top = fold(left.unionByName(held), ["group"], seed + level)
@@ -128,9 +129,9 @@ def decide(docs: DataFrame, text: str = "text", source: str = "source", doc_id:
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
     rows = _numbered(slim.withColumn("size", word_count(F.col("text"))), "text", "doc_id", "source").drop("text")
     rows = cut(rows.withColumns({"group": F.xxhash64(F.lit(1), F.col("source")), "id": F.xxhash64(F.lit(seed), "__d", "__t", "__k")}))
-    plan = targets(rows.groupBy("group", "source").agg(F.sum("size").alias("source_size")), cap)
+    plan = cut(targets(rows.groupBy("group", "source").agg(F.sum("size").alias("source_size")), cap))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(cap))).otherwise(0.0)
-    planned = rows.join(plan.select("group", "source_size", "target", rate.alias("rate")), "group")
+    planned = meet(rows, plan.select("group", "source_size", "target", rate.alias("rate")), "group", plan.count(), "id")
     chosen = pivotal(planned.select("group", "id", "size", (F.col("rate") - F.floor("rate")).alias("p")), seed)
     copies = (F.floor("rate") + F.col("copy")).cast("long")
     return planned.join(chosen, ["group", "id"]).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), "__d", "__t", "__k")
@@ -143,7 +144,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     the mix repeats the row and ``taken`` size times that. A null source is a
     source; rows without words are taken as their source's rate says and count
     nothing. Rows of one id and text are told apart by number. Columns with the
-    names of the results are replaced; an empty table gives no rows.
+    names of the results are replaced; an empty table gives no rows. A long text
+    is a row like any other, whole or not taken.
     """
     new = ["size", "source_size", "target", "copies", "taken"]
     rows = _numbered(docs.select(*[c for c in docs.columns if c not in new]), text, doc_id, source)
@@ -152,5 +154,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with the words that the mix takes of each."""
+    """All documents with the words that the mix takes of each.
+
+    A null text has none, a null source is a source; see ``mix``.
+    """
     return decide(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
