@@ -14,6 +14,7 @@ between separate stretches. Every tile consists of seeds, so nothing is lost.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import table
+from .common import cut, table
 
 BITS = 1 << 24
 _POW = vec.Powers(vec.BASE)
@@ -32,12 +33,17 @@ _BREAK[128:] = False
 _BREAK[list(b"0123456789abcdefghijklmnopqrstuvwxyz")] = False
 
 
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of texts and the first token of each (with a last entry)."""
+def tokens(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Token hashes of texts, their remainders, and the first token of each (with a last entry)."""
     buf, offs = vec.flat(pa.array([None if t is None else t.lower() for t in column.to_pylist()], pa.string()))
     plain = np.where(_BREAK[buf], np.uint8(0x20), buf)
     starts, ends, first = vec.words(plain, offs)
-    return vec.Rolling(plain, _POW).of(starts, ends), first
+    word = vec.FIELD.words(plain, starts, ends)
+    return vec.Field.join(word), word, first
+
+
+def seeds_at(word: list[np.ndarray], at: np.ndarray, k: int) -> np.ndarray:
+    return vec.Field.join([g[at] for g in vec.FIELD.grams(word, k)])
 
 
 def _seeds(k: int, name: str):
@@ -45,9 +51,9 @@ def _seeds(k: int, name: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, first = tokens(batch.column("text"))
+            h, word, first = tokens(batch.column("text"))
             at, doc = vec.windows(first, k)
-            seed = vec.Rolling(h, _POW).of(at, at + k)
+            seed = seeds_at(word, at, k)
             n = np.diff(first)
             cut = np.append(0, np.cumsum(np.bincount(doc, minlength=batch.num_rows))).astype(np.int32)
             tok = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))
@@ -67,11 +73,11 @@ def _suspects(k: int, sent):
                 table_[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(data, np.uint8)
             bits.append(table_)
         for part, _, _ in vec.slices(batches, "text"):
-            h, first = tokens(part.column("text"))
+            h, word, first = tokens(part.column("text"))
             at, doc = vec.windows(first, k)
             if not len(at):
                 continue
-            seed = vec.Rolling(h, _POW).of(at, at + k)
+            seed = seeds_at(word, at, k)
             cell = (seed % np.uint64(BITS)).astype(np.int64)
             hit = np.flatnonzero((bits[0][cell >> 3] >> (cell & 7).astype(np.uint8)) & 1)
             if not len(hit):
@@ -105,7 +111,8 @@ def tile(text: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int,
     Running Karp-Rabin: hashes of the current search length over unmarked tokens
     of both sides are compared and hits extended. A hit of more than twice the
     search length restarts the search at its length; else hits are marked, long
-    ones first and earliest of equals, if still free, and the length is halved.
+    ones first and earliest of equals, what is left of an occluded one among them,
+    and the length is halved. So every tile is a longest match of what was free.
     """
     text, item = np.asarray(text).view(np.uint64), np.asarray(item).view(np.uint64)
     free_t, free_i = text != 0, np.ones(len(item), bool)
@@ -131,24 +138,30 @@ def tile(text: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int,
                 for q in where.get(h, ()):
                     if p and q and free_t[p - 1] and free_i[q - 1] and text[p - 1] == item[q - 1]:
                         continue  # part of the run that began before
+                    if not np.array_equal(text[p : p + length], item[q : q + length]):
+                        continue  # a hash may lie
                     n = length
                     while p + n < len(text) and q + n < len(item) and free_t[p + n] and free_i[q + n] and text[p + n] == item[q + n]:
                         n += 1
-                    found.append((n, p, q))
+                    found.append((-n, p, q))
                     longest = max(longest, n)
         if longest > 2 * length:
             length = longest
             continue
-        again = False
-        for n, p, q in sorted(found, key=lambda f: (-f[0], f[1], f[2])):
-            if free_t[p : p + n].all() and free_i[q : q + n].all():
-                free_t[p : p + n] = False
-                free_i[q : q + n] = False
-                tiles.append((p, q, n))
-            else:
-                again = True  # a part of it may be long enough still
-        if again:
-            continue
+        heapq.heapify(found)
+        while found:
+            n, p, q = heapq.heappop(found)
+            both = free_t[p : p - n] & free_i[q : q - n]
+            if both.all():
+                free_t[p : p - n] = False
+                free_i[q : q - n] = False
+                tiles.append((p, q, -n))
+                continue
+            # What is left of an occluded match takes its place among the others.
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], both.astype(np.int8), [0]))))
+            for i, j in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                if j - i >= length:
+                    heapq.heappush(found, (i - j, p + i, q + i))
         if length == least:
             return tiles
         length = max(least, length // 2)
@@ -174,23 +187,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
     ``benchmark`` has item_id and text; an item of fewer than ``seed`` tokens, a
     null text and an empty one match nothing. Null ids, of items too, stay null; ``th`` is the
     hash of the document's text, so rows of one id are told apart by their text,
-    and equal rows give equal rows once. No items or no documents, no rows.
+    and equal rows give equal rows once. Texts of any length are read whole. Of
+    other columns none is read. No items or no documents, no rows.
     """
     spark = docs.sparkSession
     # Inside, an item is its id and the hash of its text, which meet in joins when the id is null too.
     item = F.struct("item_id", F.xxhash64(F.col("text").cast("string")).alias("h")).alias("item")
     item_kind = f"struct<item_id: {dict(benchmark.dtypes)['item_id']}, h: bigint>"
     items = benchmark.select(item, F.col("text").cast("string").alias("text")).mapInArrow(_seeds(seed, "item"), f"item {item_kind}, n long, seeds array<long>, tokens array<long>")
-    by_seed = items.select("item", F.explode("seeds").alias("seed")).distinct()
+    by_seed = items.select("item", F.explode("seeds").alias("seed")).groupBy("item", "seed").agg(F.count(F.lit(1)).alias("times"))
     # Unsigned remainder of the 64-bit seed, as cells of bitmaps of 32768 bits: at most BITS bits in all.
     cell = by_seed.select((F.col("seed").bitwiseAND(BITS - 1)).alias("cell"))
     bits = cell.groupBy(F.expr("bitmap_bucket_number(cell + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(cell + 1))").alias("bits")).collect()
     sent = spark.sparkContext.broadcast([(int(r[0]), bytes(r[1])) for r in bits])
     kind = dict(docs.dtypes)[doc_id]
     rows = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text"))
-    found = rows.mapInArrow(_suspects(seed, sent), f"doc {kind}, th long, seeds array<long>, stretches array<long>")
-    pairs = found.select("doc", "th", "stretches", F.explode(F.array_distinct("seeds")).alias("seed")).join(by_seed, "seed").groupBy("doc", "th", "item").agg(F.first("stretches").alias("stretches"))
-    judged = pairs.join(items.select("item", "n", "tokens"), "item").mapInArrow(_cover(seed), f"doc {kind}, th long, item {item_kind}, n long, covered long, longest long")
+    # A document is its id and hash as one value, which meet in joins when the id is null too.
+    found = cut(rows.mapInArrow(_suspects(seed, sent), f"doc {kind}, th long, seeds array<long>, stretches array<long>").select(F.struct("doc", "th").alias("who"), "seeds", "stretches"))
+    shared = found.select("who", F.explode(F.array_distinct("seeds")).alias("seed")).join(by_seed, "seed").groupBy("who", "item").agg(F.sum("times").alias("times"))
+    # Every tile of t tokens holds t - seed + 1 >= t / seed seeds of the item, so fewer cannot reach the coverage.
+    pairs = shared.join(items.select("item", "n", "tokens"), "item").where(F.col("times") * seed >= F.col("n") * F.lit(coverage)).drop("times")
+    texts = found.groupBy("who").agg(F.first("stretches").alias("stretches"))
+    judged = pairs.join(texts, "who").select("who.doc", "who.th", "item", "n", "tokens", "stretches").mapInArrow(_cover(seed), f"doc {kind}, th long, item {item_kind}, n long, covered long, longest long")
     share = F.col("covered") / F.col("n")
     return judged.where(share >= coverage).select(F.col("doc").alias("doc_id"), "th", "item.item_id", F.col("n").alias("n_tokens"), "covered", share.alias("coverage"), "longest")
 
