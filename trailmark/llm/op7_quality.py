@@ -23,17 +23,15 @@ from .common import table
 SAMPLE_ROWS = 512
 SYMBOLS = b"#*$%&|<>"
 RUN = 8
-_POW = vec.Powers(vec.BASE)
 _LUT = np.zeros(256, bool)
 _LUT[list(SYMBOLS)] = True
 
 
-def _repeats(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def _repeats(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of items by (document, hash), and where a new pair begins in it."""
-    key = vec.mix(h + vec.mix(doc.astype(np.uint64) + np.uint64(77)))
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    return order, np.append(True, k[1:] != k[:-1]) if len(k) else np.zeros(0, bool)
+    order = np.lexsort((h, doc))
+    k, d = h[order], doc[order]
+    return order, np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])) if len(k) else np.zeros(0, bool)
 
 
 class Signals:
@@ -73,9 +71,38 @@ class Signals:
         full = np.flatnonzero((ends > starts) & (first < np.searchsorted(self.words[0], ends)))
         starts, ends = starts[full], ends[full]
         doc = np.searchsorted(self.offs, starts, side="right") - 1
-        order, head = _repeats(vec.Rolling(self.buf, _POW).of(starts, ends), doc)
+        order, head = _repeats(vec.Field.join(vec.FIELD.words(self.buf, starts, ends)), doc)
         return np.bincount(doc, minlength=self.n), np.bincount(doc[order[~head]], minlength=self.n)
 
+    @cached_property
+    def word_hashes(self) -> list[np.ndarray]:
+        return vec.FIELD.words(self.buf, self.words[0], self.words[1])
+
+    @cached_property
+    def n_cut_lines(self) -> np.ndarray:
+        """Lines with a word that end in three full stops, before any white space."""
+        starts, ends, first = self.words
+        stop = self.buf == 0x2E
+        three = np.zeros(len(self.buf) + 1, bool)
+        three[3:] = stop[2:] & stop[1:-1] & stop[:-2]
+        feed = np.append(0, np.cumsum(self.buf == 10))
+        last = np.ones(len(starts), bool)
+        if len(starts):
+            # The last word of its line: the next one lies behind a line feed or in another text.
+            last[:-1] = feed[starts[1:]] > feed[ends[:-1]]
+            last[first[1:][np.diff(first) > 0] - 1] = True
+        hit = last & three[ends] & (ends - starts >= 3)
+        return np.diff(np.append(0, np.cumsum(hit, dtype=np.int64))[first])
+
+    @cached_property
+    def longest_word(self) -> np.ndarray:
+        """Code points of each text's longest word."""
+        starts, ends, first = self.words
+        points = np.append(0, np.cumsum((self.buf & 0xC0) != 0x80, dtype=np.int64))
+        out = np.zeros(self.n, np.int64)
+        np.maximum.at(out, np.repeat(np.arange(self.n), np.diff(first)), points[ends] - points[starts])
+        return out
+
     @property
     def n_dup_lines(self) -> np.ndarray:
         return self.lines[1]
@@ -83,11 +110,10 @@ class Signals:
     @cached_property
     def n_repeat_words(self) -> np.ndarray:
         starts, ends, first = self.words
-        hashes = vec.Rolling(self.buf, _POW).of(starts, ends)
         at, doc = vec.windows(first, RUN)
         if not len(at):
             return np.zeros(self.n, np.int64)
-        order, head = _repeats(vec.Rolling(hashes, _POW).of(at, at + RUN), doc)
+        order, head = _repeats(vec.Field.join([g[at] for g in vec.FIELD.grams(self.word_hashes, RUN)]), doc)
         group = np.cumsum(head) - 1
         twice = order[np.bincount(group)[group] > 1]
         cover = vec.marked(at[twice], np.full(len(twice), RUN), len(starts))
@@ -95,7 +121,7 @@ class Signals:
 
 
 Rule = tuple[str, Callable[[Signals], np.ndarray]]
-#: The query's base rules, fixed by its contract, and the method's own.
+#: The query's base rules, fixed by its contract, and the method's own: those of the last two need signals that only texts still in the running pay for.
 BASE: list[Rule] = [
     ("few_words", lambda s: s.n_words < 20),
     ("repeated_words", lambda s: 100 * s.n_repeat_words > 30 * s.n_words),
@@ -104,34 +130,46 @@ OWN: list[Rule] = [
     ("symbols", lambda s: 10 * s.n_symbols > s.n_words),
     ("duplicate_lines", lambda s: 100 * s.n_dup_lines > 30 * s.lines[0]),
     ("word_length", lambda s: (s.word_chars < 2 * s.n_words) | (s.word_chars > 15 * s.n_words)),
+    ("cut_lines", lambda s: 100 * s.n_cut_lines > 30 * s.lines[0]),
+    ("endless_word", lambda s: s.longest_word > 1000),
 ]
 
 
-def measure(texts: list[str | None], rules: list[Rule]) -> list[tuple[str, float, float]]:
-    """Of each rule its seconds a byte and the share of texts it rejects, alone and on all of them."""
-    buf, offs = vec.flat(pa.array(texts, pa.string()))
-    out = []
-    for name, rule in rules:
-        took = []
-        for _ in range(3):
-            began = time.perf_counter()
-            bad = rule(Signals(buf, offs))
-            took.append(time.perf_counter() - began)
-        out.append((name, min(took) / max(len(buf), 1), float(bad.mean()) if len(bad) else 0.0))
-    return out
+def _measure(rules: list[Rule]):
+    """Of each rule, alone and on every text of a task: seconds, bytes, texts, texts rejected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        took, bad, texts, size = np.zeros(len(rules)), np.zeros(len(rules), np.int64), 0, 0
+        for part, buf, offs in vec.slices(batches, "text"):
+            texts, size = texts + part.num_rows, size + len(buf)
+            for i, (_, rule) in enumerate(rules):
+                began = time.process_time()
+                bad[i] += int(rule(Signals(buf, offs)).sum())
+                took[i] += time.process_time() - began
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rules), dtype=np.int32)), pa.array(took), pa.array(np.full(len(rules), size)), pa.array(np.full(len(rules), texts)), pa.array(bad)], names=["rule", "seconds", "bytes", "texts", "rejected"])
+
+    return run
+
+
+def measure(sample: DataFrame, rules: list[Rule]) -> list[tuple[str, float, float]]:
+    """Of each rule its CPU seconds a byte and the share of texts it rejects, measured where the texts are: only these figures come back."""
+    got = sample.mapInArrow(_measure(rules), "rule int, seconds double, bytes long, texts long, rejected long")
+    rows = got.groupBy("rule").agg(*[F.sum(c).alias(c) for c in ("seconds", "bytes", "texts", "rejected")]).collect()
+    by = {r["rule"]: r for r in rows}
+    return [(name, by[i]["seconds"] / max(by[i]["bytes"], 1), by[i]["rejected"] / max(by[i]["texts"], 1)) for i, (name, _) in enumerate(rules) if i in by and by[i]["texts"]]
 
 
 def order_rules(docs: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by rejections per cost, most first, from ``sample_rows`` texts of least hash; without texts as given."""
+    """Rules by rejections per cost, most first, from about ``sample_rows`` rows chosen by hash; without any as given.
+
+    Costs are measured times, so reruns may order rules of like merit otherwise.
+    """
     n = docs.count()
-    # Hashes below a limit leave a few times the sample, so what tasks send does not grow with their number; copies of a text are one.
-    most = min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, 4 * sample_rows / max(n, 1))))
-    few = docs.select(F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text")).where(F.col("h") <= most)
-    texts = [r[1] for r in few.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(sample_rows).collect()]
-    if not texts:
-        return rules
-    gain = {name: share / max(cost, 1e-15) for name, cost, share in measure(texts, rules)}
-    return sorted(rules, key=lambda r: -gain[r[0]])
+    # Long texts are no rarer in the sample than among all rows, and stay with their tasks.
+    most = min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, sample_rows / max(n, 1))))
+    few = docs.where(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns if c in (text, "doc_id")]) <= most).select(F.col(text).cast("string").alias("text"))
+    gain = {name: share / max(cost, 1e-15) for name, cost, share in measure(few, rules)}
+    return sorted(rules, key=lambda r: -gain.get(r[0], 0.0))
 
 
 def _subset(buf: np.ndarray, offs: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +184,7 @@ def _cascade(rules: list[Rule], extra: tuple[str, ...]):
             every = Signals(buf, offs) if extra else None
             left = np.arange(part.num_rows)
             verdict = np.full(part.num_rows, None, object)
-            now = every or Signals(buf, offs)
+            now = _View(every, left, extra) if every else Signals(buf, offs)
             for name, rule in rules:
                 bad = rule(now)
                 if bad.any():
@@ -154,10 +192,7 @@ def _cascade(rules: list[Rule], extra: tuple[str, ...]):
                     left = left[~bad]
                     if not len(left):
                         break
-                    if every is None:
-                        now = Signals(*_subset(now.buf, now.offs, np.flatnonzero(~bad)))
-                    else:
-                        now = _View(every, left)
+                    now = Signals(*_subset(now.buf, now.offs, np.flatnonzero(~bad))) if every is None else _View(every, left, extra)
             keep = [i for i, c in enumerate(part.schema.names) if c != "text"]
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), *(pa.array(getattr(every, c).astype(np.int64)) for c in extra), pa.array(verdict.tolist(), pa.string())], names=[*(part.schema.names[i] for i in keep), *extra, "rejected_by"])
 
@@ -165,13 +200,19 @@ def _cascade(rules: list[Rule], extra: tuple[str, ...]):
 
 
 class _View:
-    """Signals of the texts still in the running, from those already computed for all."""
+    """Signals of the texts still in the running: the asked ones as computed for all, others from these texts alone, when first needed."""
+
+    def __init__(self, every: Signals, rows: np.ndarray, asked: tuple[str, ...]):
+        self.every, self.rows, self.asked = every, rows, (*asked, "lines") if "n_dup_lines" in asked else asked
 
-    def __init__(self, signals: Signals, rows: np.ndarray):
-        self.signals, self.rows = signals, rows
+    @cached_property
+    def own(self) -> Signals:
+        return Signals(*_subset(self.every.buf, self.every.offs, self.rows))
 
     def __getattr__(self, name: str):
-        got = getattr(self.signals, name)
+        if name not in self.asked:
+            return getattr(self.own, name)
+        got = getattr(self.every, name)
         return tuple(x[self.rows] for x in got) if isinstance(got, tuple) else got[self.rows]
 
 
@@ -179,8 +220,11 @@ def cascade(docs: DataFrame, rules: list[Rule], text: str = "text", signals: tup
     """Every column of ``docs`` but the text, the asked signals, and rejected_by: the first rule in order that rejects the text, or null.
 
     A null text is empty and has no words. Signals are computed for every text
-    that is asked for them; without any, a rule computes what it needs of the
-    texts that reach it. Columns with the names of the results are replaced.
+    that is asked for them; whatever else a rule needs it computes of the texts
+    that reach it, and no later rule runs on a rejected one. ``rejected_by`` follows the
+    order given, whether it is null does not. Texts of any length are read whole;
+    equal rows get equal verdicts; an empty table gives no rows. Columns with the
+    names of the results are replaced.
     """
     new = {*signals, "rejected_by"}
     kept = [c for c in docs.columns if c != text and c not in new]
@@ -190,7 +234,10 @@ def cascade(docs: DataFrame, rules: list[Rule], text: str = "text", signals: tup
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its counts, the base verdict and the cascade's."""
+    """Every document with its counts, the base verdict and the cascade's.
+
+    Null texts have no words and fail; see ``cascade``.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = order_rules(docs, BASE + OWN)
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -203,7 +250,8 @@ OP7_SQL = r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 lines AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines,
+    count(*) FILTER (regexp_matches(line, '[.][.][.][\x20\x09-\x0D]*$')) AS n_cut_lines FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 spots AS (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8),
 marks AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, list_slice(words, i, i + 7)) AS times FROM spots),
@@ -211,11 +259,12 @@ covered AS (SELECT doc_id, count(DISTINCT k) AS n_repeat_words FROM (SELECT doc_
 c AS (
   SELECT w.doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.n_dup_lines, 0) AS n_dup_lines,
-    coalesce(r.n_repeat_words, 0) AS n_repeat_words, coalesce(l.n_lines, 0) AS n_lines
+    coalesce(r.n_repeat_words, 0) AS n_repeat_words, coalesce(l.n_lines, 0) AS n_lines, coalesce(l.n_cut_lines, 0) AS n_cut_lines,
+    coalesce(list_max(list_transform(words, lambda x: length(x))), 0) AS longest_word
   FROM w LEFT JOIN lines l ON l.doc_id = w.doc_id LEFT JOIN covered r ON r.doc_id = w.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 30 * n_lines
-       OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
+       OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 100 * n_cut_lines > 30 * n_lines OR longest_word > 1000) AS kept
 FROM c
 """
