@@ -58,8 +58,10 @@ def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = 12, damping: floa
     it. Scores of hosts out of reach are left out. No seeds, no rows.
     """
     spark = edges.sparkSession
-    total = seeds.agg(F.sum("weight").alias("all"))
-    start = cut(seeds.crossJoin(F.broadcast(total)).select("host", (F.col("weight") / F.col("all")).alias("base")))
+    total = seeds.agg(F.sum("weight")).first()[0] or 1.0
+    start = cut(seeds.select("host", (F.col("weight") / F.lit(total)).alias("base")))
+    if edges.isEmpty():
+        return start.select("host", (F.col("base") * (1 - damping)).alias("score"))
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
     share = cut(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")))
     score, written = start.select("host", F.col("base").alias("score")), None
@@ -94,7 +96,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, thr
     A rule fits its host and all subdomains where the path starts with the
     rule's; the longest decides. Otherwise the host's verdict from the link graph
     does; a host that neither trust nor distrust reaches, and an empty one, is
-    allowed. Null html has no links. Columns with the names of the results are
+    allowed. Null urls have no host, null html no links; equal rows get equal
+    verdicts, long pages are read whole. Columns with the names of the results are
     replaced; an empty table gives no rows.
     """
     new = {"host", "path", "rule", "verdict", "by"}
