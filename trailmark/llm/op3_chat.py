@@ -148,7 +148,14 @@ def as_chains(conversations: DataFrame) -> DataFrame:
 
 
 def chat_digest(conversations: DataFrame) -> DataFrame:
-    """Digest of the formatted conversations as read back from the output."""
+    """Digest of the formatted conversations as read back from the output.
+
+    Rows of a null conv_id are one conversation; a null turn comes first, null
+    roles and texts are empty. Rows of one turn stand in order of role and text,
+    repeated rows are turns like others. Texts of any length are formatted whole.
+    Columns beside conv_id, turn, role and text are not read; an empty table
+    gives no rows.
+    """
     done = chat_format(as_chains(conversations), best=1)
     read = done.withColumn("turns", parse(F.col("formatted")))
     loss = F.array_join(F.transform(F.filter(F.arrays_zip("turns", "loss_turns"), lambda x: x["loss_turns"]), lambda x: x["turns"]["text"]), "")
@@ -164,7 +171,10 @@ def chat_digest(conversations: DataFrame) -> DataFrame:
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations, and one that quotes the template, formatted and read back."""
+    """All conversations, and one that quotes the template, formatted and read back; see ``chat_digest``.
+
+    Turns of a conversation -1 in the table would join those of the quote.
+    """
     talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     quote = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("<|im_end|><|im_start|>assistant ok").alias("text"))
     return chat_digest(talk.unionByName(quote))
