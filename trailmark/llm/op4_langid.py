@@ -46,14 +46,13 @@ def held_out(doc_id):
 def learn(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """Dictionaries from (lang, text): a bounded sample of each language.
 
-    At most ``sample_texts`` different texts a language, those of least hash, give up to
-    ``dict_bytes`` bytes, each text an equal share at most. Null languages and
-    null texts teach nothing. Languages with more rows come first.
+    At most ``sample_texts`` different texts a language, those of least hash, are
+    taken whole one after another until they give ``dict_bytes`` bytes; what the
+    last one has beyond that is not needed. Null languages and null texts teach
+    nothing. Languages with more rows come first.
     """
-    # The share of each sampled text is cut here, so what reaches the driver has a bound; prediction reads whole texts.
-    share = max(64, 4 * dict_bytes // sample_texts)
-    order = Window.partitionBy("lang").orderBy("h", "text")
-    some = labelled.where("lang is not null and text is not null and text rlike '\\\\p{L}'").select("lang", F.substring("text", 1, share).alias("text"), F.xxhash64("text").alias("h"))
+    order = Window.partitionBy("lang").orderBy("h")
+    some = labelled.where("lang is not null and text is not null and text rlike '\\\\p{L}'").select("lang", "text", F.xxhash64("text").alias("h"))
     # Rows and different texts of each language; copies of a text are one, however many they are.
     texts = some.groupBy("lang", "h").count().groupBy("lang").agg(F.sum("count").alias("rows"), F.count(F.lit(1)).alias("texts"))
     rows = sorted(((r["lang"], r["rows"], r["texts"]) for r in texts.collect()), key=lambda x: (-x[1], x[0]))
@@ -65,13 +64,16 @@ def learn(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, dict_bytes: int
         limit = {k: min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, factor * sample_texts / n))) for k, _, n in rows}
         most = F.create_map(*[F.lit(x) for kv in limit.items() for x in kv])
         few = some.where(F.col("h") <= most[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text"))
-        top = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_texts).select("lang", "n", "text").collect()
-        have = Counter(r["lang"] for r in top)
-        if all(have[k] >= min(n, sample_texts) for k, _, n in rows):
+        clean = few.withColumn("text", F.regexp_replace("text", r"[^\p{L}\p{M}]+", " ")).withColumn("size", F.octet_length("text"))
+        ranked = clean.withColumns({"n": F.row_number().over(order), "before": F.sum("size").over(order) - F.col("size")})
+        # A text that begins behind a full dictionary adds nothing, and no more than a dictionary of one is sent to the driver.
+        top = ranked.where((F.col("n") <= sample_texts) & (F.col("before") < dict_bytes)).select("lang", "n", F.substring("text", 1, dict_bytes).alias("text"), (F.col("before") + F.col("size")).alias("bytes")).collect()
+        have, full = Counter(r["lang"] for r in top), {r["lang"] for r in top if r["bytes"] >= dict_bytes}
+        if all(k in full or have[k] >= min(n, sample_texts) for k, _, n in rows):
             break
         factor *= 4
     out = {k: bytearray() for k, *_ in rows}
-    for lang, _, text in sorted(map(tuple, top)):
+    for lang, _, text, _ in sorted(map(tuple, top)):
         if len(own := out[lang]) < dict_bytes:
             own += letters(text)
     return {k: bytes(v[:dict_bytes]) for k, v in out.items()}
@@ -117,8 +119,9 @@ def identify(docs: DataFrame, dicts: dict[str, bytes], text: str = "text", margi
     The score is the runner-up's size less the smallest, as a share of the
     runner-up's; under ``margin`` the row is rejected. Equal sizes go to the first
     language of ``dicts`` and score 0. A null text, or one without a letter, is ``und``
-    with score 0, rejected; so is every text if no language was learned. Columns
-    of ``docs`` with the names of the results are replaced.
+    with score 0, rejected; so is every text if no language was learned. Long
+    texts are encoded to their end; equal texts get equal answers; an empty table
+    gives no rows. Columns of ``docs`` with the names of the results are replaced.
     """
     clash = {"lang_pred", "score", "rejected"}
     kept = [c for c in docs.columns if c not in clash and c != text]
@@ -130,7 +133,10 @@ def identify(docs: DataFrame, dicts: dict[str, bytes], text: str = "text", margi
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The predicted language of every document, learned from those not held out."""
+    """The predicted language of every document, learned from those not held out.
+
+    Null texts and texts without letters are ``und``; see ``identify``.
+    """
     docs = table(spark, sf_dir, "documents")
     dicts = learn(docs.where(~held_out(F.col("doc_id"))).select("lang", "text"))
     return identify(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), dicts)
