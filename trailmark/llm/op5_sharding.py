@@ -2,9 +2,10 @@
 
 A *partial partition* is a tuple of ``k`` heaps with their byte sums. Two are
 combined oppositely ordered, the largest heap of one on the smallest of the
-other, always those of largest spread first. Groups are spread over a fixed
-number of cells by hash; each cell combines its groups down to one partial
-partition, and the cells' are combined the same way. Equal texts are one group.
+other, always those of largest spread first. Groups are spread over cells by hash, as
+many as leave a cell a bounded number; each cell combines its groups down to one
+partial partition, and cells are combined the same way, ``FAN`` at a time, up a
+tree. Equal texts are one group.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_key
+from .common import cut, table, text_key
 
-CELLS = 512
+FAN = 512
+CELL_GROUPS = 20_000
 
 
 def difference(sizes: list[list[int]], k: int) -> tuple[list[int], np.ndarray]:
@@ -93,37 +95,60 @@ def _in_cell(k: int):
     return run
 
 
-def karmarkar_karp(groups: DataFrame, shards: int, cells: int = CELLS) -> DataFrame:
+def _combine(k: int):
+    """Cells of one node of the tree: for each cell's heaps the heaps of the node, with their bytes."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot(index="cell", columns="heap", values="bytes").reindex(columns=range(k)).fillna(0).sort_index()
+        sizes = wide.to_numpy().astype(np.int64)
+        _, final = difference(sizes.tolist(), k)
+        n = len(wide)
+        return pd.DataFrame({"cell": np.repeat(wide.index.to_numpy(), k).astype(np.int32), "heap": np.tile(np.arange(k, dtype=np.int32), n), "node": np.int32(pdf["node"].iloc[0]), "to": final.reshape(-1).astype(np.int32), "bytes": sizes.reshape(-1)})
+
+    return run
+
+
+def karmarkar_karp(groups: DataFrame, shards: int, cells: int | None = None, fan: int = FAN) -> DataFrame:
     """``group, shard`` for ``groups`` (group, bytes), sums as equal as differencing makes them.
 
-    Groups are unique; at most ``cells`` rows of ``shards`` sums are combined in
-    the last step. A group larger than a fair share fills a shard by itself and
-    the others share the rest. No groups, no rows.
+    Groups are unique. By default there are ``fan`` cells, or more if a cell would
+    hold over ``CELL_GROUPS`` groups; ``fan`` partial partitions are combined at
+    once. A group larger than a fair share fills a shard by itself and the others
+    share the rest. No groups, no rows.
     """
-    spread = groups.select("group", F.col("bytes").cast("long").alias("bytes"), F.pmod(F.xxhash64("group"), F.lit(cells)).cast("int").alias("cell"))
+    groups = cut(groups.select("group", F.col("bytes").cast("long").alias("bytes")))
+    if cells is None:
+        cells = max(fan, -(-groups.count() // CELL_GROUPS))
+    spread = groups.withColumn("cell", F.pmod(F.xxhash64("group"), F.lit(cells)).cast("int"))
     n = max(2, int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     kind = dict(groups.dtypes)["group"]
-    placed = spread.repartition(min(n, cells), "cell").sortWithinPartitions("cell", F.desc("bytes"), "group").mapInArrow(_in_cell(shards), f"cell int, group {kind}, bytes long, heap int")
+    n = max(min(n, cells), cells // 64)
+    placed = cut(spread.repartition(n, "cell").sortWithinPartitions("cell", F.desc("bytes"), "group").mapInArrow(_in_cell(shards), f"cell int, group {kind}, bytes long, heap int"))
     sums = placed.groupBy("cell", "heap").agg(F.sum("bytes").alias("bytes"))
-
-    def last(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="cell", columns="heap", values="bytes").reindex(columns=range(shards)).fillna(0).sort_index()
-        _, final = difference([[int(x) for x in row] for row in wide.to_numpy()], shards)
-        return pd.DataFrame({"cell": np.repeat(wide.index.to_numpy(), shards).astype(np.int32), "heap": np.tile(np.arange(shards, dtype=np.int32), len(wide)), "shard": final.reshape(-1).astype(np.int32)})
-
-    shard = sums.groupBy().applyInPandas(last, "cell int, heap int, shard int")
-    return placed.join(F.broadcast(shard), ["cell", "heap"]).select("group", "shard")
-
-
-def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", doc_id: str = "doc_id", cells: int = CELLS, numbers: int = 256) -> DataFrame:
+    way = None
+    while True:
+        nodes = -(-cells // fan)
+        step = cut(sums.withColumn("node", F.pmod("cell", F.lit(nodes)).cast("int")).groupBy("node").applyInPandas(_combine(shards), "cell int, heap int, node int, to int, bytes long"))
+        up = step.select("cell", "heap", "node", "to")
+        way = up if way is None else way.join(up.select(F.col("cell").alias("node"), F.col("heap").alias("to"), F.col("node").alias("node2"), F.col("to").alias("to2")), ["node", "to"]).select("cell", "heap", F.col("node2").alias("node"), F.col("to2").alias("to"))
+        if nodes == 1:
+            break
+        sums, cells = step.groupBy(F.col("node").alias("cell"), F.col("to").alias("heap")).agg(F.sum("bytes").alias("bytes")), nodes
+    return placed.join(way.select("cell", "heap", F.col("to").alias("shard")), ["cell", "heap"]).select("group", "shard")
+
+
+def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", doc_id: str = "doc_id", cells: int | None = None, numbers: int | None = None) -> DataFrame:
     """Every row of ``docs`` with size, text_crc32, law, shard, slot and grown_shard.
 
     The size is the text's UTF-8 bytes plus 1; a null text has no bytes and is a
     group with the empty one. All rows of one text share a shard. Slots count
-    each shard's rows from 0 without gaps, in ``numbers`` runs fixed by hashes of
-    id and text, each ordered by id and text. Law is ``bytes``; grown_shard null.
-    Columns with the names of the results are replaced.
+    each shard's rows from 0 without gaps, in ``numbers`` runs (by default 256, more
+    beyond 100 million rows) fixed by hashes of id and text, each ordered by id and
+    text. Law is ``bytes``; grown_shard null.
+    A long text is a group like any other; equal rows take neighbouring slots; an
+    empty table gives no rows. Columns with the names of the results are replaced.
     """
+    numbers = numbers or max(256, docs.count() // 400_000)
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     new = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     rows = docs.select(*[c for c in docs.columns if c not in new]).withColumns({"__key": F.substring(text_key(F.col(text).cast("string")), 1, 16), "size": F.octet_length(body).cast("long") + 1, "text_crc32": F.crc32(body)})
@@ -138,12 +163,15 @@ def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", doc_id
     at = Window.partitionBy("shard", "__run").orderBy(F.col(doc_id).cast("string"), "__key")
     return (
         placed.withColumn("__at", F.row_number().over(at))
-        .join(F.broadcast(offset), ["shard", "__run"])
+        .join(offset, ["shard", "__run"])
         .withColumns({"slot": F.col("__from") + F.col("__at") - 1, "law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
         .drop("__key", "__run", "__from", "__at")
     )
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in eight shards of nearly equal bytes."""
+    """All documents in eight shards of nearly equal bytes.
+
+    A null text is empty and of size 1; see ``shard_documents``.
+    """
     return shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
