@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import exprs as X
 from ..operators import geometry as G
 from ..operators import penalties as N
 from ..operators import stats as S

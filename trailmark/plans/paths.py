@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..operators import fingerprint as P
 from ..operators import paths as O
-from .series import EV, R, events, read
+from .series import R, events, read
 from .spatial import FP, _fingerprint
 
 QUERIES: dict = {}
