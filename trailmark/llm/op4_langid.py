@@ -24,6 +24,7 @@ from .common import table
 
 SAMPLE_TEXTS = 400
 DICT_BYTES = 64 << 10
+LONG = 64
 MARGIN = 0.002
 #: Small tables, as each text starts from a copy of them; greedy parsing tells languages apart better than the fast ones.
 CODER = {"window_log": 18, "hash_log": 14, "chain_log": 14, "search_log": 3, "min_match": 4, "strategy": zstandard.STRATEGY_GREEDY}
@@ -47,11 +48,13 @@ def learn(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, dict_bytes: int
     """Dictionaries from (lang, text): a bounded sample of each language.
 
     At most ``sample_texts`` different texts a language, those of least hash, are
-    taken whole one after another until they give ``dict_bytes`` bytes; what the
-    last one has beyond that is not needed. Null languages and null texts teach
+    taken whole one after another until they give ``dict_bytes`` bytes, those of
+    over a ``LONG``th of that after all others; what the last one has beyond that
+    is not needed. Null languages and null texts teach
     nothing. Languages with more rows come first.
     """
-    order = Window.partitionBy("lang").orderBy("h")
+    # Shorter texts first, so that many of them and not one long one fill a dictionary.
+    order = Window.partitionBy("lang").orderBy(F.col("size") > dict_bytes // LONG, "h")
     some = labelled.where("lang is not null and text is not null and text rlike '\\\\p{L}'").select("lang", "text", F.xxhash64("text").alias("h"))
     # Rows and different texts of each language; copies of a text are one, however many they are.
     texts = some.groupBy("lang", "h").count().groupBy("lang").agg(F.sum("count").alias("rows"), F.count(F.lit(1)).alias("texts"))
