@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from .op1_suffix_dedup import op1_suffix_dedup
 from .op10_decontaminate import op10_decontaminate
+from .op11_vector_codes import OP11_SQL, op11_vector_codes
+from .op12_divergence import OP12_SQL, op12_divergence
+from .op13_topk import OP13_SQL, op13_topk
 from .op2_near_dedup import OP2_SQL, op2_near_dedup
 from .op3_chat import OP3_SQL, op3_chat
 from .op4_langid import op4_langid
@@ -24,5 +27,8 @@ QUERIES = {
     "op8_countmin_dedup": op8_countmin_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_divergence": op12_divergence,
+    "op13_topk": op13_topk,
 }
-SQL: dict[str, str] = {"op2_near_dedup": OP2_SQL, "op3_chat": OP3_SQL, "op7_quality": OP7_SQL, "op8_countmin_dedup": OP8_SQL}
+SQL: dict[str, str] = {"op2_near_dedup": OP2_SQL, "op3_chat": OP3_SQL, "op7_quality": OP7_SQL, "op8_countmin_dedup": OP8_SQL, "op11_vector_codes": OP11_SQL, "op12_divergence": OP12_SQL, "op13_topk": OP13_SQL}
