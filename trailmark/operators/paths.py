@@ -106,18 +106,21 @@ def _edge(distance: np.ndarray, delay_s: float, dissimilarity: float) -> np.ndar
     return np.minimum(EDGE_MOST, doubt / (1 + delay_s / EDGE_DECAY_S) * ((distance > 1e-3) * EDGE_EXACT + far**2))
 
 
+def misfit(step, dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
+    """How far moves are from the one wanted; infinite beyond 45 degrees."""
+    size = np.hypot(dx, dy)
+    error = np.abs(dx - step.ax) + np.abs(dy - step.ay) + 4 * np.abs(size - step.distance)
+    error[_wrap(np.arctan2(dy, dx) - math.atan2(step.ay, step.ax)) > np.pi / 4] = np.inf
+    return error
+
+
 class Beam:
     """The cheapest beginnings of a trail's path: candidate of each step, penalties of each step, total."""
 
-    def __init__(self, steps: pd.DataFrame, cells: pd.DataFrame, width: int, by_signal: int, by_move: int):
+    def __init__(self, steps: pd.DataFrame, cand: np.ndarray, pos: np.ndarray, fixed: dict[str, np.ndarray], signal: np.ndarray, width: int, by_signal: int, by_move: int):
+        """``signal`` is by step and candidate; ``fixed`` are penalties of being at a candidate."""
         self.steps = steps.reset_index(drop=True)
-        # Every step has the same candidates, those of the floor.
-        at = cells.drop_duplicates("cand").sort_values("cand")
-        self.cand = at["cand"].to_numpy()
-        self.pos = at[["x", "y"]].to_numpy(float)
-        self.fixed = {c: at[c].to_numpy(float) for c in ("off_grid", "dense")}
-        wide = cells.pivot(index="step", columns="cand", values="signal").reindex(index=self.steps["step"], columns=self.cand)
-        self.signal = wide.to_numpy(float)
+        self.cand, self.pos, self.fixed, self.signal = cand, pos, fixed, signal
         self.width, self.by_signal, self.by_move = width, min(by_signal, len(self.cand)), by_move
 
     def first(self) -> None:
@@ -126,16 +129,19 @@ class Beam:
         part = {p: np.zeros(len(keep)) for p in PENALTIES} | {"signal": self.signal[0][keep]} | {c: v[keep] for c, v in self.fixed.items()}
         self.path, self.parts, self.total = keep[:, None], [part], sum(part.values())
 
-    def expand(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Beginnings with their next candidates: the best by signal, and others that best fit the wanted movement within 45 degrees."""
-        step, last = self.steps.iloc[i], self.path[:, -1]
-        best = np.argsort(self.signal[i], kind="stable")[: self.by_signal]
+    def fits(self, i: int, last: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each of ``last`` up to ``by_move`` candidates, none of ``best``, that best fit the wanted movement within 45 degrees, and which of them there are."""
         move = self.pos[None] - self.pos[last][:, None]
-        error = np.abs(move[..., 0] - step.ax) + np.abs(move[..., 1] - step.ay) + 4 * np.abs(np.hypot(move[..., 0], move[..., 1]) - step.distance)
+        error = misfit(self.steps.iloc[i], move[..., 0], move[..., 1])
         error[:, best] = np.inf
-        error[_wrap(np.arctan2(move[..., 1], move[..., 0]) - math.atan2(step.ay, step.ax)) > np.pi / 4] = np.inf
         fit = np.argsort(error, axis=1, kind="stable")[:, : self.by_move]
-        ok = np.isfinite(np.take_along_axis(error, fit, 1))
+        return fit, np.isfinite(np.take_along_axis(error, fit, 1))
+
+    def expand(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Beginnings with their next candidates: the best by signal, and others by movement."""
+        last = self.path[:, -1]
+        best = np.argsort(self.signal[i], kind="stable")[: self.by_signal]
+        fit, ok = self.fits(i, last, best)
         row = np.concatenate((np.repeat(np.arange(len(last)), len(best)), np.nonzero(ok)[0]))
         nxt = np.concatenate((np.tile(best, len(last)), fit[ok]))
         order = np.argsort(row, kind="stable")
@@ -174,11 +180,14 @@ class Beam:
         for c, v in self.fixed.items():
             part[c] = v[nxt]
         total = self.total[row] + FORBIDDEN * (prev == nxt) + sum(part.values())
-        keep = np.argsort(total, kind="stable")[: self.width]
+        keep = self.keep(row, nxt, total)
         self.path = np.concatenate((self.path[row[keep]], nxt[keep][:, None]), axis=1)
         self.parts = [{p: v[row[keep]] for p, v in old.items()} for old in self.parts] + [{p: v[keep] for p, v in part.items()}]
         self.total = total[keep]
 
+    def keep(self, row: np.ndarray, nxt: np.ndarray, total: np.ndarray) -> np.ndarray:
+        return np.argsort(total, kind="stable")[: self.width]
+
     def best(self) -> pd.DataFrame:
         """The cheapest path with each step's penalties, and how far the second is."""
         one = self.path[0]
@@ -206,7 +215,11 @@ def search_paths(steps: DataFrame, cells: DataFrame, trail: list[str], width: in
         names = [*trail, "step", "cand", "x", "y", *PENALTIES, "total", "gap_second", "distance_second"]
         if not len(left) or not len(right):
             return pd.DataFrame(columns=names)
-        beam = Beam(left.sort_values("step"), right, width, by_signal, by_move)
+        # Every step has the same candidates, those of the floor.
+        at = right.drop_duplicates("cand").sort_values("cand")
+        left = left.sort_values("step")
+        signal = right.pivot(index="step", columns="cand", values="signal").reindex(index=left["step"], columns=at["cand"]).to_numpy(float)
+        beam = Beam(left, at["cand"].to_numpy(), at[["x", "y"]].to_numpy(float), {c: at[c].to_numpy(float) for c in ("off_grid", "dense")}, signal, width, by_signal, by_move)
         beam.first()
         for i in range(1, len(beam.steps)):
             beam.advance(i)
