@@ -130,11 +130,6 @@ def compare_submissions(spark, d):
 
 @query(f"WITH {EV}, s AS (SELECT user_id, k, max(value) AS v FROM e GROUP BY ALL), g AS (SELECT a.user_id, b.user_id AS other, round(abs(a.v - b.v), 6) AS gap FROM s a JOIN s b ON a.k = b.k AND a.user_id <> b.user_id) SELECT user_id, min_by(other, struct_pack(g := gap, o := other)) AS other, min(gap) AS gap FROM g GROUP BY user_id")
 def nearest_other_trail(spark, d):
-    return nearest_other_trail_all(spark, d)
-
-
-@query()
-def nearest_other_trail_all(spark, d):
     """Each user's nearest other by their strongest values at any shared emitter; equal gaps go to the least user.
 
     Only neighbours in value order are compared: the least two users of a value
@@ -153,6 +148,19 @@ def nearest_other_trail_all(spark, d):
     return j.groupBy("user_id").agg(best).select("user_id", F.col("m.other").alias("other"), F.col("m.gap").alias("gap"))
 
 
+@query(
+    f"""WITH {EV}, s AS (SELECT user_id, k, max(value) AS v FROM e WHERE k IS NOT NULL AND value IS NOT NULL GROUP BY ALL), g AS (SELECT a.user_id, b.user_id AS other, round(abs(a.v - b.v), 6) AS gap FROM s a JOIN s b ON a.k = b.k AND a.user_id <> b.user_id),
+n AS (SELECT user_id, min_by(other, struct_pack(g := gap, o := other)) AS other, min(gap) AS gap FROM g GROUP BY user_id)
+SELECT n.user_id, n.other, gap, count(*) AS shared FROM n JOIN s a USING (user_id) JOIN s b ON b.user_id = n.other AND b.k = a.k GROUP BY ALL"""
+)
+def nearest_other_trail_all(spark, d):
+    """``nearest_other_trail`` with the number of emitters that both have heard."""
+    near = nearest_other_trail(spark, d)
+    heard = events(spark, d).where("k is not null and value is not null").select("user_id", "k").distinct()
+    own = near.join(heard, "user_id")
+    return own.join(heard.withColumnRenamed("user_id", "other"), ["other", "k"]).groupBy("user_id", "other", "gap").agg(F.count(F.lit(1)).alias("shared"))
+
+
 @query("SELECT p_size, x.code FROM (SELECT DISTINCT p_size FROM part) JOIN (SELECT p_size, dense_rank() OVER (ORDER BY n DESC, p_size::VARCHAR) - 1 AS code FROM (SELECT p_size, count(*) AS n FROM part GROUP BY 1)) x USING (p_size)")
 def frequency_encoding(spark, d):
     """Codes by falling frequency, equal ones by text."""

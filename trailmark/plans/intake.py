@@ -11,6 +11,8 @@ from ..operators import frames as K
 from ..operators import geometry as G
 from ..operators import models as M
 from ..operators import walls as L
+from ..sources import tables
+from ..sources.sinks import scratch
 from .relational import MD5
 from .series import EV, R, events, read
 from .spatial import PT, points
@@ -31,11 +33,11 @@ def query(sql: str | None = None):
 
 @query("SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_totalprice, o_orderpriority FROM orders WHERE o_orderstatus = 'F'")
 def csv_records(spark, d):
-    """Orders as CSV lines, read back with the types asked for (a key as text) and filtered while they are read."""
-    o = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
-    line = o.select(F.to_csv(F.struct(*o.columns)).alias("line"))
-    back = line.select(F.from_csv("line", "o_orderkey bigint, o_custkey string, o_totalprice double, o_orderstatus string, o_orderpriority string").alias("r")).select("r.*")
-    return back.where("o_orderstatus = 'F'").drop("o_orderstatus")
+    """Orders written as a folder of CSV files and scanned with the types asked for (a key as text), the filter pushed into the scan."""
+    at = scratch(spark)
+    read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority").write.option("header", "true").csv(at)
+    kinds = {"o_orderkey": "bigint", "o_totalprice": "double"}
+    return tables.read_csv(spark, at, kinds, "o_orderstatus = 'F'").drop("o_orderstatus")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity, l_partkey, l_suppkey, l_extendedprice FROM lineitem")
@@ -205,13 +207,13 @@ def first_in_order(spark, d):
     return e.groupBy("user_id", "event_type").agg(F.min_by(F.struct("event_id", "value"), F.struct("t", "event_id")).alias("f")).select("user_id", "event_type", "f.*")
 
 
-@query("SELECT s.c_nationkey, s.c_mktsegment, avg(o.o_totalprice) AS score, o.n IS NULL AS empty FROM (SELECT n.c_nationkey, m.c_mktsegment FROM (SELECT DISTINCT c_nationkey FROM customer) n, (SELECT DISTINCT c_mktsegment FROM customer) m) s LEFT JOIN (SELECT c_nationkey, c_mktsegment, avg(o_totalprice) AS o_totalprice, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 480000 GROUP BY ALL) o USING (c_nationkey, c_mktsegment) GROUP BY ALL".replace("avg(o.o_totalprice)", "round(avg(o.o_totalprice), 4)"))
+@query("SELECT s.c_nationkey, s.c_mktsegment, avg(o.o_totalprice) AS score, o.n IS NULL AS empty FROM (SELECT n.c_nationkey, m.c_mktsegment FROM (SELECT DISTINCT c_nationkey FROM customer) n, (SELECT DISTINCT c_mktsegment FROM customer) m) s LEFT JOIN (SELECT c_nationkey, c_mktsegment, avg(o_totalprice) AS o_totalprice, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL) o USING (c_nationkey, c_mktsegment) GROUP BY ALL".replace("avg(o.o_totalprice)", "round(avg(o.o_totalprice) + 1e-6, 3)"))
 def reference_scores(spark, d):
     """Mean score of every site and floor, null where there is none."""
     c = read(spark, d, "customer")
     every = c.select("c_nationkey").distinct().join(F.broadcast(c.select("c_mktsegment").distinct()))
-    big = read(spark, d, "orders").where("o_totalprice > 480000").join(c, F.col("c_custkey") == F.col("o_custkey"))
-    s = big.groupBy("c_nationkey", "c_mktsegment").agg(R(F.avg("o_totalprice"), 4).alias("score"))
+    scored = read(spark, d, "orders").join(c, F.col("c_custkey") == F.col("o_custkey"))
+    s = scored.groupBy("c_nationkey", "c_mktsegment").agg(R(F.avg("o_totalprice") + 1e-6, 3).alias("score"))
     return every.join(s, ["c_nationkey", "c_mktsegment"], "left").withColumn("empty", F.col("score").isNull())
 
 
@@ -323,7 +325,7 @@ j AS (SELECT q.g, q.user_id, r.user_id AS other, round((coalesce(abs(q.n - r.n)
 SELECT g, user_id, arg_min(other, struct_pack(gap := gap, o := other)) AS other, round(min(gap), 5) AS difference FROM j GROUP BY g, user_id"""
 )
 def signature_match(spark, d):
-    """Of every third user the most alike of the others in number, mean and spread of readings."""
+    """Windows are split as the models are: every third user is one to be placed, the others are the known ones; of each of the former the most alike known one in number, mean and spread of readings."""
     w = read(spark, d, "events").groupBy((F.col("user_id") % 5).alias("g"), "user_id").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("value").alias("m"), F.coalesce(F.stddev_pop("value"), F.lit(0.0)).alias("s"))
     q = w.where("user_id % 3 = 0")
     r = w.where("user_id % 3 != 0").withColumnRenamed("user_id", "other").toDF("g", "other", "n", "m", "s")

@@ -69,12 +69,12 @@ def signal_penalty(spark, d):
 
 @query()
 def path_search(spark, d):
-    """Users' purchases as anchors on a floor of 80 parts (a brand in a block of 2000 part keys, so a floor does not grow with the table)."""
+    """Users' purchases as anchors on a floor of 80 parts (a brand in a block of 2000 part keys, so a floor does not grow with the table) that their number picks among all parts."""
     part = read(spark, d, "part").select("p_partkey", F.concat_ws("_", "p_brand", F.floor(F.col("p_partkey") / 2000)).alias("floor"), F.col("p_size").cast("double").alias("x"), ((F.col("p_retailprice") - 900) / 20).alias("y"))
     w = Window.partitionBy("user_id").orderBy("t", "event_id")
     e = events(spark, d, "purchase").where("k is not null").withColumn("step", F.row_number().over(w) - 1)
-    home = part.select((F.col("p_partkey") - 1).alias("at"), "floor")
-    users = e.withColumn("at", F.col("user_id") % 2000).join(home, "at").withColumns({"tx": F.col("k") / 2.0, "ty": F.col("value") % 50})
+    most = part.agg(F.max("p_partkey").alias("most"))
+    users = e.join(F.broadcast(most)).withColumn("p_partkey", F.pmod(F.col("user_id") * 7919, F.col("most")) + 1).join(part.select("p_partkey", "floor"), "p_partkey").drop("p_partkey", "most").withColumns({"tx": F.col("k") / 2.0, "ty": F.col("value") % 50})
     ax, ay = F.coalesce(F.col("tx") - F.lag("tx").over(w), F.lit(0.0)), F.coalesce(F.col("ty") - F.lag("ty").over(w), F.lit(0.0))
     moved = users.withColumns({"ax": ax, "ay": ay}).withColumn("distance", X.euclid(F.col("ax"), F.col("ay")) + 0.5)
     flat = F.lit(None).cast("double")

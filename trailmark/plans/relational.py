@@ -110,14 +110,16 @@ def unpivot_measures(spark, d):
     return _measures(read(spark, d, "lineitem"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, epoch_us(l_shipdate) AS t, unnest(['quantity', 'discount', 'tax']) AS measure, unnest([l_quantity, l_discount, l_tax]) AS value FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, epoch_us(l_shipdate) AS t, unnest(['quantity', 'price', 'discount', 'tax']) AS measure, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS value FROM lineitem")
 def unpivot_all_measures(spark, d):
-    return _measures(read(spark, d, "lineitem"))
+    """With the price, that is all of a line's measures."""
+    return _measures(read(spark, d, "lineitem"), {"price": "l_extendedprice"})
 
 
-def _measures(li):
-    ids = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", X.micros(F.col("l_shipdate")).alias("t"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
-    return ids.unpivot(["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "t"], ["quantity", "discount", "tax"], "measure", "value")
+def _measures(li, more=None):
+    measures = {"quantity": "l_quantity", "discount": "l_discount", "tax": "l_tax"} | (more or {})
+    ids = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", X.micros(F.col("l_shipdate")).alias("t"), *[F.col(c).alias(n) for n, c in measures.items()])
+    return ids.unpivot(["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "t"], list(measures), "measure", "value")
 
 
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, count(*) FILTER (o_totalprice > 250000) AS large, round(sum(o_totalprice), 2) AS total, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY 1, 2")
@@ -182,13 +184,23 @@ def corr_metrics(spark, d):
     )
 
 
-@query("WITH r AS (SELECT unnest(['1560915938818\tTYPE_A\t1.5\t2.5', '1560915938900\tTYPE_B\ts\t-44\t1560915938157' || '1560915938901\tTYPE_A\t1.0\t2.0', '# start', '']) AS line), x AS (SELECT unnest(string_split(regexp_replace(line, '(\\d{13}\\tTYPE_)', chr(10) || '\\1', 'g'), chr(10))) AS rec FROM r WHERE line <> '' AND line NOT LIKE '#%') SELECT split_part(rec, chr(9), 1)::BIGINT AS ts, split_part(rec, chr(9), 2) AS tag, len(string_split(rec, chr(9))) - 2 AS n_values FROM x WHERE rec <> ''".replace("\t", "' || chr(9) || '").replace("\\t", "\\t"))
+@query(
+    """WITH r AS (SELECT event_id, epoch_us(ts) // 1000 AS ts, 'TYPE_' || upper(event_type) AS tag, 2 AS n_values, '' || user_id AS first FROM events WHERE event_id % 7 <> 5
+UNION ALL SELECT event_id, epoch_us(ts) // 1000 + 1, 'TYPE_WAYPOINT', 1, '' || event_id FROM events WHERE event_id % 3 = 0 AND event_id % 7 <> 5
+UNION ALL SELECT event_id, NULL, NULL, NULL, NULL FROM events WHERE event_id % 7 = 5 AND event_id % 2 = 0) SELECT event_id, ts, tag, n_values::INTEGER AS n_values, first FROM r"""
+)
 def log_line_repair(spark, d):
+    """Events as lines of a log: every third is glued to a record that follows it, some are comments, some have no tag."""
     from ..sources import logs
 
-    lines = ["1560915938818\tTYPE_A\t1.5\t2.5", "1560915938900\tTYPE_B\ts\t-44\t15609159381571560915938901\tTYPE_A\t1.0\t2.0", "# start", ""]
-    rec = logs.repair(spark.createDataFrame([(x,) for x in lines], "value string"))
-    return rec.select("ts", "tag", F.size("values").cast("bigint").alias("n_values"))
+    ms = F.floor(X.micros(F.col("ts")) / 1000)
+    line = F.concat_ws("\t", ms.cast("string"), F.concat(F.lit("TYPE_"), F.upper("event_type")), F.col("user_id").cast("string"), F.get_json_object("props", "$.k"))
+    glued = F.concat_ws("\t", F.concat(line, (ms + 1).cast("string")), F.lit("TYPE_WAYPOINT"), F.col("event_id").cast("string"))
+    broken = F.when(F.col("event_id") % 2 == 0, "no tag").otherwise(F.concat(F.lit("# "), "event_type"))
+    value = F.when(F.col("event_id") % 7 == 5, broken).when(F.col("event_id") % 3 == 0, glued).otherwise(line)
+    rec = logs.repair(read(spark, d, "events").select("event_id", value.alias("value")))
+    known = F.col("tag").isNotNull()
+    return rec.select("event_id", "ts", "tag", F.when(known, F.size("values")).alias("n_values"), F.when(known, F.get("values", F.lit(0))).alias("first"))
 
 
 @query("SELECT event_id, coalesce(CASE WHEN user_id < 20 THEN 500 END, CAST(props->>'k' AS INTEGER)) AS height FROM events")
