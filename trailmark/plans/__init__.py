@@ -4,12 +4,12 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from . import derived, floors, intake, paths, records, relational, series, spatial
+    from . import derived, floors, intake, outlines, paths, records, relational, series, spatial
 
-    return {**series.QUERIES, **relational.QUERIES, **spatial.QUERIES, **derived.QUERIES, **paths.QUERIES, **intake.QUERIES, **records.QUERIES, **floors.QUERIES}
+    return {**series.QUERIES, **relational.QUERIES, **spatial.QUERIES, **derived.QUERIES, **paths.QUERIES, **intake.QUERIES, **records.QUERIES, **floors.QUERIES, **outlines.QUERIES}
 
 
 def all_sql() -> dict[str, str]:
-    from . import derived, floors, intake, paths, records, relational, series, spatial
+    from . import derived, floors, intake, outlines, paths, records, relational, series, spatial
 
-    return {**series.SQL, **relational.SQL, **spatial.SQL, **derived.SQL, **paths.SQL, **intake.SQL, **records.SQL, **floors.SQL}
+    return {**series.SQL, **relational.SQL, **spatial.SQL, **derived.SQL, **paths.SQL, **intake.SQL, **records.SQL, **floors.SQL, **outlines.SQL}

@@ -200,6 +200,14 @@ def point_fusing(spark, d):
     return Z.fuse_points(points(spark, d), ["floor"], 6.0)
 
 
+@query()
+def point_fusing_local(spark, d):
+    """Parts of a brand in a block of 2000 keys fused in two levels, the last digit of their key being the gap known for two thirds of them."""
+    floor = F.concat_ws("_", "floor", F.floor(F.col("id") / 2000))
+    gap = F.when(F.col("id") % 3 != 0, 1.0 + F.col("id") % 10)
+    return Z.fuse_points_local(points(spark, d).select(floor.alias("floor"), "id", "x", (F.col("y") / 10).alias("y"), gap.alias("gap")), ["floor"], 8.0, 2.5)
+
+
 @query()
 def smoothing_solve(spark, d):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
