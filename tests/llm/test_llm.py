@@ -464,6 +464,37 @@ def thue_morse(n):
     return t, t.translate(str.maketrans("ab", "ba"))
 
 
+@pytest.mark.parametrize("hop", [1, 2, 3])
+def test_op8_hops(spark, hop):
+    rows = corpus(3) + AWKWARD
+    got = op8.window_dedup_rows(frame(spark, rows), chunk_bytes=9000, hop=hop, width=14)
+    want = op8.window_dedup_rows(frame(spark, rows))
+    columns = ("doc_id", "n_words", "n_removed", "kept_sha256", "kept")
+    assert by_row(got, *columns) == by_row(want, *columns)
+
+
+def test_op8_rows_grow_with_the_input(spark, monkeypatch):
+    """At each hop a chunk accounts for no more rows than a hop has addresses, however many chunks and blocks there are."""
+    docs = spark.createDataFrame(corpus(5, n=120), "doc_id long, text string").cache()
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    sent = {}
+    for size in (20_000, 10_000, 5_000):
+        seen = []
+
+        def count(df, seen=seen):
+            seen.append(df.count())
+            return df
+
+        monkeypatch.setattr(op8, "cut", count)
+        op8.window_dedup(docs, chunk_bytes=size, hop=2)
+        chunks = -(-total // size)
+        assert all(0 < n <= 8 * chunks + 64 for n in seen)
+        sent[size] = sum(seen), len(seen)
+    # Twice the chunks: twice the rows a hop, and at most two hops more.
+    for one, two in ((20_000, 10_000), (10_000, 5_000)):
+        assert sent[two][1] <= sent[one][1] + 2 and sent[two][0] / sent[two][1] <= 2.2 * sent[one][0] / sent[one][1]
+
+
 def test_op8_words_that_collide_modulo_powers_of_two(spark):
     one, two = thue_morse(2048)
     same = " ".join(f"w{i}" for i in range(12))

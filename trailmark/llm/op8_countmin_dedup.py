@@ -15,6 +15,13 @@ gathered in one place: cells and windows are tested where their block lives. A
 chunk sends a window once however many of its documents hold it, so a window
 that is everywhere costs its bucket one entry a chunk. Windows are told apart by
 124 bits of two independent hashes over a prime field.
+
+Blocks become more with the input, the rows a chunk sends do not: it addresses
+them by the first ``HOP`` bits of a block's number only. Where there are more
+blocks, rows of as many chunks with one address meet in a task, which merges them
+and sends them on by ``HOP`` bits more, and so on down to blocks; answers come back
+the same way. So rows grow in proportion to the input, as does what a task holds
+of them not at all, and hops are as many as the logarithm of the blocks.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import parts, table, text_key
+from .common import cut, parts, table, text_key
 
 DEPTH = 2
 CHUNK_BYTES = 8 << 20
@@ -36,6 +43,8 @@ BLOCK = 1 << 24
 _SALTS = [np.uint64(r * 0x632BE59BD9B4E019 % 2**64) for r in range(DEPTH)]
 _TEXTS = "chunk int, key binary, doc_id long, text string"
 _SENT = "chunk int, block int, body binary"
+#: Bits of a hop: a chunk sends at most 2**HOP rows of cells, or of windows, however many blocks there are.
+HOP = 10
 
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,19 +121,23 @@ def _one(column: pa.ChunkedArray) -> pa.Array:
     return got if not isinstance(got, pa.ChunkedArray) else got.chunk(0) if got.num_chunks else pa.array([], column.type)
 
 
+_GAPS = ("<u2", "<u4", "<u8")
+
+
 def _pack(cells: np.ndarray, twice: np.ndarray) -> bytes:
     """Ascending cells as their gaps, with a bit each."""
     gap = np.diff(cells, prepend=0)
-    short = int(gap.max()) < 1 << 16
-    return bytes([short]) + np.packbits(twice).tobytes() + gap.astype("<u2" if short else "<u4").tobytes()
+    most = int(gap.max())
+    kind = 0 if most < 1 << 16 else 1 if most < 1 << 32 else 2
+    return bytes([kind]) + np.packbits(twice).tobytes() + gap.astype(_GAPS[kind]).tobytes()
 
 
 def _unpack(body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    short, rest = body[0], len(body) - 1
-    n = rest * 8 // (17 if short else 33)
+    kind, rest = body[0], len(body) - 1
+    n = rest * 8 // (1 + (16 << kind))
     bits = (n + 7) // 8
     twice = np.unpackbits(np.frombuffer(body, np.uint8, bits, 1), count=n)
-    return np.cumsum(np.frombuffer(body, "<u2" if short else "<u4", n, 1 + bits), dtype=np.int64), twice
+    return np.cumsum(np.frombuffer(body, _GAPS[kind], n, 1 + bits), dtype=np.int64), twice
 
 
 def _sent(chunk: int, block: list[int], body: list[bytes]) -> pa.Table:
@@ -135,29 +148,76 @@ def _number(rows: pa.Table, name: str = "chunk") -> int:
     return rows.column(name)[0].as_py()
 
 
-def _count(size: int, width: int, block: int):
-    """Pass one: the cells a chunk fills, by block, with a bit for those filled twice."""
+def hops(bits: int, hop: int = HOP) -> list[int]:
+    """How many leading bits of a block's number a row's address has, at each hop on the way to the block."""
+    return [*range(hop, bits, hop), bits]
+
+
+def _count(size: int, width: int, address: int):
+    """Pass one: the cells a chunk fills, by the first ``address`` bits of their place in the sketch, with a bit for those filled twice."""
+    low = width + (DEPTH - 1).bit_length() - address
 
     def run(rows: pa.Table) -> pa.Table:
         c = Chunk(rows, size)
         c.group(False)
         names, bodies = [], []
         for r in range(DEPTH):
-            cell = c.cells(r, width)
+            cell = c.cells(r, width) + (r << width)
             order = np.argsort(cell)
             s = cell[order]
             head = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
             twice = np.add.reduceat(c.many[order].astype(np.int64) + 1, head) > 1 if len(s) else head
             s = s[head]
-            for i, j in zip(*vec.stretches(s // block), strict=True):
-                names.append(int(s[i]) // block + r * ((1 << width) // block))
-                bodies.append(_pack(s[i:j] % block, twice[i:j]))
+            for i, j in zip(*vec.stretches(s >> low), strict=True):
+                names.append(int(s[i]) >> low)
+                bodies.append(_pack(s[i:j] & ((1 << low) - 1), twice[i:j]))
         vec.release()
         return _sent(_number(rows), names, bodies)
 
     return run
 
 
+def _together(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The cells of each row, and those of all rows with whether they count twice."""
+    each = [_unpack(body.as_py()) for body in rows.column("body")]
+    cells, times = np.concatenate([c for c, _ in each]), np.concatenate([t for _, t in each]).astype(np.int64) + 1
+    all_, of = np.unique(cells, return_inverse=True)
+    return [c for c, _ in each], all_, np.bincount(of, weights=times, minlength=len(all_)) > 1
+
+
+def _merge(hop: int, before: int, after: int, rest: int):
+    """A hop of pass one: the cells of up to 2**``hop`` senders become one sender's, addressed by ``after`` bits instead of ``before``; ``rest`` bits of a place are not in the address yet."""
+    low = rest - (after - before)
+
+    def run(rows: pa.Table) -> pa.Table:
+        _, cells, twice = _together(rows)
+        group = _number(rows, "block")
+        names, bodies = [], []
+        for i, j in zip(*vec.stretches(cells >> low), strict=True):
+            names.append((group << (after - before)) + (int(cells[i]) >> low))
+            bodies.append(_pack(cells[i:j] & ((1 << low) - 1), twice[i:j]))
+        return _sent(_number(rows) >> hop, names, bodies)
+
+    return run
+
+
+def _expand(before: int, after: int, rest: int):
+    """The same hop back: of what was answered to all senders together, each one's bits."""
+    low = rest - (after - before)
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return _sent(0, [], [])
+        each, cells, _ = _together(rows)
+        group, got = _number(rows, "block"), _answers(answers)
+        bits = np.zeros(len(cells), np.uint8)
+        for i, j in zip(*vec.stretches(cells >> low), strict=True):
+            bits[i:j] = np.unpackbits(got[(group << (after - before)) + (int(cells[i]) >> low)], count=j - i)
+        return pa.table([rows.column("chunk"), rows.column("block"), pa.array([np.packbits(bits[np.searchsorted(cells, c)]).tobytes() for c in each], pa.binary())], names=["chunk", "block", "body"])
+
+    return run
+
+
 def _add(block: int):
     """A block of the sketch: add all chunks' cells, answer each with the bits of those that reach two."""
 
@@ -177,34 +237,35 @@ def _answers(rows: pa.Table) -> dict[int, np.ndarray]:
     return {b: np.frombuffer(x, np.uint8) for b, x in zip(rows.column("block").to_pylist(), rows.column("body").to_pylist(), strict=True)}
 
 
-def _estimated(c: Chunk, bits: dict[int, np.ndarray], width: int, block: int) -> np.ndarray:
+def _estimated(c: Chunk, bits: dict[int, np.ndarray], width: int, address: int) -> np.ndarray:
     """Which different windows of a chunk the sketch estimates repeated."""
+    low = width + (DEPTH - 1).bit_length() - address
     hit = np.ones(len(c.a), bool)
     for r in range(DEPTH):
-        got, back = np.unique(c.cells(r, width), return_inverse=True)
+        got, back = np.unique(c.cells(r, width) + (r << width), return_inverse=True)
         mask = np.zeros(len(got), bool)
-        for i, j in zip(*vec.stretches(got // block), strict=True):
-            mask[i:j] = np.unpackbits(bits[int(got[i]) // block + r * ((1 << width) // block)], count=j - i)
+        for i, j in zip(*vec.stretches(got >> low), strict=True):
+            mask[i:j] = np.unpackbits(bits[int(got[i]) >> low], count=j - i)
         hit &= mask[back]
     return hit
 
 
 def _buckets(a: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket, first and last of the slices of ascending hashes."""
+    """Leading bits, first and last of the slices of ascending hashes."""
     of = (a >> np.uint64(64 - bits)).astype(np.int64)
     i, j = vec.stretches(of)
     return of[i], i, j
 
 
-def _ask(size: int, width: int, block: int, bits: int):
-    """Pass two: windows estimated repeated, by bucket, as hashes and the least document of the chunk."""
+def _ask(size: int, width: int, address: int, bits: int):
+    """Pass two: windows estimated repeated, by their first ``bits``, as hashes and the least document of the chunk."""
 
     def run(texts: pa.Table, sketch: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return _sent(0, [], [])
         c = Chunk(texts, size)
         c.group(True)
-        hit = np.flatnonzero(_estimated(c, _answers(sketch), width, block))
+        hit = np.flatnonzero(_estimated(c, _answers(sketch), width, address))
         code = np.stack((c.a[hit].view(np.int64), c.b[hit].view(np.int64), c.least[hit]), axis=1)
         name, i, j = _buckets(c.a[hit], bits)
         vec.release()
@@ -213,25 +274,64 @@ def _ask(size: int, width: int, block: int, bits: int):
     return run
 
 
-def _settle(rows: pa.Table) -> pa.Table:
-    """A bucket: of each window whether another chunk has a lesser document, one bit each in the order asked."""
+def _asked(rows: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Bodies, their windows (hashes and document, in order), the order of hashes and each one's first place in it."""
     bodies = rows.column("body").to_pylist()
     code = np.frombuffer(b"".join(bodies), np.int64).reshape(-1, 3)
-    a, b, doc = code[:, 0].view(np.uint64), code[:, 1], code[:, 2]
+    a, b = code[:, 0].view(np.uint64), code[:, 1]
     order = np.lexsort((b, a))
     fresh = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))
-    least = np.minimum.reduceat(doc[order], np.flatnonzero(fresh))
-    later = np.zeros(len(doc), bool)
-    later[order] = doc[order] > least[np.cumsum(fresh) - 1]
+    return bodies, code, order, fresh
+
+
+def _later(bodies: list[bytes], code: np.ndarray, order: np.ndarray, fresh: np.ndarray, more: np.ndarray | None = None) -> list[bytes]:
+    """Of each body's windows whether another has a lesser document, one bit each; ``more`` tells it of those that are elsewhere."""
+    doc = code[order, 2]
+    of = np.cumsum(fresh) - 1
+    later = np.zeros(len(code), bool)
+    later[order] = doc > np.minimum.reduceat(doc, np.flatnonzero(fresh))[of]
+    if more is not None:
+        later[order] |= more[of]
     cut = np.append(0, np.cumsum([len(x) // 24 for x in bodies]))
-    answer = [np.packbits(later[i:j]).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
-    return pa.table([rows.column("chunk"), rows.column("block"), pa.array(answer, pa.binary())], names=["chunk", "block", "body"])
+    return [np.packbits(later[i:j]).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def _settle(rows: pa.Table) -> pa.Table:
+    """A bucket: of each window whether another chunk has a lesser document."""
+    return pa.table([rows.column("chunk"), rows.column("block"), pa.array(_later(*_asked(rows)), pa.binary())], names=["chunk", "block", "body"])
+
+
+def _merge_asked(hop: int, after: int):
+    """A hop of pass two: each window of up to 2**``hop`` senders once, with the least of their documents."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        _, code, order, fresh = _asked(rows)
+        one = code[order][fresh]
+        one[:, 2] = np.minimum.reduceat(code[order, 2], np.flatnonzero(fresh))
+        name, i, j = _buckets(one[:, 0].view(np.uint64), after)
+        return _sent(_number(rows) >> hop, name.tolist(), [one[x:y].tobytes() for x, y in zip(i, j, strict=True)])
+
+    return run
+
+
+def _expand_asked(after: int):
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return _sent(0, [], [])
+        bodies, code, order, fresh = _asked(rows)
+        a, got = code[order, 0][fresh].view(np.uint64), _answers(answers)
+        more = np.zeros(len(a), bool)
+        for name, i, j in zip(*_buckets(a, after), strict=True):
+            more[i:j] = np.unpackbits(got[int(name)], count=j - i)
+        return pa.table([rows.column("chunk"), rows.column("block"), pa.array(_later(bodies, code, order, fresh, more), pa.binary())], names=["chunk", "block", "body"])
+
+    return run
 
 
 _LEFT = "key binary, first_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def _apply(size: int, width: int, block: int, bits: int, keep: bool):
+def _apply(size: int, width: int, address: int, bits: int, keep: bool):
     """Pass three: cover the windows of lesser documents, digest the words left."""
     names = ["key", "first_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if keep else [])]
 
@@ -242,7 +342,7 @@ def _apply(size: int, width: int, block: int, bits: int, keep: bool):
         c = Chunk(texts, size)
         c.group(True)
         exact = answers.column("exact").to_numpy(zero_copy_only=False)
-        hit = np.flatnonzero(_estimated(c, _answers(answers.filter(pa.array(~exact))), width, block))
+        hit = np.flatnonzero(_estimated(c, _answers(answers.filter(pa.array(~exact))), width, address))
         other = _answers(answers.filter(pa.array(exact)))
         elsewhere = np.zeros(len(c.a), bool)
         for name, i, j in zip(*_buckets(c.a[hit], bits), strict=True):
@@ -276,7 +376,7 @@ def _key(text: Column) -> Column:
     return F.substring(text_key(text), 1, 16).alias("key")
 
 
-def window_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 13, chunk_bytes: int = CHUNK_BYTES, width: int | None = None, keep: bool = True) -> DataFrame:
+def window_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 13, chunk_bytes: int = CHUNK_BYTES, width: int | None = None, keep: bool = True, hop: int = HOP) -> DataFrame:
     """Words of every different text of ``docs`` that no window shared with an earlier document covers.
 
     A window is ``size`` consecutive words of one document; it goes wherever its
@@ -301,8 +401,10 @@ def window_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", si
     if width is None:
         width = max(10, int(4 * total / 6).bit_length())
     # Enough blocks and buckets for every task, and none larger than BLOCK cells.
-    bits = max((n - 1).bit_length(), width - (BLOCK.bit_length() - 1), 1)
-    block = max(1 << max(width - bits, 0), 1)
+    bits = min(max((n - 1).bit_length(), width - (BLOCK.bit_length() - 1), 1), width)
+    last = width + (DEPTH - 1).bit_length()
+    way, asked_way = hops(bits + last - width, hop), hops(bits, hop)
+    block = 1 << (width - bits)
     rows = docs.select(_key(one), F.coalesce(F.col(doc_id).cast("long"), top).alias("doc_id"), one.alias("text"))
     rows = rows.select(F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int").alias("chunk"), "key", "doc_id", "text")
     texts = rows.mapInArrow(_combine, _TEXTS).repartition(n, "chunk")
@@ -310,11 +412,28 @@ def window_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", si
     def by(sent: DataFrame, key: str) -> DataFrame:
         return sent.repartition(n, key)
 
-    sketch = by(texts.groupBy("chunk").applyInArrow(_count(size, width, block), _SENT), "block").groupBy("block").applyInArrow(_add(block), _SENT)
-    asked = texts.groupBy("chunk").cogroup(by(sketch, "chunk").groupBy("chunk")).applyInArrow(_ask(size, width, block, bits), _SENT)
-    settled = by(asked, "block").groupBy("block").applyInArrow(_settle, _SENT)
+    def there_and_back(sent: DataFrame, way: list[int], merge, settle, expand) -> DataFrame:
+        """What blocks answer to the rows ``sent`` by the first bits of ``way``."""
+        node = lambda sender, address: (F.col(sender).cast("long") * (1 << 32) + address).alias("node")
+        stages = []
+        for before, after in zip(way[:-1], way[1:], strict=True):
+            sent = cut(sent)
+            stages.append((sent, before, after))
+            met = by(sent.withColumn("sender", F.shiftright("chunk", hop)).select("*", node("sender", F.col("block"))).drop("sender"), "node")
+            sent = met.groupBy("node").applyInArrow(merge(before, after), _SENT)
+        back = by(sent, "block").groupBy("block").applyInArrow(settle, _SENT)
+        for sent, before, after in reversed(stages):
+            given = by(sent.withColumn("sender", F.shiftright("chunk", hop)).select("*", node("sender", F.col("block"))).drop("sender"), "node")
+            answers = by(back.select("*", node("chunk", F.shiftright("block", after - before))), "node")
+            back = given.groupBy("node").cogroup(answers.groupBy("node")).applyInArrow(expand(before, after), _SENT)
+        return back
+
+    counted = texts.groupBy("chunk").applyInArrow(_count(size, width, way[0]), _SENT)
+    sketch = there_and_back(counted, way, lambda i, j: _merge(hop, i, j, last - i), _add(block), lambda i, j: _expand(i, j, last - i))
+    asked = texts.groupBy("chunk").cogroup(by(sketch, "chunk").groupBy("chunk")).applyInArrow(_ask(size, width, way[0], asked_way[0]), _SENT)
+    settled = there_and_back(asked, asked_way, lambda i, j: _merge_asked(hop, j), _settle, lambda i, j: _expand_asked(j))
     answers = by(sketch.withColumn("exact", F.lit(False)).unionByName(settled.withColumn("exact", F.lit(True))), "chunk")
-    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_apply(size, width, block, bits, keep), _LEFT + ", kept binary" * keep)
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_apply(size, width, way[0], asked_way[0], keep), _LEFT + ", kept binary" * keep)
 
 
 def op8_countmin_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
