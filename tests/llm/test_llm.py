@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -224,6 +225,54 @@ def test_op3_null_conversation_is_one(spark):
     assert by_row(op3.paths(nodes), "tree", "rank", "place", "node") == Counter([(None, 1, 0, 1), (None, 1, 1, 2), (None, 2, 0, 1), (None, 2, 1, 3), (None, 2, 2, 4), ("u", 1, 0, 1)])
 
 
+def plain_tiles(text, item, least):
+    """Greedy string tiling word by word: the longest free match, earliest in the text and then in the item, again and again."""
+    free_t, free_i, out = [True] * len(text), [True] * len(item), []
+    while True:
+        best = (least - 1, 0, 0)
+        for p in range(len(text)):
+            for q in range(len(item)):
+                n = 0
+                while p + n < len(text) and q + n < len(item) and text[p + n] == item[q + n] and free_t[p + n] and free_i[q + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, p, q)
+        n, p, q = best
+        if n < least:
+            return sum(t[2] for t in out)
+        out.append((p, q, n))
+        free_t[p : p + n] = [False] * n
+        free_i[q : q + n] = [False] * n
+
+
+def test_op10_tiles_of_periodic_texts():
+    rng = np.random.default_rng(21)
+    for period in (1, 2, 3, 7):
+        unit = rng.integers(1, 9, period)
+        for extra in (0, 1):
+            text = np.concatenate((np.tile(unit, 40)[:90], rng.integers(1, 9, 10 * extra), np.tile(unit, 9)))
+            item = np.concatenate((rng.integers(1, 9, 5 * extra), np.tile(unit, 20)[:31]))
+            assert sum(t[2] for t in op10.tile(text, item, 5)) == plain_tiles(text.tolist(), item.tolist(), 5)
+    began = time.perf_counter()
+    assert sum(t[2] for t in op10.tile(np.tile([1, 2], 8000), np.tile([1, 2], 800), 5)) == 1600
+    assert time.perf_counter() - began < 2
+
+
+def test_op10_shared_prompts(spark):
+    """Documents that share a prompt only with many items are tiled with none of them, and nothing is lost by it."""
+    rng = np.random.default_rng(22)
+    say = lambda k: " ".join(f"w{i}" for i in rng.integers(0, 50_000, k))
+    prompt = "answer the next question with one of four letters"
+    items = [(i, f"{prompt} {say(32)}") for i in range(60)] + [(100, prompt), (101, prompt + " now")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, f"{say(20)} {prompt} {say(20)}") for i in range(80)] + [(500, f"{say(5)} {items[7][1]} {say(5)}"), (501, " ".join(items[9][1].split()[20:]))]
+    docs = frame(spark, rows)
+    pairs, _ = op10.candidates(docs, bench, "text", "doc_id", 5, 0.5, 16)
+    assert pairs.count() == 81 * 2 + 2
+    want = Counter([(i, k) for i in [*range(80), 500] for k in (100, 101)] + [(500, 7), (501, 9)])
+    assert by_row(op10.leaks(docs, bench), "doc_id", "item_id") == want == by_row(op10.leaks(docs, bench, common=10**6), "doc_id", "item_id")
+
+
 def test_op10_items_without_id_leak(spark):
     item = [" ".join(f"{k}{i}" for i in range(9)) for k in "pqr"]
     bench = spark.createDataFrame([(None, item[0]), (None, item[1]), (3, item[2])], "item_id long, text string")
