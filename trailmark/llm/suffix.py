@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
-from .vec import BASE, BASE2, Powers, Rolling
+from .vec import BASE, Powers, Rolling
 
-_P1, _P2 = Powers(BASE), Powers(BASE2)
+_POW = Powers(BASE)
 
 
 def classify(t: np.ndarray) -> np.ndarray:
@@ -96,6 +96,23 @@ def induce(t: np.ndarray, k: int, lms: np.ndarray) -> np.ndarray:
     return out
 
 
+def same(t: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, at_once: int = 1 << 22) -> np.ndarray:
+    """Whether the ``size`` symbols from each of ``a`` are those from ``b``, symbol by symbol."""
+    out = np.ones(len(a), bool)
+    todo = np.flatnonzero(size > 0)
+    ends = np.cumsum(size[todo])
+    lo = 0
+    while lo < len(todo):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + at_once, side="right")))
+        which = todo[lo:hi]
+        n = size[which]
+        cut = np.cumsum(n) - n
+        step = np.arange(int(n.sum())) - np.repeat(cut, n)
+        out[which] = np.logical_and.reduceat(t[np.repeat(a[which], n) + step] == t[np.repeat(b[which], n) + step], cut)
+        lo = hi
+    return out
+
+
 def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     """Suffix array of ``t`` with symbols below ``k``.
 
@@ -117,13 +134,14 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     ranked = sa[is_lms[sa]]
     end = np.zeros(n, np.int64)
     end[lms] = np.append(lms[1:] + 1, n)
-    a, b = Rolling(t, _P1), Rolling(t, _P2)
-    h, g = a.of(ranked, end[ranked]), b.of(ranked, end[ranked])
+    # Substrings are compared symbol by symbol; together they are hardly longer than the string.
+    size = end[ranked] - ranked
     fresh = np.ones(len(ranked), np.int64)
-    fresh[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+    alike = np.flatnonzero(size[1:] == size[:-1])
+    fresh[alike + 1] = ~same(t, ranked[alike], ranked[alike + 1], size[alike])
     names = np.cumsum(fresh) - 1
     distinct = int(names[-1]) + 1
-    del a, b, h, g, sa
+    del size, alike, sa
     if distinct < len(lms):
         name_at = np.zeros(n, np.int64)
         name_at[ranked] = names
@@ -145,7 +163,10 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray, usual: int) -> tuple[np.ndarray,
 
     Where the symbols before both agree, the length is one less than that of the
     suffix one to the left; only the others are computed, by halving on hashes:
-    lengths around ``usual`` first, the few beyond from the whole string on.
+    lengths around ``usual`` first, the few beyond from the whole string on. Equal
+    strings have equal hashes, so a length is never too small; those of ``usual``
+    or more are held against the symbols, and cut where these differ. So a length is
+    ``usual`` or more if and only if the prefixes are, and then it is exact.
     """
     n = len(t)
     phi = np.full(n, -1, np.int64)
@@ -156,7 +177,7 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray, usual: int) -> tuple[np.ndarray,
     keep[inner] = t[at[inner] - 1] != t[phi[inner] - 1]
     base = at[keep]
     other = phi[base]
-    rolling = Rolling(t, _P1)
+    rolling = Rolling(t, _POW)
     most = np.where(other < 0, 0, np.minimum(n - np.maximum(base, other), n))
     low = np.zeros(len(base), np.int64)
 
@@ -164,8 +185,8 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray, usual: int) -> tuple[np.ndarray,
         while step:
             ok = which[low[which] + step <= most[which]]
             i, j, p = base[ok], other[ok], low[ok] + step
-            same = rolling.raw(i, i + p) == rolling.raw(j, j + p)
-            low[ok[same]] = p[same]
+            equal = rolling.raw(i, i + p) == rolling.raw(j, j + p)
+            low[ok[equal]] = p[equal]
             step //= 2
 
     near = 1 << (2 * usual).bit_length()
@@ -173,5 +194,9 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray, usual: int) -> tuple[np.ndarray,
     far = np.flatnonzero(low == 2 * near - 1)
     if len(far):
         halve(far, 1 << n.bit_length())
+    long = np.flatnonzero(low >= usual)
+    for k in long[~same(t, base[long], other[long], low[long])]:
+        i, j, n_ = int(base[k]), int(other[k]), int(low[k])
+        low[k] = int((t[i : i + n_] != t[j : j + n_]).argmax())
     last = np.maximum.accumulate(np.where(keep, np.cumsum(keep) - 1, -1))
     return phi, low[last] - (at - base[last])
