@@ -8,6 +8,14 @@ the exact similarity decides: sets linked at ``similarity`` or more, directly or
 through others, form a class. At 0.8, 24 bands of 4 rows miss a pair with
 probability (1 - 0.8**4)**24, 3 in a million, and not if another path links it.
 
+Bands also join sets that are much less alike, so texts of one template could be
+one family. A family above ``refine`` sets is therefore cut once more, without
+losing a pair: two sets as similar as asked share one of the first shingles of
+each, those that remain when a share of ``similarity`` is cut off the end, in
+whatever order both are sorted. The order puts shingles that many of the family
+have last, so a template's text joins nothing; families are then the components
+of shared first shingles.
+
 A family above ``family_limit`` sets is cut into blocks; every two of its blocks
 meet in a task of their own, so no task grows with it and no pair is lost.
 """
@@ -22,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import cut, parts, table
+from .common import cut, meet, parts, table
 from .dart import signatures
 from .graph import components
 
@@ -91,6 +99,61 @@ def _sets(k: int, weighted: bool):
     return run
 
 
+def first_shingles(h: np.ndarray, w: np.ndarray, usual: np.ndarray, similarity: float) -> np.ndarray:
+    """The shingles of a set (with counts ``w``) of which it shares one with every set of ``similarity`` or more; those among ``usual`` come last, others by hash.
+
+    Two such sets share at least ``similarity`` of either's total, so no more than
+    the rest of it, less one, can come before the first that both have.
+    """
+    order = np.lexsort((h, np.isin(h, usual)))
+    total = int(w.sum())
+    most = total - int(np.ceil(similarity * total - 1e-9)) + 1
+    before = np.cumsum(w[order]) - w[order]
+    return h[order[before < most]]
+
+
+def _first(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = zip(batch.column("h"), batch.column("w"), batch.column("usual"), strict=True)
+            got = [first_shingles(h.values.to_numpy(), w.values.to_numpy(), u.values.to_numpy() if u.is_valid else np.zeros(0, np.int64), similarity) for h, w, u in sets]
+            cut_ = np.append(0, np.cumsum([len(x) for x in got])).astype(np.int32)
+            flat = np.concatenate(got) if got else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("k1"), batch.column("k2"), pa.ListArray.from_arrays(pa.array(cut_), pa.array(flat))], names=["block", "k1", "k2", "first"])
+
+    return run
+
+
+def refined(families: DataFrame, texts: DataFrame, shingle: int, similarity: float, weighted: bool, limit: int, sample: int = 64) -> DataFrame:
+    """``families`` (node, label, size, rep) with those above ``limit`` sets cut into components of sets that share a first shingle; a set that shares none goes.
+
+    What many of a family have is told from about ``sample`` of its sets; whatever
+    the sample, no pair is lost.
+    """
+    large = families.where(F.col("size") > limit).select("node", F.concat_ws(":", F.hex("label.k1"), F.hex("label.k2")).alias("block"), "size", "rep.rid", "rep.th")
+    if large.isEmpty():
+        return families
+    need = large.select("rid", "th", "node.k1", "node.k2", "block")
+    sets = cut(texts.join(need, ["rid", "th"]).select("block", "k1", "k2", "text").mapInArrow(_sets(shingle, weighted), "block string, k1 long, k2 long, h array<long>, w array<int>"))
+    share = (F.lit(2.0**64) * sample / F.col("size") - F.lit(2.0**63)).cast("long")
+    drawn = sets.join(large.select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), "size"), ["k1", "k2"]).where(F.xxhash64("k1", "k2") <= share)
+    usual = drawn.select("block", F.explode("h").alias("h")).groupBy("block", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= sample // 8)
+    usual = cut(usual.groupBy("block").agg(F.collect_list("h").alias("usual")))
+    blocks = usual.count()
+    known = meet(sets, usual, "block", blocks, "k1", 1000)
+    rest = sets.join(F.broadcast(usual.select("block")) if blocks <= 1000 else usual.select("block"), "block", "left_anti").withColumn("usual", F.lit(None).cast("array<long>"))
+    kind = "block string, k1 long, k2 long, first array<long>"
+    slots = known.select("block", "k1", "k2", "h", "w", "usual").unionByName(rest.select("block", "k1", "k2", "h", "w", "usual")).mapInArrow(_first(similarity), kind)
+    slots = cut(slots.select("block", F.struct("k1", "k2").alias("node"), F.explode("first").alias("key")))
+    bucket = slots.groupBy("block", "key").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("times")).where("times > 1").select("block", "key", "v")
+    edges = slots.join(bucket, ["block", "key"]).where("node != v").select(F.col("node").alias("u"), "v").distinct()
+    parts_ = components(edges)
+    sizes = parts_.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    small = families.where(F.col("size") <= limit)
+    again = families.where(F.col("size") > limit).select("node", "rep").join(parts_, "node").join(sizes, "label").select("node", "label", "size", "rep")
+    return small.select("node", "label", "size", "rep").unionByName(again)
+
+
 def link_classes(h: np.ndarray, w: np.ndarray, cut_: np.ndarray, similarity: float) -> np.ndarray:
     """Least index of the class of each set: sets are linked at ``similarity``, by a search that compares a set only with those not reached yet."""
     n = len(cut_) - 1
@@ -161,7 +224,7 @@ def _families(similarity: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 4, weighted: bool = False, family_limit: int = 5000) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 4, weighted: bool = False, family_limit: int = 5000, refine: int = 50) -> DataFrame:
     """``doc_id, th, class_id, n_shingles, class_size, first`` for every row of ``docs``.
 
     Two texts are linked where the Jaccard similarity of their sets of
@@ -185,7 +248,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     edges = slots.join(bucket, ["band", "key"]).where("node != v").select(F.col("node").alias("u"), "v").distinct()
     families = components(edges)
     size = families.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    placed = families.join(size, "label").join(reps.select(node, "rep"), "node").withColumn("n_blocks", F.ceil(F.col("size") / family_limit).cast("int"))
+    placed = families.join(size, "label").join(reps.select(node, "rep"), "node").select("node", "label", "size", "rep")
+    placed = cut(refined(cut(placed), rows_, shingle, similarity, weighted, refine)).withColumn("n_blocks", F.ceil(F.col("size") / family_limit).cast("int"))
     own = F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")
     # Block pairs (i, j), i <= j, of a large family: a set goes to each pair with its own block.
     meets = F.when(F.col("n_blocks") <= 1, F.array(F.lit("0"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda j: F.concat_ws("-", F.least(own, j), F.greatest(own, j))))
