@@ -63,6 +63,17 @@ def meet(rows: DataFrame, small: DataFrame, key: str, n: int, id_: str, limit: i
     return rows.withColumn("__salt", F.pmod(F.xxhash64(id_), F.lit(salts)).cast("int")).join(salted, [key, "__salt"]).drop("__salt")
 
 
+def by_place(df: DataFrame, needed: tuple[str, ...], new: set[str]) -> tuple[DataFrame, dict[str, str], list[str]]:
+    """``df`` with its columns named by their place, so that none clashes with an operator's own; the name each has, and those that come back.
+
+    Columns with names of ``new`` (in any case of letters) do not come back; of
+    them only ``needed`` ones are read.
+    """
+    kept = [c for c in df.columns if c.lower() not in new]
+    names = {c: f"c{i}" for i, c in enumerate(df.columns) if c in kept or c in needed}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names, kept
+
+
 def text_key(text: Column) -> Column:
     """32-byte digest of a text; null counts as empty."""
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, meet, table
+from .common import WORD, by_place, cut, meet, table
 
 BLOCK = 64
 CAP = 3.0
@@ -74,16 +74,93 @@ def _fold(rows: Column, seed: int) -> Column:
     return F.aggregate(rows, start, meet)
 
 
+def _settled(rows: Column, seed: int) -> Column:
+    """The rows of one array, largest first, settled one after another; at most one stays open.
+
+    The largest open row takes words from all the smaller ones, or gives them
+    words, each a share p * (1 - p) * size of what moves: as many as make it
+    whole, or fewer if one of the others becomes whole before. The chances of
+    both ways keep every expectation. So a large row is settled against the sum
+    of the small ones, and what is open last is small. Where these have not the
+    words to make it whole one way but have the room the other way, it goes that
+    way for certain: a row too large for its source's target is not taken by chance
+    at the price of the target.
+    """
+    is_open = lambda r: (r["p"] > 0.0) & (r["p"] < 1.0)
+
+    def settle(r: Column, p: Column) -> Column:
+        return F.struct(r["id"].alias("id"), r["size"].alias("size"), F.when(p * r["size"] < 1e-6, 0.0).when((1 - p) * r["size"] < 1e-6, 1.0).otherwise(p).alias("p"))
+
+    def step(state: Column, k: Column) -> Column:
+        live = F.filter(state, is_open)
+        one, rest = F.get(live, F.lit(0)), F.slice(live, F.lit(2), F.greatest(F.size(live) - 1, F.lit(0)))
+        weight = F.aggregate(rest, F.lit(0.0), lambda s, r: s + r["p"] * (1 - r["p"]) * r["size"])
+        p = F.transform(rest, lambda r: r["p"])
+        up = F.least((1 - one["p"]) * one["size"], weight / (1 - F.array_min(p)))
+        down = F.least(one["p"] * one["size"], weight / F.array_max(p))
+        # What the others have to give, and what they have room for.
+        words = F.aggregate(rest, F.lit(0.0), lambda s, r: s + r["p"] * r["size"]) >= (1 - one["p"]) * one["size"]
+        room = F.aggregate(rest, F.lit(0.0), lambda s, r: s + (1 - r["p"]) * r["size"]) >= one["p"] * one["size"]
+        known = F.array(F.struct(one.alias("one"), weight.alias("weight"), up.alias("up"), down.alias("down"), words.alias("words"), room.alias("room"), F.size(live).alias("n")))
+
+        def move(b: Column) -> Column:
+            chance = _unit(F.lit(seed), b["one"]["id"], k) * (b["up"] + b["down"]) < b["down"]
+            gain = F.when(F.when(b["words"] == b["room"], chance).otherwise(b["words"]), b["up"]).otherwise(-b["down"])
+            given = F.transform(F.array(gain), lambda g: F.transform(state, lambda r: F.when(r["id"] == b["one"]["id"], settle(r, r["p"] + g / r["size"])).when(is_open(r), settle(r, r["p"] - g * r["p"] * (1 - r["p"]) / b["weight"])).otherwise(r)))
+            return F.when(b["n"] < 2, state).otherwise(given[0])
+
+        return F.transform(known, move)[0]
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(rows), F.lit(1))), rows, step)
+
+
+def _giants(rows: Column, p: Column, total: Column, seed: int) -> Column:
+    """Rows of an array, largest first, settled one after another against all others of their group, which share the probability ``p``.
+
+    A row that becomes whole moves the words it takes or gives evenly over the
+    ``rest`` of the group, so one number tells what is left to each of them. Returns
+    struct(p, rest, rows): rows with their copy, null where neither way is open.
+    """
+    row = "struct<id:bigint,copy:int>"
+    start = F.struct(p.alias("p"), total.cast("double").alias("rest"), F.array().cast(f"array<{row}>").alias("rows"))
+
+    def step(s: Column, x: Column) -> Column:
+        rest, q = s["rest"] - x["size"], s["p"]
+        need, give = (1 - q) * x["size"], q * x["size"]
+        up, down = q * rest >= need, (1 - q) * rest >= give
+        copy = F.when(up & down, (_unit(F.lit(seed), x["id"]) < q).cast("int")).when(up, 1).when(down, 0)
+        part = lambda words: F.coalesce(F.try_divide(words, rest), F.lit(0.0))
+        new = F.when(copy == 1, q - part(need)).when(copy == 0, q + part(give)).otherwise(q)
+        return F.struct(F.greatest(F.lit(0.0), F.least(F.lit(1.0), new)).alias("p"), rest.alias("rest"), F.concat(s["rows"], F.array(F.struct(x["id"].alias("id"), copy.alias("copy")))).alias("rows"))
+
+    return F.aggregate(rows, start, step)
+
+
 def pivotal(rows: DataFrame, seed: int = 7, block: int = BLOCK) -> DataFrame:
     """``group, id, copy`` (0 or 1) for ``rows`` (group, id, size, p): 1 with probability p, words kept by group.
 
     Ids are unique in a group. Sizes of 0 and probabilities of 0 or 1 need no
-    rounding. A group's smallest rows wait for the top of the tree, so that what
-    is open last, and goes to the nearer whole number, is a small row where a
-    group has many.
+    rounding. A group's smallest rows wait for the top of the tree, where large
+    ones are settled against the sum of all smaller ones; so what is open last, and
+    goes to the nearer whole number, is a small row unless the others together
+    cannot make up for a large one. Probabilities that are as good as whole are so.
     """
-    whole = "p <= 0 or p >= 1 or size <= 0"
+    whole = "p * size < 1e-6 or (1 - p) * size < 1e-6"
     settled = rows.where(whole).select("group", "id", (F.col("p") >= 1).cast("int").alias("copy"))
+    # Where a group's rows share one probability, the few that hold over a block's share of its words each are settled before all others.
+    left = cut(rows.where(f"not ({whole})").select("group", "id", "size", "p"))
+    stats = cut(left.groupBy("group").agg(F.sum("size").alias("total"), F.min("p").alias("low"), F.max("p").alias("high")))
+    groups = stats.count()
+    told = meet(left, stats, "group", groups, "id")
+    giant = (F.col("low") == F.col("high")) & (F.col("size") * block > F.col("total"))
+    listed = told.where(giant).groupBy("group").agg(F.first("p").alias("p"), F.first("total").alias("total"), F.sort_array(F.collect_list(F.struct("size", "id")), asc=False).alias("r"))
+    solved = cut(listed.select("group", _giants(F.col("r"), F.col("p"), F.col("total"), seed).alias("s")))
+    settled = settled.unionByName(solved.select("group", F.explode("s.rows").alias("d")).where("d.copy is not null").select("group", "d.id", "d.copy"))
+    now = solved.select("group", F.col("s.p").alias("now"))
+    others = meet(told.where(~giant), stats.select("group").join(now, "group", "left"), "group", groups, "id").select("group", "id", "size", F.coalesce("now", "p").alias("p"))
+    stay = told.where(giant).join(solved.select("group", F.explode("s.rows").alias("d")).where("d.copy is null").select("group", "d.id"), ["group", "id"]).select("group", "id", "size", "p")
+    rows = cut(others.unionByName(stay))
+    settled = settled.unionByName(rows.where(whole).select("group", "id", (F.col("p") >= 0.5).cast("int").alias("copy")))
     rank = Window.partitionBy("group").orderBy("size", "id")
     left = rows.where(f"not ({whole})").select("group", "id", "size", "p")
     small = left.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= block).select("group", "id", F.lit(True).alias("held"))
@@ -113,9 +190,10 @@ def pivotal(rows: DataFrame, seed: int = 7, block: int = BLOCK) -> DataFrame:
         few = counted.where("blocks <= 1").select(*left.columns)
         left = few.unionByName(done.where("open is not null").select("group", "open.id", "open.size", "open.p"))
         level += 1
-    top = fold(left.unionByName(held), ["group"], seed + level)
-    last = (F.col("open.p") >= 0.5).cast("int")
-    return settled.unionByName(finished(top)).unionByName(top.where("open is not null").select("group", "open.id", last.alias("copy")))
+    made = left.unionByName(held).groupBy("group").agg(F.sort_array(F.collect_list(F.struct("size", "id", "p")), asc=False).alias("r"))
+    order = F.transform("r", lambda x: F.struct(x["id"].alias("id"), x["size"].alias("size"), x["p"].alias("p")))
+    top = made.select("group", F.explode(_settled(order, seed + level)).alias("d"))
+    return settled.unionByName(top.select("group", "d.id", (F.col("d.p") >= 0.5).cast("int").alias("copy")))
 
 
 def _numbered(docs: DataFrame, text: str, doc_id: str, source: str) -> DataFrame:
@@ -126,7 +204,7 @@ def _numbered(docs: DataFrame, text: str, doc_id: str, source: str) -> DataFrame
 
 def decide(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", cap: float = CAP, seed: int = 7) -> DataFrame:
     """What the mix takes of every row, without its text: doc_id, source, size, source_size, target, copies, taken, and the row's ``__d, __t, __k``."""
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
+    slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = _numbered(slim.withColumn("size", word_count(F.col("text"))), "text", "doc_id", "source").drop("text")
     rows = cut(rows.withColumns({"group": F.xxhash64(F.lit(1), F.col("source")), "id": F.xxhash64(F.lit(seed), "__d", "__t", "__k")}))
     plan = cut(targets(rows.groupBy("group", "source").agg(F.sum("size").alias("source_size")), cap))
@@ -144,13 +222,15 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     the mix repeats the row and ``taken`` size times that. A null source is a
     source; rows without words are taken as their source's rate says and count
     nothing. Rows of one id and text are told apart by number. Columns with the
-    names of the results are replaced; an empty table gives no rows. A long text
-    is a row like any other, whole or not taken.
+    names of the results are replaced, others may have any name; an empty table
+    gives no rows. A long text is a row like any other, whole or not taken.
     """
     new = ["size", "source_size", "target", "copies", "taken"]
-    rows = _numbered(docs.select(*[c for c in docs.columns if c not in new]), text, doc_id, source)
+    rows, at, kept = by_place(docs, (text, source, doc_id), set(new))
+    rows = _numbered(rows, at[text], at[doc_id], at[source])
     got = decide(docs, text, source, doc_id, cap, seed).drop("doc_id", "source").withColumnRenamed("__d", "__e")
-    return rows.join(got, rows["__d"].eqNullSafe(got["__e"]) & (rows["__t"] == got["__t"]) & (rows["__k"] == got["__k"])).select(*[rows[c] for c in rows.columns if not c.startswith("__")], *new)
+    out = rows.join(got, rows["__d"].eqNullSafe(got["__e"]) & (rows["__t"] == got["__t"]) & (rows["__k"] == got["__k"]))
+    return out.select(*[rows[at[c]] for c in kept], *new).toDF(*kept, *new)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
