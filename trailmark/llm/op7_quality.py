@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade ordered by rejection per cost.
 
-On a bounded sample every rule runs on every text, which gives its cost a byte
-and its selectivity. Rules are then tried in order of rejections per cost, each
+On a bounded sample every rule runs on every text, which gives its cost a byte,
+beyond the signals that are owed for all texts anyway, and its selectivity. Rules are then tried in order of rejections per cost, each
 only on texts no earlier rule rejected. The order changes the time, never the
 verdict: a text is kept if no rule rejects it.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import table
+from .common import by_place, table
 
 SAMPLE_ROWS = 512
 SYMBOLS = b"#*$%&|<>"
@@ -135,40 +135,49 @@ OWN: list[Rule] = [
 ]
 
 
-def _measure(rules: list[Rule]):
-    """Of each rule, alone and on every text of a task: seconds, bytes, texts, texts rejected."""
+def _measure(rules: list[Rule], asked: tuple[str, ...]):
+    """Of each rule, alone and on every text of a task: seconds, bytes, texts, texts rejected.
+
+    The ``asked`` signals are owed for every text whatever the order, so a rule
+    that looks at them only costs next to nothing; what else it needs it pays for.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         took, bad, texts, size = np.zeros(len(rules)), np.zeros(len(rules), np.int64), 0, 0
         for part, buf, offs in vec.slices(batches, "text"):
             texts, size = texts + part.num_rows, size + len(buf)
+            every = Signals(buf, offs)
+            for c in asked:
+                getattr(every, c)
             for i, (_, rule) in enumerate(rules):
                 began = time.process_time()
-                bad[i] += int(rule(Signals(buf, offs)).sum())
+                bad[i] += int(rule(_View(every, np.arange(part.num_rows), asked)).sum())
                 took[i] += time.process_time() - began
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rules), dtype=np.int32)), pa.array(took), pa.array(np.full(len(rules), size)), pa.array(np.full(len(rules), texts)), pa.array(bad)], names=["rule", "seconds", "bytes", "texts", "rejected"])
 
     return run
 
 
-def measure(sample: DataFrame, rules: list[Rule]) -> list[tuple[str, float, float]]:
-    """Of each rule its CPU seconds a byte and the share of texts it rejects, measured where the texts are: only these figures come back."""
-    got = sample.mapInArrow(_measure(rules), "rule int, seconds double, bytes long, texts long, rejected long")
+def measure(sample: DataFrame, rules: list[Rule], asked: tuple[str, ...] = ()) -> list[tuple[str, float, float]]:
+    """Of each rule its CPU seconds a byte beyond the ``asked`` signals and the share of texts it rejects, measured where the texts are: only these figures come back."""
+    got = sample.mapInArrow(_measure(rules, asked), "rule int, seconds double, bytes long, texts long, rejected long")
     rows = got.groupBy("rule").agg(*[F.sum(c).alias(c) for c in ("seconds", "bytes", "texts", "rejected")]).collect()
     by = {r["rule"]: r for r in rows}
     return [(name, by[i]["seconds"] / max(by[i]["bytes"], 1), by[i]["rejected"] / max(by[i]["texts"], 1)) for i, (name, _) in enumerate(rules) if i in by and by[i]["texts"]]
 
 
-def order_rules(docs: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+def order_rules(docs: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS, asked: tuple[str, ...] = ()) -> list[Rule]:
     """Rules by rejections per cost, most first, from about ``sample_rows`` rows chosen by hash; without any as given.
 
+    Costs are those that a cascade which owes the ``asked`` signals anyway has to pay.
+
     Costs are measured times, so reruns may order rules of like merit otherwise.
     """
     n = docs.count()
     # Long texts are no rarer in the sample than among all rows, and stay with their tasks.
     most = min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, sample_rows / max(n, 1))))
-    few = docs.where(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns if c in (text, "doc_id")]) <= most).select(F.col(text).cast("string").alias("text"))
-    gain = {name: share / max(cost, 1e-15) for name, cost, share in measure(few, rules)}
+    few = docs.where(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns if c in (text, "doc_id")]) <= most).select(F.col(f"`{text}`").cast("string").alias("text"))
+    gain = {name: share / max(cost, 1e-15) for name, cost, share in measure(few, rules, asked)}
     return sorted(rules, key=lambda r: -gain.get(r[0], 0.0))
 
 
@@ -224,13 +233,13 @@ def cascade(docs: DataFrame, rules: list[Rule], text: str = "text", signals: tup
     that reach it, and no later rule runs on a rejected one. ``rejected_by`` follows the
     order given, whether it is null does not. Texts of any length are read whole;
     equal rows get equal verdicts; an empty table gives no rows. Columns with the
-    names of the results are replaced.
+    names of the results are replaced, others may have any name.
     """
-    new = {*signals, "rejected_by"}
-    kept = [c for c in docs.columns if c != text and c not in new]
-    given = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).cast("string").alias("text"))
-    fields = [f"`{c}` {t}" for c, t in given.drop("text").dtypes] + [f"{c} long" for c in signals] + ["rejected_by string"]
-    return given.mapInArrow(_cascade(rules, signals), ", ".join(fields))
+    rows, at, kept = by_place(docs, (text,), {*signals, "rejected_by"})
+    kept = [c for c in kept if c != text]
+    given = rows.select(*[at[c] for c in kept], F.col(at[text]).cast("string").alias("text"))
+    fields = [f"{c} {t}" for c, t in given.drop("text").dtypes] + [f"{c} long" for c in signals] + ["rejected_by string"]
+    return given.mapInArrow(_cascade(rules, signals), ", ".join(fields)).toDF(*kept, *signals, "rejected_by")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,8 +248,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     Null texts have no words and fail; see ``cascade``.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rules = order_rules(docs, BASE + OWN)
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    rules = order_rules(docs, BASE + OWN, asked=counts)
     judged = cascade(docs, rules, signals=counts)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return judged.select("doc_id", *counts, failed.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
