@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import by_place, table
 
 SAMPLE_TEXTS = 400
 DICT_BYTES = 64 << 10
@@ -124,15 +124,16 @@ def identify(docs: DataFrame, dicts: dict[str, bytes], text: str = "text", margi
     language of ``dicts`` and score 0. A null text, or one without a letter, is ``und``
     with score 0, rejected; so is every text if no language was learned. Long
     texts are encoded to their end; equal texts get equal answers; an empty table
-    gives no rows. Columns of ``docs`` with the names of the results are replaced.
+    gives no rows. Columns of ``docs`` with the names of the results are replaced, others may have any name.
     """
-    clash = {"lang_pred", "score", "rejected"}
-    kept = [c for c in docs.columns if c not in clash and c != text]
-    given = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).cast("string").alias("__text"))
+    rows, at, kept = by_place(docs, (text,), {"lang_pred", "score", "rejected"})
+    body = rows[at[text]].cast("string").alias("__text")
+    given = rows.select(*[at[c] for c in kept if c != text], body)
     out = given if keep_text else given.drop("__text")
-    fields = ", ".join(f"`{c}` {t}" for c, t in out.dtypes)
+    fields = ", ".join(f"{c} {t}" for c, t in out.dtypes)
     found = given.mapInArrow(_predict(dicts, margin, keep_text), f"{fields + ', ' if fields else ''}lang_pred string, score double, rejected boolean")
-    return found.withColumnRenamed("__text", text)
+    back = {n: c for c, n in at.items()} | {"__text": text}
+    return found.toDF(*[back.get(c, c) for c in found.columns])
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_key
+from .common import by_place, cut, table, text_key
 
 FAN = 512
 CELL_GROUPS = 20_000
@@ -146,12 +146,15 @@ def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", doc_id
     beyond 100 million rows) fixed by hashes of id and text, each ordered by id and
     text. Law is ``bytes``; grown_shard null.
     A long text is a group like any other; equal rows take neighbouring slots; an
-    empty table gives no rows. Columns with the names of the results are replaced.
+    empty table gives no rows. Columns with the names of the results are replaced,
+    others may have any name.
     """
     numbers = numbers or max(256, docs.count() // 400_000)
-    body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     new = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    rows = docs.select(*[c for c in docs.columns if c not in new]).withColumns({"__key": F.substring(text_key(F.col(text).cast("string")), 1, 16), "size": F.octet_length(body).cast("long") + 1, "text_crc32": F.crc32(body)})
+    rows, at, kept = by_place(docs, (text, doc_id), set(new))
+    text, doc_id = at[text], at[doc_id]
+    body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
+    rows = rows.withColumns({"__key": F.substring(text_key(F.col(text).cast("string")), 1, 16), "size": F.octet_length(body).cast("long") + 1, "text_crc32": F.crc32(body)})
     groups = rows.groupBy("__key").agg(F.sum("size").alias("bytes")).select(F.col("__key").alias("group"), "bytes")
     to = karmarkar_karp(groups, shards, cells)
     placed = rows.join(to.withColumnRenamed("group", "__key"), "__key")
@@ -160,13 +163,9 @@ def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", doc_id
     sizes = placed.groupBy("shard", "__run").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
     offset = sizes.select("shard", "__run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__from"))
-    at = Window.partitionBy("shard", "__run").orderBy(F.col(doc_id).cast("string"), "__key")
-    return (
-        placed.withColumn("__at", F.row_number().over(at))
-        .join(offset, ["shard", "__run"])
-        .withColumns({"slot": F.col("__from") + F.col("__at") - 1, "law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
-        .drop("__key", "__run", "__from", "__at")
-    )
+    order = Window.partitionBy("shard", "__run").orderBy(F.col(doc_id).cast("string"), "__key")
+    out = placed.withColumn("__at", F.row_number().over(order)).join(offset, ["shard", "__run"]).withColumns({"slot": F.col("__from") + F.col("__at") - 1, "law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+    return out.select(*[at[c] for c in kept], *new).toDF(*kept, *new)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, table
+from .common import by_place, cut, drop_cut, table
 
 #: The rules of the query, (verdict, host, path).
 RULES = [
@@ -100,13 +100,14 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, thr
     verdicts, long pages are read whole. Columns with the names of the results are
     replaced; an empty table gives no rows.
     """
-    new = {"host", "path", "rule", "verdict", "by"}
-    given = pages.select(*[c for c in pages.columns if c not in new])
-    parsed = given.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).withColumn("__r", rule_for(F.col("host"), F.col("path"), rules))
-    graph = host_verdicts(parsed.select("host", "html", F.col("__r.verdict").alias("verdict")), threshold, rounds).where("blocked").select("host", "blocked")
-    return parsed.join(graph, "host", "left").select(
-        *given.columns, "host", "path", F.col("__r.rule").alias("rule"), F.coalesce("__r.verdict", F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"), F.when(F.col("__r").isNotNull(), "rule").otherwise("graph").alias("by")
-    )
+    new = ["host", "path", "rule", "verdict", "by"]
+    rows, at, kept = by_place(pages, ("url", "html"), set(new))
+    url = F.col(at["url"]).cast("string")
+    parsed = rows.withColumns({"host": host_of(url), "path": path_of(url)}).withColumn("__r", rule_for(F.col("host"), F.col("path"), rules))
+    graph = host_verdicts(parsed.select("host", F.col(at["html"]).cast("string").alias("html"), F.col("__r.verdict").alias("verdict")), threshold, rounds).where("blocked").select("host", "blocked")
+    verdict = F.coalesce("__r.verdict", F.when(F.col("blocked"), "block").otherwise("allow"))
+    out = parsed.join(graph, "host", "left").select(*[at[c] for c in kept], "host", "path", F.col("__r.rule").alias("rule"), verdict.alias("verdict"), F.when(F.col("__r").isNotNull(), "rule").otherwise("graph").alias("by"))
+    return out.toDF(*kept, *new)
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
