@@ -40,7 +40,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, that of the least id (null first); a repeated row stays once, a text without words always."""
     rows, at = _plain(docs)
-    first = near_duplicates(rows, at["text"], at["doc_id"]).where("first").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("d"), F.col("th").alias("h")).distinct()
+    first = near_duplicates(rows, at["text"], at["doc_id"], weighted=True).where("first").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("d"), F.col("th").alias("h")).distinct()
     # near_duplicates hashes a null text as the empty one.
     keyed = _with_key(rows, at).withColumn("h", F.xxhash64(F.coalesce(F.col(at["text"]).cast("string"), F.lit(""))))
     kept = keyed.join(first, ["d", "h"]).withColumn("n", F.row_number().over(Window.partitionBy("d", "h").orderBy("h")))

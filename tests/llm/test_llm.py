@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +145,24 @@ def brute_classes(rows, k=5, least=0.8):
     return Counter((rows[i][0], low(classes[top(i)])) for i in range(len(rows)))
 
 
+def test_op1_strings_that_collide_are_apart():
+    """Two random strings that differ everywhere, by a pattern that cancels in hashes modulo a power of two."""
+    rng = np.random.default_rng(19)
+    sign = np.array([1, -1])[[bin(i).count("1") % 2 for i in range(2048)]]
+    a = rng.integers(100, 150, 2048)
+    b = a + sign
+    c = np.concatenate((a[:700], b[700:1100], a[1100:1600]))
+    buf = np.concatenate((a, b, c)).astype(np.uint8)
+    offs = np.array([0, 2048, 4096, 4096 + len(c)])
+    got = op1.repeated_starts(buf, offs, 400)
+    data = buf.tobytes()
+    places = [i for x, y in zip(offs, offs[1:], strict=False) for i in range(x, y - 399)]
+    seen = Counter(data[i : i + 400] for i in places)
+    assert got.tolist() == [i for i in places if seen[data[i : i + 400]] > 1]
+    sa = suffix_array(buf.astype(np.int64), 256)
+    assert sa.tolist() == sorted(range(len(data)), key=lambda i: data[i:])
+
+
 @pytest.mark.parametrize("limit", [5000, 2])
 def test_op2_brute(spark, limit):
     rows = corpus(1) + AWKWARD
@@ -432,6 +451,31 @@ def test_op6_expectation(spark):
     assert hits / 1000 == pytest.approx(0.3, abs=0.05)
 
 
+def test_op6_large_rows_settle_against_small_ones(spark):
+    """A source with one row of two thirds of the small ones' words misses its mass by no more than a small row; where both ways are open expectations stay."""
+    rng = np.random.default_rng(25)
+    rows, mass = [], {}
+    for g in range(60):
+        p = float(rng.uniform(0.3, 0.7))
+        sizes = [3800, *map(int, rng.integers(40, 160, 56))] if g % 2 else [900, 700, *map(int, rng.integers(20, 90, 150))]
+        rows += [(g, 1000 * g + i, s, p) for i, s in enumerate(sizes)]
+        mass[g] = p * sum(sizes)
+    df = spark.createDataFrame(rows, "group long, id long, size long, p double").cache()
+    size = {r[1]: r[2] for r in rows}
+    both_ways = {r[1] for r in rows if r[2] == 3800 and 0.45 < r[3] < 0.55}
+    large, seeds = Counter(), range(12)
+    for seed in seeds:
+        got = op6.pivotal(df, seed=seed).collect()
+        taken = Counter()
+        for r in got:
+            taken[r["group"]] += r["copy"] * size[r["id"]]
+            large[seed] += r["copy"] if r["id"] in both_ways else 0
+        assert len(got) == len(rows)
+        assert all(abs(taken[g] - mass[g]) <= 80 for g in mass)
+    wanted = sum(r[3] for r in rows if r[1] in both_ways)
+    assert len(both_ways) > 3 and sum(large.values()) / len(seeds) == pytest.approx(wanted, rel=0.3)
+
+
 def brute_quality(t):
     w = words(t)
     n = len(w)
@@ -472,6 +516,36 @@ def test_op7_rejected_texts_are_spared(spark):
     assert seen.value == 30
 
 
+def test_op7_order_pays_least(spark, monkeypatch):
+    """Rules that look at counts which are owed anyway come first, and the measured order computes less than its reverse."""
+    rng = np.random.default_rng(26)
+    texts = ["# " * 40 + "x" * int(rng.integers(1, 30)) for _ in range(120)] + [" ".join(f"w{i}" for i in rng.integers(0, 500, 60)) + "..." * (k % 2) for k in range(120)]
+    docs = frame(spark, list(enumerate(texts)))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    rules = op7.order_rules(docs, op7.BASE + op7.OWN, asked=counts)
+    names = [n for n, _ in rules]
+    # Both reject texts of this sample; the one costs a look at owed counts, the other words and lines anew.
+    assert names.index("symbols") < names.index("cut_lines")
+    paid = Counter()
+    for name in ("n_cut_lines", "longest_word"):
+        real = getattr(op7.Signals, name).func
+
+        def counted(self, real=real):
+            paid["bytes"] += len(self.buf)
+            return real(self)
+
+        prop = op7.cached_property(counted)
+        prop.__set_name__(op7.Signals, name)
+        monkeypatch.setattr(op7.Signals, name, prop)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    spent, verdicts = [], []
+    for order in (rules, rules[::-1]):
+        paid.clear()
+        verdicts.append([v is None for b in op7._cascade(order, counts)(iter([batch])) for v in b.column("rejected_by").to_pylist()])
+        spent.append(paid["bytes"])
+    assert verdicts[0] == verdicts[1] and spent[0] < 0.75 * spent[1]
+
+
 def test_op7_texts_that_begin_with_a_line_feed(spark):
     texts = ["\nfoo\nfoo", "foo\nfoo", "\n\nfoo\n\nfoo\n", "", "\n", "\n\n", "x\n", "\nx", "foo\n", "\nfoo", None, "\na\nb\na\n", "\n \n "]
     rows = [(i, t) for i, t in enumerate(texts * 2)]
@@ -513,6 +587,51 @@ def thue_morse(n):
     return t, t.translate(str.maketrans("ab", "ba"))
 
 
+def test_op2_templates_do_not_make_families(spark, monkeypatch):
+    """3,000 texts of 60 common and 45 own words are 0.38 alike; near copies among them are found, and only those meet."""
+    rng = np.random.default_rng(23)
+    common = " ".join(f"c{i}" for i in range(60))
+    own = lambda: " ".join(f"w{i}" for i in rng.integers(0, 10**9, 45))
+    texts = [f"{common} {own()}" for _ in range(3000)]
+    near = {}
+    for i in range(0, 300, 3):
+        w = texts[i].split()
+        w[-1] = "other"
+        near[3000 + i] = i
+        texts.append((3000 + i, " ".join(w)))
+    rows = [(i, t) if isinstance(t, str) else t for i, t in enumerate(texts)]
+    sizes = []
+    real = op2.refined
+
+    def spy(families, *args):
+        out = real(families, *args)
+        sizes.append((families.agg(F.max("size")).first()[0], out.agg(F.max("size")).first()[0]))
+        return out
+
+    monkeypatch.setattr(op2, "refined", spy)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for weighted in (False, True):
+        got = {r.doc_id: (r.class_id, r.class_size) for r in op2.near_duplicates(docs, weighted=weighted).collect()}
+        assert all(got[i] == (near.get(i, i), 2 if i in near or i + 3000 in near else 1) for i, _ in rows)
+    assert all(before > 2000 and after <= 10 for before, after in sizes) and len(sizes) == 2
+
+
+def test_op2_first_shingles():
+    """Sets as alike as asked share a first shingle, whatever is taken for usual."""
+    rng = np.random.default_rng(24)
+    for _ in range(300):
+        h = np.unique(rng.integers(0, 10**6, int(rng.integers(1, 40))))
+        w = rng.integers(1, 4, len(h))
+        keep = rng.random(len(h)) < 0.93
+        g = np.concatenate((h[keep], 10**6 + np.arange(int(rng.integers(0, 3)))))
+        v = np.concatenate((w[keep], np.ones(len(g) - int(keep.sum()), int)))
+        both = int(np.minimum(w[keep], v[: int(keep.sum())]).sum())
+        usual = h[rng.random(len(h)) < 0.5]
+        a, b = (op2.first_shingles(*x, usual, 0.8) for x in ((h, w), (g, v)))
+        if len(g) and both >= 0.8 * (w.sum() + v.sum() - both) - 1e-9:
+            assert np.isin(a, b).any()
+
+
 @pytest.mark.parametrize("hop", [1, 2, 3])
 def test_op8_hops(spark, hop):
     rows = corpus(3) + AWKWARD
@@ -733,6 +852,41 @@ def test_empty_tables(spark):
     assert op10.leaks(none, bench).count() == 0 and op10.leaks(frame(spark, AWKWARD), bench).count() == 0
 
 
+ANY_NAMES = ("__key", "__run", "__at", "__from", "__d", "__t", "__k", "__e", "__text", "__r", "__salt", "id", "group", "blocked", "trust", "key", "bytes", "cell", "heap", "to", "rid", "th", "node", "label", "band", "item", "seed", "who", "chunk", "block", "c0", "c1", "c2", "source_size", "n", "rate", "copy", "text.with.dot", "Score", "host", "verdict")
+
+
+@pytest.mark.parametrize("operator", ["identify", "shard_documents", "mix", "cascade", "filter_urls", "language", "near_dedup", "decontaminate", "mixing", "sharding"])
+def test_columns_of_any_name_come_back(spark, data, operator):
+    """Whatever given columns are called, they come back as they were; only names of results are replaced."""
+    results = {"identify": ["lang_pred", "score", "rejected"], "shard_documents": ["size", "text_crc32", "law", "shard", "slot", "grown_shard"], "mix": ["size", "source_size", "target", "copies", "taken"], "cascade": ["n_words", "rejected_by"], "filter_urls": ["host", "path", "rule", "verdict", "by"]}
+    results["sharding"] = results["shard_documents"]
+    say = " ".join(f"word{i}" for i in range(40))
+    rows = [(i, f"{say} {i} and more words of the kind {i * 7}", "en", f"s{i % 2}", f"http://h{i}.net/es/{i}", "<a href='http://x.com'>") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, url string, html string")
+    for c in ANY_NAMES:
+        docs = docs.withColumn(c, F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")))
+    calls = {
+        "identify": lambda: op4.identify(docs, {"en": b"word and more", "fr": b"mot et plus"}, keep_text=True),
+        "shard_documents": lambda: op5.shard_documents(docs),
+        "mix": lambda: op6.mix(docs),
+        "cascade": lambda: op7.cascade(docs.withColumnRenamed("text", "body").withColumn("text", F.lit("none")), op7.BASE, text="body", signals=("n_words",)),
+        "filter_urls": lambda: op9.filter_urls(docs),
+    }
+    import corpus_pipeline as p
+
+    got = calls[operator]() if operator in calls else dict(p.STAGES)[operator](spark, docs, data)
+    new = results.get(operator, [])
+    low = {c.lower() for c in new}
+    assert [c for c in got.columns if c in new] == new
+    stay = [c for c in docs.columns if c.lower() not in low and not (operator == "cascade" and c == "text")]
+    assert set(got.columns) == {*stay, *new} | ({"text"} if operator == "cascade" else set())
+    for r in got.select(*[F.col(f"`{c}`") for c in stay]).collect():
+        for c in ANY_NAMES:
+            if c in stay:
+                assert r[c] == f"{c}-{r['doc_id']}"
+    assert got.count() > 0 or operator in ("language",)
+
+
 def test_pipeline_columns_stay(spark, data):
     """Columns named like the operators' own come back as they were, from every stage; repeated rows and an empty table pass."""
     import corpus_pipeline as p
