@@ -612,8 +612,11 @@ def test_op2_templates_do_not_make_families(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for weighted in (False, True):
         got = {r.doc_id: (r.class_id, r.class_size) for r in op2.near_duplicates(docs, weighted=weighted).collect()}
+        # A family little over the limit, of which all are looked at.
+        some = docs.where("doc_id < 55").count()
+        assert op2.near_duplicates(docs.where("doc_id < 55"), weighted=weighted, bands=60, rows=2).where("class_size = 1").count() == some
         assert all(got[i] == (near.get(i, i), 2 if i in near or i + 3000 in near else 1) for i, _ in rows)
-    assert all(before > 2000 and after <= 10 for before, after in sizes) and len(sizes) == 2
+    assert all(before > 50 and (after or 0) <= 10 for before, after in sizes) and max(sizes)[0] > 2000 and len(sizes) == 4
 
 
 def test_op2_first_shingles():

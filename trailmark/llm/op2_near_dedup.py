@@ -135,7 +135,7 @@ def refined(families: DataFrame, texts: DataFrame, shingle: int, similarity: flo
         return families
     need = large.select("rid", "th", "node.k1", "node.k2", "block")
     sets = cut(texts.join(need, ["rid", "th"]).select("block", "k1", "k2", "text").mapInArrow(_sets(shingle, weighted), "block string, k1 long, k2 long, h array<long>, w array<int>"))
-    share = (F.lit(2.0**64) * sample / F.col("size") - F.lit(2.0**63)).cast("long")
+    share = F.least(F.lit(2.0**64) * sample / F.col("size") - F.lit(2.0**63), F.lit(2.0**62)).cast("long")
     drawn = sets.join(large.select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), "size"), ["k1", "k2"]).where(F.xxhash64("k1", "k2") <= share)
     usual = drawn.select("block", F.explode("h").alias("h")).groupBy("block", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= sample // 8)
     usual = cut(usual.groupBy("block").agg(F.collect_list("h").alias("usual")))
