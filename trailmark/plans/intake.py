@@ -11,7 +11,7 @@ from ..operators import frames as K
 from ..operators import geometry as G
 from ..operators import models as M
 from ..operators import walls as L
-from ..sources import tables
+from ..sources import logsource, tables
 from ..sources.sinks import scratch
 from .relational import MD5
 from .series import EV, R, events, read
@@ -40,6 +40,20 @@ def csv_records(spark, d):
     return tables.read_csv(spark, at, kinds, "o_orderstatus = 'F'").drop("o_orderstatus")
 
 
+@query(
+    "SELECT (user_id % 5)::VARCHAR AS site, user_id::VARCHAR AS trail, 'TYPE_' || upper(event_type) AS tag, count(*) AS n, min(epoch_us(ts) // 1000) AS first_ts, sum(CAST(props->>'k' AS INTEGER))::BIGINT AS total FROM events WHERE user_id % 5 IN (1, 3) AND event_type IN ('view', 'purchase') AND epoch_us(ts) // 1000 >= 1704800000000 GROUP BY ALL"
+)
+def log_source(spark, d):
+    """Events written as a folder of log files by site and trail, scanned by the log source with filters on place, kind and time."""
+    at = scratch(spark)
+    ms = F.floor(X.micros(F.col("ts")) / 1000)
+    line = F.concat_ws("\t", ms.cast("string"), F.concat(F.lit("TYPE_"), F.upper("event_type")), F.get_json_object("props", "$.k"))
+    e = read(spark, d, "events").select((F.col("user_id") % 5).alias("site"), F.col("user_id").alias("trail"), ms.alias("ms"), line.alias("value"))
+    e.repartition("site", "trail").sortWithinPartitions("site", "trail", "ms").select("site", "trail", "value").write.partitionBy("site", "trail").text(at)
+    rec = logsource.read_logs(spark, at).where((F.col("ts") >= 1_704_800_000_000) & F.col("tag").isin("TYPE_VIEW", "TYPE_PURCHASE") & F.col("site").isin("1", "3"))
+    return rec.groupBy("site", "trail", "tag").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.sum(F.get("values", F.lit(0)).cast("int")).alias("total"))
+
+
 @query("SELECT l_orderkey, l_linenumber, l_quantity, l_partkey, l_suppkey, l_extendedprice FROM lineitem")
 def prune_columns(spark, d):
     return K.prune_named(read(spark, d, "lineitem"), ["status", "flag", "date", "tax", "discount"])
