@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import edges as E
 from ..operators import fingerprint as P
 from ..operators import geometry as G
 from ..sources import logs, tables
@@ -144,3 +145,56 @@ def enriched_predictions(spark, d):
     mt = read(spark, d, "lineitem").where("l_tax > 0.06").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("q"))
     time = F.coalesce("q", "o_totalprice")
     return o.join(dv, "o_custkey", "left").join(mt, "o_orderkey", "left").join(fs, "o_custkey").select("o_orderkey", "o_custkey", F.coalesce("device", F.lit(-1)).alias("device"), time.alias("time"), "first_key", "last_key", R(F.try_divide(time - F.col("o_totalprice"), F.col("o_totalprice"))).alias("relative_error"))
+
+
+TRAILS = f"""{EV}, d AS (SELECT user_id % 5 AS site, user_id, t // 86400000000 AS day, t, event_id, event_type, value, k FROM e),
+tr AS (SELECT site, user_id || '_' || day AS fn, CASE WHEN (user_id + day) % 7 = 0 THEN 'test' WHEN (user_id + day) % 7 = 1 THEN 'valid' ELSE 'train' END AS mode, min(t) // 1000 AS start_time, max(t) // 1000 AS end_time, user_id % 3 AS floor, count(*) AS num_waypoints,
+  arg_min(value, (t, event_id)) AS first_x, arg_min(k, (t, event_id))::DOUBLE AS first_y, arg_max(value, (t, event_id)) AS last_x, arg_max(k, (t, event_id))::DOUBLE AS last_y, user_id % 4 AS device_id, CASE WHEN day % 5 = 0 THEN 'start' WHEN day % 5 = 1 THEN 'end' END AS leak FROM d GROUP BY site, user_id, day),
+rd AS (SELECT site, user_id || '_' || day AS fn, t // 3600000000 AS scan, t // 1000 AS heard, k % 5 AS emitter, (-40 - value % 4) AS rssi FROM d WHERE k IS NOT NULL)"""
+
+
+def _side_sql(side: str, before: bool) -> str:
+    when = "o.end_time < a.start_time" if before else "o.start_time > a.end_time"
+    order = "o.end_time DESC, o.fn" if before else "o.start_time, o.fn"
+    x, y = ("last_x", "last_y") if before else ("first_x", "first_y")
+    delay = "a.start_time - o.end_time" if before else "o.start_time - a.end_time"
+    last, first = ("other", "fn") if before else ("fn", "other")
+    return f"""{side}1 AS (SELECT a.site, a.fn, a.device_id AS own, o.fn AS other, {delay} AS delay, o.mode, o.floor, o.device_id, o.{x} AS x, o.{y} AS y, (o.mode <> 'test' OR coalesce(o.leak = '{"end" if before else "start"}', false)) AS use, (row_number() OVER (PARTITION BY a.site, a.fn ORDER BY {order}) - 1)::INTEGER AS r FROM tr a JOIN tr o ON a.site = o.site AND {when} WHERE a.mode = 'test' QUALIFY r < 5),
+{side}s AS (SELECT p.site, p.fn, p.other, count(*) AS n, avg(abs(l.rssi - f.rssi)) AS diff FROM {side}1 p JOIN le l ON l.site = p.site AND l.fn = p.{last} JOIN fe f ON f.site = p.site AND f.fn = p.{first} AND f.emitter = l.emitter GROUP BY ALL),
+{side}2 AS (SELECT p.*, CASE WHEN nl.n IS NULL OR nf.n IS NULL THEN -1 ELSE 2 * coalesce(s.n, 0) / (nl.n + nf.n)::DOUBLE END AS fraction, CASE WHEN nl.n IS NULL OR nf.n IS NULL THEN -1 ELSE coalesce(diff, 20) END AS mean FROM {side}1 p LEFT JOIN {side}s s USING (site, fn, other) LEFT JOIN nle nl ON nl.site = p.site AND nl.fn = p.{last} LEFT JOIN nfe nf ON nf.site = p.site AND nf.fn = p.{first}),
+{side}3 AS (SELECT *, 10 * (1 - fraction) + mean + CASE WHEN fraction <= 0.1 THEN 15 ELSE 0 END + greatest(0, least(4, log2(greatest(delay, 1) / 10000.0))) AS dis, use AND dis < 12 AND device_id = own AS ok FROM {side}2),
+{side}4 AS (SELECT *, ok AND NOT coalesce(list_contains(list(floor) OVER (PARTITION BY site, fn ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), floor), false) AS new FROM {side}3),
+{side} AS (SELECT * FROM {side}4 QUALIFY row_number() OVER (PARTITION BY site, fn ORDER BY NOT new, r) = 1)"""
+
+
+def _edge_columns(side: str, p: str) -> str:
+    return f"""coalesce({p}.use, false) AS can_use_{side}, coalesce({p}.delay, -1) AS delay_{side}, round(coalesce(fraction_{p}, -1), 6) AS {side}_shared_fraction, round(coalesce(mean_{p}, -1), 6) AS {side}_mean_dist, round({p}.dis, 6) AS {side}_dissimilarity, coalesce({p}.mode, 'None') AS {side}_mode, {p}.other AS {side}_fn, {p}.device_id AS {side}_device_id, {p}.device_id + 10 AS {side}_device_id_drift, {p}.device_id + 20 AS {side}_device_id_merged, {p}.r AS {side}_match_offset_fn, {p}.floor AS {side}_floor, CASE WHEN {p}.use THEN {p}.x END AS {side}_x, CASE WHEN {p}.use THEN {p}.y END AS {side}_y, coalesce({p}.ok, false) AS reliable_{side}, CASE WHEN {p}.ok THEN {p}.device_id END AS reliable_{side}_device_id, CASE WHEN {p}.ok THEN {p}.floor END AS reliable_{side}_floor""".replace(f"fraction_{p}", f"{p}.fraction").replace(f"mean_{p}", f"{p}.mean")
+
+
+def _edge_scan(name: str, f: str) -> str:
+    return f"{name} AS (SELECT site, fn, emitter, arg_min(rssi, (heard, rssi)) AS rssi FROM (SELECT r.*, max(heard) OVER (PARTITION BY site, fn) AS newest FROM rd r JOIN (SELECT site, fn, {f}(scan) AS scan FROM rd GROUP BY ALL) USING (site, fn, scan)) WHERE newest - heard <= 10000 GROUP BY ALL), n{name} AS (SELECT site, fn, count(*) AS n FROM {name} GROUP BY ALL)"
+
+
+@query(
+    f"""WITH {TRAILS}, {_edge_scan("le", "max")}, {_edge_scan("fe", "min")}, {_side_sql("pr", True)}, {_side_sql("su", False)}
+SELECT a.site, a.fn, a.num_waypoints, {_edge_columns("preceding", "pr")}, a.first_x, a.first_y, {_edge_columns("succeeding", "su")}, a.last_x, a.last_y, a.device_id AS actual_device_id, a.device_id + 10 AS actual_device_id_drift, a.device_id + 20 AS actual_device_id_merged, a.floor AS actual_floor
+FROM tr a LEFT JOIN pr ON pr.site = a.site AND pr.fn = a.fn LEFT JOIN su ON su.site = a.site AND su.fn = a.fn WHERE a.mode = 'test'"""
+)
+def edge_positions(spark, d):
+    """All 45 columns of the edge records of every seventh user's day, from what other users' days of its site tell."""
+    e = events(spark, d).select((F.col("user_id") % 5).alias("site"), "user_id", F.floor(F.col("t") / 86_400_000_000).alias("day"), "t", "event_id", "value", "k").withColumn("fn", F.concat_ws("_", "user_id", "day"))
+    at = F.struct("t", "event_id")
+    ms = lambda c: F.floor(c / 1000)
+    kind = (F.col("user_id") + F.col("day")) % 7
+    ends = lambda f, n: [f("value", at).alias(f"{n}_x"), f("k", at).cast("double").alias(f"{n}_y")]
+    g = e.groupBy("site", "user_id", "day", "fn").agg(ms(F.min("t")).alias("start_time"), ms(F.max("t")).alias("end_time"), F.count(F.lit(1)).alias("num_waypoints"), *ends(F.min_by, "first"), *ends(F.max_by, "last"))
+    dev = F.col("user_id") % 4
+    trails = g.withColumns(
+        {
+            "mode": F.when(kind == 0, "test").when(kind == 1, "valid").otherwise("train"), "floor": F.col("user_id") % 3, "device_id": dev, "device_id_drift": dev + 10, "device_id_merged": dev + 20,
+            "path_order": F.lit(None).cast("int"), "path_device": F.lit(None).cast("int"), "leak": F.when(F.col("day") % 5 == 0, "start").when(F.col("day") % 5 == 1, "end"),
+        }
+    )
+    readings = e.where("k is not null").select("site", "fn", F.floor(F.col("t") / 3_600_000_000).alias("scan"), ms(F.col("t")).alias("heard"), (F.col("k") % 5).alias("emitter"), (-40 - F.col("value") % 4).alias("rssi"))
+    out = E.edge_records(trails, readings)
+    return out.withColumns({c: R(c) for c in out.columns if "fraction" in c or "mean_dist" in c or "dissimilarity" in c})
