@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import cut
+
 
 def bilinear_grid(corners: DataFrame, by: list[str], n_rows: str, n_cols: str) -> DataFrame:
     """Points between four corners (x00, y00, x01, y01, x10, y10, x11, y11), ``n_rows`` by ``n_cols`` of them."""
@@ -80,28 +82,42 @@ def near_pairs(left: DataFrame, right: DataFrame, by: list[str], radius: float)
     return l_.join(r, [*by, "cx", "cy"]).withColumn("distance", F.sqrt(dx * dx + dy * dy)).where(F.col("distance") <= radius).drop("cx", "cy")
 
 
-def knn(left: DataFrame, right: DataFrame, by: list[str], key: str, right_key: str, k: int) -> DataFrame:
+def knn(left: DataFrame, right: DataFrame, by: list[str], key: str, right_key: str, k: int, rounds: int = 3) -> DataFrame:
     """The k nearest right points of each left one within a group, ties by id; a point is not its own neighbour.
 
     Points meet those of the grid cells around them, of a size that leaves a few
-    times ``k`` points in reach; whoever has fewer than ``k`` within the size of a
-    cell (on the rim, in gaps) meets its whole group. Exact.
+    times ``k`` points in reach. Whoever has fewer than ``k`` within the size of a
+    cell (on the rim, in gaps) looks again in cells of four times the size, and
+    again; each round has few points left. Those that ``rounds`` leave, as where
+    a group has not ``k`` others, meet their whole group. Exact.
     """
     dx, dy = F.col("x") - F.col("rx"), F.col("y") - F.col("ry")
     distance = F.sqrt(dx * dx + dy * dy)
     w = Window.partitionBy(*by, key).orderBy("distance", right_key)
     side = lambda c: F.greatest(F.max(c) - F.min(c), F.lit(1e-3))
     size = right.groupBy(*by).agg((2 * F.sqrt(side("rx") * side("ry") * (k + 1) / (F.count(F.lit(1)) * 3.14159))).alias("__r"))
-    cell = lambda c: F.floor(F.col(c) / F.col("__r"))
     around = F.sequence(F.lit(-1), F.lit(1))
-    l_ = left.join(size, by).withColumns({"__x": cell("x"), "__y": cell("y")})
-    r = right.join(size, by).withColumn("__x", F.explode(F.transform(around, lambda d: cell("rx") + d))).withColumn("__y", F.explode(F.transform(around, lambda d: cell("ry") + d))).drop("__r")
-    near = l_.join(r, [*by, "__x", "__y"]).where(F.col(key) != F.col(right_key)).withColumn("distance", distance).where(F.col("distance") <= F.col("__r")).drop("__x", "__y", "__r")
-    near = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    full = near.groupBy(*by, key).agg(F.max("rank").alias("__n")).where(F.col("__n") == k).select(*by, key)
-    rest = left.join(full, [*by, key], "left_anti").join(right, by).where(F.col(key) != F.col(right_key)).withColumn("distance", distance)
-    rest = rest.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return near.join(full, [*by, key], "left_semi").unionByName(rest)
+
+    def within(points: DataFrame, times: int) -> DataFrame:
+        """Pairs within ``times`` the size of a cell, by cells of that size."""
+        cell = lambda c: F.floor(F.col(c) / (F.col("__r") * times))
+        l_ = points.join(size, by).withColumns({"__x": cell("x"), "__y": cell("y")})
+        r = right.join(size, by).withColumn("__x", F.explode(F.transform(around, lambda d: cell("rx") + d))).withColumn("__y", F.explode(F.transform(around, lambda d: cell("ry") + d))).drop("__r")
+        met = l_.join(r, [*by, "__x", "__y"]).where(F.col(key) != F.col(right_key)).withColumn("distance", distance)
+        return met.where(F.col("distance") <= F.col("__r") * times).drop("__x", "__y", "__r")
+
+    found, rest = None, left
+    for i in range(rounds):
+        near = within(rest, 4**i)
+        near = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        full = near.groupBy(*by, key).agg(F.max("rank").alias("__n")).where(F.col("__n") == k).select(*by, key)
+        done = near.join(full, [*by, key], "left_semi")
+        found = done if found is None else found.unionByName(done)
+        rest = cut(rest.join(full, [*by, key], "left_anti"))
+        if rest.isEmpty():
+            return found
+    last = rest.join(right, by).where(F.col(key) != F.col(right_key)).withColumn("distance", distance)
+    return found.unionByName(last.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
 
 
 def corners(ring: DataFrame, by: list[str], order: str, slack_deg: float) -> DataFrame:
