@@ -27,6 +27,16 @@ def azimuth(dx: Column, dy: Column) -> Column:
     return F.pmod(F.atan2(dx, dy), F.lit(TWO_PI))
 
 
+def in_box(x: Column, y: Column, x_min: float, x_max: float, y_min: float, y_max: float) -> Column:
+    """Whether a point is inside a box, its sides excluded."""
+    return (x > x_min) & (x < x_max) & (y > y_min) & (y < y_max)
+
+
+def median_or(value: Column, default: float) -> Column:
+    """Aggregate: the median of two or more values, else ``default``."""
+    return F.when(F.count(value) > 1, F.median(value)).otherwise(default)
+
+
 def rotate(dx: Column, dy: Column, heading: Column) -> tuple[Column, Column]:
     """A vector in the frame whose first axis points along ``heading``."""
     c, s = F.cos(heading), F.sin(heading)

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import exprs as X
+from ..operators import asof as A
+from ..operators import band as B
 from ..operators import edges as E
 from ..operators import fingerprint as P
 from ..operators import geometry as G
+from ..operators import locate as LO
 from ..sources import logs, tables
 from .series import EV, R, events, read
 from .spatial import FP, _fingerprint
@@ -198,3 +202,92 @@ def edge_positions(spark, d):
     readings = e.where("k is not null").select("site", "fn", F.floor(F.col("t") / 3_600_000_000).alias("scan"), ms(F.col("t")).alias("heard"), (F.col("k") % 5).alias("emitter"), (-40 - F.col("value") % 4).alias("rssi"))
     out = E.edge_records(trails, readings)
     return out.withColumns({c: R(c) for c in out.columns if "fraction" in c or "mean_dist" in c or "dissimilarity" in c})
+
+
+@query(
+    f"""WITH {EV}, c AS (SELECT *, unnest(range(CAST(ceil((t - 21600000000) / 21600000000.0) AS BIGINT), CAST(floor((t + 21600000000) / 21600000000.0) AS BIGINT) + 1)) * 21600000000 AS centre FROM e)
+SELECT user_id, centre, count(*) AS n, round(count(*) / 12.0, 6) AS per_hour, round(avg(value), 6) AS mean FROM c GROUP BY ALL HAVING count(*) / 12.0 >= 0.2"""
+)
+def frequent_windows(spark, d):
+    """Windows of twelve hours every six that hold a reading in five hours or more often."""
+    w = B.sliding(events(spark, d), ["user_id"], "t", "value", 21_600_000_000, 21_600_000_000)
+    rate = F.col("n") / 12.0
+    return w.where(rate >= 0.2).select("user_id", "centre", "n", R(rate).alias("per_hour"), R("mean").alias("mean"))
+
+
+@query(
+    f"WITH {EV}, s AS (SELECT user_id, t // 86400000000 AS day, count(*) AS n FROM e GROUP BY ALL), i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) - 1 AS sub, lead(day) OVER (PARTITION BY user_id ORDER BY day) AS next FROM s) SELECT user_id, sub + 1 AS sub_id, day, n FROM i WHERE next IS NOT NULL"
+)
+def segments_with_successor(spark, d):
+    """Segments (a user's days) that another follows, named by the number of that one."""
+    s = events(spark, d).groupBy("user_id", F.floor(F.col("t") / 86_400_000_000).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("user_id").orderBy("day")
+    numbered = s.withColumns({"sub": F.row_number().over(w) - 1, "next": F.lead("day").over(w)})
+    return numbered.where("next is not null").select("user_id", (F.col("sub") + 1).cast("bigint").alias("sub_id"), "day", "n")
+
+
+_FLOORS = f"{EV}, r AS (SELECT user_id % 5 AS floor, user_id AS fn, t // 1000 AS t, k AS emitter, (-(value % 60) - 30) AS rssi, t // 1000 - event_id % 4 * 700 AS heard, 2400 + CASE WHEN k % 50 = 7 THEN event_id % 2 ELSE 0 END AS frequency FROM sc WHERE k IS NOT NULL)"
+
+
+def _floor_scans(spark, d):
+    e = events(spark, d)
+    t = F.floor(F.col("t") / 1000)
+    frequency = 2400 + F.when(F.col("k") % 50 == 7, F.col("event_id") % 2).otherwise(0)
+    row = e.select((F.col("user_id") % 5).alias("floor"), F.col("user_id").alias("fn"), t.alias("t"), F.col("k").alias("emitter"), (-(F.col("value") % 60) - 30).alias("rssi"), (t - F.col("event_id") % 4 * 700).alias("heard"), frequency.alias("frequency"), (F.col("user_id") % 7 == 0).alias("held"), "event_type", "value")
+    return row.where("event_type = 'view' and emitter is not null"), row.where("event_type = 'purchase'")
+
+
+@query(
+    f"""WITH {_FLOORS}, n AS (SELECT floor, count(DISTINCT fn) AS n FROM r GROUP BY 1), p AS (SELECT floor, emitter, count(*) AS rows_, count(DISTINCT fn) AS n_trails, count(DISTINCT frequency) AS f FROM r GROUP BY ALL)
+SELECT floor, emitter, n_trails FROM p JOIN n USING (floor) WHERE rows_ >= greatest(1, 4 - greatest(0, 10 - n * 0.5)) AND n_trails >= least(n * 0.2, 3) AND f <= 1"""
+)
+def supported_emitters(spark, d):
+    """Emitters that a floor's model keeps: one frequency, readings and trails enough for the floor's number of trails."""
+    return LO.supported(_floor_scans(spark, d)[0], ["floor"], "fn", 4, 3)
+
+
+@query()
+def floor_errors(spark, d):
+    """Every floor fitted from six sevenths of its trails, the others located by it."""
+    scans, anchors = _floor_scans(spark, d)
+    a = anchors.where("emitter is not null").select("floor", "fn", "t", (F.col("emitter") / 2.0).alias("x"), (F.col("value") % 50).alias("y"), "held")
+    got = LO.floor_errors(scans.drop("event_type", "value"), a, ["floor"], "fn", "held", least_rows=4, least_trails=3)
+    return got.withColumns({c: R(c, 5) for c in ("x_pred", "y_pred", "x_actual", "y_actual", "squared_error", "error")})
+
+
+@query(
+    f"""WITH {EV}, n AS (SELECT user_id, dense_rank() OVER (PARTITION BY user_id % 5 ORDER BY user_id) - 1 AS file_id FROM (SELECT DISTINCT user_id FROM e)),
+lo AS (SELECT sc.user_id, sc.event_id, sc.t, a.t AS a0, a.value AS v0 FROM sc ASOF LEFT JOIN an a ON sc.user_id = a.user_id AND sc.t > a.t),
+hi AS (SELECT lo.*, a.t AS a1, a.value AS v1 FROM lo ASOF LEFT JOIN an a ON lo.user_id = a.user_id AND lo.t <= a.t)
+SELECT user_id % 5 AS floor, user_id, file_id, event_id, round(CASE WHEN a0 IS NULL THEN v1 WHEN a1 IS NULL THEN v0 ELSE v0 + (t - a0) / (a1 - a0)::DOUBLE * (v1 - v0) END, 6) AS place, CASE WHEN a0 IS NOT NULL AND a1 IS NOT NULL THEN round((t - a0) / (a1 - a0)::DOUBLE, 9) END AS fraction FROM hi JOIN n USING (user_id)"""
+)
+def interpolated_with_ordinals(spark, d):
+    """Scans' places between anchors with their trail's number on the floor and the fraction of the way, above 0 and at most 1; none outside the anchors."""
+    numbers = LO.with_ordinals(events(spark, d).select((F.col("user_id") % 5).alias("floor"), "user_id").distinct(), ["floor"], "user_id")
+    a = events(spark, d, "purchase").select("user_id", F.col("t").alias("at"), F.col("value").alias("v"))
+    views = events(spark, d, "view").select("user_id", "event_id", "t")
+    got = A.bracket(A.interpolate(views, a, ["user_id"], "t", "at", ["v"]), a, ["user_id"], "t", "at", ["at"])
+    fraction = F.when((F.col("lo_at") < F.col("t")) & (F.col("t") <= F.col("hi_at")), (F.col("t") - F.col("lo_at")) / (F.col("hi_at") - F.col("lo_at")))
+    return got.join(numbers, "user_id").select("floor", "user_id", F.col("ordinal").cast("bigint").alias("file_id"), "event_id", R("v_at").alias("place"), R(fraction, 9).alias("fraction"))
+
+
+@query(f"WITH {EV} SELECT k, count(*) AS n, count(DISTINCT user_id) AS trails, list_sum(list(value ORDER BY user_id, t, event_id)[1:3]) AS first_three, max(value) AS strongest FROM e WHERE k IS NOT NULL GROUP BY k")
+def readings_by_emitter(spark, d):
+    """Readings of all trails put together and dealt by emitter, in order of trail and time: the first three summed, and the strongest."""
+    e = events(spark, d).where("k is not null")
+    w = Window.partitionBy("k").orderBy("user_id", "t", "event_id")
+    first = e.withColumn("n", F.row_number().over(w)).where("n <= 3").groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda r: r["value"]).alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda a, b: a + b)
+    return e.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("trails"), F.max("value").alias("strongest")).join(first, "k").select("k", "n", "trails", total.alias("first_three"), "strongest")
+
+
+@query(
+    "WITH p AS (SELECT p_brand AS floor, p_size::DOUBLE AS x, p_retailprice - 900 AS y, lead(p_size::DOUBLE) OVER w AS nx, lead(p_retailprice - 900) OVER w AS ny FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)), a AS (SELECT *, atan2(nx - x, ny - y) AS a FROM p WHERE nx IS NOT NULL AND x > 10 AND x < 40 AND y > 5 AND y < 700) SELECT floor, count(*) AS n, round(CASE WHEN count(*) > 1 THEN median(CASE WHEN a >= 0 THEN a ELSE a + 2 * pi() END) ELSE 999 END, 6) AS azimuth FROM a GROUP BY floor"
+)
+def azimuths_in_box(spark, d):
+    """Median azimuth of the ways from parts inside a box to the next ones, 999 where there is one only."""
+    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    p = read(spark, d, "part").select("p_partkey", "p_brand", F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") - 900).alias("y"))
+    p = p.withColumns({"nx": F.lead("x").over(w), "ny": F.lead("y").over(w)}).where(F.col("nx").isNotNull() & X.in_box(F.col("x"), F.col("y"), 10, 40, 5, 700))
+    turned = X.azimuth(F.col("nx") - F.col("x"), F.col("ny") - F.col("y"))
+    return p.groupBy(F.col("p_brand").alias("floor")).agg(F.count(F.lit(1)).alias("n"), R(X.median_or(turned, 999.0)).alias("azimuth"))
