@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import cut, meet, parts, table
+from .common import cut, drop_cut, meet, parts, table
 from .dart import signatures
 from .graph import components
 
@@ -148,6 +148,8 @@ def refined(families: DataFrame, texts: DataFrame, shingle: int, similarity: flo
     bucket = slots.groupBy("block", "key").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("times")).where("times > 1").select("block", "key", "v")
     edges = slots.join(bucket, ["block", "key"]).where("node != v").select(F.col("node").alias("u"), "v").distinct()
     parts_ = components(edges)
+    # The shingles are as large as the texts: they go as soon as the components are written.
+    drop_cut(families.sparkSession, sets, slots, usual)
     sizes = parts_.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     small = families.where(F.col("size") <= limit)
     again = families.where(F.col("size") > limit).select("node", "rep").join(parts_, "node").join(sizes, "label").select("node", "label", "size", "rep")
@@ -249,7 +251,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     families = components(edges)
     size = families.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     placed = families.join(size, "label").join(reps.select(node, "rep"), "node").select("node", "label", "size", "rep")
-    placed = cut(refined(cut(placed), rows_, shingle, similarity, weighted, refine)).withColumn("n_blocks", F.ceil(F.col("size") / family_limit).cast("int"))
+    told = cut(placed)
+    placed = cut(refined(told, rows_, shingle, similarity, weighted, refine))
+    drop_cut(docs.sparkSession, told)
+    placed = placed.withColumn("n_blocks", F.ceil(F.col("size") / family_limit).cast("int"))
     own = F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")
     # Block pairs (i, j), i <= j, of a large family: a set goes to each pair with its own block.
     meets = F.when(F.col("n_blocks") <= 1, F.array(F.lit("0"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda j: F.concat_ws("-", F.least(own, j), F.greatest(own, j))))
