@@ -145,6 +145,7 @@ def test_op13_awkward(spark):
     assert got == [(0, 1, 100, 1024 * 1024), (0, 2, 10, 0), (0, 3, 7, -big), (100, 1, 7, big), (100, 2, 0, 1024 * 1024), (100, 3, 0, 1024 * 1024), (100, 4, 10, 0)]
     assert op13.top_k(df.where("false"), df.where("false")).count() == 0
     assert op13.top_k(df, df.where("false")).count() == 0
+    assert op13.pair_products(np.array([[2.0**24, 2.0**24], [1, 2]]), np.array([[2.0**24 - 1, 2.0**24], [3, 4]])).tolist() == [2**48 - 2**24 + 2**48, 11]
     assert op13.products(np.array([[2.0**24, 2.0**24]]), np.array([[2.0**24 - 1, 2.0**24]])).tolist() == [[2**48 - 2**24 + 2**48]]
 
 

@@ -33,8 +33,9 @@ BLOCK = 2048
 GROUP = 32_768
 QUERIES = 2048
 HEAD = 2048
-#: Shares of the rotated components after which the bound is tried.
-STEPS = (0.25, 0.5)
+#: Shares of the rotated components after which the bound is tried, and the share of pairs below which those left are scored one by one.
+STEPS = (0.25, 0.5, 0.75)
+FEW = 0.1
 
 
 def _blocks(dim: int, scale: int):
@@ -83,6 +84,18 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.int64) @ b.astype(np.int64).T
 
 
+def pair_products(a: np.ndarray, b: np.ndarray, at_once: int = 1 << 16) -> np.ndarray:
+    """Inner products of whole numbers row by row, exactly; int64."""
+    out = np.zeros(len(a), np.int64)
+    for i in range(0, len(a), at_once):
+        x, y = a[i : i + at_once], b[i : i + at_once]
+        if np.sqrt((x * x).sum(1).max()) * np.sqrt((y * y).sum(1).max()) < 2.0**51:
+            out[i : i + at_once] = np.einsum("ij,ij->i", x, y).astype(np.int64)
+        else:
+            out[i : i + at_once] = np.einsum("ij,ij->i", x.astype(np.int64), y.astype(np.int64))
+    return out
+
+
 class Best:
     """The ``k`` best scores of some queries so far, ties to smaller ids; ``floor`` is what a score must reach to count."""
 
@@ -124,20 +137,29 @@ def search(best: Best, queries: tuple[np.ndarray, np.ndarray], turned: np.ndarra
     cols = np.arange(len(x))
     y, dim, done = x @ turn, x.shape[1], 0
     part = np.zeros((len(live), len(x)))
+    may = np.ones(part.shape, bool)
     for share in steps:
         to = max(done, int(dim * share))
         part += turned[live, done:to] @ y[cols, done:to].T
         rest = np.sqrt((turned[live, to:] ** 2).sum(1))[:, None] * np.sqrt((y[cols, to:] ** 2).sum(1))[None]
-        may = part + rest >= (floor - slack)[live][:, None]
+        may &= part + rest >= (floor - slack)[live][:, None]
         rows, done = may.any(1), to
         keep = may[rows].any(0)
-        live, cols, part = live[rows], cols[keep], part[rows][:, keep]
+        live, cols = live[rows], cols[keep]
+        part, may = part[rows][:, keep], may[rows][:, keep]
         if not len(live):
             return len(q) * len(x), 0
-    scores = products(q[live], x[cols])
+    if may.mean() < FEW:
+        r, c = np.nonzero(may)
+        scores = np.full(may.shape, none)
+        scores[r, c] = pair_products(q[live[r]], x[cols[c]])
+        taken = len(r)
+    else:
+        scores = products(q[live], x[cols])
+        taken = scores.size
     scores[qid[live][:, None] == ids[cols][None]] = none
     best.offer(live, scores, ids[cols])
-    return len(q) * len(x), len(live) * len(cols)
+    return len(q) * len(x), taken
 
 
 def top_k(vectors: DataFrame, query: DataFrame, vector: str = "embedding", id_: str = "vec_id", k: int = K, scale: int = SCALE, group: int = GROUP) -> DataFrame:
