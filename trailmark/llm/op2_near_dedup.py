@@ -134,7 +134,7 @@ def refined(families: DataFrame, texts: DataFrame, shingle: int, similarity: flo
     if large.isEmpty():
         return families
     need = large.select("rid", "th", "node.k1", "node.k2", "block")
-    sets = cut(texts.join(need, ["rid", "th"]).select("block", "k1", "k2", "text").mapInArrow(_sets(shingle, weighted), "block string, k1 long, k2 long, h array<long>, w array<int>"))
+    sets = cut(texts.join(need.hint("merge"), ["rid", "th"]).select("block", "k1", "k2", "text").mapInArrow(_sets(shingle, weighted), "block string, k1 long, k2 long, h array<long>, w array<int>"))
     share = F.least(F.lit(2.0**64) * sample / F.col("size") - F.lit(2.0**63), F.lit(2.0**62)).cast("long")
     drawn = sets.join(large.select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), "size"), ["k1", "k2"]).where(F.xxhash64("k1", "k2") <= share)
     usual = drawn.select("block", F.explode("h").alias("h")).groupBy("block", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= sample // 8)
@@ -259,7 +259,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     # Block pairs (i, j), i <= j, of a large family: a set goes to each pair with its own block.
     meets = F.when(F.col("n_blocks") <= 1, F.array(F.lit("0"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda j: F.concat_ws("-", F.least(own, j), F.greatest(own, j))))
     need = placed.select("rep.rid", "rep.th", "node.k1", "node.k2", F.explode(meets).alias("pair"), "label").select("rid", "th", "k1", "k2", F.concat_ws(":", F.hex("label.k1"), F.hex("label.k2"), "pair").alias("block"))
-    sets = rows_.join(need, ["rid", "th"]).select("block", "k1", "k2", "text").mapInArrow(_sets(shingle, weighted), "block string, k1 long, k2 long, h array<long>, w array<int>")
+    # Texts meet what is asked of them by shuffle at every size, as neither side has a bound.
+    sets = rows_.join(need.hint("merge"), ["rid", "th"]).select("block", "k1", "k2", "text").mapInArrow(_sets(shingle, weighted), "block string, k1 long, k2 long, h array<long>, w array<int>")
     found = cut(sets.repartition(parts(docs), "block").sortWithinPartitions("block").mapInArrow(_families(similarity), "block string, k1 long, k2 long, c1 long, c2 long"))
     links = found.where("c1 != k1 or c2 != k2").select(node, F.struct(F.col("c1").alias("k1"), F.col("c2").alias("k2")).alias("label"))
     if not found.where("block like '%-%'").isEmpty():
