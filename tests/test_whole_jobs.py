@@ -91,10 +91,11 @@ def test_greedy_holdout_takes_every_line(spark, small):
 
 
 def test_unpivot_keeps_every_line(spark, tmp_path):
-    lines = [(k, 1, 7, 8, dt.datetime(2024, 1, 1), k / 2, 0.1, 0.2) for k in (1, 1999, 2000, 2001, 70_000)]
-    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate timestamp, l_quantity double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = Counter((r.l_orderkey, r.measure, r.value) for r in Q["unpivot_all_measures"](spark, str(tmp_path)).collect())
-    assert got == Counter((r[0], m, v) for r in lines for m, v in zip(("quantity", "discount", "tax"), r[5:], strict=True))
+    lines = [(k, 1, 7, 8, dt.datetime(2024, 1, 1), k / 2, 0.1, 0.2, k * 3.0) for k in (1, 1999, 2000, 2001, 70_000)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate timestamp, l_quantity double, l_discount double, l_tax double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name, measures in (("unpivot_measures", ("quantity", "discount", "tax")), ("unpivot_all_measures", ("quantity", "discount", "tax", "price"))):
+        got = Counter((r.l_orderkey, r.measure, r.value) for r in Q[name](spark, str(tmp_path)).collect())
+        assert got == Counter((r[0], m, v) for r in lines for m, v in zip(measures, r[5:], strict=False))
 
 
 def test_nearest_other_trail_takes_every_emitter(spark, tmp_path):
