@@ -113,13 +113,33 @@ def first_shingles(h: np.ndarray, w: np.ndarray, usual: np.ndarray, similarity:
 
 
 def _first(similarity: float):
+    """First shingles of sets, put together where they are: rows (block, key, u) with the least set of a batch that has the shingle, and rows (block, u, v) that link the batch's other sets to it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            block = np.array(batch.column("block").to_pylist(), object)
+            k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
             sets = zip(batch.column("h"), batch.column("w"), batch.column("usual"), strict=True)
-            got = [first_shingles(h.values.to_numpy(), w.values.to_numpy(), u.values.to_numpy() if u.is_valid else np.zeros(0, np.int64), similarity) for h, w, u in sets]
-            cut_ = np.append(0, np.cumsum([len(x) for x in got])).astype(np.int32)
-            flat = np.concatenate(got) if got else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("k1"), batch.column("k2"), pa.ListArray.from_arrays(pa.array(cut_), pa.array(flat))], names=["block", "k1", "k2", "first"])
+            first = [first_shingles(h.values.to_numpy(), w.values.to_numpy(), u.values.to_numpy() if u.is_valid else np.zeros(0, np.int64), similarity) for h, w, u in sets]
+            for name in dict.fromkeys(block):
+                rows = np.flatnonzero(block == name)
+                rows = rows[np.lexsort((k2[rows], k1[rows]))]
+                owner = np.repeat(np.arange(len(rows)), [len(first[i]) for i in rows])
+                key = np.concatenate([first[i] for i in rows])
+                keys, of = np.unique(key, return_inverse=True)
+                least = np.full(len(keys), len(rows))
+                np.minimum.at(least, of, owner)
+                link = np.unique(np.stack((owner, least[of]), 1), axis=0)
+                link = link[link[:, 0] != link[:, 1]]
+                n, m = len(keys), len(link)
+                u = rows[np.concatenate((least, link[:, 0]))]
+                v = rows[link[:, 1]]
+                blank = lambda size, t: pa.nulls(size, t)
+                cols = [
+                    pa.array([name] * (n + m), pa.string()), pa.concat_arrays([pa.array(keys), blank(m, pa.int64())]), pa.array(k1[u]), pa.array(k2[u]),
+                    pa.concat_arrays([blank(n, pa.int64()), pa.array(k1[v])]), pa.concat_arrays([blank(n, pa.int64()), pa.array(k2[v])]),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, names=["block", "key", "u1", "u2", "v1", "v2"])
 
     return run
 
@@ -142,14 +162,17 @@ def refined(families: DataFrame, texts: DataFrame, shingle: int, similarity: flo
     blocks = usual.count()
     known = meet(sets, usual, "block", blocks, "k1", 1000)
     rest = sets.join(F.broadcast(usual.select("block")) if blocks <= 1000 else usual.select("block"), "block", "left_anti").withColumn("usual", F.lit(None).cast("array<long>"))
-    kind = "block string, k1 long, k2 long, first array<long>"
-    slots = known.select("block", "k1", "k2", "h", "w", "usual").unionByName(rest.select("block", "k1", "k2", "h", "w", "usual")).mapInArrow(_first(similarity), kind)
-    slots = cut(slots.select("block", F.struct("k1", "k2").alias("node"), F.explode("first").alias("key")))
+    kind = "block string, key long, u1 long, u2 long, v1 long, v2 long"
+    made = known.select("block", "k1", "k2", "h", "w", "usual").unionByName(rest.select("block", "k1", "k2", "h", "w", "usual")).mapInArrow(_first(similarity), kind)
+    pair = lambda c: F.struct(F.col(f"{c}1").alias("k1"), F.col(f"{c}2").alias("k2"))
+    made = cut(made.select("block", "key", pair("u").alias("node"), F.when(F.col("v1").isNotNull(), pair("v")).alias("v")))
+    slots = made.where("key is not null").select("block", "key", "node")
     bucket = slots.groupBy("block", "key").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("times")).where("times > 1").select("block", "key", "v")
-    edges = slots.join(bucket, ["block", "key"]).where("node != v").select(F.col("node").alias("u"), "v").distinct()
+    across = slots.join(bucket, ["block", "key"]).where("node != v").select(F.col("node").alias("u"), "v")
+    edges = across.unionByName(made.where("key is null").select(F.col("node").alias("u"), "v")).distinct()
     parts_ = components(edges)
     # The shingles are as large as the texts: they go as soon as the components are written.
-    drop_cut(families.sparkSession, sets, slots, usual)
+    drop_cut(families.sparkSession, sets, made, usual)
     sizes = parts_.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     small = families.where(F.col("size") <= limit)
     again = families.where(F.col("size") > limit).select("node", "rep").join(parts_, "node").join(sizes, "label").select("node", "label", "size", "rep")
