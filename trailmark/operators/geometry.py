@@ -64,60 +64,102 @@ def segment_cells(df: DataFrame, size: float, a: tuple[str, str], b: tuple[str,
 
 
 def crossing_counts(moves: DataFrame, walls: DataFrame, by: list[str], key: str, size: float) -> DataFrame:
-    """Per move (x0, y0, x1, y1) the walls (wall, u0, v0, u1, v1) it crosses; only segments of a common cell meet."""
-    m = segment_cells(moves, size, ("x0", "y0"), ("x1", "y1"))
-    w = segment_cells(walls, size, ("u0", "v0"), ("u1", "v1"))
+    """Per move (x0, y0, x1, y1) the walls (wall, u0, v0, u1, v1) it crosses; only segments of a common cell meet, equal ones as one with their number."""
+    ends, sides = ["x0", "y0", "x1", "y1"], ["u0", "v0", "u1", "v1"]
+    m = segment_cells(moves.select(*by, *ends).distinct(), size, ("x0", "y0"), ("x1", "y1"))
+    w = segment_cells(walls.groupBy(*by, *sides).agg(F.countDistinct("wall").alias("__n")), size, ("u0", "v0"), ("u1", "v1"))
     pts = [(F.col(x), F.col(y)) for x, y in (("x0", "y0"), ("x1", "y1"), ("u0", "v0"), ("u1", "v1"))]
-    hit = m.join(w, [*by, "cx", "cy"]).where(crosses(*pts)).select(key, "wall").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("crossings"))
-    return moves.join(hit, key, "left").withColumn("crossings", F.coalesce("crossings", F.lit(0)))
+    met = m.join(w.hint("merge"), [*by, "cx", "cy"]).where(crosses(*pts)).select(*by, *ends, *sides, "__n").distinct()
+    hit = met.groupBy(*by, *ends).agg(F.sum("__n").alias("crossings"))
+    return moves.join(hit, [*by, *ends], "left").withColumn("crossings", F.coalesce("crossings", F.lit(0)))
 
 
 def near_pairs(left: DataFrame, right: DataFrame, by: list[str], radius: float) -> DataFrame:
-    """Pairs of points (x, y) and (rx, ry) within ``radius``: right points are copied to the cells around them."""
+    """Pairs of points (x, y) and (rx, ry) within ``radius``: right points are copied to the cells around them.
+
+    The copies are never broadcast: a plan that counts the bytes before them would do so.
+    """
     cell = lambda c: F.floor(F.col(c) / radius)
     l_ = left.withColumns({"cx": cell("x"), "cy": cell("y")})
     around = F.sequence(F.lit(-1), F.lit(1))
     r = right.withColumn("cx", F.explode(F.transform(around, lambda d: cell("rx") + d))).withColumn("cy", F.explode(F.transform(around, lambda d: cell("ry") + d)))
     dx, dy = F.col("x") - F.col("rx"), F.col("y") - F.col("ry")
-    return l_.join(r, [*by, "cx", "cy"]).withColumn("distance", F.sqrt(dx * dx + dy * dy)).where(F.col("distance") <= radius).drop("cx", "cy")
+    return l_.join(r.hint("merge"), [*by, "cx", "cy"]).withColumn("distance", F.sqrt(dx * dx + dy * dy)).where(F.col("distance") <= radius).drop("cx", "cy")
+
+
+def near_places(left: DataFrame, right: DataFrame, by: list[str], radius: float) -> DataFrame:
+    """``near_pairs`` of places: points of equal coordinates are one, ``n`` right ones of them."""
+    return near_pairs(left.select(*by, "x", "y").distinct(), right.groupBy(*by, "rx", "ry").agg(F.count(F.lit(1)).alias("n")), by, radius)
+
+
+def least_distance(left: DataFrame, right: DataFrame, by: list[str], radius: float) -> DataFrame:
+    """Left points with ``d``, the way to the nearest right one within ``radius``, else null."""
+    near = near_places(left, right, by, radius).groupBy(*by, "x", "y").agg(F.min("distance").alias("d"))
+    return left.join(near, [*by, "x", "y"], "left")
+
+
+def crowd(points: DataFrame, by: list[str], radius: float) -> DataFrame:
+    """Points with ``v``, the sum of 1 / max(1, distance) over all others within ``radius``, null without any."""
+    near = near_places(points, points.select(*by, F.col("x").alias("rx"), F.col("y").alias("ry")), by, radius)
+    others = F.col("n") - F.when(F.col("distance") == 0, 1).otherwise(0)
+    dense = near.where(others > 0).groupBy(*by, "x", "y").agg(F.sum(others / F.greatest(F.lit(1.0), F.col("distance"))).alias("v"))
+    return points.join(dense, [*by, "x", "y"], "left")
 
 
 def knn(left: DataFrame, right: DataFrame, by: list[str], key: str, right_key: str, k: int, rounds: int = 3) -> DataFrame:
     """The k nearest right points of each left one within a group, ties by id; a point is not its own neighbour.
 
-    Points meet those of the grid cells around them, of a size that leaves a few
-    times ``k`` points in reach. Whoever has fewer than ``k`` within the size of a
-    cell (on the rim, in gaps) looks again in cells of four times the size, and
-    again; each round has few points left. Those that ``rounds`` leave, as where
-    a group has not ``k`` others, meet their whole group. Exact.
+    Points of equal coordinates are one place, of whose right points the k + 1
+    least ids can count: the k + 1 nearest of a place have the k of all its
+    points. Places meet those of the grid cells around them, of a size that leaves
+    a few times ``k`` in reach. Whoever has fewer than k + 1 points within the size
+    of a cell (on the rim, in gaps) looks again in cells of four times the size,
+    and again; each round has few places left. Those that ``rounds`` leave, as
+    where a group has not ``k`` others, meet their whole group. Exact.
     """
     dx, dy = F.col("x") - F.col("rx"), F.col("y") - F.col("ry")
     distance = F.sqrt(dx * dx + dy * dy)
-    w = Window.partitionBy(*by, key).orderBy("distance", right_key)
+    place, need = [*by, "x", "y"], k + 1
+    rest_of = [c for c in right.columns if c not in (*by, right_key, "rx", "ry")]
+    least = Window.partitionBy(*by, "rx", "ry").orderBy(right_key)
+    few = right.withColumn("__i", F.row_number().over(least)).where(F.col("__i") <= need)
+    spots = cut(few.groupBy(*by, "rx", "ry").agg(F.collect_list(F.struct(right_key, *rest_of)).alias("__p")))
+    w = Window.partitionBy(*place).orderBy(F.asc_nulls_last("distance"), right_key)
     side = lambda c: F.greatest(F.max(c) - F.min(c), F.lit(1e-3))
-    size = right.groupBy(*by).agg((2 * F.sqrt(side("rx") * side("ry") * (k + 1) / (F.count(F.lit(1)) * 3.14159))).alias("__r"))
+    size = spots.groupBy(*by).agg((2 * F.sqrt(side("rx") * side("ry") * need / (F.count(F.lit(1)) * 3.14159))).alias("__r"))
     around = F.sequence(F.lit(-1), F.lit(1))
 
-    def within(points: DataFrame, times: int) -> DataFrame:
+    def ranked(met: DataFrame) -> DataFrame:
+        one = met.withColumn("__p", F.explode("__p")).select(*place, "rx", "ry", "__p.*", "distance")
+        return one.withColumn("__i", F.row_number().over(w)).where(F.col("__i") <= need)
+
+    def within(places: DataFrame, times: int) -> DataFrame:
         """Pairs within ``times`` the size of a cell, by cells of that size."""
         cell = lambda c: F.floor(F.col(c) / (F.col("__r") * times))
-        l_ = points.join(size, by).withColumns({"__x": cell("x"), "__y": cell("y")})
-        r = right.join(size, by).withColumn("__x", F.explode(F.transform(around, lambda d: cell("rx") + d))).withColumn("__y", F.explode(F.transform(around, lambda d: cell("ry") + d))).drop("__r")
-        met = l_.join(r, [*by, "__x", "__y"]).where(F.col(key) != F.col(right_key)).withColumn("distance", distance)
-        return met.where(F.col("distance") <= F.col("__r") * times).drop("__x", "__y", "__r")
-
-    found, rest = None, left
+        l_ = places.join(size, by).withColumns({"__x": cell("x"), "__y": cell("y")})
+        r = spots.join(size, by).withColumn("__x", F.explode(F.transform(around, lambda d: cell("rx") + d))).withColumn("__y", F.explode(F.transform(around, lambda d: cell("ry") + d))).drop("__r")
+        # Neither side is broadcast: the copies to cells are many times the bytes that a plan expects.
+        met = l_.join(r.hint("merge"), [*by, "__x", "__y"]).withColumn("distance", distance)
+        return met.where(F.col("distance") <= F.col("__r") * times)
+
+    same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in place]
+    found, rest = None, left.select(*place).distinct()
     for i in range(rounds):
-        near = within(rest, 4**i)
-        near = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        full = near.groupBy(*by, key).agg(F.max("rank").alias("__n")).where(F.col("__n") == k).select(*by, key)
-        done = near.join(full, [*by, key], "left_semi")
+        near = cut(ranked(within(rest, 4**i)))
+        full = near.where(F.col("__i") == need).select(*place)
+        done = near.join(full, place, "left_semi")
         found = done if found is None else found.unionByName(done)
-        rest = cut(rest.join(full, [*by, key], "left_anti"))
+        rest = cut(rest.join(full, same(rest, full), "left_anti"))
         if rest.isEmpty():
-            return found
-    last = rest.join(right, by).where(F.col(key) != F.col(right_key)).withColumn("distance", distance)
-    return found.unionByName(last.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+            break
+    else:
+        found = found.unionByName(ranked(rest.join(spots.hint("merge"), by).withColumn("distance", distance)))
+    lists = found.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("__i", "distance", right_key, *rest_of, "rx", "ry"))).alias("__n"))
+    lists = lists.withColumnsRenamed({c: f"__{c}" for c in place})
+    at = left.join(lists.hint("merge"), [left[c].eqNullSafe(lists[f"__{c}"]) for c in place]).drop(*[f"__{c}" for c in place])
+    others = F.slice(F.filter("__n", lambda n: n[right_key] != F.col(key)), 1, k)
+    flat = at.withColumn("__n", others).select(*left.columns, F.posexplode("__n").alias("__i", "__n"))
+    return flat.select(*left.columns, *[F.col(f"__n.{c}").alias(c) for c in (right_key, *rest_of, "rx", "ry", "distance")], (F.col("__i") + 1).alias("rank"))
 
 
 def corners(ring: DataFrame, by: list[str], order: str, slack_deg: float) -> DataFrame:
