@@ -30,9 +30,9 @@ def off_grid_penalty(spark, d):
     p = points(spark, d).withColumn("known", F.col("id") % 4 == 0)
     k = p.where("known").select("floor", F.col("x").alias("rx"), F.col("y").alias("ry"))
     # Beyond ten metres the penalty is nothing, whatever the distance.
-    near = G.near_pairs(p, k, ["floor"], 10.0).groupBy("id").agg(F.min("distance").alias("d"))
+    near = G.least_distance(p, k, ["floor"], 10.0)
     # A floor without known points has no penalties.
-    return p.join(k.select("floor").distinct(), "floor", "left_semi").join(near, "id", "left").withColumn("d", F.coalesce("d", F.lit(10.0))).select("id", R(N.off_grid(F.col("known"), F.col("d"))).alias("off_grid"), R(N.density(F.col("x") / 10)).alias("dense"))
+    return near.join(k.select("floor").distinct(), "floor", "left_semi").withColumn("d", F.coalesce("d", F.lit(10.0))).select("id", R(N.off_grid(F.col("known"), F.col("d"))).alias("off_grid"), R(N.density(F.col("x") / 10)).alias("dense"))
 
 
 @query(f"WITH {EV}, r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY k, t) AS r FROM e), s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value, r) AS s FROM r WHERE r <= 20) SELECT user_id, round(1.5 * avg(value) + 1.5 * min(value), 6) AS penalty FROM s WHERE s <= 10 GROUP BY user_id")
