@@ -81,3 +81,31 @@ def test_opened_copies_no_cell(spark):
     assert "Generate" not in plan(got)
     want = O.dilated(O.eroded(cells, ["floor"], 1.6), ["floor"], 2.08).join(cells, ["floor", "cx", "cy"], "left_semi")
     assert {(r.cx, r.cy) for r in got.collect()} == {(r.cx, r.cy) for r in want.collect()}
+
+
+def test_vectors_of_a_label_by_blocks(spark):
+    import numpy as np
+
+    from trailmark.operators import vectors as V
+
+    xs = np.random.default_rng(1).integers(0, 4, (60, 3)).astype(float)
+    e = spark.createDataFrame([(i, i % 4, x.tolist()) for i, x in enumerate(xs)], "vec_id long, label int, v array<double>")
+    q = e.where("vec_id % 5 = 0").select("vec_id", "label", F.col("v").alias("a"))
+    r = e.select(F.col("vec_id").alias("other"), F.col("label").alias("other_label"), F.col("v").alias("b"))
+    away = lambda i, j: float(np.abs(xs[i] - xs[j]).sum())
+    want = {i: sorted((away(i, j), j) for j in range(60) if j != i and j % 4 == i % 4)[:3] for i in range(0, 60, 5)}
+    got = {}
+    for n in V.nearest_of_label(q, r, 3).collect():
+        got.setdefault(n.vec_id, []).append((n.d, n.other))
+    assert {i: sorted(v)[:3] for i, v in got.items()} == want
+    low = {(n.vec_id, n.other_label): n.d for n in V.least_by_label(q.drop("label"), r).collect()}
+    assert low == {(i, c): min(away(i, j) for j in range(60) if j != i and j % 4 == c) for i in range(0, 60, 5) for c in range(4)}
+
+
+def test_signatures_tie_to_the_least_id(spark):
+    from trailmark.operators.models import nearest_signature
+
+    q = spark.createDataFrame([("g", 0, 1.0), ("g", 3, 1.0)], "g string, id long, m double")
+    r = spark.createDataFrame([("g", 1, 2.0 + 1e-14), ("g", 2, 2.0), ("g", 4, 9.0)], "g string, other long, m double")
+    got = {n.id: n.other for n in nearest_signature(q, r, ["g"], "id", "other", ["m"]).collect()}
+    assert got == {0: 1, 3: 1}

@@ -148,11 +148,21 @@ def nearest_signature(query: DataFrame, reference: DataFrame, by: list[str], key
     """Of each query window the reference window of least mean standardised difference in ``columns``.
 
     Deviations come from the reference of each group, not under a tenth of their
-    mean over columns.
+    mean over columns. Equal windows are one; a group's queries meet its references
+    in as many slices as there are partitions, so that a large group is no single
+    task.
     """
+    n = int(query.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = reference.groupBy(*by).agg(*[F.stddev_pop(c).alias(f"__s_{c}") for c in columns])
     low = sum((F.col(f"__s_{c}") for c in columns), F.lit(0.0)) / len(columns) / 10
-    r = reference.select(*by, F.col(other), *[F.col(c).alias(f"__r_{c}") for c in columns])
-    j = query.join(spread, by).join(r, by)
+    r = reference.groupBy(*by, *[F.col(c).alias(f"__r_{c}") for c in columns]).agg(F.min(other).alias(other)).withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    q = query.join(spread, by).withColumn("__s", F.pmod(F.xxhash64(*by, *columns), F.lit(n)).cast("int"))
+    asked = q.select(*by, "__s", *columns, *[f"__s_{c}" for c in columns]).distinct()
+    j = asked.repartition(n, *by, "__s").join(r.repartition(n, *by, "__s").hint("merge"), [*by, "__s"])
     gap = sum((F.coalesce(F.try_divide(F.abs(F.col(c) - F.col(f"__r_{c}")), F.greatest(F.col(f"__s_{c}"), low)), F.lit(0.0)) for c in columns), F.lit(0.0)) / len(columns)
-    return j.groupBy(*by, key).agg(F.min_by(other, F.struct(gap, F.col(other))).alias(other), F.min(gap).alias("difference"))
+    # Nine decimals, so that copies whose means differ in their last bits tie and the least id wins.
+    gap = F.round(gap, 9)
+    best = j.groupBy(*by, "__s", *columns).agg(F.min_by(other, F.struct(gap, F.col(other))).alias(other), F.min(gap).alias("difference")).drop("__s")
+    best = best.toDF(*by, *[f"__q_{c}" for c in columns], other, "difference")
+    at = query.select(*by, key, *columns)
+    return at.join(best, [at[c] == best[c] for c in by] + [at[c].eqNullSafe(best[f"__q_{c}"]) for c in columns]).select(*[at[c] for c in by], key, other, "difference")
