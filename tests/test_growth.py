@@ -109,3 +109,11 @@ def test_signatures_tie_to_the_least_id(spark):
     r = spark.createDataFrame([("g", 1, 2.0 + 1e-14), ("g", 2, 2.0), ("g", 4, 9.0)], "g string, other long, m double")
     got = {n.id: n.other for n in nearest_signature(q, r, ["g"], "id", "other", ["m"]).collect()}
     assert got == {0: 1, 3: 1}
+
+
+def test_ring_crossings_not_broadcast(spark):
+    square = [(p, 0, i, x + p, y + p) for p in (0, 1) for i, (x, y) in enumerate([(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)])]
+    rings = spark.createDataFrame([("f", *r) for r in square], "floor string, part long, ring int, i int, x double, y double")
+    got = O.ring_crossings(rings, ["floor"], 4.0)
+    assert "Broadcast" not in plan(got)
+    assert {(r.x, r.y) for r in got.collect()} == {(2.0, 1.0), (1.0, 2.0)}
