@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from . import fingerprint as P
 
 #: Weights, exponents and limits of the penalties.
 NEAR_POSITIONS = 20
@@ -81,7 +82,12 @@ def signal_penalties(distances: DataFrame, candidates: DataFrame, anchors: DataF
     way = X.euclid(F.col("x") - F.col("wx"), F.col("y") - F.col("wy"))
     at = at.join(candidates, [*by, "cand"]).join(spot, [*key, "scan"]).withColumn("way", way)
     at = at.withColumn("far", F.col("way") - F.min("way").over(lowest)).select(*key, "scan", "cand", "near", "far", "wx", "wy")
-    scans = distances.groupBy(*key).agg(F.sort_array(F.collect_set("scan")).alias("scans"))
+    return _at_anchors(at, distances.select(*key, "scan"), anchors, key)
+
+
+def _at_anchors(at: DataFrame, scans: DataFrame, anchors: DataFrame, key: list[str]) -> DataFrame:
+    """Signal penalties of anchors from those of the scans (key, scan) before and after them."""
+    scans = scans.groupBy(*key).agg(F.sort_array(F.collect_set("scan")).alias("scans"))
     before = F.size(F.filter("scans", lambda s: s < F.col("time")))
     ends = anchors.join(scans, key).withColumn("n", before)
     low, high = F.element_at("scans", F.greatest(F.lit(1), F.col("n"))), F.element_at("scans", F.least(F.size("scans"), F.col("n") + 1))
@@ -92,6 +98,43 @@ def signal_penalties(distances: DataFrame, candidates: DataFrame, anchors: DataF
     return joined.select(*key, "step", "cand", penalty.alias("signal"), "wx", "wy")
 
 
+def signal_penalties_of_scans(readings: DataFrame, model: DataFrame, positions: DataFrame, candidates: DataFrame, anchors: DataFrame, by: list[str], trail: list[str]) -> DataFrame:
+    """``signal_penalties`` with ``fingerprint.distances`` of ``readings`` (by, trail, scan, emitter, rssi, delay) and ``model``, without a row for a scan and position.
+
+    ``positions``: by, pos, px, py of those of the model. The floor's candidates go
+    with its first position.
+    """
+    key = [*by, *trail]
+    grid = candidates.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("cand", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))).alias("grid"))
+    first = Window.partitionBy(*by).orderBy("pos")
+    own = positions.select(*by, "pos", "px", "py").join(grid, by, "left").withColumn("grid", F.when(F.row_number().over(first) == 1, F.col("grid")))
+
+    def pick(key: dict, d: np.ndarray, shared: np.ndarray, at: P.Site) -> tuple | None:
+        px, py = at.extra["px"], at.extra["py"]
+        if not at.cache:
+            grid = at.extra["grid"][0]
+            if grid is None:
+                at.cache["cand"] = None
+            else:
+                x, y = (np.array([g[c] for g in grid], float) for c in ("x", "y"))
+                near = np.stack([P.nearest(np.sqrt((a - px) ** 2 + (b - py) ** 2), NEAR_POSITIONS) for a, b in zip(x, y, strict=True)])
+                at.cache |= {"cand": np.array([g["cand"] for g in grid]), "x": x, "y": y, "near": near}
+        if at.cache["cand"] is None:
+            return None
+        small = np.sort(d[at.cache["near"]], axis=1)[:, :NEAR_KEPT]
+        value = 1.5 * small.mean(1) + 1.5 * small[:, 0]
+        top = P.nearest(d, NEAR_POSITIONS)
+        weight = ((d[top] + 1e-5) / (d[top[0]] + 1e-5)) ** -POSITION_POWER
+        wx, wy = (weight * px[top]).sum() / weight.sum(), (weight * py[top]).sum() / weight.sum()
+        way = np.sqrt((at.cache["x"] - wx) ** 2 + (at.cache["y"] - wy) ** 2)
+        return at.cache["cand"], value - value.min(), way - way.min(), np.full(len(way), wx), np.full(len(way), wy)
+
+    fields = f"cand {dict(candidates.dtypes)['cand']}, near double, far double, wx double, wy double"
+    at = P.per_scan(readings, model, by, [*trail, "scan"], P.weighted(), pick, fields, own)
+    scans = readings.select(*key, "scan").distinct().join(positions.select(*by).distinct(), by, "left_semi")
+    return _at_anchors(at, scans, anchors, key)
+
+
 def _wrap(angle: np.ndarray) -> np.ndarray:
     """Size of an angle, at most pi."""
     return np.abs((angle + np.pi) % (2 * np.pi) - np.pi)
