@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from trailmark.operators import geometry as G
@@ -117,3 +118,39 @@ def test_ring_crossings_not_broadcast(spark):
     got = O.ring_crossings(rings, ["floor"], 4.0)
     assert "Broadcast" not in plan(got)
     assert {(r.x, r.y) for r in got.collect()} == {(2.0, 1.0), (1.0, 2.0)}
+
+
+def test_smoothing_takes_many_keys_at_once(spark):
+    """Keys of one to seven rows, each against its own linear system; no call for a key."""
+    rows = [(k, i, float((k * 7 + i * 3) % 11), float(i % 3)) for k in range(40) for i in range(1 + k % 7)]
+    out = Z.smooth(spark.createDataFrame(rows, "k int, pos int, value double, step double"), ["k"], "pos", "value", "step", 2.0)
+    assert "MapInArrow" in plan(out) and "FlatMapGroups" not in plan(out)
+    got = {(r.k, r.pos): r.smooth for r in out.collect()}
+    assert len(got) == len(rows)
+    for k in range(40):
+        v, s = (np.array([r[c] for r in rows if r[0] == k]) for c in (2, 3))
+        d = np.diff(np.eye(len(v)), axis=0)
+        want = np.linalg.solve(np.eye(len(v)) + 2 * d.T @ d, v + 2 * d.T @ s[:-1])
+        assert np.allclose([got[k, i] for i in range(len(v))], want)
+
+
+def test_devices_are_told_apart_by_plain_numbers(monkeypatch):
+    """No array for each known device, and the same devices as by arrays."""
+    rng = np.random.default_rng(2)
+    sets = [rng.integers(0, 3, 6) / 2 + rng.choice([0, 5e-9, 2e-6]) for _ in range(200)] + [np.array([np.inf, 0, 1, 1, 0, 0]), np.array([np.nan] * 6)]
+    known, n, want = [], 0, []
+    for x in sets:
+        hit = next((i for i, y in enumerate(known) if np.abs(x - y[1]).sum() <= 0.5 or (np.isclose(x, y[1]) & (x != 0)).sum() > 1), None)
+        if np.isnan(x).any():
+            want.append(-1)
+            continue
+        device = n if hit is None else known.pop(hit)[0]
+        n += hit is None
+        known.insert(0, (device, x))
+        want.append(device)
+    monkeypatch.setattr(np, "isclose", None)
+    known, n, got = [], 0, []
+    for t, x in enumerate(sets):
+        device, n = Z.known_device(known, n, t, list(x), list(x), 0.5, 1.0, None)
+        got.append(device)
+    assert got == want
