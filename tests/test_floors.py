@@ -147,3 +147,36 @@ def test_floors_unbias_and_gaps(spark):
     assert {r.floor for r in one.collect()} == {0, 1} and not one.where("fn = 't1_1'").count()
     want = {(r.fn, r.step): r.distance for r in steps.collect()}
     assert all(r.segment_dist_pred == (want[r.fn, r.trajectory_id] if r.trajectory_id else None) for r in one.collect())
+
+
+def test_large_floors_find_the_same_paths():
+    """Neighbours first, as on floors of more than TABLE candidates, and all moves at once, as on smaller ones."""
+    rng = np.random.default_rng(5)
+    n, spots = 60, rng.uniform(0, 40, (9, 2))
+    grid = {"cand": np.arange(n), "x": rng.integers(0, 40, n).astype(float), "y": rng.integers(0, 40, n).astype(float), "kind": np.array(["train"] * n, object), "visits": np.zeros(n, int), "known": np.ones(n, bool), "nearest_known": np.zeros(n)}
+    grid |= {"off_grid": rng.uniform(0, 3, n), "dense": rng.uniform(0, 3, n)}
+    walk = {c: rng.uniform(1, 9, 6) for c in O.STEP[1:]} | {c: np.array([True] * 6) for c in O.STEP[1:] if c.endswith("reliable")}
+    for reach in (2.0, 9.0, 25.0):
+        small, large = (L.Floor(grid, np.arange(9), spots, reach, table=t) for t in (n, n - 1))
+        assert small.next is None and (large.next >= 0).any()
+        for truth in (None, rng.uniform(0, 40, (6, 2))):
+            signal = rng.uniform(0, 9, (6, n))
+            a, b = (L.FloorBeam(f, walk, signal, 12, 3, 5, truth) for f in (small, large))
+            a.search()
+            b.search()
+            assert (a.path == b.path).all() and np.allclose(a.total, b.total, rtol=1e-12)
+            assert a.trace(0).keys() == set(O.PENALTIES) and sum(map(sum, a.trace(0).values())) == pytest.approx(a.total[0] % 1e6)
+
+
+def test_scans_with_a_distance_as_with_rows(spark):
+    """The paths do not depend on whether distances come as rows or are worked out where they are used."""
+    known, new, dist, steps = world(spark)
+    grid = L.floor_grid(known, new, BY).cache()
+    options = {"width": 8, "by_signal": 3, "by_move": 3, "trails_per_task": 2}
+    far = lambda s, px, py: 2 + np.hypot(s["hx"][:, None] - px, s["hy"][:, None] - py)
+    scans = dist.groupBy(*BY, *TRAIL, "scan").agg(F.avg("distance").alias("hx"), F.max("distance").alias("hy"))
+    rows = dist.join(scans, [*BY, *TRAIL, "scan"]).withColumn("distance", 2 + F.hypot(F.col("hx") - F.col("px"), F.col("hy") - F.col("py")))
+    got = L.optimise_scans(steps, scans, dist.select(*BY, "pos", "px", "py").distinct(), grid, BY, TRAIL, distance=far, **options).collect()
+    want = L.optimise_floors(steps, rows.drop("hx", "hy"), grid, BY, TRAIL, **options).collect()
+    at = lambda found: sorted((r.floor, r.fn, r.trajectory_id, r.x_pred, r.y_pred, round(r.selected_total_penalty, 6)) for r in found)
+    assert at(got) == at(want) and len(got) == steps.count()

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from . import geometry as G
-from .paths import FORBIDDEN, LEAST_OFFSET_S, NEAR_EXPONENT, NEAR_KEPT, NEAR_POSITIONS, PENALTIES, POSITION_POWER, STEP, WEIGHTED_EXPONENT, WEIGHTED_SHARE, Beam, misfit
+from .paths import FORBIDDEN, LEAST_OFFSET_S, NEAR_EXPONENT, NEAR_KEPT, NEAR_POSITIONS, POSITION_POWER, STEP, TABLE, WEIGHTED_EXPONENT, WEIGHTED_SHARE, Beam, Moves, lists, misfit, on_floors, walk_of
 
 #: Penalty of a candidate off the grid and the distance from known ones at which there is none; crowding of generated candidates; bias of a trail's first and last length.
 OFF_GRID = 8.0
@@ -81,32 +81,41 @@ def neighbour_lists(grid: DataFrame, by: list[str], reach: float) -> DataFrame:
 
 
 class Floor:
-    """A floor's candidates, their neighbours in reach and nearest known positions, as arrays."""
-
-    def __init__(self, row: dict, reach: float, nearest: int = NEAR_POSITIONS):
-        grid = sorted(row["grid"], key=lambda g: g["cand"])
-        col = lambda c, t: np.array([g[c] for g in grid], t)
-        self.cand, self.pos = col("cand", np.int64), np.stack([col("x", float), col("y", float)], 1)
-        self.kind, self.known, self.visits, self.nearest_known = col("kind", object), col("known", bool), col("visits", np.int64), col("nearest_known", float)
-        self.fixed = {"off_grid": col("off_grid", float), "dense": col("dense", float)}
-        at = sorted(row["positions"], key=lambda p: p["pos"])
-        self.names = {p["pos"]: i for i, p in enumerate(at)}
-        self.positions = np.array([(p["px"], p["py"]) for p in at], float).reshape(-1, 2)
+    """A floor's candidates, the moves between them and their nearest known positions, as arrays."""
+
+    def __init__(self, grid: dict[str, np.ndarray], pos: np.ndarray, positions: np.ndarray, reach: float, nearest: int = NEAR_POSITIONS, table: int = TABLE):
+        """``grid`` has columns of candidates, ``pos`` numbers and ``positions`` places of known positions."""
+        order = np.argsort(grid["cand"], kind="stable")
+        grid = {c: v[order] for c, v in grid.items()}
+        self.cand, self.pos = grid["cand"], np.stack([grid["x"], grid["y"]], 1)
+        self.kind, self.known, self.visits, self.nearest_known = (grid[c] for c in ("kind", "known", "visits", "nearest_known"))
+        self.fixed = {c: grid[c] for c in ("off_grid", "dense")}
+        order = np.argsort(pos, kind="stable")
+        self.names, self.positions = pos[order], positions[order]
         way = np.hypot(*(self.pos[:, None] - self.positions[None]).transpose(2, 0, 1))
         self.near = np.argsort(way, axis=1, kind="stable")[:, :nearest]
-        self.reach = reach
-        # Neighbours by candidate number, so that ties go as they do among all candidates.
-        lists = [sorted(n["cand"] for n in g["near"]) for g in grid]
-        self.next = np.full((len(grid), max(map(len, lists), default=0)), -1)
+        self.reach, self.moves = reach, Moves(self.pos, table)
+        self.next = self._next() if self.moves.whole is None else None
+
+    def _next(self) -> np.ndarray:
+        """Of every candidate the others in reach by number, so that ties go as they do among all candidates; -1 where there are no more."""
+        order = np.argsort(self.pos[:, 0], kind="stable")
+        x = self.pos[order, 0]
+        low, high = np.searchsorted(x, self.pos[:, 0] - self.reach), np.searchsorted(x, self.pos[:, 0] + self.reach, "right")
+        lists = []
+        for i, (a, b) in enumerate(zip(low, high, strict=True)):
+            own = np.sort(order[a:b])
+            lists.append(own[(np.hypot(*(self.pos[own] - self.pos[i]).T) <= self.reach) & (own != i)])
+        out = np.full((len(lists), max(map(len, lists), default=0)), -1)
         for i, own in enumerate(lists):
-            self.next[i, : len(own)] = own
-
-    def signals(self, scans: list[dict], times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """By step: the signal penalty of every candidate, the weighted position, and the least distance of the scans around."""
-        at = np.array([s["scan"] for s in scans], np.int64)
-        far = np.full((len(scans), len(self.positions)), np.inf)
-        for i, s in enumerate(scans):
-            far[i, [self.names[d["pos"]] for d in s["to"]]] = [d["distance"] for d in s["to"]]
+            out[i, : len(own)] = own
+        return out
+
+    def signals(self, at: np.ndarray, far: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By step: the signal penalty of every candidate, the weighted position, and the least distance of the scans around.
+
+        ``at`` are times of scans in order, ``far`` their distances by position.
+        """
         small = np.sort(far[:, self.near], axis=2)[:, :, :NEAR_KEPT]
         value = 1.5 * small.mean(2) + 1.5 * small[:, :, 0]
         least = value.min(1)
@@ -125,10 +134,10 @@ class Floor:
 
 
 class FloorBeam(Beam):
-    """A beam that looks among a candidate's neighbours first, and follows the path of nearest candidates where the truth is known."""
+    """A beam that on a large floor looks among a candidate's neighbours first, and follows the path of nearest candidates where the truth is known."""
 
-    def __init__(self, floor: Floor, steps: pd.DataFrame, signal: np.ndarray, width: int, by_signal: int, by_move: int, truth: np.ndarray | None):
-        super().__init__(steps, floor.cand, floor.pos, floor.fixed, signal, width, by_signal, by_move)
+    def __init__(self, floor: Floor, walk: dict[str, np.ndarray], signal: np.ndarray, width: int, by_signal: int, by_move: int, truth: np.ndarray | None):
+        super().__init__(walk, floor.cand, floor.moves, floor.fixed, signal, width, by_signal, by_move)
         self.floor, self.follow = floor, None
         if truth is not None:
             self.follow = np.zeros(len(truth), np.int64)
@@ -156,10 +165,14 @@ class FloorBeam(Beam):
 
     def fits(self, i: int, last: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Among neighbours in reach; among all where a candidate beyond it could fit as well."""
-        step, floor = self.steps.iloc[i], self.floor
+        step, floor = self.steps[i], self.floor
+        # A move beyond the reach misses the wanted length and place by so much at least.
+        bound = 4 * max(0.0, floor.reach - step["distance"]) + max(0.0, floor.reach - math.hypot(step["ax"], step["ay"]))
+        if floor.next is None:
+            return self._fits_in_all(step, last, best, bound)
         nxt = floor.next[last]
-        move = self.pos[nxt] - self.pos[last][:, None]
-        error = misfit(step, move[..., 0], move[..., 1])
+        dx, dy = (self.pos[nxt] - self.pos[last][:, None]).transpose(2, 0, 1)
+        error = misfit(step, dx, dy, np.hypot(dx, dy), np.arctan2(dy, dx))
         is_best = np.zeros(len(self.cand), bool)
         is_best[best] = True
         error[(nxt < 0) | is_best[nxt]] = np.inf
@@ -168,8 +181,6 @@ class FloorBeam(Beam):
         k = order.shape[1]
         fit[:, :k], got = np.take_along_axis(nxt, order, 1), np.take_along_axis(error, order, 1)
         ok[:, :k] = np.isfinite(got)
-        # A move beyond the reach misses the wanted length and place by so much at least.
-        bound = 4 * max(0.0, floor.reach - step.distance) + max(0.0, floor.reach - math.hypot(step.ax, step.ay))
         rest = np.flatnonzero(~((k == self.by_move) & (got[:, -1] < bound))) if k else np.arange(len(last))
         if len(rest):
             wide, there = super().fits(i, last[rest], best)
@@ -177,6 +188,21 @@ class FloorBeam(Beam):
             fit[rest, : wide.shape[1]], ok[rest, : wide.shape[1]] = wide, there
         return fit, ok
 
+    def _fits_in_all(self, step: dict, last: np.ndarray, best: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+        """``fits`` where all moves are at hand: staying is one only where those in reach do not settle it."""
+        error, at = misfit(step, *self.moves.to_all(last)), np.arange(len(last))
+        error[:, best] = np.inf
+        stay = error[at, last]
+        error[at, last] = np.inf
+        fit = np.argsort(error, axis=1, kind="stable")[:, : self.by_move]
+        got = np.take_along_axis(error, fit, 1)
+        rest = np.flatnonzero(np.isfinite(stay) & ~((fit.shape[1] == self.by_move) & (got[:, -1] < bound)))
+        if len(rest):
+            error[at, last] = stay
+            fit[rest] = np.argsort(error[rest], axis=1, kind="stable")[:, : self.by_move]
+            got[rest] = np.take_along_axis(error[rest], fit[rest], 1)
+        return fit, np.isfinite(got)
+
     def expand(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         row, nxt = super().expand(i)
         self.forced = None
@@ -187,13 +213,13 @@ class FloorBeam(Beam):
                 nxt[self.forced] = self.follow[i]
         return row, nxt
 
-    def keep(self, row: np.ndarray, nxt: np.ndarray, total: np.ndarray) -> np.ndarray:
+    def keep(self, i: int, row: np.ndarray, nxt: np.ndarray, total: np.ndarray) -> np.ndarray:
         if self.follow is None:
-            return super().keep(row, nxt, total)
+            return super().keep(i, row, nxt, total)
+        own = int(np.flatnonzero((row == self.row) & (nxt == self.follow[i]))[0])
         if self.forced is not None:
             total[self.forced] += FORBIDDEN
-        own = int(np.flatnonzero((row == self.row) & (nxt == self.follow[len(self.path[0])]))[0])
-        keep = super().keep(row, nxt, total)
+        keep = super().keep(i, row, nxt, total)
         at = np.flatnonzero(keep == own)
         if not len(at):
             # It dropped out: kept for the report, it must not come back.
@@ -203,66 +229,76 @@ class FloorBeam(Beam):
         return keep
 
 
-def _report(floor: Floor, beam: FloorBeam, steps: pd.DataFrame, before: np.ndarray, least: np.ndarray) -> dict[str, list]:
-    """The columns ``RESULT`` of a trail."""
-    n, one = len(steps), beam.path[0]
-    trace = lambda k: {p: [float(part[_FROM[p]][k]) if p in _FROM else 0.0 for part in beam.parts] for p in _OWN}
+def _report(floor: Floor, beam: FloorBeam, walk: dict[str, np.ndarray], truth: dict[str, np.ndarray], before: np.ndarray, least: np.ndarray) -> dict[str, list]:
+    """The columns ``RESULT`` of a trail; ``walk`` as given, not as corrected."""
+    n, one, time = beam.n, beam.path[0], walk["time"]
+
+    def trace(k: int) -> dict[str, list[float]]:
+        own = beam.trace(k)
+        return {p: own[_FROM[p]] if p in _FROM else [0.0] * n for p in _OWN}
+
     own, x = trace(0), beam.pos[one]
     second = beam.path[1] if len(beam.path) > 1 else None
+    mean = lambda c: [float(walk[c][1:].mean()) if n > 1 else None] * n
     out = {
-        "waypoint_time": steps["time"].tolist(), "trajectory_time": (steps["time"] - steps["time"].iloc[0]).tolist(), "trajectory_id": list(range(n)), "num_waypoints": [n] * n,
+        "waypoint_time": time.tolist(), "trajectory_time": (time - time[0]).tolist(), "numeric_floor": walk["numeric_floor"].tolist(), "trajectory_id": list(range(n)), "num_waypoints": [n] * n,
         "selected_total_penalty": np.sum(list(own.values()), axis=0).tolist(), **{f"{p}_penalty": v for p, v in own.items()},
         "min_wifi_distance": least.tolist(), "train_waypoint_pred": floor.known[one].tolist(), "waypoint_type_pred": floor.kind[one].tolist(), "waypoint_train_count_pred": floor.visits[one].tolist(),
-        "mean_dist_uncertainty": [float(steps["spread"][1:].mean()) if n > 1 else None] * n, "mean_abs_move_uncertainty": [float(steps["move_spread"][1:].mean()) if n > 1 else None] * n,
-        "segment_dist_pred": [None, *steps["distance"][1:].tolist()], "rel_move_sensor_pred_x": [None, *steps["ax"][1:].tolist()], "rel_move_sensor_pred_y": [None, *steps["ay"][1:].tolist()],
+        "mean_dist_uncertainty": mean("spread"), "mean_abs_move_uncertainty": mean("move_spread"),
+        "segment_dist_pred": [None, *walk["distance"][1:].tolist()], "rel_move_sensor_pred_x": [None, *walk["ax"][1:].tolist()], "rel_move_sensor_pred_y": [None, *walk["ay"][1:].tolist()],
         "distance_second": [None if second is None else float(np.hypot(*(x - beam.pos[second]).T).sum())] * n, "penalty_gap_second": [None if second is None else float(beam.total[1] - beam.total[0])] * n,
         "pred_smallest_known_distance": floor.nearest_known[one].tolist(), "x_before_optim_pred": before[:, 0].tolist(), "y_before_optim_pred": before[:, 1].tolist(), "x_pred": x[:, 0].tolist(), "y_pred": x[:, 1].tolist(),
     }
     if beam.follow is not None:
-        true, near, other = steps[["x_actual", "y_actual"]].to_numpy(float), beam.follow, trace(beam.row)
+        near, other = beam.follow, trace(beam.row)
+        true, original = (np.stack([truth[f"{a}_{side}"] for a in "xy"], 1) for side in ("actual", "original"))
         on = (((beam.pos[None] - true[:, None]) ** 2).sum(2).min(1) == 0).tolist()
         error = lambda p: np.hypot(*(p - true).T).tolist()
         out |= {
             "all_targets_on_waypoints": [all(on)] * n, "actual_on_waypoint": on, "nearest_trajectory_rank": [beam.row] * n, "nearest_waypoint_x": beam.pos[near, 0].tolist(), "nearest_waypoint_y": beam.pos[near, 1].tolist(),
             "nearest_total_penalty": np.sum(list(other.values()), axis=0).tolist(), **{f"nearest_{p}_penalty": v for p, v in other.items()}, "waypoint_type_nearest": floor.kind[near].tolist(), "waypoint_train_count_nearest": floor.visits[near].tolist(),
-            "x_actual": true[:, 0].tolist(), "y_actual": true[:, 1].tolist(), "original_error": error(steps[["x_original", "y_original"]].to_numpy(float)), "before_optim_error": error(before), "after_optim_error": error(x),
+            "x_actual": true[:, 0].tolist(), "y_actual": true[:, 1].tolist(), "original_error": error(original), "before_optim_error": error(before), "after_optim_error": error(x),
         }
     return out
 
 
-def optimise_floors(steps: DataFrame, distances: DataFrame, grid: DataFrame, by: list[str], trail: list[str], reach: float = 40.0, width: int = 200, by_signal: int = 10, by_move: int = 40, unbias: bool = False, trails_per_task: int = 64) -> DataFrame:
+def optimise_floors(steps: DataFrame, distances: DataFrame, grid: DataFrame, by: list[str], trail: list[str], **options) -> DataFrame:
+    """``optimise_scans`` of ``distances`` in rows (by, trail, scan, pos, px, py, distance): of each scan to every known position of the floor."""
+    scans = distances.groupBy(*by, *trail, "scan").agg(F.collect_list(F.struct("pos", "distance")).alias("to"))
+    return optimise_scans(steps, scans, distances.select(*by, "pos", "px", "py").distinct(), grid, by, trail, **options)
+
+
+def optimise_scans(steps: DataFrame, scans: DataFrame, positions: DataFrame, grid: DataFrame, by: list[str], trail: list[str], reach: float = 40.0, width: int = 200, by_signal: int = 10, by_move: int = 40, unbias: bool = False, trails_per_task: int = 64, distance: Callable[[dict, np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """The best path of every trail on every floor in one job, a row a step with the columns ``by``, ``trail`` and ``RESULT``.
 
     ``steps``: by, trail, step, time (ms), numeric_floor and the columns of
     ``paths.STEP`` but the signal's position; where the truth is known also x_actual, y_actual,
     x_original, y_original (null or missing otherwise; then all that compares with
-    them is null). ``distances``: by, trail, scan (ms), pos, px, py, distance: of each
-    scan to every known position of the floor. ``grid``: ``floor_grid``'s rows.
-
-    A floor is one row: its candidates with their neighbours as arrays, and its
-    positions. It goes to a task once for each ``trails_per_task`` of its trails, so a
-    crowded floor is many tasks and no row is made for a trail's step and
-    candidate. Trails without scans, or of floors without candidates, give no rows.
-    With ``unbias`` first and last lengths are corrected before the search.
+    them is null). ``scans``: by, trail, scan (ms), ``to``, an array of pos and
+    distance to every known position of the floor; ``positions``: by, pos, px, py.
+    ``grid``: ``floor_grid``'s rows. With ``distance`` a scan has other columns in place
+    of ``to``, and the function makes of them and of px and py the distances by scan
+    and position.
+
+    A floor is one row: its candidates and its positions as arrays. It goes to a
+    task once for each ``trails_per_task`` of its trails, so a crowded floor is many
+    tasks, and no row is made for a trail's step and candidate or scan and position.
+    Moves between candidates are worked out in the task; on floors of more than
+    ``paths.TABLE`` candidates those within ``reach`` are tried first. Trails without
+    scans, or of floors without candidates, give no rows. With ``unbias`` first and
+    last lengths are corrected before the search.
     """
     key = [*by, *trail]
     truth = ["x_actual", "y_actual", "x_original", "y_original"]
     steps = steps.withColumns({c: F.lit(None).cast("double") for c in truth if c not in steps.columns})
-    fields = ["step", "time", "numeric_floor", *[c for c in STEP[1:] if c not in ("wx", "wy")], *truth]
-    walks = steps.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("steps"))
-    scan = distances.groupBy(*key, "scan").agg(F.collect_list(F.struct("pos", "distance")).alias("to"))
-    scans = scan.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("scan", "to"))).alias("scans"))
-    trails = walks.join(scans, key)
-    slices = trails.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / trails_per_task).cast("int").alias("slices"))
-    # Columns of their own, as all may come from one table.
-    slices = slices.toDF(*by, "slices")
-    placed = trails.join(slices, by).withColumn("slice", F.pmod(F.xxhash64(*trail), F.col("slices")).cast("int")).drop("slices")
-    lists = neighbour_lists(grid, by, reach)
-    full = grid.join(lists.toDF(*by, "cand", "near"), [*by, "cand"])
-    one = F.struct("cand", "x", "y", "kind", "visits", "known", "nearest_known", "off_grid", "dense", F.transform("near", lambda n: F.struct(n["cand"].alias("cand"))).alias("near"))
-    where = distances.select(*by, "pos", "px", "py").distinct().groupBy(*by).agg(F.collect_list(F.struct("pos", "px", "py")).alias("positions"))
-    floors = full.groupBy(*by).agg(F.collect_list(one).alias("grid")).join(where.toDF(*by, "positions"), by)
-    floors = floors.join(slices, by).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(*by, "slice", "grid", "positions")
+    asked = [c for c in STEP[1:] if c not in ("wx", "wy")]
+    walks = steps.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("step", "time", "numeric_floor", *asked, *truth))).alias("steps"))
+    to = [*sorted(set(scans.columns) - {*key, "scan"})] if distance else F.transform("to", lambda t: F.struct(t["pos"].cast("long").alias("pos"), t["distance"].cast("double").alias("distance"))).alias("to")
+    to = to if distance else [to]
+    heard = scans.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("scan", *to))).alias("scans"))
+    cells = ["cand", "x", "y", "kind", "visits", "known", "nearest_known", "off_grid", "dense"]
+    where = positions.groupBy(*by).agg(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), F.col("px").cast("double").alias("px"), F.col("py").cast("double").alias("py"))).alias("positions"))
+    floors = grid.groupBy(*by).agg(F.collect_list(F.struct(*cells)).alias("grid")).join(where.toDF(*by, "positions"), by)
     kinds = dict(steps.dtypes)
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in key), *RESULT])
     names = [*key, *(c.split()[0] for c in RESULT)]
@@ -270,26 +306,41 @@ def optimise_floors(steps: DataFrame, distances: DataFrame, grid: DataFrame, by:
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {c: [] for c in names}
         if left.num_rows and right.num_rows:
-            floor = Floor(right.to_pylist()[0], reach)
-            for t in left.to_pylist():
-                walk = pd.DataFrame(t["steps"])
-                signal, before, least = floor.signals(t["scans"], walk["time"].to_numpy(np.int64))
-                known = not walk[truth].isna().to_numpy().any()
-                asked = walk.assign(wx=before[:, 0], wy=before[:, 1])
-                if unbias and len(walk) > 1:
-                    asked.loc[1, "distance"] = max(FIRST_LEAST, asked.loc[1, "distance"] - FIRST_BIAS)
-                    asked.loc[len(walk) - 1, "distance"] += LAST_BIAS
-                beam = FloorBeam(floor, asked, signal, width, by_signal, by_move, walk[["x_actual", "y_actual"]].to_numpy(float) if known else None)
-                beam.first()
-                for i in range(1, len(walk)):
-                    beam.advance(i)
-                rows = _report(floor, beam, walk, before, least) | {"numeric_floor": walk["numeric_floor"].tolist()} | {c: [t[c]] * len(walk) for c in key}
+            _, cand = lists(right, "grid")
+            _, at = lists(right, "positions")
+            floor = Floor(cand, at["pos"], np.stack((at["px"], at["py"]), 1), reach)
+            ends, every = lists(left, "steps")
+            keys = {c: left[c].to_pylist() for c in key}
+            scan_ends, scan = lists(left, "scans")
+            if not distance:
+                to, far_ends = scan["to"].values, scan["to"].offsets.to_numpy()
+                pos, value = np.searchsorted(floor.names, to.field("pos").to_numpy()), to.field("distance").to_numpy()
+            for k in range(left.num_rows):
+                given = {c: v[ends[k] : ends[k + 1]] for c, v in every.items()}
+                a, b = scan_ends[k], scan_ends[k + 1]
+                if distance:
+                    far = distance({c: v[a:b] for c, v in scan.items()}, *floor.positions.T)
+                else:
+                    far = np.full((b - a, len(floor.positions)), np.inf)
+                    low, high = far_ends[a], far_ends[b]
+                    far[np.repeat(np.arange(b - a), np.diff(far_ends[a : b + 1])), pos[low:high]] = value[low:high]
+                signal, before, least = floor.signals(scan["scan"][a:b], far, given["time"])
+                walk = walk_of({c: given[c] for c in asked}) | {"wx": before[:, 0], "wy": before[:, 1]}
+                true = {c: given[c].astype(float) for c in truth}
+                known = not np.isnan(np.stack(list(true.values()))).any()
+                if unbias and len(before) > 1:
+                    walk["distance"] = walk["distance"].copy()
+                    walk["distance"][1] = max(FIRST_LEAST, walk["distance"][1] - FIRST_BIAS)
+                    walk["distance"][-1] += LAST_BIAS
+                beam = FloorBeam(floor, walk, signal, width, by_signal, by_move, np.stack((true["x_actual"], true["y_actual"]), 1) if known else None)
+                beam.search()
+                rows = _report(floor, beam, given, true, before, least) | {c: [v[k]] * beam.n for c, v in keys.items()}
                 for c in names:
-                    out[c] += rows.get(c, [None] * len(walk))
+                    out[c] += rows.get(c, [None] * beam.n)
         own = {c: left.schema.field(c).type for c in key} | {c: _ARROW[t] for c, t in (x.split() for x in RESULT)}
         return pa.table({c: pa.array(v, own[c]) for c, v in out.items()})
 
-    return placed.groupBy(*by, "slice").cogroup(floors.groupBy(*by, "slice")).applyInArrow(search, schema)
+    return on_floors(walks.join(heard, key), floors, steps, by, trail, trails_per_task).applyInArrow(search, schema)
 
 
 def for_submission(results: DataFrame) -> DataFrame:

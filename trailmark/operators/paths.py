@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ MOVE_SPREAD = 0.2
 MOST_CERTAIN = 4.0
 DIRECTION_WEIGHT = 0.5
 FORBIDDEN = 1e6
+#: Candidates of a floor up to which the moves between every two are kept.
+TABLE = 512
 
 PENALTIES = ("signal", "distance", "relative", "absolute", "edge", "direction", "off_grid", "dense")
 
@@ -149,94 +153,140 @@ def _edge(distance: np.ndarray, delay_s: float, dissimilarity: float) -> np.ndar
     return np.minimum(EDGE_MOST, doubt / (1 + delay_s / EDGE_DECAY_S) * ((distance > 1e-3) * EDGE_EXACT + far**2))
 
 
-def misfit(step, dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
+class Moves:
+    """Differences, lengths and directions of moves between candidates at ``pos``; of a grid of at most ``table`` ones they are worked out once."""
+
+    def __init__(self, pos: np.ndarray, table: int = TABLE):
+        self.pos = pos
+        self.whole = self._from(np.arange(len(pos))) if len(pos) <= table else None
+
+    def _from(self, last: np.ndarray) -> tuple[np.ndarray, ...]:
+        dx, dy = (self.pos[None] - self.pos[last][:, None]).transpose(2, 0, 1)
+        return dx, dy, np.hypot(dx, dy), np.arctan2(dy, dx)
+
+    def to_all(self, last: np.ndarray) -> tuple[np.ndarray, ...]:
+        return tuple(m[last] for m in self.whole) if self.whole else self._from(last)
+
+    def to(self, last: np.ndarray, nxt: np.ndarray) -> tuple[np.ndarray, ...]:
+        if self.whole:
+            return tuple(m[last, nxt] for m in self.whole)
+        dx, dy = (self.pos[nxt] - self.pos[last]).T
+        return dx, dy, np.hypot(dx, dy), np.arctan2(dy, dx)
+
+
+def misfit(step: dict, dx: np.ndarray, dy: np.ndarray, size: np.ndarray, angle: np.ndarray) -> np.ndarray:
     """How far moves are from the one wanted; infinite beyond 45 degrees."""
-    size = np.hypot(dx, dy)
-    error = np.abs(dx - step.ax) + np.abs(dy - step.ay) + 4 * np.abs(size - step.distance)
-    error[_wrap(np.arctan2(dy, dx) - math.atan2(step.ay, step.ax)) > np.pi / 4] = np.inf
+    error = np.abs(dx - step["ax"]) + np.abs(dy - step["ay"]) + 4 * np.abs(size - step["distance"])
+    error[_wrap(angle - math.atan2(step["ay"], step["ax"])) > np.pi / 4] = np.inf
     return error
 
 
-class Beam:
-    """The cheapest beginnings of a trail's path: candidate of each step, penalties of each step, total."""
+def walk_of(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """A trail's steps as arrays of numbers: nulls are NaN, of ``reliable`` false."""
+    return {c: np.array([x is True or x is np.True_ for x in v]) if c.endswith("_reliable") else np.asarray(v, float) for c, v in columns.items()}
 
-    def __init__(self, steps: pd.DataFrame, cand: np.ndarray, pos: np.ndarray, fixed: dict[str, np.ndarray], signal: np.ndarray, width: int, by_signal: int, by_move: int):
-        """``signal`` is by step and candidate; ``fixed`` are penalties of being at a candidate."""
-        self.steps = steps.reset_index(drop=True)
-        self.cand, self.pos, self.fixed, self.signal = cand, pos, fixed, signal
+
+class Beam:
+    """The cheapest beginnings of a trail's path: candidates of each step and total; penalties of a step with the row of the step before that a beginning goes on from."""
+
+    def __init__(self, walk: dict[str, np.ndarray], cand: np.ndarray, moves: Moves, fixed: dict[str, np.ndarray], signal: np.ndarray, width: int, by_signal: int, by_move: int):
+        """``walk`` has the columns ``STEP`` in order; ``signal`` is by step and candidate; ``fixed`` are penalties of being at a candidate."""
+        self.n = len(walk["ax"])
+        self.steps = [dict(zip(walk, v, strict=True)) for v in zip(*(v.tolist() for v in walk.values()), strict=True)]
+        self.cand, self.moves, self.pos, self.fixed, self.signal = cand, moves, moves.pos, fixed, signal
+        self.wanted, self.root, self.axes = np.stack((walk["ax"], walk["ay"]), 1), np.sqrt(np.arange(self.n, 0, -1)), np.ascontiguousarray(self.pos.T)
         self.width, self.by_signal, self.by_move = width, min(by_signal, len(self.cand)), by_move
+        self.best_by_signal = np.argsort(signal, axis=1, kind="stable")[:, : self.by_signal]
 
     def first(self) -> None:
         keep = np.argsort(self.signal[0], kind="stable")[: self.width]
         keep = keep[np.argsort(self.signal[0][keep] + sum(v[keep] for v in self.fixed.values()), kind="stable")]
         part = {p: np.zeros(len(keep)) for p in PENALTIES} | {"signal": self.signal[0][keep]} | {c: v[keep] for c, v in self.fixed.items()}
-        self.path, self.parts, self.total = keep[:, None], [part], sum(part.values())
+        self.path, self.parts, self.back, self.total = keep[:, None], [part], [np.arange(len(keep))], sum(part.values())
+
+    def search(self) -> None:
+        self.first()
+        for i in range(1, self.n):
+            self.advance(i)
 
     def fits(self, i: int, last: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each of ``last`` up to ``by_move`` candidates, none of ``best``, that best fit the wanted movement within 45 degrees, and which of them there are."""
-        move = self.pos[None] - self.pos[last][:, None]
-        error = misfit(self.steps.iloc[i], move[..., 0], move[..., 1])
+        error = misfit(self.steps[i], *self.moves.to_all(last))
         error[:, best] = np.inf
         fit = np.argsort(error, axis=1, kind="stable")[:, : self.by_move]
         return fit, np.isfinite(np.take_along_axis(error, fit, 1))
 
     def expand(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Beginnings with their next candidates: the best by signal, and others by movement."""
-        last = self.path[:, -1]
-        best = np.argsort(self.signal[i], kind="stable")[: self.by_signal]
+        best = self.best_by_signal[i]
+        # Many beginnings end at one candidate.
+        number = np.full(len(self.cand), -1)
+        number[self.path[:, -1]] = 0
+        last = np.flatnonzero(number == 0)
+        number[last] = np.arange(len(last))
         fit, ok = self.fits(i, last, best)
-        row = np.concatenate((np.repeat(np.arange(len(last)), len(best)), np.nonzero(ok)[0]))
-        nxt = np.concatenate((np.tile(best, len(last)), fit[ok]))
-        order = np.argsort(row, kind="stable")
-        return row[order], nxt[order]
+        k = len(best)
+        nxt, there = np.empty((len(last), k + fit.shape[1]), np.int64), np.ones((len(last), k + fit.shape[1]), bool)
+        nxt[:, :k], nxt[:, k:], there[:, k:] = best, fit, ok
+        of = number[self.path[:, -1]]
+        there = there[of]
+        return np.nonzero(there)[0], nxt[of][there]
 
     def advance(self, i: int) -> None:
-        s, steps = self.steps.iloc[i], self.steps
+        s, before = self.steps[i], self.steps[i - 1]
         row, nxt = self.expand(i)
         prev = self.path[row, -1]
-        move = self.pos[nxt] - self.pos[prev]
-        size, angle = np.hypot(*move.T), np.arctan2(move[:, 1], move[:, 0])
-        part = {p: np.zeros(len(nxt)) for p in PENALTIES}
-        part["signal"] = self.signal[i][nxt]
-        certain = min(MOST_CERTAIN, DISTANCE_SPREAD / s.spread)
-        part["distance"] = certain * DISTANCE_WEIGHT / 5 * np.abs(size - s.distance) / max(1e-6, 1.4 * (1 - 1 / (s.distance**0.5 + 0.5)))
-        wx, wy = s.wx - steps.wx[i - 1], s.wy - steps.wy[i - 1]
+        dx, dy, size, angle = self.moves.to(prev, nxt)
+        part = {p: None for p in PENALTIES} | {"signal": self.signal[i][nxt]}
+        certain = min(MOST_CERTAIN, DISTANCE_SPREAD / s["spread"])
+        part["distance"] = certain * DISTANCE_WEIGHT / 5 * np.abs(size - s["distance"]) / max(1e-6, 1.4 * (1 - 1 / (s["distance"] ** 0.5 + 0.5)))
+        wx, wy = s["wx"] - before["wx"], s["wy"] - before["wy"]
         norm = math.hypot(wx, wy)
-        part["direction"] = -DIRECTION_WEIGHT * math.sqrt(norm) * (move[:, 0] * wx + move[:, 1] * wy) / ((norm + 1e-9) * (size + 1e-9))
-        wanted = steps[["ax", "ay"]].to_numpy(float)[1 : i + 1]
-        left = np.flip(np.cumsum(np.flip(wanted, 0), 0), 0)
-        gone = self.pos[nxt][:, None] - self.pos[self.path[row]]
-        cumulative = (np.abs(gone - left[None]).sum(-1) / np.sqrt(np.arange(i, 0, -1))).mean(1)
-        back = FORBIDDEN * (_wrap(angle - math.atan2(s.ay, s.ax)) > np.pi / 2)
-        certain = min(MOST_CERTAIN, MOVE_SPREAD / s.move_spread)
-        part["absolute"] = certain * (ABSOLUTE_WEIGHT * np.abs(move - [s.ax, s.ay]).sum(1) + CUMULATIVE_WEIGHT * cumulative + back)
+        part["direction"] = -DIRECTION_WEIGHT * math.sqrt(norm) * (dx * wx + dy * wy) / ((norm + 1e-9) * (size + 1e-9))
+        back = FORBIDDEN * (_wrap(angle - math.atan2(s["ay"], s["ax"])) > np.pi / 2)
+        certain = min(MOST_CERTAIN, MOVE_SPREAD / s["move_spread"])
+        left = np.flip(np.cumsum(np.flip(self.wanted[1 : i + 1], 0), 0), 0)
+        gone_x, gone_y = (v[nxt][:, None] - v[self.path][row] for v in self.axes)
+        cumulative = ((np.abs(gone_x - left[:, 0]) + np.abs(gone_y - left[:, 1])) / self.root[-i:]).mean(1)
+        part["absolute"] = certain * (ABSOLUTE_WEIGHT * (np.abs(dx - s["ax"]) + np.abs(dy - s["ay"])) + CUMULATIVE_WEIGHT * cumulative + back)
         if i > 1:
-            before = self.pos[prev] - self.pos[self.path[row, -2]]
-            turn = angle - np.arctan2(before[:, 1], before[:, 0])
-            part["relative"] = RELATIVE_ANGLE_WEIGHT * _wrap(math.atan2(s.ry, s.rx) - turn)
-        if i == 1 and bool(s.before_reliable):
-            away = np.hypot(*(self.pos[self.path[row, 0]] - [s.before_x, s.before_y]).T)
-            part["edge"] = _edge(away, s.before_delay_s, s.before_dissimilarity)
-        if i == len(steps) - 1 and bool(s.after_reliable):
-            away = np.hypot(*(self.pos[nxt] - [s.after_x, s.after_y]).T)
-            part["edge"] = part["edge"] + _edge(away, s.after_delay_s, s.after_dissimilarity)
+            turn = angle - self.moves.to(self.path[:, -2], self.path[:, -1])[3][row]
+            part["relative"] = RELATIVE_ANGLE_WEIGHT * _wrap(math.atan2(s["ry"], s["rx"]) - turn)
+        if i == 1 and s["before_reliable"]:
+            away = np.hypot(*(self.pos[self.path[row, 0]] - [s["before_x"], s["before_y"]]).T)
+            part["edge"] = _edge(away, s["before_delay_s"], s["before_dissimilarity"])
+        if i == self.n - 1 and s["after_reliable"]:
+            away = np.hypot(*(self.pos[nxt] - [s["after_x"], s["after_y"]]).T)
+            end = _edge(away, s["after_delay_s"], s["after_dissimilarity"])
+            part["edge"] = end if part["edge"] is None else part["edge"] + end
         for c, v in self.fixed.items():
             part[c] = v[nxt]
-        total = self.total[row] + FORBIDDEN * (prev == nxt) + sum(part.values())
-        keep = self.keep(row, nxt, total)
+        total = self.total[row] + FORBIDDEN * (prev == nxt) + sum(v for v in part.values() if v is not None)
+        keep = self.keep(i, row, nxt, total)
         self.path = np.concatenate((self.path[row[keep]], nxt[keep][:, None]), axis=1)
-        self.parts = [{p: v[row[keep]] for p, v in old.items()} for old in self.parts] + [{p: v[keep] for p, v in part.items()}]
+        self.parts.append({p: v if v is None else v[keep] for p, v in part.items()})
+        self.back.append(row[keep])
         self.total = total[keep]
 
-    def keep(self, row: np.ndarray, nxt: np.ndarray, total: np.ndarray) -> np.ndarray:
+    def keep(self, i: int, row: np.ndarray, nxt: np.ndarray, total: np.ndarray) -> np.ndarray:
         return np.argsort(total, kind="stable")[: self.width]
 
-    def best(self) -> pd.DataFrame:
+    def trace(self, k: int) -> dict[str, list[float]]:
+        """Penalties by step of the path in row ``k``."""
+        out: dict[str, list[float]] = {p: [] for p in PENALTIES}
+        for part, back in zip(reversed(self.parts), reversed(self.back), strict=True):
+            for p, v in part.items():
+                out[p].append(0.0 if v is None else float(v[k]))
+            k = back[k]
+        return {p: v[::-1] for p, v in out.items()}
+
+    def best(self) -> dict[str, list]:
         """The cheapest path with each step's penalties, and how far the second is."""
-        one = self.path[0]
-        out = pd.DataFrame({"step": self.steps["step"], "cand": self.cand[one], "x": self.pos[one, 0], "y": self.pos[one, 1], **{p: [x[p][0] for x in self.parts] for p in PENALTIES}})
+        one, n = self.path[0], self.n
         second = self.path[1] if len(self.path) > 1 else one
-        return out.assign(total=float(self.total[0]), gap_second=float(self.total[1] - self.total[0]) if len(self.path) > 1 else None, distance_second=float(np.hypot(*(self.pos[one] - self.pos[second]).T).sum()))
+        out = {"cand": self.cand[one].tolist(), "x": self.pos[one, 0].tolist(), "y": self.pos[one, 1].tolist(), **self.trace(0)}
+        gap = float(self.total[1] - self.total[0]) if len(self.path) > 1 else None
+        return out | {"total": [float(self.total[0])] * n, "gap_second": [gap] * n, "distance_second": [float(np.hypot(*(self.pos[one] - self.pos[second]).T).sum())] * n}
 
 
 STEP = ("step", "distance", "ax", "ay", "rx", "ry", "spread", "move_spread", "wx", "wy", "before_reliable", "before_x", "before_y", "before_delay_s", "before_dissimilarity", "after_reliable", "after_x", "after_y", "after_delay_s", "after_dissimilarity")
@@ -262,11 +312,10 @@ def search_paths(steps: DataFrame, cells: DataFrame, trail: list[str], width: in
         at = right.drop_duplicates("cand").sort_values("cand")
         left = left.sort_values("step")
         signal = right.pivot(index="step", columns="cand", values="signal").reindex(index=left["step"], columns=at["cand"]).to_numpy(float)
-        beam = Beam(left, at["cand"].to_numpy(), at[["x", "y"]].to_numpy(float), {c: at[c].to_numpy(float) for c in ("off_grid", "dense")}, signal, width, by_signal, by_move)
-        beam.first()
-        for i in range(1, len(beam.steps)):
-            beam.advance(i)
-        out = beam.best()
+        walk = walk_of({c: left[c].to_numpy() for c in STEP[1:]})
+        beam = Beam(walk, at["cand"].to_numpy(), Moves(at[["x", "y"]].to_numpy(float)), {c: at[c].to_numpy(float) for c in ("off_grid", "dense")}, signal, width, by_signal, by_move)
+        beam.search()
+        out = pd.DataFrame(beam.best()).assign(step=left["step"].to_numpy())
         for c in trail:
             out[c] = left[c].iloc[0]
         return out[names]
@@ -279,6 +328,64 @@ def search_paths(steps: DataFrame, cells: DataFrame, trail: list[str], width: in
     return steps.select(*trail, *STEP).groupBy(*trail).cogroup(cells.groupBy(*trail)).applyInPandas(one, ", ".join(fields))
 
 
+def search_floors(steps: DataFrame, grid: DataFrame, by: list[str], trail: list[str], signal: Callable[[dict, dict], np.ndarray], width: int = 200, by_signal: int = 10, by_move: int = 40, trails_per_task: int = 64) -> DataFrame:
+    """``search_paths`` of trails whose candidates are those of their floor, without a row for a step and candidate.
+
+    ``steps``: by, trail and the columns ``STEP``; ``grid``: by, cand, x, y, off_grid,
+    dense. ``signal`` makes of a trail's steps and a floor's candidates, both columns
+    of arrays, the signal penalties by step and candidate. Trails of floors without
+    candidates give no rows.
+    """
+    key = [*by, *trail]
+    walks = steps.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*STEP))).alias("steps"))
+    floors = grid.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("cand", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "off_grid", "dense")]))).alias("grid"))
+    numbers = ("x", "y", *PENALTIES, "total", "gap_second", "distance_second")
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: dict[str, list] = {c: [] for c in (*trail, "step", "cand", *numbers)}
+        own = {c: left.schema.field(c).type for c in trail} | {"step": left.schema.field("steps").type.value_type.field("step").type, "cand": right.schema.field("grid").type.value_type.field("cand").type}
+        if left.num_rows and right.num_rows:
+            _, cand = lists(right, "grid")
+            moves, fixed = Moves(np.stack((cand["x"], cand["y"]), 1)), {c: cand[c] for c in ("off_grid", "dense")}
+            ends, every = lists(left, "steps")
+            keys = {c: left[c].to_pylist() for c in trail}
+            for k in range(left.num_rows):
+                given = {c: v[ends[k] : ends[k + 1]] for c, v in every.items()}
+                walk = walk_of({c: given[c] for c in STEP[1:]})
+                beam = Beam(walk, cand["cand"], moves, fixed, signal(walk, cand), width, by_signal, by_move)
+                beam.search()
+                for c, v in (beam.best() | {"step": given["step"].tolist()} | {c: [v[k]] * beam.n for c, v in keys.items()}).items():
+                    out[c] += v
+        return pa.table({c: pa.array(v, own.get(c, pa.float64())) for c, v in out.items()})
+
+    kinds = dict(steps.dtypes) | {"cand": dict(grid.dtypes)["cand"]}
+    fields = [f"{c} {kinds[c]}" for c in (*trail, "step", "cand")] + [f"{c} double" for c in numbers]
+    return on_floors(walks, floors, steps, by, trail, trails_per_task).applyInArrow(search, ", ".join(fields))
+
+
+def lists(table: pa.Table, column: str) -> tuple[np.ndarray, dict[str, np.ndarray | pa.Array]]:
+    """Of a column of lists of structs where each row's list ends, and the fields of all lists as arrays (nested lists as Arrow ones)."""
+    col = table[column].combine_chunks()
+    col = col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
+    fields = {f.name: col.values.field(f.name) for f in col.type.value_type}
+    return col.offsets.to_numpy(), {c: v if pa.types.is_list(v.type) else v.to_numpy(zero_copy_only=False) for c, v in fields.items()}
+
+
+def on_floors(trails: DataFrame, floors: DataFrame, steps: DataFrame, by: list[str], trail: list[str], trails_per_task: int):
+    """``trails`` and the row of their floor in groups that can be worked on: a floor's row goes along once for about ``trails_per_task`` of its trails.
+
+    ``steps`` (by, trail) counts a floor's trails. Groups are dealt to as many tasks
+    as there are partitions, as small rows make long searches.
+    """
+    n = int(trails.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = steps.select(*by, *trail).distinct().groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / trails_per_task).cast("int").alias("slices"))
+    # Columns of their own, as all may come from one table.
+    slices = slices.toDF(*by, "slices")
+    placed = trails.join(slices, by).withColumn("slice", F.pmod(F.xxhash64(*trail), F.col("slices")).cast("int")).drop("slices")
+    copies = floors.join(slices, by).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    return placed.repartition(n, *by, "slice").groupBy(*by, "slice").cogroup(copies.repartition(n, *by, "slice").groupBy(*by, "slice"))
+
+
 def _straight_runs(p: Column, tolerance: float) -> Column:
     """First and last places of runs of two moves or more on one line whose inner points are ``off`` the known grid, in an ordered array of points."""
     state = "struct<start:int,line:double,runs:array<struct<a:int,b:int>>>"
