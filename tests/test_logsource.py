@@ -1,9 +1,12 @@
 """The sensor log source against the text scan, and what its filters leave unread."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In, IsNotNull, LessThanOrEqual
 
+from trailmark.plans import intake
 from trailmark.sources import logs, logsource
 
 T = 1560915938000
@@ -74,3 +77,33 @@ def test_files_left_unread(folder):
 
 def test_empty_folder(spark, tmp_path):
     assert logsource.read_logs(spark, str(tmp_path)).count() == 0
+
+
+def test_many_trails_in_a_file(spark, tmp_path):
+    """Records go to the trail that the last line named, and filters on trails look into such files."""
+    (tmp_path / "site=1").mkdir()
+    text = f"{T}\tTYPE_A\t0\n#\ttrail:7\n#\tstartTime:{T + 900}\n{T + 1}\tTYPE_A\t1\n{T + 2}\tTYPE_B\t2\n#\ttrail:x:8\n#\tendTime:{T - 900}\n#\ttrail:9\r\n{T + 3}\tTYPE_A\t3\n#\ttrail:7\n{T + 4}\tTYPE_A\t4"
+    (tmp_path / "site=1" / "part.txt").write_text(text)
+    df = logsource.read_logs(spark, str(tmp_path))
+    at = lambda df: {(r.trail, r.ts - T) for r in df.collect()}
+    assert at(df) == {(None, 0), ("7", 1), ("7", 2), ("9", 3), ("7", 4)} and {r.site for r in df.collect()} == {"1"}
+    assert at(df.where("trail = '7' and tag = 'TYPE_A'")) == {("7", 1), ("7", 4)}
+    # Ends of one trail say nothing of the others.
+    assert at(df.where(F.col("ts") >= T + 3)) == {("9", 3), ("7", 4)} and not df.where("trail = '6' or site = '2'").count()
+
+
+def test_log_files_do_not_grow_with_trails(spark, tmp_path, monkeypatch):
+    day = dt.datetime(2024, 2, 1, tzinfo=dt.UTC)
+    rows = [(i, day + dt.timedelta(seconds=i % 40), i % 300, ("view", "purchase", "click")[i % 7 % 3], 1.0, f'{{"k": {i % 9}}}') for i in range(3000)]
+    # A trail of more than one block, with equal times.
+    rows += [(3000 + i, day + dt.timedelta(seconds=i // 50), 301, "view", 1.0, '{"k": 2}') for i in range(2500)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(intake, "scratch", lambda spark: f"{tmp_path}/logs")
+    got = {(r.site, r.trail, r.tag): (r.n, r.total) for r in intake.log_source(spark, str(tmp_path)).collect()}
+    want = {}
+    for _, _, u, kind, _, props in rows:
+        if u % 5 in (1, 3) and kind != "click":
+            n, total = want.get(k := (str(u % 5), str(u), f"TYPE_{kind.upper()}"), (0, 0))
+            want[k] = (n + 1, total + int(props[6:-1]))
+    assert got == want and want["1", "301", "TYPE_VIEW"] == (2500, 5000)
+    assert len(list((tmp_path / "logs").rglob("*.txt"))) < 50

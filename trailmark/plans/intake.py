@@ -44,12 +44,16 @@ def csv_records(spark, d):
     "SELECT (user_id % 5)::VARCHAR AS site, user_id::VARCHAR AS trail, 'TYPE_' || upper(event_type) AS tag, count(*) AS n, min(epoch_us(ts) // 1000) AS first_ts, sum(CAST(props->>'k' AS INTEGER))::BIGINT AS total FROM events WHERE user_id % 5 IN (1, 3) AND event_type IN ('view', 'purchase') AND epoch_us(ts) // 1000 >= 1704800000000 GROUP BY ALL"
 )
 def log_source(spark, d):
-    """Events written as a folder of log files by site and trail, scanned by the log source with filters on place, kind and time."""
+    """Events written as a folder of log files by site, many trails to a file so that files grow with the bytes, scanned by the log source with filters on place, kind and time."""
     at = scratch(spark)
     ms = F.floor(X.micros(F.col("ts")) / 1000)
     line = F.concat_ws("\t", ms.cast("string"), F.concat(F.lit("TYPE_"), F.upper("event_type")), F.get_json_object("props", "$.k"))
-    e = read(spark, d, "events").select((F.col("user_id") % 5).alias("site"), F.col("user_id").alias("trail"), ms.alias("ms"), line.alias("value"))
-    e.repartition("site", "trail").sortWithinPartitions("site", "trail", "ms").select("site", "trail", "value").write.partitionBy("site", "trail").text(at)
+    e = read(spark, d, "events").select((F.col("user_id") % 5).alias("site"), F.col("user_id").alias("trail"), ms.alias("ms"), line.alias("line"))
+    # A trail's records in blocks of 1000, each under a line that names the trail.
+    n = e.withColumn("n", F.row_number().over(Window.partitionBy("site", "trail").orderBy("ms")))
+    block = n.groupBy("site", "trail", F.floor(F.col("n") / 1000).alias("block")).agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("lines"))
+    head = F.concat(F.lit("#\ttrail:"), F.col("trail").cast("string"))
+    block.select("site", F.concat_ws("\n", head, F.col("lines.line")).alias("value")).write.partitionBy("site").option("maxRecordsPerFile", 5000).text(at)
     rec = logsource.read_logs(spark, at).where((F.col("ts") >= 1_704_800_000_000) & F.col("tag").isin("TYPE_VIEW", "TYPE_PURCHASE") & F.col("site").isin("1", "3"))
     return rec.groupBy("site", "trail", "tag").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.sum(F.get("values", F.lit(0)).cast("int")).alias("total"))
 

@@ -4,7 +4,8 @@ Files below a path are dealt to partitions by their bytes; each is read line by
 glued records are cut apart, and Arrow batches go to Spark. Filters on the file's
 place (mode, site, floor, trail) leave files unread; filters on a record's time leave
 those unread whose header and footer say that they ended before or began after; filters on kind
-and time drop records before they become rows. Any store that ``pyarrow.fs`` opens
+and time drop records before they become rows. A file may hold many trails: a line
+``#<tab>trail:name`` says whose records follow. Any store that ``pyarrow.fs`` opens
 will do.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
 from pyarrow import fs
@@ -29,6 +31,7 @@ _STAMP = re.compile(r"(?=\d{13}\tTYPE_)")
 _TRAIN = re.compile(r"/(train)/([^/]+)/([^/]+)/([^/]+)\.txt$")
 _TEST = re.compile(r"/(test)/([^/]+)\.txt$")
 _FOLDER = re.compile(r"/(mode|site|floor|trail)=([^/]+)")
+_TRAIL = "#\ttrail:"
 _ENDS = re.compile(r"(startTime|endTime):(\d+)")
 _ARROW = pa.schema([("mode", pa.string()), ("site", pa.string()), ("floor", pa.string()), ("trail", pa.string()), ("ts", pa.int64()), ("tag", pa.string()), ("values", pa.list_(pa.string())), ("corrupt", pa.string())])
 
@@ -75,7 +78,8 @@ class Wanted:
 
     def file(self, path: str) -> bool:
         at = place_of(path)
-        return all(at[c] in v for c, v in self.values.items() if c != "tag")
+        # Of a file in folders that name no trail only its lines say whose it is.
+        return all(at[c] in v or (c == "trail" and at[c] is None) for c, v in self.values.items() if c != "tag")
 
     def record(self, ts: int | None, tag: str | None) -> bool:
         return ("tag" not in self.values or tag in self.values["tag"]) and (not self.timed or (ts is not None and self.low <= ts <= self.high))
@@ -86,6 +90,20 @@ class Files(InputPartition):
     paths: tuple[str, ...] = ()
 
 
+def by_trail(lines: Iterator[str], trail: str | None) -> Iterator[tuple[str | None, Iterator[str]]]:
+    """Lines of each trail in turn; those before the first line that names one are of ``trail``."""
+
+    def named() -> Iterator[tuple[str | None, str]]:
+        now = trail
+        for line in lines:
+            if line.startswith(_TRAIL):
+                now = line.removeprefix(_TRAIL).rstrip("\r\n")
+            yield now, line
+
+    for now, part in groupby(named(), key=lambda x: x[0]):
+        yield now, (line for _, line in part)
+
+
 def records(lines: Iterator[str]) -> Iterator[tuple[int | None, str | None, list[str], str | None]]:
     """(ts, tag, values, corrupt) of each record; blank and ``#`` lines are none, a record without a tag is corrupt."""
     for line in lines:
@@ -130,6 +148,8 @@ class SensorLogReader(DataSourceReader):
 
     def _overlaps(self, edges: str) -> bool:
         """Whether a file's header and footer leave room for the times asked for; a file that does not say may hold any."""
+        if _TRAIL in edges:
+            return True  # Ends of one trail among others.
         ends = dict(m.groups() for m in _ENDS.finditer(edges))
         return int(ends.get("startTime", self.wanted.low)) <= self.wanted.high and int(ends.get("endTime", self.wanted.high)) >= self.wanted.low
 
@@ -137,17 +157,20 @@ class SensorLogReader(DataSourceReader):
         store, _ = self._store()
         rows: list[tuple] = []
         for path in partition.paths:
-            at = tuple(place_of(path).values())
+            *at, own = place_of(path).values()
             with store.open_input_file(path) as raw:
                 if self.wanted.timed and not self._overlaps(_edges(raw)):
                     continue
                 lines = (x.decode("utf-8", "replace") for x in _lines(raw))
-                for ts, tag, values, corrupt in records(lines):
-                    if self.wanted.record(ts, tag):
-                        rows.append((*at, ts, tag, values, corrupt))
-                        if len(rows) >= ROWS:
-                            yield _batch(rows)
-                            rows = []
+                for trail, part in by_trail(lines, own):
+                    if trail not in self.wanted.values.get("trail", {trail}):
+                        continue
+                    for ts, tag, values, corrupt in records(part):
+                        if self.wanted.record(ts, tag):
+                            rows.append((*at, trail, ts, tag, values, corrupt))
+                            if len(rows) >= ROWS:
+                                yield _batch(rows)
+                                rows = []
         if rows:
             yield _batch(rows)
 
