@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trailmark.operators import geometry as G
 from trailmark.operators import outlines as O
 from trailmark.operators import stateful as Z
+from trailmark.plans import intake
 
 
 def plan(df):
@@ -154,3 +155,18 @@ def test_devices_are_told_apart_by_plain_numbers(monkeypatch):
         device, n = Z.known_device(known, n, t, list(x), list(x), 0.5, 1.0, None)
         got.append(device)
     assert got == want
+
+
+def test_groups_of_single_rows_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    rows = [(i % 9, i % 31, i % 5) for i in range(700)]
+    spark.createDataFrame(rows, "l_suppkey long, l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(intake, "GROUP_ROWS", 100)
+    df = intake.max_of_groups(spark, str(tmp_path))
+    groups = {}
+    for s, o, p in rows:
+        groups.setdefault((s, o), []).append(p)
+    want = {(s, max(len(v) for (t, _), v in groups.items() if t == s), max(len(set(v)) for (t, _), v in groups.items() if t == s)) for s in range(9)}
+    assert {tuple(r) for r in df.collect()} == want
+    # Seven tasks of about 100 rows, and no aggregate of whole rows before.
+    dealt = [x for x in plan(df).splitlines() if "hashpartitioning(l_suppkey" in x and "l_orderkey" in x]
+    assert dealt and all("7), REPARTITION_BY_NUM" in x for x in dealt)
