@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trailmark.operators import models, stateful
 
@@ -92,3 +93,12 @@ def test_speed_band_lowers_its_loss(spark):
     band = lambda g: np.maximum(0, 2 * 4 / 3.6 - g).sum() + np.maximum(0, g - 6 * 4 / 3.6).sum()
     assert band(gone) <= band(gone0) + 1e-9
     assert sum(r.t == 2 for r in got) == 1
+
+
+def test_scans_are_located_in_all_tasks(spark):
+    """Searches of small rows are not gathered into one task."""
+    reads = spark.createDataFrame([("s", k, e, -50.0 - k % 7 - e) for k in range(60) for e in range(3)], "site string, scan int, emitter int, rssi double")
+    emitters = spark.createDataFrame([("s", e, 3.0 * e, 2.0, -40.0, 1.0) for e in range(3)], "site string, emitter int, x double, y double, power double, error double")
+    got = models.locate_by_emitters(reads, emitters, ["site"], ["scan"])
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    assert got.count() == 60

@@ -17,7 +17,7 @@ def nelder_mead(f, x: np.ndarray, step: float, rounds: int = 300, tol: float = 1
         s, v = s[o], v[o]
         if v[-1] - v[0] < tol:
             break
-        mid = s[:-1].mean(0)
+        mid = np.add.reduce(s[:-1]) / len(x)
 
         def at(k: float) -> tuple[np.ndarray, float]:
             p = mid + k * (s[-1] - mid)  # noqa: B023
@@ -49,9 +49,10 @@ def fit_emitters(readings: DataFrame, by: list[str], scale: float = 20.0) -> Dat
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["rssi", "x", "y"], ascending=[False, True, True])
-        xy, s, n = pdf[["x", "y"]].to_numpy(float), pdf["rssi"].to_numpy(float), pdf["__n"].to_numpy()
-        miss = lambda p: float(np.average(np.abs(p[2] - ((xy - p[:2]) ** 2).sum(1) / scale - s), weights=n))
-        best = nelder_mead(miss, np.append(xy[np.argmax(s)], s.max()), 2.0)
+        x, y, s, n = *(pdf[c].to_numpy(float) for c in ("x", "y", "rssi")), pdf["__n"].to_numpy()
+        miss = lambda p: float(np.average(np.abs(p[2] - ((x - p[0]) ** 2 + (y - p[1]) ** 2) / scale - s), weights=n))
+        first = np.argmax(s)
+        best = nelder_mead(miss, np.array([x[first], y[first], s.max()]), 2.0)
         row = {c: pdf[c].iloc[0] for c in by} | {"x": best[0], "y": best[1], "power": best[2], "error": miss(best), "n": int(n.sum())}
         return pd.DataFrame([row])
 
@@ -63,20 +64,23 @@ def locate_by_emitters(readings: DataFrame, emitters: DataFrame, by: list[str],
     """Place of each scan from fitted emitters (emitter, x, y, power, error): the least sum of misses in strength, better emitters counting more.
 
     ``readings`` has emitter and rssi. The search begins at the strongest known
-    emitter; a scan of no known emitter is absent.
+    emitter; a scan of no known emitter is absent. Scans are dealt to as many tasks
+    as there are partitions: their rows are small and their searches long.
     """
+    n = int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = readings.join(emitters.select(*by, "emitter", F.col("x").alias("ex"), F.col("y").alias("ey"), "power", "error"), [*by, "emitter"])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["rssi", "emitter"], ascending=[False, True])
-        at, power, rssi = pdf[["ex", "ey"]].to_numpy(float), pdf["power"].to_numpy(float), pdf["rssi"].to_numpy(float)
+        x, y, power, rssi = (pdf[c].to_numpy(float) for c in ("ex", "ey", "power", "rssi"))
         weight = 1 / (1 + pdf["error"].to_numpy(float))
-        miss = lambda p: float((weight * np.abs(power - ((at - p) ** 2).sum(1) / scale - rssi)).sum() / weight.sum())
-        best = nelder_mead(miss, at[0].copy(), 2.0, rounds=120, tol=1e-5)
+        whole = weight.sum()
+        miss = lambda p: float((weight * np.abs(power - ((x - p[0]) ** 2 + (y - p[1]) ** 2) / scale - rssi)).sum() / whole)
+        best = nelder_mead(miss, np.array([x[0], y[0]]), 2.0, rounds=120, tol=1e-5)
         return pd.DataFrame([{c: pdf[c].iloc[0] for c in (*by, *scan)} | {"x": best[0], "y": best[1], "miss": miss(best), "emitters": len(pdf)}])
 
     kinds = dict(readings.dtypes)
-    return known.groupBy(*by, *scan).applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in (*by, *scan)) + ", x double, y double, miss double, emitters int")
+    return known.repartition(n, *by, *scan).groupBy(*by, *scan).applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in (*by, *scan)) + ", x double, y double, miss double, emitters int")
 
 
 def speed_band(distances: DataFrame, by: list[str], near: int = 10, fade: float = 0.8, speed: float = 4.0, tolerance: float = 2.0, power: float = 1.5, weight: float = 3.0, first: int = 20) -> DataFrame:
