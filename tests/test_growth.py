@@ -113,6 +113,19 @@ def test_signatures_tie_to_the_least_id(spark):
     assert got == {0: 1, 3: 1}
 
 
+def test_signatures_find_their_match_whatever_order_sums_take(spark):
+    """Values that differ in their last bits each time they are worked out, as means over shuffled rows do."""
+    import random
+
+    from trailmark.operators.models import nearest_signature
+
+    shaken = F.udf(lambda v: v + random.random() * 1e-12, "double").asNondeterministic()
+    w = spark.range(60).select(F.lit("g").alias("g"), "id", shaken(F.col("id") / 3.0).alias("m"))
+    q, r = w.where("id % 3 = 0"), w.where("id % 3 != 0").withColumnRenamed("id", "other")
+    got = {n.id: n.other for n in nearest_signature(q, r, ["g"], "id", "other", ["m"]).collect()}
+    assert got == {i: max(i - 1, 1) for i in range(0, 60, 3)}
+
+
 def test_ring_crossings_not_broadcast(spark):
     square = [(p, 0, i, x + p, y + p) for p in (0, 1) for i, (x, y) in enumerate([(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)])]
     rings = spark.createDataFrame([("f", *r) for r in square], "floor string, part long, ring int, i int, x double, y double")

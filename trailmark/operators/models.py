@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sinks import cut
+
 
 def nelder_mead(f, x: np.ndarray, step: float, rounds: int = 300, tol: float = 1e-9) -> np.ndarray:
     """Least point of ``f`` from a simplex around ``x``."""
@@ -154,8 +156,10 @@ def nearest_signature(query: DataFrame, reference: DataFrame, by: list[str], key
     Deviations come from the reference of each group, not under a tenth of their
     mean over columns. Equal windows are one; a group's queries meet its references
     in as many slices as there are partitions, so that a large group is no single
-    task.
+    task. Windows are written once: sums taken again in another order differ in
+    their last bits, and a window would not find its own match.
     """
+    query, reference = cut(query.select(*by, key, *columns)), cut(reference.select(*by, other, *columns))
     n = int(query.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = reference.groupBy(*by).agg(*[F.stddev_pop(c).alias(f"__s_{c}") for c in columns])
     low = sum((F.col(f"__s_{c}") for c in columns), F.lit(0.0)) / len(columns) / 10
@@ -168,5 +172,4 @@ def nearest_signature(query: DataFrame, reference: DataFrame, by: list[str], key
     gap = F.round(gap, 9)
     best = j.groupBy(*by, "__s", *columns).agg(F.min_by(other, F.struct(gap, F.col(other))).alias(other), F.min(gap).alias("difference")).drop("__s")
     best = best.toDF(*by, *[f"__q_{c}" for c in columns], other, "difference")
-    at = query.select(*by, key, *columns)
-    return at.join(best, [at[c] == best[c] for c in by] + [at[c].eqNullSafe(best[f"__q_{c}"]) for c in columns]).select(*[at[c] for c in by], key, other, "difference")
+    return query.join(best, [query[c] == best[c] for c in by] + [query[c].eqNullSafe(best[f"__q_{c}"]) for c in columns]).select(*[query[c] for c in by], key, other, "difference")
