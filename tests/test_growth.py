@@ -61,6 +61,20 @@ def test_crossings_of_equal_segments(spark):
     assert {r.crossings for r in got.collect()} == {300}
 
 
+def test_crossings_shuffle_no_pair(spark):
+    """Long segments of many common cells, left and right of nought: each pair counts once, and no exchange has both of its sides."""
+    rng = np.random.default_rng(7)
+    rows = [("f", i, *rng.integers(-30, 30, 4).astype(float).tolist()) for i in range(60)]
+    moves = spark.createDataFrame(rows, "floor string, id long, x0 double, y0 double, x1 double, y1 double")
+    walls = spark.createDataFrame([(f, i, *rng.integers(-30, 30, 4).astype(float).tolist()) for f, i, *_ in rows], "floor string, wall long, u0 double, v0 double, u1 double, v1 double")
+    side = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    crossed = lambda a, b, c, d: side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0
+    want = {r[1]: sum(crossed(r[2:4], r[4:], tuple(w)[2:4], tuple(w)[4:]) for w in walls.collect()) for r in rows}
+    got = G.crossing_counts(moves, walls, ["floor"], "id", 4.0)
+    assert {r.id: r.crossings for r in got.collect()} == want and max(want.values()) > 3
+    assert not [x for x in plan(got).splitlines() if "Exchange" in x and "x0" in x and "u0" in x]
+
+
 def test_fusing_equal_points(spark):
     p = points(spark, 4000, 4)
     got = Z.fuse_points(p, ["floor"], 0.5).collect()

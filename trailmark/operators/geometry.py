@@ -64,12 +64,18 @@ def segment_cells(df: DataFrame, size: float, a: tuple[str, str], b: tuple[str,
 
 
 def crossing_counts(moves: DataFrame, walls: DataFrame, by: list[str], key: str, size: float) -> DataFrame:
-    """Per move (x0, y0, x1, y1) the walls (wall, u0, v0, u1, v1) it crosses; only segments of a common cell meet, equal ones as one with their number."""
+    """Per move (x0, y0, x1, y1) the walls (wall, u0, v0, u1, v1) it crosses; only segments of a common cell meet, equal ones as one with their number.
+
+    A pair of several common cells counts in the first of them, so no pair is kept
+    or shuffled: what leaves a task is a count for a move.
+    """
     ends, sides = ["x0", "y0", "x1", "y1"], ["u0", "v0", "u1", "v1"]
+    first = lambda a, b: F.floor(F.least(a, b) / size)
     m = segment_cells(moves.select(*by, *ends).distinct(), size, ("x0", "y0"), ("x1", "y1"))
     w = segment_cells(walls.groupBy(*by, *sides).agg(F.countDistinct("wall").alias("__n")), size, ("u0", "v0"), ("u1", "v1"))
     pts = [(F.col(x), F.col(y)) for x, y in (("x0", "y0"), ("x1", "y1"), ("u0", "v0"), ("u1", "v1"))]
-    met = m.join(w.hint("merge"), [*by, "cx", "cy"]).where(crosses(*pts)).select(*by, *ends, *sides, "__n").distinct()
+    here = (F.col("cx") == F.greatest(first("x0", "x1"), first("u0", "u1"))) & (F.col("cy") == F.greatest(first("y0", "y1"), first("v0", "v1")))
+    met = m.join(w.hint("merge"), [*by, "cx", "cy"]).where(here & crosses(*pts))
     hit = met.groupBy(*by, *ends).agg(F.sum("__n").alias("crossings"))
     return moves.join(hit, [*by, *ends], "left").withColumn("crossings", F.coalesce("crossings", F.lit(0)))
 
